@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riverstone.llm import chat_format, exact_dedup, warc
+from riverstone.llm import chat_format, decontamination, exact_dedup, near_dedup, packing, warc
 
-MODULES = (chat_format, exact_dedup, warc)
+MODULES = (chat_format, decontamination, packing, exact_dedup, warc, near_dedup)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
