@@ -117,8 +117,16 @@ def best_configurations(sizes: list[int], need: list[int], capacity: int) -> lis
     return [(c, int(n + 1e-6)) for c, n in zip(basis, x, strict=True) if n >= 1 - 1e-6]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, n_groups: int = 96, small: float = 0.25) -> list[Bins]:
-    """Sequences for a histogram of lengths below the capacity."""
+#: Numbers of groups that are tried; few groups leave room that small pieces can use, many waste less where there are few small ones.
+GROUPS = (2, 4, 8, 16, 32, 96)
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> list[Bins]:
+    """Sequences for a histogram of lengths below the capacity: the fewest over the numbers of groups."""
+    return min((_plan(hist, capacity, n) for n in groups), key=lambda bins: sum(b.count for b in bins))
+
+
+def _plan(hist: dict[int, int], capacity: int, n_groups: int, small: float = 0.25) -> list[Bins]:
     limit = int(capacity * small)
     rank = dict.fromkeys(hist, 0)
     large = sorted(x for x in hist if x > limit)
@@ -221,12 +229,12 @@ def plan_arrays(bins: list[Bins], capacity: int) -> tuple[np.ndarray, np.ndarray
     return cols[:, 0].copy(), cols[:, 1].copy(), cols[:, 2].copy()
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, n_groups: int = 96) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """pieces (a stored table with doc_id, piece, length and any other columns) and their sequence_id and offset."""
     spark = pieces.sparkSession
     below = pieces.filter(F.col("length") < capacity)
     hist = {r[0]: r[1] for r in below.groupBy("length").count().toLocalIterator()}
-    keys, shift, offset = plan_arrays(plan(hist, capacity, n_groups), capacity)
+    keys, shift, offset = plan_arrays(plan(hist, capacity, groups), capacity)
     shared = spark.sparkContext.broadcast((keys, shift, offset))
     bucketed = below.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(8, partitions(spark)))))
     counts = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
