@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riverstone.llm import chat_format, decontamination, exact_dedup, near_dedup, packing, warc
+from riverstone.llm import chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, quality, suffix_dedup, token_rollup, warc
 
-MODULES = (chat_format, decontamination, packing, exact_dedup, warc, near_dedup)
+MODULES = (chat_format, suffix_dedup, language_id, decontamination, packing, quality, exact_dedup, warc, token_rollup, near_dedup)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
