@@ -1 +1 @@
-
+"""Coresets of streams."""
