@@ -7,9 +7,10 @@
    the threshold falls below `miss` (uniform prior; a byte of each MinHash is compared, chance matches are allowed for).
 3. Survivors are verified exactly on full shingle sets; verified links give components.
 4. Buckets that still hold several components get all their pairs across components compared in the same way, so that links that do not
-   run through a bucket's centre are found too; their survivors are verified, and the components of all links are the result.
+   run through a bucket's centre are found too; survivors are counted on 32 bits of each shingle's hash beside, which loses none, then
+   verified, and the components of all links are the result.
 
-The number of rows stays linear: pairs within a component are never made. A bucket of over `max_bucket` classes is dealt again by each
+The number of rows stays linear: pairs within a component are never made, nor rows of pairs across components that aren't links. A bucket of over `max_bucket` classes is dealt again by each
 of the other bands together with its own, which keeps similar pairs together as surely as the first banding and parts the others.
 
 Defined cases. Null, empty and wordless texts have empty sets: no links, each is kept. A text of fewer words than a shingle is one
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bytes_of, read_table, row_slices, write_table
+from riverstone.llm.common import bytes_of, partitions, read_table, row_slices, write_table
 from riverstone.llm.components import connected_components
+from riverstone.llm.hashing import BASE, mixed, segment_hashes
 
 LAST_ID = (1 << 63) - 1
 SHINGLE = 5
@@ -41,11 +43,9 @@ MISS = 1e-6
 MAX_BUCKET = 4000
 #: Hashes of sets that a verifying task keeps, for ids that many pairs have.
 KNOWN_HASHES = 4_000_000
+SHARD_ROWS = 20_000
 
 _rng = np.random.Generator(np.random.Philox(20240229))
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IN_SHINGLE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -53,24 +53,6 @@ _IN_BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _power(n: int) -> list[np.ndarray]:
-    """The base's and its inverse's powers, as far as n at least."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
-
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Texts (bytes, offsets) to their sets of shingle hashes: all of them, sorted within each text, and n + 1 offsets."""
@@ -84,9 +66,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
-    up, down = _power(len(padded) + 1)
-    total = np.r_[np.uint64(0), np.cumsum(_BYTE[padded] * up[: len(padded)])]
-    words = _mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    words = segment_hashes(padded, begin, end)
     first = np.searchsorted(begin, at)  # of each text's words
     count = np.diff(first)
     made = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
@@ -96,7 +76,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     for j in range(shingle):
         inside = start + j < first[doc + 1]
         h[inside] += words[start[inside] + j] * _IN_SHINGLE[j]
-    h = _mixed(h + np.minimum(count, shingle).astype(np.uint64)[doc])
+    h = mixed(h + np.minimum(count, shingle).astype(np.uint64)[doc])
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     keep = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
@@ -120,7 +100,7 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64) * _IN_BAND
-    return _mixed(parts.sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * _BASE).view(np.int64)
+    return mixed(parts.sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * BASE).view(np.int64)
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -146,8 +126,8 @@ def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             sig, bands = [None] * b.num_rows, [None] * b.num_rows
             if len(full):
                 begins = at[full]
-                k1[full] = np.add.reduceat(_mixed(h), begins)
-                k2[full] = np.add.reduceat(_mixed(h * _BASE), begins)
+                k1[full] = np.add.reduceat(mixed(h), begins)
+                k2[full] = np.add.reduceat(mixed(h * BASE), begins)
                 s = signatures(h, at)
                 keys = band_keys(s)
                 for row, x, y in zip(full.tolist(), s.astype(np.uint8), keys, strict=True):
@@ -168,61 +148,121 @@ class Verifier:
 
     def survivors(self, one: np.ndarray, size: int, sig: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Indexes into sig that may be similar enough to one; sets too different in size can't be."""
-        left = np.flatnonzero((100 * np.minimum(size, sizes) >= self.percent * np.maximum(size, sizes)))
+        return self._run(lambda left, a, b: sig[left, a:b] == one[a:b], size, sizes)
+
+    def pairwise(self, i: np.ndarray, j: np.ndarray, sig: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Indexes into i and j of the pairs that may be similar enough."""
+        return self._run(lambda left, a, b: sig[i[left], a:b] == sig[j[left], a:b], sizes[i], sizes[j])
+
+    def _run(self, equal, size, sizes) -> np.ndarray:  # noqa: ANN001
+        left = np.flatnonzero(100 * np.minimum(size, sizes) >= self.percent * np.maximum(size, sizes))
         seen = np.zeros(len(left), np.int32)
         for (a, b), need in zip(self.steps, self.need, strict=True):
             if not len(left):
                 break
-            seen += (sig[left, a:b] == one[a:b]).sum(axis=1, dtype=np.int32)
+            seen += equal(left, a, b).sum(axis=1, dtype=np.int32)
             alive = seen >= need
             left, seen = left[alive], seen[alive]
         return left
 
+    def enough(self, one: np.ndarray, others: list[np.ndarray], size: int, sizes: np.ndarray) -> np.ndarray:
+        """Which of the sets of hashes have enough in common with one."""
+        if not others:
+            return np.zeros(0, bool)
+        joined = np.concatenate(others)
+        at = np.searchsorted(one, joined)
+        at[at == len(one)] = 0
+        begins = np.cumsum([0] + [len(x) for x in others[:-1]])
+        both = np.add.reduceat((one[at] == joined).astype(np.int64), begins)
+        return 100 * both >= self.percent * (size + sizes - both)
+
+
+def _parted(table, *names: str) -> tuple[np.ndarray, ...]:  # noqa: ANN001
+    """A shard's columns sorted by bucket, and where each bucket begins (and the last ends)."""
+    bucket = table.column("bucket").to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edges = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(table.num_rows, BANDS * ROWS)
+    return edges, order, sig[order], *(table.column(k).to_numpy()[order] for k in ("id", "n_shingles", *names))
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]):  # noqa: ANN202
+    """A table of distinct pairs, the smaller id first."""
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return pa.table({"a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
+
+
+def _centre(sig: np.ndarray, ids: np.ndarray) -> int:
+    """The member that agrees most with the others (few members) or with the commonest values."""
+    if len(ids) <= 32:
+        near = (sig[:, None, :] == sig[None, :, :]).sum(axis=(1, 2))
+    else:
+        common = np.array([np.bincount(column, minlength=256).argmax() for column in sig.T], np.uint8)
+        near = (sig == common).sum(axis=1)
+    return int(np.lexsort((ids, -near))[0])
+
 
 def _star(percent: int, miss: float):
     def kernel(key, table):  # noqa: ANN001, ANN202
-        """A bucket's centre against all its other members."""
-        ids, sizes, sig = _columns(table)
+        """In each bucket of a shard, the centre against all other members."""
+        edges, _, sig, ids, sizes = _parted(table)
         verifier = Verifier(percent, miss)
-        near = np.zeros(len(ids), np.int64)
-        for j in range(sig.shape[1]):
-            near += sig[:, j] == np.bincount(sig[:, j], minlength=256).argmax()
-        c = int(np.lexsort((ids, -near))[0])
-        found = verifier.survivors(sig[c], sizes[c], sig, sizes)
-        other = ids[found[ids[found] != ids[c]]]
-        return pa.table({"a": pa.array(np.minimum(other, ids[c])), "b": pa.array(np.maximum(other, ids[c]))})
+        begin, count = edges[:-1], np.diff(edges)
+        two = begin[count == 2]
+        found = verifier.pairwise(two, two + 1, sig, sizes)
+        a, b = [ids[two[found]]], [ids[two[found] + 1]]
+        for i, n in zip(begin[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            c = i + _centre(sig[i : i + n], ids[i : i + n])
+            near = i + verifier.survivors(sig[c], sizes[c], sig[i : i + n], sizes[i : i + n])
+            near = near[near != c]
+            a.append(np.full(len(near), ids[c]))
+            b.append(ids[near])
+        return _pairs(a, b)
 
     return kernel
 
 
 def _across(percent: int, miss: float):
     def kernel(key, table):  # noqa: ANN001, ANN202
-        """All pairs of a bucket's members in different components."""
-        ids, sizes, sig = _columns(table)
-        comp = table.column("component").to_numpy()
+        """In each bucket of a shard, all pairs of members in different components whose sets may be similar enough.
+
+        `hashes` holds 32 bits of each shingle of a set: the common part counted with it is never too small.
+        """
+        edges, order, all_sig, all_ids, all_sizes, all_comp = _parted(table, "component")
+        hashes = table.column("hashes").combine_chunks()
         verifier = Verifier(percent, miss)
-        label, number = np.unique(comp, return_inverse=True)
-        order = np.argsort(np.bincount(number))  # the largest component is only compared with
-        place = np.empty(len(label), np.int64)
-        place[order] = np.arange(len(label))
-        rank = place[number]
-        by = np.argsort(rank, kind="stable")
-        ids, sizes, sig, rank = ids[by], sizes[by], sig[by], rank[by]
-        later = np.searchsorted(rank, rank, side="right")
         a, b = [], []
-        for i in range(int(np.searchsorted(rank, len(label) - 1))):
-            found = later[i] + verifier.survivors(sig[i], sizes[i], sig[later[i] :], sizes[later[i] :])
-            a.append(np.minimum(ids[found], ids[i]))
-            b.append(np.maximum(ids[found], ids[i]))
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table({"a": join(a), "b": join(b)})
+        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            label, number = np.unique(all_comp[begin:end], return_inverse=True)
+            rank = np.empty(len(label), np.int64)
+            rank[np.argsort(np.bincount(number))] = np.arange(len(label))  # the largest component is only compared with
+            by = np.argsort(rank[number], kind="stable")
+            rank, at = rank[number][by], begin + by
+            ids, sizes, sig = all_ids[at], all_sizes[at], all_sig[at]
+            sets = [np.frombuffer(hashes[int(order[i])].as_buffer(), np.uint32) for i in at]
+            later = np.searchsorted(rank, rank, side="right")
+            for i in range(int(np.searchsorted(rank, len(label) - 1))):
+                near = later[i] + verifier.survivors(sig[i], sizes[i], sig[later[i] :], sizes[later[i] :])
+                near = near[verifier.enough(sets[i], [sets[j] for j in near], sizes[i], sizes[near])]
+                a.append(np.full(len(near), ids[i]))
+                b.append(ids[near])
+        return _pairs(a, b)
 
     return kernel
 
 
-def _columns(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(table.num_rows, BANDS * ROWS)
-    return table.column("id").to_numpy(), table.column("n_shingles").to_numpy(), sig
+def _hashes(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, text to id, hashes: the sorted low 32 bits of the set's hashes."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in row_slices(batches, 1, max_bytes=1 << 20):
+            h, at = shingle_sets(*bytes_of(b.column(1)), shingle)
+            low = h.astype(np.uint32)
+            yield pa.record_batch([b.column(0), pa.array([np.sort(low[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(kernel, "id long, hashes binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -269,6 +309,7 @@ def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     profiles = write_table(profile(docs, shingle), "profiles")
     some = profiles.filter("n_shingles > 0")
     classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    classes = write_table(classes, "sets")
     members = some.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "id").distinct()
     members = write_table(members, "members")
     standing = members.filter("doc_id = id").select("doc_id").distinct()
@@ -276,7 +317,7 @@ def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     rows = write_table(rows, "classes")
     buckets = write_table(_buckets(rows, max_bucket), "buckets")
     signed = rows.select("id", "n_shingles", "sig")
-    first = buckets.join(signed, "id").select("bucket", "id", "n_shingles", "sig").groupBy("bucket").applyInArrow(_star(percent, miss), "a long, b long").distinct()
+    first = _sharded(buckets, SHARD_ROWS).join(signed, "id").select("shard", "bucket", "id", "n_shingles", "sig").groupBy("shard").applyInArrow(_star(percent, miss), "a long, b long").distinct()
     inside = buckets.select(F.col("id").alias("doc_id")).distinct()
     texts = write_table(docs.join(inside, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "texts")
     first = write_table(first, "pairs")
@@ -285,7 +326,9 @@ def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     labelled = buckets.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
     unsettled = write_table(labelled.join(open_, "bucket", "left_semi"), "unsettled")
-    more = unsettled.join(signed, "id").select("bucket", "id", "n_shingles", "sig", "component").groupBy("bucket").applyInArrow(_across(percent, miss), "a long, b long").distinct()
+    again = texts.join(unsettled.select("id").distinct(), "id", "left_semi")
+    signed = signed.join(_hashes(again, shingle), "id")
+    more = _sharded(unsettled, SHARD_ROWS // 8).join(signed, "id").select("shard", "bucket", "id", "n_shingles", "sig", "component", "hashes").groupBy("shard").applyInArrow(_across(percent, miss), "a long, b long").distinct()
     more = write_table(more.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(more, texts, shingle, percent))
     found = connected_components(links)
@@ -296,6 +339,12 @@ def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def _sharded(buckets: DataFrame, rows: int) -> DataFrame:
+    """Buckets and the shard each is in: some thousand rows that one call of a kernel gets."""
+    n = max(partitions(buckets.sparkSession), buckets.count() // rows)
+    return buckets.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(n)))
+
+
 def _buckets(rows: DataFrame, max_bucket: int) -> DataFrame:
     """bucket, id: members of all band keys that at least two classes have; oversized ones are dealt again, by the other bands too."""
     keyed = rows.select("id", F.explode("bands").alias("bucket"))
