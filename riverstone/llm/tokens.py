@@ -1,7 +1,9 @@
 """Token ids of whole texts, by a public tokenizer file, with a cache of words.
 
-The tokenizer drops white space and never joins across it, so a text's ids are those of its words one after the other. Words are
-encoded once and kept in a bounded cache of the Python worker; a word that ends in punctuation is made of its parts.
+The tokenizer puts texts in lower case, drops white space, and splits them into runs of letters, single digits, runs of other signs and a
+few endings after an apostrophe, which it encodes one by one. For texts of Latin-1 characters that split is made here in numpy, parts are
+told apart by a 64-bit hash, and each part is encoded once and kept in a bounded cache of the Python worker. Other texts are cut at
+spaces only, where the tokenizer never joins; texts that hold the mark of a special token go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -9,13 +11,46 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 from riverstone.llm.common import row_slices
+from riverstone.llm.hashing import segment_hashes
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 600_000
-TAIL = ".,!?*%$&#"
+#: Parts in the younger of the cache's two generations.
+CACHE_WORDS = 900_000
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
+SPACE, LETTER, DIGIT, OTHER = range(4)
+
+
+def _kind(b: int) -> int:
+    c = chr(b)
+    if c in "\t\n\x0b\x0c\r \x85\xa0":
+        return SPACE
+    return LETTER if c.isalpha() else DIGIT if c.isnumeric() else OTHER
+
+
+_KIND = np.array([_kind(b) for b in range(256)], np.uint8)
+
+
+def split_parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of lower-case Latin-1 text that ends with three spaces at least."""
+    kind = _KIND[data]
+    new = np.ones(len(data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    at = np.flatnonzero(data == ord("'"))
+    at = at[new[at]]
+    if len(at):  # an apostrophe that begins a part takes these letters with it
+        one, two = data[at + 1], data[at + 2]
+        short = at[np.isin(one, list(b"stmd"))]
+        long = at[((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))]
+        new[short + 1], new[short + 2] = False, True
+        new[long + 1], new[long + 3] = False, True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(data))
+    real = kind[starts] != SPACE
+    return starts[real], ends[real]
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -33,30 +68,59 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.cache: dict[str, bytes] = {"": b""}
+        self.young: dict[int | str, bytes] = {}
+        self.old: dict[int | str, bytes] = {}
         self.cache_words = cache_words
 
-    def _learn(self, words: set[str]) -> None:
-        parts = {w: (core, w[len(core) :]) for w in words if (core := w.rstrip(TAIL)) != w and core[-1:].isalpha()}
-        fresh = list({x for w in words for x in parts.get(w, (w,))} - self.cache.keys())
+    def _ids(self, keys: list, text_of) -> list[bytes]:  # noqa: ANN001
+        """Ids of the parts with these keys; text_of(i) is the text of keys[i]."""
+        if len(self.young) > self.cache_words:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        fresh = []
+        for i, k in enumerate(keys):
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    fresh.append(i)
         for at in range(0, len(fresh), 8192):
             some = fresh[at : at + 8192]
-            for w, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        for w, (core, tail) in parts.items():
-            self.cache[w] = self.cache[core] + self.cache[tail]
+            for i, e in zip(some, self.model.encode_batch_fast([text_of(i) for i in some], add_special_tokens=False), strict=True):
+                young[keys[i]] = np.array(e.ids, "<u4").tobytes()
+        return [young[k] for k in keys]
+
+    def _latin(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"\n".join([*texts, b"\n\n"]).translate(_LOWER)
+        data = np.frombuffer(joined, np.uint8)
+        starts, ends = split_parts(data)
+        keys, first, part = np.unique(segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        own = self._ids(keys.tolist(), lambda i: joined[starts[first[i]] : ends[first[i]]].decode("latin-1"))
+        size = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        ids = np.frombuffer(b"".join(own), "<u4")
+        count = size[part]
+        before = np.cumsum(count) - count
+        whole = ids[np.repeat((np.cumsum(size) - size)[part] - before, count) + np.arange(int(count.sum()))].tobytes()
+        text_at = np.cumsum([0] + [len(t) + 1 for t in texts])
+        cut = 4 * np.append(before, len(whole) // 4)[np.searchsorted(starts, text_at)]
+        return [whole[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*split) - self.cache.keys()
-        if fresh:
-            if len(self.cache) > self.cache_words:
-                self.cache = {"": b""}
-                fresh = set().union(*split)
-                fresh.discard("")
-            self._learn(fresh)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out: list[bytes | None] = [None] * len(texts)
+        latin: list[tuple[int, bytes]] = []
+        for i, t in enumerate(texts):
+            if "<|" in t:
+                out[i] = np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            try:
+                latin.append((i, t.encode("latin-1")))
+            except UnicodeEncodeError:
+                words = t.replace("\n", " ").split(" ")
+                out[i] = b"".join(self._ids(words, words.__getitem__))
+        if latin:
+            for (i, _), ids in zip(latin, self._latin([t for _, t in latin]), strict=True):
+                out[i] = ids
+        return out
 
 
 _LOADED: dict[str, WordTokenizer] = {}
