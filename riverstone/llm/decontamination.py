@@ -5,7 +5,7 @@ space, so that a window is a substring between spaces. Matches are mapped back t
 
 Defined cases. Null or wordless texts have no words and no hits; an item without words has no windows. Items that share a window each
 count. A null item_id is written as an empty string. Rows that repeat a doc_id are judged row by row. An empty benchmark hits nothing,
-an empty table gives an empty result. Columns other than doc_id, text, item_id are ignored.
+an empty table gives an empty result. Columns that aren't asked for are ignored; names of what is found may not be asked for.
 
 At scale. One pass over the documents without a shuffle. The automaton goes to every task, so its size is checked: a benchmark of more
 than `shard_bytes` of text is scanned shard by shard, each with an automaton of its own, and hits are merged row by row.
@@ -102,38 +102,40 @@ def _automaton(shared, window: int) -> Automaton:  # noqa: ANN001
     return _BUILT[key]
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int, keep_text: bool) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int, kept: list[str], first: bool) -> DataFrame:
+    """docs: the columns to keep, text, and what an earlier scan found unless this is the first."""
     name = hashlib.sha256(repr(items).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast((name, items))
-    before = "spans" in docs.columns
+    n_kept, text = len(kept), docs.columns.index("text")
     kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("first_word", "end_word", "start", "end")]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared, window)
-        for b in row_slices(batches, 1):
-            texts = b.column(1).cast(pa.binary()).to_pylist()
+        for b in row_slices(batches, text):
+            texts = b.column(text).cast(pa.binary()).to_pylist()
             n, spans, ids = zip(*(automaton.scan(t or b"") for t in texts), strict=True)
-            if before:
-                old_spans, old_ids = b.column(3).to_pylist(), b.column(4).to_pylist()
+            if not first:
+                old_spans, old_ids = b.column("spans").to_pylist(), b.column("item_ids").to_pylist()
                 spans = [merge_spans([tuple(s.values()) for s in o], x) for o, x in zip(old_spans, spans, strict=True)]
                 ids = [x | set(o) for o, x in zip(old_ids, ids, strict=True)]
             records = [[dict(zip(("first_word", "end_word", "start", "end"), s, strict=True)) for s in x] for x in spans]
-            text = b.column(1) if keep_text else pa.nulls(b.num_rows, pa.string())
-            yield pa.record_batch([b.column(0), text, pa.array(n, pa.int64()), pa.array(records, kind), pa.array([sorted(x) for x in ids], pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "item_ids"])
+            yield pa.record_batch([*b.columns[:n_kept], pa.array(n, pa.int64()), pa.array(records, kind), pa.array([sorted(x) for x in ids], pa.list_(pa.string()))], [*kept, "n_words", "spans", "item_ids"])
 
-    return docs.mapInArrow(kernel, f"doc_id long, text string, {SCHEMA}")
+    schema = ", ".join(f"`{k}` {t}" for k, t in docs.dtypes[:n_kept])
+    return docs.mapInArrow(kernel, f"{schema}, {SCHEMA}")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 256 << 10, keep_text: bool = False) -> DataFrame:
-    """doc_id, text (null unless keep_text), n_words, spans of hit words (end excluded, code points of the text), item_ids (sorted)."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 256 << 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, n_words, spans of hit words (end excluded, code points of the text), item_ids (sorted); row by row."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // shard_bytes))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(*keep, *(["text"] if "text" not in keep else []))
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         held = [(r[0], r[1].encode()) for r in part.toLocalIterator()]
-        docs = _scan(docs, held, window, keep_text or k < n - 1)
+        kept = list(keep) if k == n - 1 or "text" in keep else [*keep, "text"]
+        docs = _scan(docs, held, window, kept, first=k == 0)
         if k < n - 1:
             docs = write_table(docs, "scanned")
     return docs
