@@ -42,6 +42,16 @@ def speedup(times: DataFrame, threads: str, value: str, keys: tuple[str, ...] =
     return times.withColumn("speedup", gain).withColumn("efficiency", gain / F.col(threads) * F.first(threads).over(order))
 
 
+def consistent(df: DataFrame, value: str) -> DataFrame:
+    """consistent: whether all rows agree on a value."""
+    return df.agg((F.count_distinct(value) <= 1).alias("consistent"))
+
+
+def mean_of_totals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The mean over groups of each group's sum."""
+    return df.groupBy(*keys).agg(F.sum(value).alias("_total")).agg(F.avg("_total").alias("mean"))
+
+
 def milliseconds_in(line: Column) -> Column:
     """The first `<digits> ms` of a line; null without one."""
     return F.nullif(F.regexp_extract(line, r"(\d+) ms", 1), F.lit("")).cast("bigint")

@@ -362,6 +362,30 @@ def bench_compare(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.compared(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_tax").select("l_returnflag", *[six(k) for k in ("d1", "d2", "diff", "sum")])
 
 
+@query("SELECT count(DISTINCT l_linestatus) <= 1 AS consistent FROM lineitem")
+def consistency_check(spark: SparkSession, sf: str) -> DataFrame:
+    return rollup.consistent(table(spark, sf, "lineitem"), "l_linestatus")
+
+
+@query("SELECT round(avg(t), 4) AS mean FROM (SELECT sum(l_quantity) AS t FROM lineitem GROUP BY l_suppkey)")
+def mean_of_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return rollup.mean_of_totals(table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity").select(F.round("mean", 4).alias("mean"))
+
+
+@query("SELECT CAST(sum(t) AS BIGINT) AS total, max(t) AS longest FROM (SELECT user_id, count(*) AS t FROM events GROUP BY 1)")
+def counters_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters summed over workers, and the longest of them."""
+    counts = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("t"))
+    return counts.agg(F.sum("t").alias("total"), F.max("t").alias("longest"))
+
+
+@query(f"SELECT count(*) AS n, round(CAST(count(*) AS DOUBLE), 6) AS mass FROM (SELECT rn FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings) WHERE rn < {M} UNION ALL SELECT rn FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings) WHERE rn < {M})")
+def coreset_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Two weighted sets one after the other: rows and mass add up."""
+    one = points(spark, sf).orderBy("vec_id").limit(M).select(F.lit(1.0).alias("weight"), doubles("features").alias("features"))
+    return one.unionByName(one).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("mass"))
+
+
 _TIMES = "q AS (SELECT o_custkey % 8 + 1 AS threads, sum(o_totalprice) AS t FROM orders GROUP BY 1)"
 
 
