@@ -110,81 +110,88 @@ def _sequential(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
 
 
 def _rounds(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
-    n, dims = points.shape
-    order = np.arange(n)  # rows, leaf by leaf
-    begin = np.zeros(1, np.int64)
-    centres = np.array([_first(w, rng)])
-    p, own_w = points, w
-    d = _distances(p, points[centres[0]][None, :], metric) if metric == "l2" else _distances(p, points[centres[0]][None, :].repeat(n, axis=0), metric)
+    n = len(points)
+    columns = [np.ascontiguousarray(c) for c in points.T] if metric == "l2" and points.shape[1] <= 8 else None
+    order = np.arange(n)  # rows, leaf by leaf: leaf i has order[begin[i] : begin[i] + size[i]]
+    begin, size = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    centres, costs = np.zeros(m, np.int64), np.zeros(m)
+    size[0], centres[0], k = n, _first(w, rng), 1
+    d = _distances(points, points[centres[0]][None, :].repeat(n, axis=0), metric)
     d[centres[0]] = 0
-    while len(centres) < m:
-        cost = own_w * d
-        by_leaf = np.add.reduceat(cost, begin)
-        n_split = min(m - len(centres), max(1, int(SHARE * len(centres))), int((by_leaf > 0).sum()))
-        if not n_split:
+    costs[0] = (w * d).sum()
+    while k < m:
+        n_split = min(m - k, max(1, int(SHARE * k)))
+        total = np.cumsum(costs[:k])
+        if total[-1] <= 0:
             break
-        total = np.cumsum(by_leaf)
         at = np.searchsorted(total, (np.arange(n_split) + rng.random()) / n_split * total[-1], side="right")
-        at = np.unique(np.minimum(at, len(by_leaf) - 1))
-        at = at[by_leaf[at] > 0]
+        at = np.unique(np.minimum(at, k - 1))
+        at = at[costs[at] > 0]
         if not len(at):
             break
-        end = np.append(begin[1:], n)
-        size = end[at] - begin[at]
-        starts = np.cumsum(size) - size
-        rows = np.repeat(begin[at] - starts, size) + np.arange(int(size.sum()))
-        x, mine, rw, rc = p[rows], d[rows], own_w[rows], cost[rows]
-        which = np.repeat(np.arange(len(at)), size)
+        own = size[at]
+        starts = np.cumsum(own) - own
+        places = np.repeat(begin[at] - starts, own) + np.arange(int(own.sum()))
+        ids = order[places]
+        mine, rw = d[ids], w[ids]
+        cost = rw * mine
+        if columns is not None:
+            x = [c[ids] for c in columns]
+        else:
+            x = points[ids]
         if pick == "farthest":
-            most = np.maximum.reduceat(mine, starts)
-            hit = np.flatnonzero(mine == most[which])
-            tried = [hit[np.unique(which[hit], return_index=True)[1]]]
+            hit = np.flatnonzero(mine == np.repeat(np.maximum.reduceat(mine, starts), own))
+            tried = [hit[np.searchsorted(hit, starts)]]
         else:
-            run = np.cumsum(rc)
-            low = run[starts] - rc[starts]
-            span = run[starts + size - 1] - low
-            tried = []
-            for _ in range(tries):
-                c = np.searchsorted(run, low + rng.random(len(at)) * span, side="right")
-                tried.append(np.clip(c, starts, starts + size - 1))
-        best_cost, best_far, best_c = None, None, None
+            run = np.cumsum(cost)
+            low = run[starts] - cost[starts]
+            span = run[starts + own - 1] - low
+            tried = [np.clip(np.searchsorted(run, low + rng.random(len(at)) * span, side="right"), starts, starts + own - 1) for _ in range(tries)]
+        best, best_far, best_c = None, None, None
         for c in tried:
-            far = _distances(x, x[c][which], metric)
+            if columns is not None:
+                far = np.zeros(len(ids))
+                for v in x:
+                    step = v - np.repeat(v[c], own)
+                    step *= step
+                    far += step
+            else:
+                far = _distances(x, np.repeat(x[c], own, axis=0), metric)
             far[c] = 0
             got = np.add.reduceat(rw * np.minimum(mine, far), starts)
-            if best_cost is None:
-                best_cost, best_far, best_c = got, far, c.copy()
+            if best is None:
+                best, best_far, best_c = got, far, c
             else:
-                better = got < best_cost
-                best_cost = np.where(better, got, best_cost)
-                best_c = np.where(better, c, best_c)
-                mask = better[which]
-                best_far[mask] = far[mask]
-        useful = best_cost < np.add.reduceat(rw * mine, starts)
+                better = got < best
+                best, best_c = np.where(better, got, best), np.where(better, c, best_c)
+                best_far = np.where(np.repeat(better, own), far, best_far)
+        useful = best < costs[at]
         if not useful.any():
             break
-        move = (best_far <= mine) & useful[which]
+        move = (best_far <= mine) & np.repeat(useful, own)
         move[best_c[useful]] = True
-        d[rows] = np.where(move, best_far, mine)
-        # Members that stay come first in a leaf; those that move are a leaf of their own behind.
-        side = np.zeros(n, bool)
-        side[rows[move]] = True
-        leaf = np.repeat(np.arange(len(begin)), end - begin)
-        to = np.argsort(2 * leaf + side, kind="stable")
-        new_centres = order[rows[best_c[useful]]]
-        order, d, own_w, p = order[to], d[to], own_w[to], p[to]
-        moved = np.bincount(which[move], minlength=len(at))[useful]
-        split_at = at[useful]
-        new_begin = end[split_at] - moved
-        begin = np.append(begin, new_begin)
-        centres = np.append(centres, new_centres)
-        place = np.argsort(begin, kind="stable")
-        begin, centres = begin[place], centres[place]
-        width = np.diff(np.append(begin, n))
-        begin, centres = begin[width > 0], centres[width > 0]
+        d[ids] = np.where(move, best_far, mine)
+        # Members that stay come first in a leaf's place; those that move are a leaf of their own behind.
+        passed = np.cumsum(move)
+        before = passed - move - np.repeat(passed[starts] - move[starts], own)
+        moved = np.add.reduceat(move.astype(np.int64), starts)
+        stay = own - moved
+        within = np.arange(len(ids)) - np.repeat(starts, own)
+        to = np.repeat(begin[at], own) + np.where(move, np.repeat(stay, own) + before, within - before)
+        order[to] = ids
+        left = rw * np.where(move, 0, mine)
+        new_cost = np.add.reduceat(rw * np.where(move, best_far, 0), starts)
+        split, n_new = at[useful], int(useful.sum())
+        costs[at] = np.where(useful, np.add.reduceat(left, starts), costs[at])
+        size[split] = stay[useful]
+        new = slice(k, k + n_new)
+        begin[new], size[new] = begin[split] + stay[useful], moved[useful]
+        centres[new], costs[new] = ids[best_c[useful]], new_cost[useful]
+        k += n_new
     leaf = np.empty(n, np.int64)
-    leaf[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
-    return centres, leaf
+    places = np.repeat(begin[:k] - (np.cumsum(size[:k]) - size[:k]), size[:k]) + np.arange(n)
+    leaf[order[places]] = np.repeat(np.arange(k), size[:k])
+    return _without_empty(centres[:k], leaf)
 
 
 def _without_empty(centres: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
