@@ -15,6 +15,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of the Arrow batches that kernels on texts get, for sessions that keep Spark's own 10,000 rows.
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Long texts make batches of 10,000 rows too large for a task; a session that sets its own number keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        for key, value in BATCH_SETTINGS.items():
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -24,8 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/riverstone-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path := f"{shared_dir(spark)}/riverstone-{label}-{uuid.uuid4().hex}")
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes what this program's operators have left in the shared folder, once their results are no longer read."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import read_table, row_slices, write_table
+from riverstone.llm.common import bounded_batches, read_table, row_slices, write_table
 
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 SPAN = "struct<first_word:int,end_word:int,start:int,end:int>"
@@ -127,6 +127,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int, kept: li
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 256 << 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, n_words, spans of hit words (end excluded, code points of the text), item_ids (sorted); row by row."""
+    bounded_batches(documents.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // shard_bytes))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bytes_of, partitions, read_table, row_slices, write_table
+from riverstone.llm.common import bounded_batches, bytes_of, partitions, read_table, row_slices, write_table
 from riverstone.llm.components import connected_components
 from riverstone.llm.hashing import BASE, mixed, segment_hashes
 
@@ -42,7 +42,7 @@ BATCH = 40
 MISS = 1e-6
 MAX_BUCKET = 4000
 #: Hashes of sets that a verifying task keeps, for ids that many pairs have.
-KNOWN_HASHES = 4_000_000
+KNOWN_HASHES = 1_000_000
 SHARD_ROWS = 20_000
 
 _rng = np.random.Generator(np.random.Philox(20240229))
@@ -118,7 +118,7 @@ def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text to doc_id, n_shingles, k1, k2 (hash of the set), sig (a byte of each MinHash), bands; null for empty sets."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, 1, max_bytes=1 << 20):
+        for b in row_slices(batches, 1, max_bytes=1 << 19):
             h, at = shingle_sets(*bytes_of(b.column(1)), shingle)
             size = np.diff(at)
             full = np.flatnonzero(size)
@@ -257,7 +257,7 @@ def _hashes(texts: DataFrame, shingle: int) -> DataFrame:
     """id, text to id, hashes: the sorted low 32 bits of the set's hashes."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, 1, max_bytes=1 << 20):
+        for b in row_slices(batches, 1, max_bytes=1 << 19):
             h, at = shingle_sets(*bytes_of(b.column(1)), shingle)
             low = h.astype(np.uint32)
             yield pa.record_batch([b.column(0), pa.array([np.sort(low[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "hashes"])
@@ -285,7 +285,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             return out
 
         for whole in batches:
-            for b in row_slices(iter([whole]), 2, max_bytes=1 << 20):
+            for b in row_slices(iter([whole]), 2, max_bytes=1 << 19):
                 xs, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
                 ok = []
                 for p, q in zip(sets(xs, b.column(2)), sets(ys, b.column(3)), strict=True):
@@ -304,6 +304,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
+    bounded_batches(documents.sparkSession)
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     docs = documents.select(own.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profiles = write_table(profile(docs, shingle), "profiles")

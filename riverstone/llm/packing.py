@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import partitions, read_table, write_table
+from riverstone.llm.common import bounded_batches, partitions, read_table, write_table
 from riverstone.llm.tokens import DEFAULT_VOCABULARY, encoded
 
 CAPACITY = 4096
@@ -35,6 +35,7 @@ END = (1).to_bytes(4, "little")
 
 def pieces_of(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids array<int>): a document's ids and the end id, cut where they exceed capacity."""
+    bounded_batches(documents.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, ids in encoded(batches, 1, vocabulary):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bytes_of, partitions, read_table, row_slices, write_table
+from riverstone.llm.common import bounded_batches, bytes_of, partitions, read_table, row_slices, write_table
 from riverstone.llm.hashing import BASE, mixed, powers, prefix_sums
 
 SIZE = 400
@@ -293,6 +293,7 @@ def _window_hashes(size: int):
 def repeated_ranges(documents: DataFrame, size: int = SIZE, max_group: int = MAX_GROUP) -> DataFrame:
     """doc_id, th, start, end: ranges of bytes that repeat, overlapping ones too. th is xxhash64 of the text."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select("doc_id", "th", "text")
     anchors = find_anchors(docs, size)
     twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import new_path, read_table
+from riverstone.llm.common import bounded_batches, new_path, read_table
 from riverstone.llm.tokens import DEFAULT_VOCABULARY, encoded
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -31,6 +31,7 @@ SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_t
 
 def count_tokens(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, lang, n_tokens of whole texts, and the columns named in `also`."""
+    bounded_batches(documents.sparkSession)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *also, "text")
     names = own.columns[:-1]
 

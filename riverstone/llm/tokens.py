@@ -18,8 +18,10 @@ from riverstone.llm.common import row_slices
 from riverstone.llm.hashing import segment_hashes
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Parts in the younger of the cache's two generations.
-CACHE_WORDS = 900_000
+#: Parts that a worker keeps, some 30 bytes each; beyond that it starts anew.
+CACHE_PARTS = 1_500_000
+#: Words of texts that aren't Latin-1 that a worker keeps.
+CACHE_WORDS = 50_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
@@ -60,47 +62,73 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return name if os.path.isabs(name) else public_tokenizers.path(name)
 
 
+class IdTable:
+    """Ids of parts by hash, in arrays: sorted keys, and where in one array of ids each key's begin and how many there are."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint16)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where sorted keys are, -1 for those that aren't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        start = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        flat = np.fromiter((i for own in ids for i in own), np.uint32, int(size.sum()))
+        if len(flat) and flat.max() > np.iinfo(self.ids.dtype).max:
+            self.ids = self.ids.astype(np.uint32)
+        self.ids = np.concatenate([self.ids, flat.astype(self.ids.dtype)])
+        joined = np.concatenate([self.keys, keys])
+        order = np.argsort(joined, kind="stable")
+        self.keys = joined[order]
+        self.start, self.size = np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, vocabulary: str, cache_parts: int = CACHE_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.young: dict[int | str, bytes] = {}
-        self.old: dict[int | str, bytes] = {}
-        self.cache_words = cache_words
-
-    def _ids(self, keys: list, text_of) -> list[bytes]:  # noqa: ANN001
-        """Ids of the parts with these keys; text_of(i) is the text of keys[i]."""
-        if len(self.young) > self.cache_words:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = []
-        for i, k in enumerate(keys):
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    fresh.append(i)
-        for at in range(0, len(fresh), 8192):
-            some = fresh[at : at + 8192]
-            for i, e in zip(some, self.model.encode_batch_fast([text_of(i) for i in some], add_special_tokens=False), strict=True):
-                young[keys[i]] = np.array(e.ids, "<u4").tobytes()
-        return [young[k] for k in keys]
+        self.table, self.cache_parts = IdTable(), cache_parts
+        self.words: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), 4096):
+            for e in self.model.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+                yield e.ids
+
+    def _by_words(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        fresh = [w for w in dict.fromkeys(words) if w not in self.words]
+        self.words.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(fresh, self._encoded(fresh), strict=True))
+        return b"".join(map(self.words.__getitem__, words))
 
     def _latin(self, texts: list[bytes]) -> list[bytes]:
         joined = b"\n".join([*texts, b"\n\n"]).translate(_LOWER)
         data = np.frombuffer(joined, np.uint8)
         starts, ends = split_parts(data)
         keys, first, part = np.unique(segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        own = self._ids(keys.tolist(), lambda i: joined[starts[first[i]] : ends[first[i]]].decode("latin-1"))
-        size = np.fromiter(map(len, own), np.int64, len(own)) >> 2
-        ids = np.frombuffer(b"".join(own), "<u4")
-        count = size[part]
+        if len(self.table.keys) > self.cache_parts:
+            self.table = IdTable()
+        fresh = np.flatnonzero(self.table.places(keys) < 0)
+        if len(fresh):
+            some = first[fresh]
+            self.table.add(keys[fresh], list(self._encoded([joined[i:j].decode("latin-1") for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])))
+        place = self.table.places(keys)
+        start, count = self.table.start[place][part], self.table.size[place][part].astype(np.int64)
         before = np.cumsum(count) - count
-        whole = ids[np.repeat((np.cumsum(size) - size)[part] - before, count) + np.arange(int(count.sum()))].tobytes()
+        whole = self.table.ids[np.repeat(start - before, count) + np.arange(int(count.sum()))].astype("<u4").tobytes()
         text_at = np.cumsum([0] + [len(t) + 1 for t in texts])
         cut = 4 * np.append(before, len(whole) // 4)[np.searchsorted(starts, text_at)]
         return [whole[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -115,8 +143,7 @@ class WordTokenizer:
             try:
                 latin.append((i, t.encode("latin-1")))
             except UnicodeEncodeError:
-                words = t.replace("\n", " ").split(" ")
-                out[i] = b"".join(self._ids(words, words.__getitem__))
+                out[i] = self._by_words(t)
         if latin:
             for (i, _), ids in zip(latin, self._latin([t for _, t in latin]), strict=True):
                 out[i] = ids

@@ -14,7 +14,7 @@ def test_ids_are_the_tokenizers():
     """All Latin-1 characters in random company, other scripts, combining marks, special tokens; a cache that turns over all the time."""
     rng = random.Random(0)
     model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    words = WordTokenizer("word_bpe_49k.json", cache_words=50)
+    words = WordTokenizer("word_bpe_49k.json", cache_parts=50)
     latin = [chr(c) for c in range(256)] + list("abcdeABC'' .,stdlmrve") * 8
     wide = latin + list("ΣσςİıĀ漢字é 　Kﬁ¼٣") * 6
     texts = ["".join(rng.choice(latin) for _ in range(rng.randrange(60))) for _ in range(1500)]
