@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import new_path, read_table, write_table
+from riverstone.llm.common import bounded_batches, new_path, read_table, write_table
 from riverstone.llm.files import open_stream, write_whole
 
 MIN_REVISIT = 100
@@ -134,6 +134,7 @@ def classify(pages: DataFrame) -> DataFrame:
 
 def write_archives(classified: DataFrame, uri: str, max_file_bytes: int = 1 << 30) -> DataFrame:
     """Writes page_id, url, html, digest, refers_to as archives under uri; the list of files: path, records, bytes."""
+    bounded_batches(classified.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -175,7 +176,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     schema = "path string, offset long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-    spread = files.select("path").repartition("path")
+    spread = files.select("path").repartition(max(1, files.count()), "path")  # a file for each task, not as few tasks as hold their names
     return spread.mapInArrow(kernel, schema)
 
 
