@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverstone.llm.common import bytes_of, row_slices
 
 #: (bytes, offsets) of n texts to an n x dims array of counts.
 Counter = Callable[[np.ndarray, np.ndarray], np.ndarray]
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SALT = (0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
@@ -67,5 +67,10 @@ def document_frequencies(texts: DataFrame, counter: Counter, dims: int, max_rows
     return found.get(-1, 0), np.array([found.get(k, 0) for k in range(dims)], np.float64)
 
 
+def hash_share(key: str) -> Column:
+    """A number in [0, 1) from a hash of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def inverse_frequencies(n: int, df: np.ndarray) -> np.ndarray:
     return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bytes_of, read_table, row_slices
-from riverstone.llm.features import add_ngrams, document_frequencies, inverse_frequencies, normalised_rows, tf_idf
+from riverstone.llm.common import bounded_batches, bytes_of, read_table, row_slices
+from riverstone.llm.features import add_ngrams, document_frequencies, hash_share, inverse_frequencies, normalised_rows, tf_idf
 
 DIMS_LOG2 = 12
 DIMS = 1 << DIMS_LOG2
@@ -84,13 +84,17 @@ def held_out(doc_id: Column) -> Column:
 
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, floor_share: float = FLOOR_SHARE) -> Model:
     """documents: doc_id, text, lang. Rows that held_out() names and rows without lang or letters are left out."""
+    bounded_batches(documents.sparkSession)
     known = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", letters(F.col("text")).alias("letters")).filter("letters != ''")
     n, df = document_frequencies(known.select("letters"), count_ngrams, DIMS)
     idf = inverse_frequencies(n, df)
 
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language).select("doc_id").distinct()
+    # Of each language, the rows with the least hashes; only those under a bound that about twice as many are under are ranked.
+    rows = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", hash_share("doc_id").alias("share"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(2 * per_language / c + 20 / c)) for k, c in counts.items()], F.lit(0.0))
+    by_hash = Window.partitionBy("lang").orderBy("share", "doc_id")
+    chosen = rows.filter(F.col("share") < bound).withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language).select("doc_id").distinct()
     # At most per_language ids of each language go to all tasks.
     sample = documents.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi").filter("lang is not null").select("lang", letters(F.col("text")).alias("letters"))
 
@@ -114,6 +118,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, centroids: int
 
 def identify(documents: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     """documents (all columns; text only if asked for) and lang_pred, lang_score, lang_rejected; columns of these names are replaced."""
+    bounded_batches(documents.sparkSession)
     made = ("lang_pred", "lang_score", "lang_rejected")
     fed = documents.drop(*made, "lang_letters").withColumn("lang_letters", letters(F.col("text")))
     fed = fed if keep_text else fed.drop("text")

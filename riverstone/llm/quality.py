@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bytes_of, read_table, row_slices
-from riverstone.llm.features import add_ngrams, document_frequencies, inverse_frequencies, normalised_rows, tf_idf
+from riverstone.llm.common import bounded_batches, bytes_of, read_table, row_slices
+from riverstone.llm.features import add_ngrams, document_frequencies, hash_share, inverse_frequencies, normalised_rows, tf_idf
 from riverstone.llm.hashing import segment_hashes
 
 DIMS_LOG2 = 10
@@ -127,10 +127,12 @@ class Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    bounded_batches(documents.sparkSession)
     n, df = document_frequencies(documents.select("text"), count_features, DIMS)
     idf = inverse_frequencies(n, df)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)  # the documented bound, broadcast
+    share = hash_share("doc_id")  # only rows under a bound that about twice as many are under are ranked
+    chosen = known.filter(share < (2 * sample + 20) / max(1, known.count())).orderBy(share, "doc_id", "quality").limit(sample)  # the documented bound, broadcast
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +147,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 
 def score_quality(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id and quality_score of each row."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
