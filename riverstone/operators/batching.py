@@ -8,19 +8,36 @@ from pyspark.sql import functions as F
 from riverstone.session import stored
 
 
-def with_ordinal(df: DataFrame, *order_by: str, name: str = "ordinal", n_partitions: int | None = None) -> DataFrame:
-    """Adds the position of each row in an order, from 0, without bringing all rows to one task.
+def _ranged(df: DataFrame, order_by: tuple[str, ...], n_partitions: int | None) -> DataFrame:
+    """df range-partitioned by an order, with the number of each row's partition (_part) and its place there (_at).
 
-    Rows are range-partitioned, sorted and stored, as the bounds of ranges are sampled and another evaluation may cut elsewhere; the sizes of
-    the partitions (one row each) give where each begins. The order has to be total.
+    Stored, as the bounds of ranges are sampled and another evaluation may cut elsewhere.
     """
     n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = stored(placed, "ordinal")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return stored(placed, "ranged")
+
+
+def _before(placed: DataFrame, amount: Column) -> DataFrame:
+    """_part, _before: the sum over all partitions before; a row for each partition."""
+    sums = placed.groupBy("_part").agg(amount.alias("_sum"))
+    return sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+
+
+def with_ordinal(df: DataFrame, *order_by: str, name: str = "ordinal", n_partitions: int | None = None) -> DataFrame:
+    """Adds the position of each row in a total order, from 0, without bringing all rows to one task."""
+    placed = _ranged(df, order_by, n_partitions)
+    both = placed.join(F.broadcast(_before(placed, F.count("*"))), "_part")
+    return both.withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def with_running_sum(df: DataFrame, value: Column, *order_by: str, name: str = "acc", n_partitions: int | None = None) -> DataFrame:
+    """Adds the sum of a value over all rows up to this one in a total order, without bringing all rows to one task."""
+    placed = _ranged(df, order_by, n_partitions)
+    both = placed.join(F.broadcast(_before(placed, F.sum(value))), "_part")
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn(name, F.col("_before") + within).drop("_part", "_at", "_before")
 
 
 def batch_of(ordinal: Column, size: int) -> Column:

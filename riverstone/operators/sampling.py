@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riverstone.functions.rng import uniform
 from riverstone.functions.vectors import cosine_distance, doubles, sq_l2
+from riverstone.operators.batching import with_running_sum
 
 
 def uniform_row(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -32,8 +33,11 @@ def with_cost(points: DataFrame, center: DataFrame, features: str = "features")
 
 
 def cumulative_cost(costs: DataFrame, key: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """Adds acc, the running cost by key within each leaf, and total."""
+    """Adds acc, the running cost by key (within each leaf, if there are several), and total."""
     cost = F.col("d2") if weight is None else F.col("d2") * weight
+    if not by:
+        run = with_running_sum(costs, cost, key)
+        return run.crossJoin(F.broadcast(costs.agg(F.sum(cost).alias("total"))))
     order = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return costs.withColumn("acc", F.sum(cost).over(order)).withColumn("total", F.sum(cost).over(Window.partitionBy(*by)))
 

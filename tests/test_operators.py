@@ -14,6 +14,14 @@ def test_ordinals_follow_the_order(spark):
     assert sorted(r.ordinal for r in got) == list(range(1000))
 
 
+def test_running_sums(spark):
+    rows = spark.range(500).withColumn("v", F.col("id") % 7)
+    got = {r.id: r.acc for r in batching.with_running_sum(rows, F.col("v"), "id").collect()}
+    assert got == {i: sum(j % 7 for j in range(i + 1)) for i in range(500)}
+    by = sampling.cumulative_cost(rows.select("id", F.col("v").alias("leaf"), F.lit(1.0).alias("d2")), "id", ["leaf"]).filter("id = 14").first()
+    assert (by.acc, by.total) == (3.0, 72.0)
+
+
 @pytest.mark.parametrize(("n", "parts"), [(10, 3), (3, 7), (12, 4)])
 def test_range_partition(spark, n, parts):
     got = [r[0] for r in spark.range(n).select(batching.range_partition_of(F.col("id"), F.lit(n), parts)).collect()]
