@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import partitions, read_table, write_table
+from riverstone.llm.common import bounded_batches, partitions, read_table, write_table
 
 WHITE = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1
@@ -149,6 +149,7 @@ def exact_dedup(documents: DataFrame, memtable_rows: int = 1_000_000, digest_byt
     digest_bytes: how much of the SHA-256 the index uses, the rest is 0; fewer make byte verification do the work (tests).
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     norm = normalised(F.col("text"))
     sha = F.sha2(norm, 256)
     digest = F.unhex(F.rpad(F.substring(sha, 1, 2 * digest_bytes), 64, "0"))
@@ -160,10 +161,12 @@ def exact_dedup(documents: DataFrame, memtable_rows: int = 1_000_000, digest_byt
     twice = write_table(index.filter("copies > 1").select("digest", "keep_id", "copies"), "copies")
     placed = digested.join(twice, "digest", "left")
     # Byte verification: the text of each hit against the text of the row that stays.
-    hit = digested.join(twice, "digest").select("doc_id", "keep_id", "digest").distinct()
-    hits = docs.select("doc_id", chars.alias("chars"), norm.alias("norm"), digest.alias("digest")).join(hit, ["doc_id", "digest"])
-    kept = hits.filter("doc_id = keep_id").select("digest", F.col("norm").alias("keep_norm")).dropDuplicates(["digest"])
-    differs = hits.join(kept, "digest").filter(F.col("norm") != F.col("keep_norm")).select("doc_id", "chars", "norm", "digest")
+    hit = digested.join(twice, "digest").select("doc_id", "chars", "keep_id", "digest").distinct()
+    # Stored before they are digested again: else Spark would make the digest a key of this join, and digest all texts for it.
+    texts = write_table(docs.withColumn("chars", chars).join(hit, ["doc_id", "chars"]).withColumnRenamed("digest", "hit_digest"), "hits")
+    hits = texts.select("doc_id", "keep_id", "chars", norm.alias("norm"), sha.alias("text_sha256"), digest.alias("digest"), "hit_digest").filter("digest = hit_digest").drop("hit_digest")
+    kept = write_table(hits.filter("doc_id = keep_id").select("digest", F.col("norm").alias("keep_norm")).dropDuplicates(["digest"]), "kept")
+    differs = hits.join(kept, "digest").filter(F.col("norm") != F.col("keep_norm")).select("doc_id", "chars", "norm", "text_sha256", "digest")
     differs = write_table(differs, "differs")
     out = _resolved(placed, differs)
     real = lambda k: F.when(F.col(k) != LAST_ID, F.col(k)).alias(k)
@@ -184,9 +187,9 @@ def _resolved(placed: DataFrame, differs: DataFrame) -> DataFrame:
         return out.drop("digest")
     low = F.col("b.low")
     best = differs.groupBy("digest", "norm").agg(F.max(F.struct("chars", (-F.col("doc_id")).alias("low"))).alias("b"), F.count("*").alias("n")).select("digest", "norm", (-low).alias("own_keep"), F.col("n").alias("own_size"))
-    own = differs.join(best, ["digest", "norm"]).select("doc_id", "digest", "own_keep", "own_size").distinct()
+    own = differs.join(best, ["digest", "norm"]).select("doc_id", "digest", "text_sha256", "own_keep", "own_size").distinct()
     less = differs.groupBy("digest").agg(F.count("*").alias("gone"))
-    out = out.join(own, ["doc_id", "digest"], "left").join(less, "digest", "left")
+    out = out.join(own, ["doc_id", "digest", "text_sha256"], "left").join(less, "digest", "left")
     moved = F.col("own_keep").isNotNull()
     keep = F.when(moved, F.col("own_keep")).otherwise(F.col("keep_id"))
     size = F.when(moved, F.col("own_size")).otherwise(F.col("group_size") - F.coalesce("gone", F.lit(0)))
