@@ -296,7 +296,8 @@ def repeated_ranges(documents: DataFrame, size: int = SIZE, max_group: int = MAX
     bounded_batches(spark)
     docs = documents.select("doc_id", "th", "text")
     anchors = find_anchors(docs, size)
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # What is counted by a key is stored before it is joined by that key: Spark then can split a hot key's rows among tasks.
+    twice = write_table(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     anchors = write_table(anchors.join(twice, "gram", "left_semi"), "anchors")
     first = lambda k: F.first(k).alias(k)
     classes = anchors.groupBy("gram", "block", "windows").agg(F.count("*").alias("n"), first("doc_id"), first("th"), first("start"), first("place"))
@@ -305,6 +306,7 @@ def repeated_ranges(documents: DataFrame, size: int = SIZE, max_group: int = MAX
     whole = anchors.join(full, ["gram", "block", "windows"]).select("doc_id", "th", "start", (F.col("start") + F.col("windows") - 1 + size).alias("end"))
 
     mixed_grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("n_open")).filter("classes > 1 and n_open > 0").select("gram", "classes")
+    mixed_grams = write_table(mixed_grams, "mixed-grams")
     rivals = write_table(classes.join(mixed_grams, "gram").select("gram", "doc_id", "th", "start", "windows", "place", (F.col("n") == 1).alias("is_open"), "classes"), "rivals")
     sizes = rivals.agg(F.count("*"), F.coalesce(F.max("classes"), F.lit(0))).first()
     parts = max(partitions(spark), sizes[0] // SUFFIXES_PER_PART)
