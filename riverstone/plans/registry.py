@@ -15,7 +15,7 @@ from riverstone.operators import batching, clustering, collectives, quality, rol
 from riverstone.operators import coreset as coresets
 from riverstone.plans import sql
 from riverstone.schema import has_bad_value
-from riverstone.session import work_path
+from riverstone.session import stored, work_path
 from riverstone.sources import binary, generate, text
 from riverstone.streaming import coreset_stream
 
@@ -492,8 +492,8 @@ def lineitem_coreset_mass(spark: SparkSession, sf: str) -> DataFrame:
 def coreset_cost_ratio_ok(spark: SparkSession, sf: str) -> DataFrame:
     """The cost of centroids fitted on the coreset: on it and on all points, they differ by less than a third."""
     p = lineitem_points(spark, sf)
-    small = coresets.coreset(p, 500)
-    c = clustering.minibatch_kmeans(small, 8)
+    small = stored(coresets.coreset(p, 500), "coreset")
+    c = stored(clustering.minibatch_kmeans(small, 8), "centroids")
     on_all = quality.cost(clustering.assign(p, c)).select(F.col("cost").alias("full"))
     on_small = quality.cost(clustering.assign(small, c), F.col("weight")).select(F.col("cost").alias("est"))
     return on_all.crossJoin(on_small).select((F.abs(F.col("est") / F.col("full") - 1) < 1 / 3).alias("near"))
