@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -16,14 +22,27 @@ SETTINGS = {
 def build_session(app: str = "riverstone", master: str | None = None, **settings: str) -> SparkSession:
     """Settings are given with `_` for `.`, and win over the library's."""
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("_", "."): str(v) for k, v in settings.items()})
-    return (builder.master(master) if master else builder).getOrCreate()
+    spark = (builder.master(master) if master else builder).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for a context, unless PYTHONPATH names its folder."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_riverstone_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="riverstone-")) / "riverstone-package.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted([*root.glob("riverstone/**/*.py"), *root.glob("corpus_pipeline.py")]):
+            out.write(f, f.relative_to(root))
+    context.addPyFile(str(path))
+    context._riverstone_shipped = True
 
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    import tempfile
-    import uuid
-
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="riverstone-")
