@@ -323,6 +323,15 @@ def minibatch_unit_weight(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("cluster", "dim", six("x"))
 
 
+@query()
+def minibatch_unit_weight_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All batches of 200 of the table; minibatch_unit_weight and its SQL end after two."""
+    rows = points(spark, sf).select("vec_id", "features")
+    c = np.array([r.features for r in _first_centroids(spark, sf).orderBy("cluster").collect()])
+    found = clustering.minibatch_in_order(rows, "vec_id", c, 200)
+    return found.select("cluster", F.posexplode("features").alias("dim", "x")).select("cluster", F.col("dim").cast("long").alias("dim"), six("x"))
+
+
 @query(f"{_ASSIGNED}, n AS (SELECT cluster, arg_min(label, vec_id) AS name FROM a GROUP BY 1) SELECT round(avg(CASE WHEN a.label = n.name THEN 1.0 ELSE 0.0 END), 8) AS accuracy, count(*) AS n FROM a JOIN n USING (cluster)")
 def accuracy_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return quality.accuracy(_assigned(spark, sf), "cluster", "label", "vec_id").select(F.round("accuracy", 8).alias("accuracy"), "n")
