@@ -14,8 +14,9 @@ The number of rows stays linear: pairs within a component are never made, nor ro
 of the other bands together with its own, which keeps similar pairs together as surely as the first banding and parts the others.
 
 Defined cases. Null, empty and wordless texts have empty sets: no links, each is kept. A text of fewer words than a shingle is one
-shingle. Rows that repeat a doc_id are one document and all get its component. Rows with a null doc_id share one place after all other
-ids. An empty table gives an empty result. Other columns are ignored.
+shingle. Each row is judged by its own text: rows that repeat a doc_id, null among them, with different texts may get different components.
+Rows that repeat both doc_id and text are one document. Of a component, the document with the smallest doc_id is kept, of one doc_id's
+several texts that with the least hash. Null comes after all other ids. An empty table gives an empty result. Other columns are ignored.
 
 With 48 bands of 5 a pair at similarity 0.75 is missed as a candidate with probability 2e-6, more similar ones with less.
 """
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverstone.llm.common import bounded_batches, bytes_of, partitions, read_table, row_slices, write_table
@@ -114,8 +115,14 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """h1, h2: 128 bits that tell the texts of one doc_id apart; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
+
+
 def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text to doc_id, n_shingles, k1, k2 (hash of the set), sig (a byte of each MinHash), bands; null for empty sets."""
+    """doc_id, text, h1, h2 to doc_id, h1, h2, n_shingles, k1, k2 (hash of the set), sig (a byte of each MinHash), bands; null for empty sets."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 1, max_bytes=1 << 19):
@@ -132,9 +139,9 @@ def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = band_keys(s)
                 for row, x, y in zip(full.tolist(), s.astype(np.uint8), keys, strict=True):
                     sig[row], bands[row] = x.tobytes(), y
-            yield pa.record_batch([b.column(0), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "sig", "bands"])
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_shingles", "k1", "k2", "sig", "bands"])
 
-    return docs.mapInArrow(kernel, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
+    return docs.mapInArrow(kernel, "doc_id long, h1 long, h2 long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
 
 
 class Verifier:
@@ -304,23 +311,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
+    return near_rows(documents, shingle, percent, miss, max_bucket).drop("h1", "h2")
+
+
+def near_rows(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """What near_groups() gives, and h1 and h2, the text_hashes() of each row."""
     bounded_batches(documents.sparkSession)
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    docs = documents.select(own.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own, sets = ["doc_id", "h1", "h2"], ["k1", "k2", "n_shingles"]
+    numbered = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id")
+    docs = documents.select(numbered, F.coalesce("text", F.lit("")).alias("text"), *text_hashes(F.col("text")))
     profiles = write_table(profile(docs, shingle), "profiles")
     some = profiles.filter("n_shingles > 0")
-    classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    # A class's number is its own even where its smallest doc_id also has texts of other classes; the table is written, so numbers stay.
+    classes = some.groupBy(*sets).agg(F.min(F.struct(*own)).alias("first")).select(*sets, "first.*").withColumn("id", F.monotonically_increasing_id())
     classes = write_table(classes, "sets")
-    members = some.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "id").distinct()
-    members = write_table(members, "members")
-    standing = members.filter("doc_id = id").select("doc_id").distinct()
-    rows = some.join(standing, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands")
+    rows = some.select(*own, "sig", "bands").join(classes, own).dropDuplicates(["id"]).select("id", "n_shingles", "sig", "bands")
     rows = write_table(rows, "classes")
     buckets = write_table(_buckets(rows, max_bucket), "buckets")
     signed = rows.select("id", "n_shingles", "sig")
     first = _sharded(buckets, SHARD_ROWS).join(signed, "id").select("shard", "bucket", "id", "n_shingles", "sig").groupBy("shard").applyInArrow(_star(percent, miss), "a long, b long").distinct()
-    inside = buckets.select(F.col("id").alias("doc_id")).distinct()
-    texts = write_table(docs.join(inside, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "texts")
+    inside = classes.select(*own, "id").join(buckets.select("id").distinct(), "id")
+    texts = write_table(docs.join(inside, own).dropDuplicates(["id"]).select("id", "text"), "texts")
     first = write_table(first, "pairs")
     links = write_table(_verified(first, texts, shingle, percent), "links")
     known = connected_components(links)
@@ -332,12 +343,14 @@ def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     more = _sharded(unsettled, SHARD_ROWS // 8).join(signed, "id").select("shard", "bucket", "id", "n_shingles", "sig", "component", "hashes").groupBy("shard").applyInArrow(_across(percent, miss), "a long, b long").distinct()
     more = write_table(more.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(more, texts, shingle, percent))
-    found = connected_components(links)
-    comp = members.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    out = profiles.select("doc_id", "n_shingles").join(comp.dropDuplicates(["doc_id"]), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    linked = write_table(classes.select("id", F.struct(*own).alias("own")).join(connected_components(links), "id"), "linked")
+    heads = linked.groupBy("component").agg(F.min("own").alias("head"))
+    headed = linked.join(write_table(heads, "heads"), "component").select("id", "head")
+    named = classes.join(headed, "id", "left").select(*sets, F.coalesce("head", F.struct(*own)).alias("head"))
+    with_sets = some.select(*own, *sets).join(write_table(named, "named"), sets)
+    out = with_sets.select(*own, "n_shingles", "head").unionByName(profiles.filter("n_shingles = 0").select(*own, "n_shingles", F.struct(*own).alias("head")))
     real = lambda c: F.when(c != LAST_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("head.doc_id")).alias("component_id"), (F.struct(*own) == F.col("head")).alias("kept"), "h1", "h2")
 
 
 def _sharded(buckets: DataFrame, rows: int) -> DataFrame:

@@ -66,3 +66,36 @@ def test_pruning_bound():
     for b, least in need:
         dropped |= matches[:, :b].sum(axis=1) < least
     assert dropped.mean() < 6e-3
+
+
+def text_of(word, first, n=40):
+    return " ".join(f"{word}{k}" for k in range(first, first + n))
+
+
+def test_rows_under_one_key(spark, documents):
+    """Different texts under a null or repeated doc_id are judged each by itself, and link what lies on both their sides."""
+    chain = [text_of("c", k) for k in (0, 4, 8)]
+    rows = [(1, text_of("a", 0)), (None, text_of("a", 1)), (None, text_of("b", 0)), (None, text_of("b", 1)), (None, text_of("d", 0)), (None, "")]
+    rows += [(7, chain[1]), (7, text_of("e", 0)), (7, text_of("e", 0)), (7, text_of("A", 0)), (3, chain[0]), (9, chain[2]), (8, text_of("e", 1)), (7, text_of("E", 0))]
+    texts = [t for _, t in rows]
+    want = near({k: t for k, t in enumerate(texts)})
+    last = lambda d: (1 << 63) - 1 if d is None else d
+    least = {}
+    for k, (_, c) in want.items():
+        least[c] = min(least.get(c, last(None)), last(rows[k][0]))
+    hashed = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", *op.text_hashes(F.col("text"))).collect()
+    by_hash = {}
+    for r in hashed:
+        by_hash.setdefault((last(rows[r.k][0]), r.h1, r.h2), []).append(r.k)
+    found = op.near_rows(documents(rows)).collect()
+    assert len(found) == len(rows)
+    kept = {}
+    for r in found:
+        k = by_hash[last(r.doc_id), r.h1, r.h2][0]
+        assert (r.n_shingles, last(r.component_id)) == (want[k][0], least[want[k][1]]), rows[k]
+        if r.kept:
+            kept.setdefault(want[k][1], set()).add((last(r.doc_id), r.h1, r.h2))
+    assert {c: {(d) for d, _, _ in v} for c, v in kept.items()} == {c: {d} for c, d in least.items()}
+    assert all(len(v) == 1 for v in kept.values())
+    assert {least[want[k][1]] for k in (6, 10, 11)} == {3}
+    assert op.near_groups(documents(rows)).columns == ["doc_id", "n_shingles", "component_id", "kept"]

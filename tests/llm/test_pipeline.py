@@ -39,3 +39,13 @@ def test_stages_on_odd_rows(spark, documents):
     for _, stage in corpus_pipeline.STAGES[:3]:
         empty = stage(spark, empty, "")
     assert empty.count() == 0
+
+
+def test_near_copies_without_an_id(spark, documents):
+    """Of rows without a doc_id, near copies go and all others stay; so with a doc_id that has several texts."""
+    text = lambda word, first: " ".join(f"{word}{k}" for k in range(first, first + 40))
+    rows = [(1, text("a", 0)), (None, text("a", 1)), (None, text("b", 0)), (None, text("d", 0)), (None, None), (5, text("e", 0)), (5, text("a", 2)), (5, text("f", 0)), (6, text("f", 1))]
+    left = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, documents(rows), ""), "")
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    want = [rows[k] for k in (0, 2, 3, 4, 5, 7)]
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted((str(d), t or "") for d, t in want)
