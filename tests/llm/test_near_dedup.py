@@ -99,3 +99,26 @@ def test_rows_under_one_key(spark, documents):
     assert all(len(v) == 1 for v in kept.values())
     assert {least[want[k][1]] for k in (6, 10, 11)} == {3}
     assert op.near_groups(documents(rows)).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_pairs_with_one_band_in_an_oversized_bucket(spark):
+    """Dealing an oversized bucket again doesn't part pairs at 0.75 whose only common band is the bucket's."""
+    rng = np.random.default_rng(7)
+    rows, n = [], 40
+    for k in range(n):
+        one = rng.integers(0, 1 << 32, op.BANDS * op.ROWS, dtype=np.uint32)
+        one[:5] = 1
+        other = one.copy()
+        for band in range(1, op.BANDS):
+            gone = rng.random(op.ROWS) < 0.25
+            gone[rng.integers(op.ROWS)] |= not gone.any()
+            other[band * op.ROWS : (band + 1) * op.ROWS][gone] += 1
+        for i, s in enumerate((one, other)):
+            rows.append((2 * k + i, bytearray(s.astype(np.uint8).tobytes()), op.band_keys(s[None])[0].tolist()))
+        assert len(set(rows[-1][2]) & set(rows[-2][2])) == 1
+    found = op._buckets(spark.createDataFrame(rows, "id long, sig binary, bands array<long>"), 20).collect()
+    held = {}
+    for r in found:
+        held.setdefault(r.bucket, set()).add(r.id)
+    assert all(any({2 * k, 2 * k + 1} <= v for v in held.values()) for k in range(n))
+    assert max(len(v) for v in held.values()) < 10
