@@ -2,7 +2,9 @@
 
 Document frequencies come from all documents that may be learned from; centroids are clustered (spherical k-means) from at most
 `per_language` documents of each language, chosen by a hash, on one task for each language. A text is rejected if it has no letter or if
-its cosine with the nearest centroid is under that language's floor: `floor_share` of the least cosine among the sampled documents.
+its cosine with the nearest centroid is under that language's floor: `floor_share` of a low quantile (5 %) of the cosines of the sampled
+documents, so that a few odd ones among them don't pull it to 0. Short texts of a learned language have low cosines (0.2 is common with
+five words), so long texts of an unlearned language that is close to a learned one still pass.
 
 Defined cases. Null and letterless texts are `und` with score 0, and rejected. Texts in an unknown script are given the nearest language,
 with a score near 0, and rejected. Documents with a null lang are never learned from; nor are those with a null doc_id, which are held
@@ -29,6 +31,7 @@ SIZES = (2, 3, 4)
 PER_LANGUAGE = 400
 CENTROIDS = 3
 FLOOR_SHARE = 0.25
+FLOOR_QUANTILE = 0.05
 UNKNOWN = "und"
 
 
@@ -107,7 +110,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, centroids: int
         """A language's centroids, from its sampled vectors."""
         x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(-1, DIMS)
         c = spherical_k_means(x, centroids)
-        floor = floor_share * float((x @ c.T).max(axis=1).min())
+        floor = floor_share * float(np.quantile((x @ c.T).max(axis=1), FLOOR_QUANTILE))
         return pa.table({"lang": pa.array([key[0].as_py()] * len(c)), "floor": pa.array([floor] * len(c), pa.float64()), "centroid": pa.array([r.astype(np.float32).tobytes() for r in c], pa.binary())})
 
     made = sample.mapInArrow(vectors, "lang string, vector binary").groupBy("lang").applyInArrow(cluster, "lang string, floor double, centroid binary")

@@ -42,3 +42,14 @@ def test_long_texts_count_alike():
     out = np.zeros((1, 4096), np.float32)
     features.add_ngrams(out, raw, np.array([0, len(raw)]), (2, 3), 12)
     assert out.sum() == 2 * len(raw) - 3
+
+
+def test_unlearned_languages_are_rejected(spark, sf, documents):
+    """Planted texts in other languages of the same script, and letter junk, go; clean ones stay. A one-word document learned from doesn't change that."""
+    learned = read_table(spark, sf.replace("0.001", "0.01"), "documents")
+    junk = documents([(k, w, lang) for k, (w, lang) in enumerate([("q", "de"), ("zzz", "en"), ("xx", "es"), ("kkk", "fr")] * 3, 10**9)])
+    model = op.train(learned.unionByName(junk.select(*learned.columns)))
+    gone = ["ngày hôm nay trời đẹp nên chúng tôi đi dạo", "kwa sababu leo ni siku nzuri tutakwenda sokoni kununua matunda na mboga", "xkqz vbnt wrtp zzkq plmk jhgf qwrt bvcx mnbz kjhg trwq pxzv"]
+    stay = ["the dog and the cat", "der hund und die katze waren nicht auf dem haus", "le chat et le chien sont dans la maison avec les enfants", "el perro y el gato no estaban en la casa de los padres"]
+    found = op.identify(documents(list(enumerate(gone + stay))), model).orderBy("doc_id").collect()
+    assert [r.lang_rejected for r in found] == [True] * len(gone) + [False] * len(stay)
