@@ -2,8 +2,10 @@
 
 The tokenizer puts texts in lower case, drops white space, and splits them into runs of letters, single digits, runs of other signs and a
 few endings after an apostrophe, which it encodes one by one. For texts of Latin-1 characters that split is made here in numpy, parts are
-told apart by a 64-bit hash, and each part is encoded once and kept in a bounded cache of the Python worker. Other texts are cut at
-spaces only, where the tokenizer never joins; texts that hold the mark of a special token go to the tokenizer whole.
+looked up by a 64-bit hash, and each part is encoded once and kept in a bounded cache of the Python worker. The bytes behind equal hashes
+are compared, in the batch and in the cache; if some differ, the batch goes to the tokenizer whole. Other texts are cut at spaces only,
+where the tokenizer never joins; texts that hold the mark of a special token go to the tokenizer whole. A text is taken whole however long
+it is: the memory of a task grows with its longest text, to some fifty times its bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 from riverstone.llm.common import row_slices
-from riverstone.llm.hashing import segment_hashes
+from riverstone.llm.hashing import equal_segments, segment_hashes
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Parts that a worker keeps, some 30 bytes each; beyond that it starts anew.
@@ -63,12 +65,13 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 
 
 class IdTable:
-    """Ids of parts by hash, in arrays: sorted keys, and where in one array of ids each key's begin and how many there are."""
+    """Ids of parts by hash, in arrays: sorted keys, where in one array of ids each key's begin and how many there are, and the same for its bytes."""
 
     def __init__(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint16)
+        self.byte_start, self.n_bytes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.bytes = np.zeros(0, np.uint16), np.zeros(0, np.uint8)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Where sorted keys are, -1 for those that aren't there."""
@@ -77,7 +80,12 @@ class IdTable:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+    def holds(self, places: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether the parts at these places have the bytes data[starts:ends]."""
+        n = ends - starts
+        return bool((self.n_bytes[places] == n).all() and equal_segments(self.bytes, self.byte_start[places], data, starts, n).all())
+
+    def add(self, keys: np.ndarray, parts: list[bytes], ids: list[list[int]]) -> None:
         size = np.fromiter(map(len, ids), np.int32, len(ids))
         start = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
         flat = np.fromiter((i for own in ids for i in own), np.uint32, int(size.sum()))
@@ -88,6 +96,10 @@ class IdTable:
         order = np.argsort(joined, kind="stable")
         self.keys = joined[order]
         self.start, self.size = np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = len(self.bytes) + np.cumsum(n) - n
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(parts), np.uint8)])
+        self.byte_start, self.n_bytes = np.concatenate([self.byte_start, at])[order], np.concatenate([self.n_bytes, n])[order]
 
 
 class WordTokenizer:
@@ -124,8 +136,13 @@ class WordTokenizer:
         fresh = np.flatnonzero(self.table.places(keys) < 0)
         if len(fresh):
             some = first[fresh]
-            self.table.add(keys[fresh], list(self._encoded([joined[i:j].decode("latin-1") for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])))
+            parts = [joined[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+            self.table.add(keys[fresh], parts, list(self._encoded([p.decode("latin-1") for p in parts])))
         place = self.table.places(keys)
+        n = ends - starts
+        alike = bool((n == n[first[part]]).all()) and equal_segments(data, starts, data, starts[first[part]], n).all()
+        if not alike or not self.table.holds(place, data, starts[first], ends[first]):
+            return [np.array(ids, "<u4").tobytes() for ids in self._encoded([t.decode("latin-1") for t in texts])]
         start, count = self.table.start[place][part], self.table.size[place][part].astype(np.int64)
         before = np.cumsum(count) - count
         whole = self.table.ids[np.repeat(start - before, count) + np.arange(int(count.sum()))].astype("<u4").tobytes()
