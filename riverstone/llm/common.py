@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from riverstone.session import work_path
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,37 +26,57 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="riverstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 _WRITTEN: list[str] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    _WRITTEN.append(path := f"{shared_dir(spark)}/riverstone-{label}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path := work_path(spark, label))
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def drop_written(spark: SparkSession) -> int:
     """Deletes what this program's operators have left in the shared folder, once their results are no longer read."""
-    jvm, n = spark.sparkContext._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
-    return n
+    return sum(drop_path(spark, path) for path in list(_WRITTEN))
+
+
+class Tables:
+    """Tables written in the shared folder: cuts the lineage, and what is used twice is computed once.
+
+    As a context, deletes at its end those that were not kept: an operator's result may read only what it kept.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:  # noqa: ANN002
+        for path in list(self.paths.values()):
+            drop_path(self.spark, path)
+
+    def write(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+        """df, written and read back; a table of the same label that this one replaces is deleted."""
+        path = new_path(self.spark, label)
+        df.write.parquet(path)
+        if not keep:
+            if label in self.paths:
+                drop_path(self.spark, self.paths[label])
+            self.paths[label] = path
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Writes df in the shared folder and reads it back: cuts the lineage, and what is used twice is computed once."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One table that stays until drop_written()."""
+    return Tables(df.sparkSession).write(df, label, keep=True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import write_table
+from riverstone.llm.common import Tables
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,16 +23,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links (a, b) to id, component (the smallest id reachable), for every id with a link to another."""
+    """links (a, b) to id, component (the smallest id reachable), for every id with a link to another; read from a stored table of stars."""
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges = write_table(edges, "edges")
-    for _ in range(max_rounds):
-        edges = write_table(_small_star(_large_star(edges)), "edges")
-        # A star's centre is never a node's larger end, and each larger end has one centre.
-        chained = edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi")
-        if chained.isEmpty() and edges.groupBy("hi").count().filter("count > 1").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with Tables(links.sparkSession) as tables:
+        edges = tables.write(edges, "edges")
+        for _ in range(max_rounds):
+            edges = tables.write(_small_star(_large_star(edges)), "edges")
+            # A star's centre is never a node's larger end, and each larger end has one centre.
+            chained = edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi")
+            if chained.isEmpty() and edges.groupBy("hi").count().filter("count > 1").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        tables.paths.clear()  # the last one is the result
     star = edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return star.unionByName(edges.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())

@@ -1,29 +1,34 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. Each text becomes its set of hashed word shingles, a MinHash signature and band keys. Documents with equal sets are one class, the
-   smallest id standing for it, so copies never make pairs.
+1. Each text becomes its set of hashed word shingles, a MinHash signature and band keys. Documents of the same words in the same order
+   (128 bits of BLAKE2b) are one class, the smallest id standing for it, so copies never make pairs.
 2. Classes that share a band key are candidates. In each bucket the member nearest to the bucket's consensus signature is compared with
    all others, batch after batch of the signatures; a pair is dropped as soon as the posterior probability that its similarity reaches
    the threshold falls below `miss` (uniform prior; a byte of each MinHash is compared, chance matches are allowed for).
-3. Survivors are verified exactly on full shingle sets; verified links give components.
+3. Survivors are verified exactly on the full sets: equal hashes count only if the bytes of the shingles are equal. Verified links give
+   components.
 4. Buckets that still hold several components get all their pairs across components compared in the same way, so that links that do not
-   run through a bucket's centre are found too; survivors are counted on 32 bits of each shingle's hash beside, which loses none, then
-   verified, and the components of all links are the result.
-
-The number of rows stays linear: pairs within a component are never made, nor rows of pairs across components that aren't links. A bucket of over `max_bucket` classes is dealt again by its own
-band together with each of the 58 bands of 4 that the other values (a byte of each) make, which parts most pairs that aren't similar.
+   run through a bucket's centre are found too. Survivors are verified, and the components of all links are the result.
 
 Defined cases. Null, empty and wordless texts have empty sets: no links, each is kept. A text of fewer words than a shingle is one
 shingle. Each row is judged by its own text: rows that repeat a doc_id, null among them, with different texts may get different components.
 Rows that repeat both doc_id and text are one document. Of a component, the document with the smallest doc_id is kept, of one doc_id's
 several texts that with the least hash. Null comes after all other ids. An empty table gives an empty result. Other columns are ignored.
+Texts are read whole: the memory of a task grows with its longest text, to about a hundred times its bytes while it is cut into shingles.
+
+With 48 bands of 5 a pair at similarity 0.75 is missed as a candidate with probability 2.3e-6, more similar ones with less. A bucket of
+over `max_bucket` classes is dealt again by its own band together with each of the 58 bands of 4 that the other values (a byte of each)
+make, which parts most pairs that aren't similar; that adds 3e-9 at most: the pair has a band in common, but none of the 58 short ones.
 
-With 48 bands of 5 a pair at similarity 0.75 is missed as a candidate with probability 2.3e-6, more similar ones with less. Where buckets
-are oversized, 3e-9 at most is added: the pair has a band in common, but none of the 58 short ones.
+At scale. Pairs within a component are never made, nor rows for pairs that the signatures tell apart; only signatures go to buckets, and
+texts only to surviving pairs. No bucket lands in one task: a large one has a centre for each of its parts, and what it leaves open is cut
+into blocks of `block` members, of which pairs of blocks are compared. Blocks of one and the same component are not, so a group of near
+copies costs rows in proportion to its size; members of a bucket that are all in different components cost pairs of signatures.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bounded_batches, bytes_of, partitions, read_table, row_slices, write_table
+from riverstone.llm.common import Tables, bounded_batches, bytes_of, partitions, read_table, row_slices
 from riverstone.llm.components import connected_components
-from riverstone.llm.hashing import BASE, mixed, segment_hashes
+from riverstone.llm.hashing import BASE, equal_segments, mixed, segment_hashes
 
 LAST_ID = (1 << 63) - 1
 SHINGLE = 5
@@ -45,9 +50,9 @@ SHORT = 4
 BATCH = 40
 MISS = 1e-6
 MAX_BUCKET = 4000
-#: Hashes of sets that a verifying task keeps, for ids that many pairs have.
-KNOWN_HASHES = 1_000_000
 SHARD_ROWS = 20_000
+#: Members of a bucket that are compared with as many others in one unit of work.
+BLOCK = 512
 
 _rng = np.random.Generator(np.random.Philox(20240229))
 _IN_SHINGLE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,34 +63,55 @@ _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Texts (bytes, offsets) to their sets of shingle hashes: all of them, sorted within each text, and n + 1 offsets."""
-    n_docs = len(offsets) - 1
-    padded = np.full(len(data) + n_docs, 0x20, np.uint8)  # a separator ends each text
-    shift = np.repeat(np.arange(n_docs), np.diff(offsets))
-    padded[np.arange(len(data)) + shift] = _LOWER[data]
-    at = offsets + np.arange(n_docs + 1)
-    word = ~_SEPARATORS[padded]
-    edge = np.diff(np.r_[False, word, False].astype(np.int8))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
-    words = segment_hashes(padded, begin, end)
-    first = np.searchsorted(begin, at)  # of each text's words
-    count = np.diff(first)
-    made = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
-    doc = np.repeat(np.arange(n_docs), made)
-    start = first[doc] + np.arange(len(doc)) - np.r_[0, np.cumsum(made)][doc]
-    h = np.zeros(len(doc), np.uint64)
-    for j in range(shingle):
-        inside = start + j < first[doc + 1]
-        h[inside] += words[start[inside] + j] * _IN_SHINGLE[j]
-    h = mixed(h + np.minimum(count, shingle).astype(np.uint64)[doc])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    keep = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-    h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(n_docs + 1))
+class Shingles:
+    """The sets of word shingles of some texts.
+
+    packed: the texts in lower case, each word followed by one space. h: hashes of the distinct shingles, sorted within each text; at: n + 1
+    offsets in h; start, length: where in packed each of them stands. clean: whether equal hashes within a text stand for equal bytes.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, check: bool = False):
+        n_docs = len(offsets) - 1
+        padded = np.full(len(data) + n_docs, 0x20, np.uint8)  # a separator ends each text
+        padded[np.arange(len(data)) + np.repeat(np.arange(n_docs), np.diff(offsets))] = _LOWER[data]
+        padded[_SEPARATORS[padded]] = 0x20
+        blank = padded == 0x20
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]
+        self.packed = padded[keep]
+        self.edges = np.r_[0, np.cumsum(keep)][offsets + np.arange(n_docs + 1)]
+        end = np.flatnonzero(self.packed == 0x20)
+        begin = np.r_[0, end[:-1] + 1] if len(end) else end
+        words = segment_hashes(self.packed, begin, end)
+        first = np.searchsorted(begin, self.edges)  # of each text's words
+        count = np.diff(first)
+        made = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
+        doc = np.repeat(np.arange(n_docs), made)
+        word = first[doc] + np.arange(len(doc)) - np.r_[0, np.cumsum(made)][doc]
+        width = np.minimum(count, shingle)[doc]
+        h = np.zeros(len(doc), np.uint64)
+        for j in range(shingle):
+            inside = j < width
+            h[inside] += words[word[inside] + j] * _IN_SHINGLE[j]
+        h = mixed(h + width.astype(np.uint64))
+        start, length = begin[word], end[word + width - 1] - begin[word] if len(word) else word
+        order = np.lexsort((h, doc))
+        h, doc, start, length = h[order], doc[order], start[order], length[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+        if check:
+            like = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else start
+            self.clean = bool((length == length[like]).all() and equal_segments(self.packed, start, self.packed, start[like], length).all())
+        self.h, self.start, self.length = h[new], start[new], length[new]
+        self.at = np.searchsorted(doc[new], np.arange(n_docs + 1))
+
+    def text(self, i: int) -> np.ndarray:
+        return self.packed[self.edges[i] : self.edges[i + 1]]
+
+
+def shingle_words(text: bytes, shingle: int) -> set[tuple[bytes, ...]]:
+    """The set itself, of words."""
+    words = text.split()
+    return set(zip(*(words[j:] for j in range(shingle)), strict=False)) if len(words) >= shingle else {tuple(words)} if words else set()
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -125,24 +151,21 @@ def text_hashes(text: Column) -> tuple[Column, Column]:
 
 
 def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text, h1, h2 to doc_id, h1, h2, n_shingles, k1, k2 (hash of the set), sig (a byte of each MinHash), bands; null for empty sets."""
+    """doc_id, text, h1, h2 to doc_id, h1, h2, n_shingles, k1, k2 (128 bits of BLAKE2b of the words), sig (a byte of each MinHash), bands; null for empty sets."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 1, max_bytes=1 << 19):
-            h, at = shingle_sets(*bytes_of(b.column(1)), shingle)
-            size = np.diff(at)
+            sets = Shingles(*bytes_of(b.column(1)), shingle)
+            size = np.diff(sets.at)
             full = np.flatnonzero(size)
-            k1, k2 = (np.zeros(b.num_rows, np.uint64) for _ in range(2))
+            keys = np.zeros((b.num_rows, 2), np.int64)
             sig, bands = [None] * b.num_rows, [None] * b.num_rows
             if len(full):
-                begins = at[full]
-                k1[full] = np.add.reduceat(mixed(h), begins)
-                k2[full] = np.add.reduceat(mixed(h * BASE), begins)
-                s = signatures(h, at)
-                keys = band_keys(s)
-                for row, x, y in zip(full.tolist(), s.astype(np.uint8), keys, strict=True):
+                s = signatures(sets.h, sets.at)
+                for row, x, y in zip(full.tolist(), s.astype(np.uint8), band_keys(s), strict=True):
                     sig[row], bands[row] = x.tobytes(), y
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_shingles", "k1", "k2", "sig", "bands"])
+                    keys[row] = np.frombuffer(hashlib.blake2b(sets.text(row), digest_size=16).digest(), np.int64)
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(size.astype(np.int64)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_shingles", "k1", "k2", "sig", "bands"])
 
     return docs.mapInArrow(kernel, "doc_id long, h1 long, h2 long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
 
@@ -175,17 +198,6 @@ class Verifier:
             left, seen = left[alive], seen[alive]
         return left
 
-    def enough(self, one: np.ndarray, others: list[np.ndarray], size: int, sizes: np.ndarray) -> np.ndarray:
-        """Which of the sets of hashes have enough in common with one."""
-        if not others:
-            return np.zeros(0, bool)
-        joined = np.concatenate(others)
-        at = np.searchsorted(one, joined)
-        at[at == len(one)] = 0
-        begins = np.cumsum([0] + [len(x) for x in others[:-1]])
-        both = np.add.reduceat((one[at] == joined).astype(np.int64), begins)
-        return 100 * both >= self.percent * (size + sizes - both)
-
 
 def _parted(table, *names: str) -> tuple[np.ndarray, ...]:  # noqa: ANN001
     """A shard's columns sorted by bucket, and where each bucket begins (and the last ends)."""
@@ -194,7 +206,7 @@ def _parted(table, *names: str) -> tuple[np.ndarray, ...]:  # noqa: ANN001
     bucket = bucket[order]
     edges = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket))
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(table.num_rows, BANDS * ROWS)
-    return edges, order, sig[order], *(table.column(k).to_numpy()[order] for k in ("id", "n_shingles", *names))
+    return edges, sig[order], *(table.column(k).to_numpy()[order] for k in ("id", "n_shingles", *names))
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]):  # noqa: ANN202
@@ -217,7 +229,7 @@ def _centre(sig: np.ndarray, ids: np.ndarray) -> int:
 def _star(percent: int, miss: float):
     def kernel(key, table):  # noqa: ANN001, ANN202
         """In each bucket of a shard, the centre against all other members."""
-        edges, _, sig, ids, sizes = _parted(table)
+        edges, sig, ids, sizes = _parted(table)
         verifier = Verifier(percent, miss)
         begin, count = edges[:-1], np.diff(edges)
         two = begin[count == 2]
@@ -236,74 +248,69 @@ def _star(percent: int, miss: float):
 
 def _across(percent: int, miss: float):
     def kernel(key, table):  # noqa: ANN001, ANN202
-        """In each bucket of a shard, all pairs of members in different components whose sets may be similar enough.
+        """In each unit of a shard, the pairs of members in different components whose sets may be similar enough.
 
-        `hashes` holds 32 bits of each shingle of a set: the common part counted with it is never too small.
+        A unit is one block of a bucket, or two (side 0 and 1), of which only pairs from one to the other count.
         """
-        edges, order, all_sig, all_ids, all_sizes, all_comp = _parted(table, "component")
-        hashes = table.column("hashes").combine_chunks()
+        edges, sig, ids, sizes, comp, side = _parted(table, "component", "side")
         verifier = Verifier(percent, miss)
         a, b = [], []
         for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            label, number = np.unique(all_comp[begin:end], return_inverse=True)
-            rank = np.empty(len(label), np.int64)
-            rank[np.argsort(np.bincount(number))] = np.arange(len(label))  # the largest component is only compared with
-            by = np.argsort(rank[number], kind="stable")
-            rank, at = rank[number][by], begin + by
-            ids, sizes, sig = all_ids[at], all_sizes[at], all_sig[at]
-            sets = [np.frombuffer(hashes[int(order[i])].as_buffer(), np.uint32) for i in at]
-            later = np.searchsorted(rank, rank, side="right")
-            for i in range(int(np.searchsorted(rank, len(label) - 1))):
-                near = later[i] + verifier.survivors(sig[i], sizes[i], sig[later[i] :], sizes[later[i] :])
-                near = near[verifier.enough(sets[i], [sets[j] for j in near], sizes[i], sizes[near])]
-                a.append(np.full(len(near), ids[i]))
+            two = side[begin:end].any()
+            at = begin + np.lexsort((comp[begin:end], side[begin:end]))
+            own = comp[at]
+            if two:
+                cut = int(np.searchsorted(side[at], 1))
+                asked, start = range(cut), np.full(cut, cut)
+            else:
+                start = np.searchsorted(own, own, side="right")  # members of later components
+                asked = range(int(np.searchsorted(own, own[-1])))
+            for i in asked:
+                others = at[start[i] :]
+                if two:
+                    others = others[comp[others] != own[i]]
+                near = others[verifier.survivors(sig[at[i]], sizes[at[i]], sig[others], sizes[others])]
+                a.append(np.full(len(near), ids[at[i]]))
                 b.append(ids[near])
         return _pairs(a, b)
 
     return kernel
 
 
-def _hashes(texts: DataFrame, shingle: int) -> DataFrame:
-    """id, text to id, hashes: the sorted low 32 bits of the set's hashes."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, 1, max_bytes=1 << 19):
-            h, at = shingle_sets(*bytes_of(b.column(1)), shingle)
-            low = h.astype(np.uint32)
-            yield pa.record_batch([b.column(0), pa.array([np.sort(low[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "hashes"])
-
-    return texts.select("id", "text").mapInArrow(kernel, "id long, hashes binary")
+def _common(x: Shingles, i: int, y: Shingles, j: int, shingle: int) -> int:
+    """How many shingles two texts have in common: equal hashes whose bytes are compared too."""
+    p, q = slice(x.at[i], x.at[i + 1]), slice(y.at[j], y.at[j + 1])
+    h, other = x.h[p], y.h[q]
+    if not len(other) or not len(h):
+        return 0
+    there = np.minimum(np.searchsorted(other, h), len(other) - 1)
+    both = np.flatnonzero(other[there] == h)
+    there = there[both]
+    n = x.length[p][both]
+    alike = (n == y.length[q][there]) & equal_segments(x.packed, x.start[p][both], y.packed, y.start[q][there], n)
+    if x.clean and y.clean and alike.all():
+        return len(both)
+    return len(shingle_words(x.text(i).tobytes(), shingle) & shingle_words(y.text(j).tobytes(), shingle))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough; texts: id, text."""
+    """Pairs (a, b) whose full sets are similar enough, shingle by shingle; texts: id, text."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-
-        def sets(ids: list[int], column: pa.Array) -> list[np.ndarray]:
-            fresh: dict[int, int] = {}
-            for i, x in enumerate(ids):
-                if x not in known:
-                    fresh.setdefault(x, i)
-            h, at = shingle_sets(*bytes_of(column.take(pa.array(list(fresh.values()), pa.int64()))), shingle)
-            own = {x: h[at[k] : at[k + 1]].copy() for k, x in enumerate(fresh)}
-            out = [own[x] if x in own else known[x] for x in ids]
-            if sum(map(len, known.values())) > KNOWN_HASHES:
-                known.clear()
-            known.update(own)
-            return out
-
         for whole in batches:
             for b in row_slices(iter([whole]), 2, max_bytes=1 << 19):
-                xs, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
+                sides = []
+                for c, text in ((0, 2), (1, 3)):
+                    ids, first, at = np.unique(b.column(c).to_numpy(), return_index=True, return_inverse=True)
+                    sides.append((Shingles(*bytes_of(b.column(text).take(pa.array(first))), shingle, check=True), at))
+                (x, own), (y, other) = sides
                 ok = []
-                for p, q in zip(sets(xs, b.column(2)), sets(ys, b.column(3)), strict=True):
-                    small, large = (p, q) if len(p) <= len(q) else (q, p)
-                    there = np.searchsorted(large, small)
-                    there[there == len(large)] = 0
-                    both = int((large[there] == small).sum()) if len(large) else 0
-                    ok.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+                for i, j in zip(own.tolist(), other.tolist(), strict=True):
+                    both = _common(x, i, y, j, shingle)
+                    sizes = (int(x.at[i + 1] - x.at[i]), int(y.at[j + 1] - y.at[j]))
+                    if not (x.clean and y.clean):
+                        sizes = (len(shingle_words(x.text(i).tobytes(), shingle)), len(shingle_words(y.text(j).tobytes(), shingle)))
+                    ok.append(both > 0 and 100 * both >= percent * (sum(sizes) - both))
                 keep = pa.array(np.flatnonzero(ok))
                 yield pa.record_batch([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
@@ -312,70 +319,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(kernel, "a long, b long")
 
 
-def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET, block: int = BLOCK) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
-    return near_rows(documents, shingle, percent, miss, max_bucket).drop("h1", "h2")
+    return near_rows(documents, shingle, percent, miss, max_bucket, block).drop("h1", "h2")
 
 
-def near_rows(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_rows(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET, block: int = BLOCK) -> DataFrame:
     """What near_groups() gives, and h1 and h2, the text_hashes() of each row."""
-    bounded_batches(documents.sparkSession)
-    own, sets = ["doc_id", "h1", "h2"], ["k1", "k2", "n_shingles"]
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    with Tables(spark) as tables:
+        return _near_rows(documents, shingle, percent, miss, max_bucket, block, tables)
+
+
+def _near_rows(documents: DataFrame, shingle: int, percent: int, miss: float, max_bucket: int, block: int, tables: Tables) -> DataFrame:
+    own, keys = ["doc_id", "h1", "h2"], ["k1", "k2", "n_shingles"]
     numbered = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id")
     docs = documents.select(numbered, F.coalesce("text", F.lit("")).alias("text"), *text_hashes(F.col("text")))
-    profiles = write_table(profile(docs, shingle), "profiles")
+    profiles = tables.write(profile(docs, shingle), "profiles", keep=True)
     some = profiles.filter("n_shingles > 0")
     # A class's number is its own even where its smallest doc_id also has texts of other classes; the table is written, so numbers stay.
-    classes = some.groupBy(*sets).agg(F.min(F.struct(*own)).alias("first")).select(*sets, "first.*").withColumn("id", F.monotonically_increasing_id())
-    classes = write_table(classes, "sets")
+    classes = some.groupBy(*keys).agg(F.min(F.struct(*own)).alias("first")).select(*keys, "first.*").withColumn("id", F.monotonically_increasing_id())
+    classes = tables.write(classes, "sets")
     rows = some.select(*own, "sig", "bands").join(classes, own).dropDuplicates(["id"]).select("id", "n_shingles", "sig", "bands")
-    rows = write_table(rows, "classes")
-    buckets = write_table(_buckets(rows, max_bucket), "buckets")
+    rows = tables.write(rows, "classes")
+    buckets = tables.write(_buckets(rows, max_bucket), "buckets")
     signed = rows.select("id", "n_shingles", "sig")
-    first = _sharded(buckets, SHARD_ROWS).join(signed, "id").select("shard", "bucket", "id", "n_shingles", "sig").groupBy("shard").applyInArrow(_star(percent, miss), "a long, b long").distinct()
+    # The centre of each bucket; a large one has some, of parts dealt by a hash.
+    part = F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("n") / F.lit(max_bucket)).cast("long"))
+    parted = buckets.select(F.xxhash64("bucket", part).alias("bucket"), "id")
+    first = _in_shards(parted.join(signed, "id"), buckets.count(), SHARD_ROWS).groupBy("shard").applyInArrow(_star(percent, miss), "a long, b long").distinct()
     inside = classes.select(*own, "id").join(buckets.select("id").distinct(), "id")
-    texts = write_table(docs.join(inside, own).dropDuplicates(["id"]).select("id", "text"), "texts")
-    first = write_table(first, "pairs")
-    links = write_table(_verified(first, texts, shingle, percent), "links")
-    known = connected_components(links)
-    labelled = buckets.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    texts = tables.write(docs.join(inside, own).dropDuplicates(["id"]).select("id", "text"), "texts")
+    first = tables.write(first, "pairs")
+    links = tables.write(_verified(first, texts, shingle, percent), "links")
+    # What is left open: buckets with several components.
+    labelled = buckets.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
-    unsettled = write_table(labelled.join(open_, "bucket", "left_semi"), "unsettled")
-    again = texts.join(unsettled.select("id").distinct(), "id", "left_semi")
-    signed = signed.join(_hashes(again, shingle), "id")
-    more = _sharded(unsettled, SHARD_ROWS // 8).join(signed, "id").select("shard", "bucket", "id", "n_shingles", "sig", "component", "hashes").groupBy("shard").applyInArrow(_across(percent, miss), "a long, b long").distinct()
-    more = write_table(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(more, texts, shingle, percent))
-    linked = write_table(classes.select("id", F.struct(*own).alias("own")).join(connected_components(links), "id"), "linked")
-    heads = linked.groupBy("component").agg(F.min("own").alias("head"))
-    headed = linked.join(write_table(heads, "heads"), "component").select("id", "head")
-    named = classes.join(headed, "id", "left").select(*sets, F.coalesce("head", F.struct(*own)).alias("head"))
-    with_sets = some.select(*own, *sets).join(write_table(named, "named"), sets)
+    unsettled = tables.write(labelled.join(open_, "bucket", "left_semi"), "unsettled")
+    units = tables.write(_units(unsettled, block), "units")
+    more = _in_shards(units.join(signed, "id"), units.count(), 4 * block).groupBy("shard").applyInArrow(_across(percent, miss), "a long, b long").distinct()
+    more = tables.write(more.join(first, ["a", "b"], "left_anti"), "more")
+    links = tables.write(links.unionByName(_verified(more, texts, shingle, percent)), "all-links")
+    linked = tables.write(classes.select("id", F.struct(*own).alias("own")).join(connected_components(links), "id"), "linked")
+    heads = tables.write(linked.groupBy("component").agg(F.min("own").alias("head")), "heads")
+    headed = linked.join(heads, "component").select("id", "head")
+    named = classes.join(headed, "id", "left").select(*keys, F.coalesce("head", F.struct(*own)).alias("head"))
+    with_sets = some.select(*own, *keys).join(tables.write(named, "named", keep=True), keys)
     out = with_sets.select(*own, "n_shingles", "head").unionByName(profiles.filter("n_shingles = 0").select(*own, "n_shingles", F.struct(*own).alias("head")))
     real = lambda c: F.when(c != LAST_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("head.doc_id")).alias("component_id"), (F.struct(*own) == F.col("head")).alias("kept"), "h1", "h2")
 
 
-def _sharded(buckets: DataFrame, rows: int) -> DataFrame:
-    """Buckets and the shard each is in: some thousand rows that one call of a kernel gets."""
-    n = max(partitions(buckets.sparkSession), buckets.count() // rows)
-    return buckets.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(n)))
+def _in_shards(rows: DataFrame, n_rows: int, per_shard: int) -> DataFrame:
+    """Rows and the shard each is in: some thousand rows, buckets whole, that one call of a kernel gets."""
+    n = max(partitions(rows.sparkSession), n_rows // per_shard)
+    return rows.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(n)))
+
+
+def _units(members: DataFrame, block: int) -> DataFrame:
+    """bucket, id, component to bucket (a unit's number), side, id, component: all pairs of blocks that may hold a pair across components.
+
+    A bucket's components of over `block` members have blocks of their own; the others are dealt to blocks whole.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    small = F.sum(F.when(F.col("size") <= block, F.col("size")).otherwise(0)).alias("small")
+    sizes = sizes.join(sizes.groupBy("bucket").agg(small), "bucket")
+    dealt = members.join(sizes, ["bucket", "component"])
+    pure = F.col("size") > block
+    salt = F.when(pure, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block).cast("long"))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / block).cast("long")))
+    dealt = dealt.select("bucket", "id", "component", F.when(pure, F.col("component")).alias("whole"), salt.alias("salt"))
+    blocks = dealt.groupBy("bucket", "whole", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = blocks.select("bucket", F.struct("whole", "salt").alias("x"), "lo", "hi")
+    other = blocks.select("bucket", F.col("x").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
+    # Of two blocks, each may hold one component only, the same one.
+    pairs = blocks.join(other, "bucket").filter("x <= y and not (lo = hi and lo_y = hi_y and lo = lo_y)")
+    unit = F.xxhash64("bucket", "x", "y").alias("unit")
+    left = pairs.select("bucket", unit, F.lit(0).alias("side"), F.col("x.*"))
+    right = pairs.filter("x != y").select("bucket", unit, F.lit(1).alias("side"), F.col("y.*"))
+    asked = left.unionByName(right)
+    same = [dealt[k].eqNullSafe(asked[k]) for k in ("bucket", "whole", "salt")]
+    return dealt.join(asked, same).select(asked["unit"].alias("bucket"), "side", "id", "component")
 
 
 def _buckets(rows: DataFrame, max_bucket: int) -> DataFrame:
-    """bucket, id: members of all band keys that at least two classes have; oversized ones are dealt again, by short bands of the other values too."""
+    """bucket, id, n: members of all band keys that at least two classes have, and how many; oversized ones are dealt again, by short bands of the other values too."""
     keyed = rows.select("id", F.posexplode("bands").alias("pos", "bucket"))
     count = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     placed = keyed.join(count, "bucket")
-    fine = placed.filter(F.col("n") <= max_bucket).select("bucket", "id")
+    fine = placed.filter(F.col("n") <= max_bucket).select("bucket", "id", "n")
     over = placed.filter(F.col("n") > max_bucket).select(F.col("bucket").alias("own"), "pos", "id")
     short = F.explode(F.sequence(F.lit(0), F.lit(BANDS * ROWS // SHORT - 1))).alias("short")
     again = over.join(rows.select("id", "sig"), "id").select("id", "own", "pos", "sig", short)
     # Values that the whole bucket has in common part nothing.
     again = again.filter((F.col("short") * SHORT >= (F.col("pos") + 1) * ROWS) | ((F.col("short") + 1) * SHORT <= F.col("pos") * ROWS))
     again = again.select(F.xxhash64("own", "short", F.col("sig").substr(F.col("short") * SHORT + 1, F.lit(SHORT))).alias("bucket"), "id")
-    twice = again.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    return fine.unionByName(again.join(twice, "bucket").select("bucket", "id"))
+    twice = again.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return fine.unionByName(again.join(twice, "bucket").select("bucket", "id", "n"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

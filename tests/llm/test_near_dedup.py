@@ -28,8 +28,8 @@ def edited(rng, base, share):
     return " ".join(f"q{rng.randrange(10**6)}" if rng.random() < share else w for w in base)
 
 
-@pytest.mark.parametrize("limit", [op.MAX_BUCKET, 20])
-def test_groups_of_near_copies(spark, documents, limit):
+@pytest.mark.parametrize(("limit", "block"), [(op.MAX_BUCKET, op.BLOCK), (op.MAX_BUCKET, 8), (20, 8)])
+def test_groups_of_near_copies(spark, documents, limit, block):
     """Copies near a base at many distances, documents that share a passage, and a chain, against all pairs."""
     rng = random.Random(3)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
@@ -39,7 +39,7 @@ def test_groups_of_near_copies(spark, documents, limit):
     chain = [f"c{k}" for k in range(400)]
     rows += [(300 + k, " ".join(chain[8 * k : 8 * k + 100])) for k in range(30)]
     rows += [(400, "a b c"), (401, "A  b\nC"), (402, "a b"), (403, None), (404, ""), (405, " \t "), (406, "a b c")]
-    found = op.near_groups(documents(rows), max_bucket=limit).collect()
+    found = op.near_groups(documents(rows), max_bucket=limit, block=block).collect()
     compare(found, dict(rows))
 
 
@@ -122,3 +122,54 @@ def test_pairs_with_one_band_in_an_oversized_bucket(spark):
         held.setdefault(r.bucket, set()).add(r.id)
     assert all(any({2 * k, 2 * k + 1} <= v for v in held.values()) for k in range(n))
     assert max(len(v) for v in held.values()) < 10
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark, documents):
+    one, other = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    rows = [(1, one), (2, other), (3, f"{one} x y z u v"), (4, f"{other} x y z u v")]
+    compare(op.near_groups(documents(rows)).collect(), dict(rows))
+
+
+def shingles_of(texts, check=True):
+    raw = [t.encode() for t in texts]
+    return op.Shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]), check=check)
+
+
+def test_equal_hashes_dont_decide(monkeypatch):
+    """Common shingles are counted by their bytes, with hashes that collide within and across texts too."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(30)]
+    exact = [op.shingle_words(t.encode(), 5) for t in texts]
+    for kinds in (1 << 40, 2, 1):
+        monkeypatch.setattr(op, "segment_hashes", lambda data, begin, end, kinds=kinds: data[begin].astype("u8") % kinds)
+        s = shingles_of(texts)
+        assert s.clean or kinds < 3
+        assert all(op._common(s, i, s, j, 5) == len(exact[i] & exact[j]) for i in range(30) for j in range(30))
+
+
+def test_a_very_long_text(spark, documents):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-50_000])), (3, " ".join(long[:200_000])), (4, "short one")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.near_groups(documents(rows)).collect()}
+    assert got == {1: (399_996, 1), 2: (349_996, 1), 3: (199_996, 3), 4: (1, 4)}
+
+
+def test_a_bucket_of_many_documents_is_parted(spark):
+    """All pairs across components are in some unit, and no unit has many more members than two blocks."""
+    rng = random.Random(9)
+    members = [(7, i, i % 3 if i < 300 else 1000 + i) for i in range(500)] + [(8, i, 5 if i < 40 else 6) for i in range(50)]
+    held = {}
+    for r in op._units(spark.createDataFrame(members, "bucket long, id long, component long"), 20).collect():
+        held.setdefault(r.bucket, []).append((r.side, r.id, r.component))
+    seen = set()
+    for rows in held.values():
+        two = any(s for s, _, _ in rows)
+        seen |= {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[2] != y[2] and (not two or x[0] < y[0])}
+    own = {i: c for b, i, c in members if b == 7}
+    assert all((i, j) in seen for i, j in (rng.sample(range(500), 2) for _ in range(2000)) if i < j and own[i] != own[j])
+    assert max(map(len, held.values())) < 80
