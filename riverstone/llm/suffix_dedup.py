@@ -2,21 +2,27 @@
 
 1. Anchors. Of the grams (size // 4 bytes) inside each `size`-byte window, the leftmost with the least hash is the window's anchor, so
    equal windows have equal anchors at equal offsets, and each window belongs to one. An anchor's block is the bytes of its windows.
-   Only anchors whose gram occurs twice go on; blocks equal as a whole are one class, and if it has two members, all its windows repeat.
-2. Runs. The other classes of a gram are suffixes to be sorted, from the anchor to the end of the block, with what stands left of the
-   anchor. Tasks sort those of their documents and front-code them: each suffix is its common prefix with the one before and the rest.
+   Only anchors whose gram occurs twice go on; blocks equal as a whole (128 bits of BLAKE2b) are one class, and if it has two members, all
+   its windows repeat.
+2. Runs. The classes of a gram that has others are suffixes to be sorted, from the anchor to the end of the block, with what stands left
+   of the anchor. Tasks sort those of their documents and front-code them: each suffix is its common prefix with the one before and the rest.
 3. Exchange and merge. Runs go to partitions by gram, where a loser tree merges them: it compares the lengths of known common prefixes
    with the last suffix put out, and bytes only beyond equal ones, so no known prefix is compared again. It gives the common prefix of
    neighbours for free.
-4. Neighbours with a common prefix of a gram or more form a group; in it, a window repeats if another suffix shares enough on both sides.
+4. Groups. Neighbours with a common prefix of a gram or more form a group. Each of its suffix intervals (neighbours with r bytes in common
+   right of the anchor) is ordered by what stands left; a suffix repeats from its longest common part with a neighbour there to r.
 
 Defined cases. Null counts as empty; texts of fewer bytes than `size` have no windows. Rows that repeat a doc_id are documents of their
 own, so all of a repeated row (of `size` bytes or more) is removed. Null doc_ids are kept. An empty table gives an empty result. Removal
-may cut inside a character: what is kept is bytes. Other columns are ignored.
+may cut inside a character: what is kept is bytes. Other columns are ignored. Texts are whole: a long one is anchored piece by piece, but
+is in one row where its blocks are cut out and where it is put together again, so it has to fit a task a few times.
 
 At scale. Anchors are one for about 150 bytes, and only repeated ones are shuffled a second time. Copies and common passages collapse
-into classes by partial aggregation. A gram with over `max_group` classes (a passage with as many different surroundings) is not sorted
-in one task: its windows are counted by hash over all partitions. The number of sort partitions grows with the number of suffixes.
+into classes by partial aggregation. A gram with over `max_group` classes (a passage with as many different surroundings) is parted by the
+bytes about it: a window reaches o bytes left of its anchor, so those with o in the lower half of the range share more bytes on the right
+and those in the upper half more on the left, and classes are dealt to both halves by the bytes that all windows of a half have. Halves
+that are still too large are halved again, down to single windows, which repeat if two are equal (128 bits of BLAKE2b). The number of sort
+partitions grows with the number of suffixes.
 """
 
 from __future__ import annotations
@@ -29,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bounded_batches, bytes_of, partitions, read_table, row_slices, write_table
-from riverstone.llm.hashing import BASE, mixed, powers, prefix_sums
+from riverstone.llm.common import Tables, bounded_batches, bytes_of, partitions, read_table, row_slices
+from riverstone.llm.hashing import mixed, powers, prefix_sums
 
 SIZE = 400
 MAX_GROUP = 20_000
-PAIRWISE = 48
+#: Bytes of a group's key before each suffix, so that groups of one gram that were parted stay apart.
+KEY = 8
 SUFFIXES_PER_PART = 20_000
 CHUNK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -52,7 +59,7 @@ def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Row, first window's start in the text, windows, anchor's place in the block, gram hash and block hash, of each anchor."""
+    """Row, first window's start in the text, windows, anchor's place in the block and gram hash, of each anchor."""
     gram = size // 4
     w = size - gram + 1
     found: list[tuple[np.ndarray, ...]] = []
@@ -71,24 +78,40 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
             continue
         cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])])
         first, windows = start[cut], np.diff(np.r_[cut, len(start)])
-        place = anchor[cut] - first
-        end = first + windows - 1 + size
-        block = mixed((total[end] - total[first]) * down[first] + place.astype(np.uint64) * BASE)
-        found.append((row[cut], first + at - offsets[row[cut]], windows, place, g[anchor[cut]], block))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
+        found.append((row[cut], first + at - offsets[row[cut]], windows, anchor[cut] - first, g[anchor[cut]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+
+
+def digest(data: bytes) -> tuple[int, int]:
+    x = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
+
+
+def find_grams(docs: DataFrame, size: int) -> DataFrame:
+    """The gram of each anchor."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in row_slices(batches, 0, max_bytes=1 << 20):
+            yield pa.record_batch([pa.array(anchors_of(*bytes_of(b.column(0)), size)[4].view(np.int64))], ["gram"])
+
+    return docs.select("text").mapInArrow(kernel, "gram long")
 
 
 def find_anchors(docs: DataFrame, size: int) -> DataFrame:
-    """docs: doc_id, th (hash of the text), text."""
+    """docs (doc_id, th (hash of the text), text) to its anchors, with a digest of each one's block and its place there."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 2, max_bytes=1 << 20):
-            row, start, windows, place, g, block = anchors_of(*bytes_of(b.column(2)), size)
+            data, offsets = bytes_of(b.column(2))
+            row, start, windows, place, g = anchors_of(data, offsets, size)
             if len(row):
+                raw, first = data.tobytes(), offsets[row] + start
+                spans = zip(place.astype("<u4").tolist(), first.tolist(), (first + windows - 1 + size).tolist(), strict=True)
+                block = np.array([digest(p.to_bytes(4, "little") + raw[i:j]) for p, i, j in spans], np.int64)
                 at = pa.array(row)
-                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(start), pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(block.view(np.int64))], ["doc_id", "th", "start", "windows", "place", "gram", "block"])
+                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(start), pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(block[:, 0].copy()), pa.array(block[:, 1].copy())], ["doc_id", "th", "start", "windows", "place", "gram", "b1", "b2"])
 
-    return docs.mapInArrow(kernel, "doc_id long, th long, start long, windows int, place int, gram long, block long")
+    return docs.mapInArrow(kernel, "doc_id long, th long, start long, windows int, place int, gram long, b1 long, b2 long")
 
 
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -163,47 +186,42 @@ class LoserTree:
                 node >>= 1
 
 
-def repeated_in_group(lefts: list[bytes], lengths: list[int], shared: list[int], is_open: list[bool], size: int) -> list[list[tuple[int, int]]]:
+def intervals(shared: list[int]) -> Iterator[tuple[int, int, int]]:
+    """The suffix intervals of a group in sorted order: common prefix, first, last; inner ones before outer ones. shared[i]: of i - 1 and i."""
+    stack: list[tuple[int, int]] = []
+    for i in range(1, len(shared) + 1):
+        n = shared[i] if i < len(shared) else -1
+        begin = i - 1
+        while stack and stack[-1][0] > n:
+            r, begin = stack.pop()
+            yield r, begin, i - 1
+        if n >= 0 and (not stack or stack[-1][0] < n):
+            stack.append((n, begin))
+
+
+def repeated_in_group(lefts: list[bytes], shared: list[int], is_open: list[bool], size: int) -> list[list[tuple[int, int]]]:
     """For each suffix of a group, in sorted order, ranges (from, to) about its anchor that repeat; closed ones get none.
 
-    lefts: bytes left of the anchor; lengths: of the suffixes; shared[i]: common prefix of suffixes i - 1 and i.
+    lefts: bytes left of the anchor; shared[i]: common prefix of suffixes i - 1 and i.
     """
-    g = len(lefts)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(g)]
+    out: list[list[tuple[int, int]]] = [[] for _ in lefts]
     back = [x[::-1] for x in lefts]
-    if g <= PAIRWISE:
-        for i in range(g):
-            right = lengths[i]
-            for j in range(i + 1, g):
-                right = min(right, shared[j])
-                if right + len(back[i]) < size:
-                    break
-                if not (is_open[i] or is_open[j]):
-                    continue
-                left = common_prefix(back[i], back[j])
-                if left + right >= size:
-                    for x in (i, j):
-                        if is_open[x]:
-                            out[x].append((-left, right))
-        return out
-    # Window by window: `o` bytes left of the anchor and size - o right of it, within neighbours that share as much.
-    for o in range(max(map(len, lefts)) + 1):
-        begin = 0
-        while begin < g:
-            end = begin + 1
-            while end < g and shared[end] >= size - o:
-                end += 1
-            if end - begin > 1:
-                seen: dict[bytes, int] = {}
-                for i in range(begin, end):
-                    if len(back[i]) >= o and lengths[i] >= size - o:
-                        j = seen.setdefault(back[i][:o], i)
-                        if j != i:
-                            for x in (i, j):
-                                if is_open[x] and (not out[x] or out[x][-1][0] != -o):
-                                    out[x].append((-o, size - o))
-            begin = end
-    return out
+    rank = [0] * len(back)
+    for place, i in enumerate(sorted(range(len(back)), key=back.__getitem__)):
+        rank[i] = place
+    for r, begin, end in intervals(shared):
+        need = size - r
+        asked = [i for i in range(begin, end + 1) if len(back[i]) >= need]
+        if len(asked) < 2 or not any(is_open[i] for i in asked):
+            continue
+        asked.sort(key=rank.__getitem__)
+        before = -1
+        for k, i in enumerate(asked):
+            after = common_prefix(back[i], back[asked[k + 1]]) if k + 1 < len(asked) else -1
+            if is_open[i] and max(before, after) >= max(need, 0):
+                out[i].append((-max(before, after), r))
+            before = after
+    return [merged(x) for x in out]
 
 
 RUN = "part int, shared array<int>, rest array<binary>, lefts array<binary>, doc_id array<long>, th array<long>, anchor array<long>, is_open array<boolean>"
@@ -212,7 +230,7 @@ _RUN_NAMES = ["part", "shared", "rest", "lefts", "doc_id", "th", "anchor", "is_o
 
 
 def _sorted_runs(size: int, run_bytes: int = 16 << 20):
-    """doc_id, th, text, blocks array<struct<part, start, windows, place, is_open>> to sorted, front-coded runs."""
+    """doc_id, th, text, blocks array<struct<part, key, start, windows, place, is_open>> to sorted, front-coded runs."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -234,7 +252,8 @@ def _sorted_runs(size: int, run_bytes: int = 16 << 20):
                 for x in blocks:
                     start, anchor = x["start"], x["start"] + x["place"]
                     end = start + x["windows"] - 1 + size
-                    held.setdefault(x["part"], []).append((text[anchor:end], text[start:anchor], doc, th, anchor, x["is_open"]))
+                    suffix = x["key"].to_bytes(KEY, "little", signed=True) + text[anchor:end]
+                    held.setdefault(x["part"], []).append((suffix, text[start:anchor], doc, th, anchor, x["is_open"]))
                     weight += end - start + 200
                 if weight > run_bytes:
                     yield from flush()
@@ -246,26 +265,26 @@ def _sorted_runs(size: int, run_bytes: int = 16 << 20):
 
 
 def _merge(size: int):
-    gram = size // 4
+    gram = KEY + size // 4
 
     def kernel(key, table):  # noqa: ANN001, ANN202
         """Merges a partition's runs and gives the repeated ranges of its documents."""
         runs = [(a, b) for a, b in zip(table.column("shared").to_pylist(), table.column("rest").to_pylist(), strict=True)]
         lefts, doc, th, anchor, is_open = (table.column(k).to_pylist() for k in ("lefts", "doc_id", "th", "anchor", "is_open"))
         out: list[tuple[int, int, int, int]] = []
-        group: list[tuple[int, int, int, int]] = []
+        group: list[tuple[int, int, int]] = []
 
         def close() -> None:
-            if len(group) > 1 and any(is_open[r][i] for _, _, r, i in group):
-                found = repeated_in_group([lefts[r][i] for _, _, r, i in group], [n for _, n, _, _ in group], [k for k, _, _, _ in group], [is_open[r][i] for _, _, r, i in group], size)
-                for (_, _, r, i), ranges in zip(group, found, strict=True):
+            if len(group) > 1 and any(is_open[r][i] for _, r, i in group):
+                found = repeated_in_group([lefts[r][i] for _, r, i in group], [k - KEY for k, _, _ in group], [is_open[r][i] for _, r, i in group], size)
+                for (_, r, i), ranges in zip(group, found, strict=True):
                     out.extend((doc[r][i], th[r][i], anchor[r][i] + a, anchor[r][i] + b) for a, b in ranges)
 
-        for shared, suffix, run, place in LoserTree(runs):
+        for shared, _, run, place in LoserTree(runs):
             if shared < gram:
                 close()
                 group = []
-            group.append((shared, len(suffix), run, place))
+            group.append((shared, run, place))
         close()
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "th", "start", "end"), cols, strict=True)})
@@ -273,58 +292,77 @@ def _merge(size: int):
     return kernel
 
 
-def _window_hashes(size: int):
-    """doc_id, th, text, blocks to one row for each window: two hashes of its bytes, and its start."""
+def _halved(size: int):
+    """doc_id, th, text, blocks (with the range lo to hi of bytes left of the anchor) to the blocks of both halves, with keys of the bytes there."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, 2, max_bytes=1 << 20):
-            data, offsets = bytes_of(b.column(2))
-            total, down = prefix_sums(data), powers(len(data) + 1)[1]
-            for i, blocks in enumerate(b.column(3).to_pylist()):
-                start = np.concatenate([np.arange(x["start"], x["start"] + x["windows"]) for x in blocks])
-                at = start + offsets[i]
-                h = (total[at + size] - total[at]) * down[at]
-                n = len(start)
-                yield pa.record_batch([b.column(0).take(pa.array(np.full(n, i))), b.column(1).take(pa.array(np.full(n, i))), pa.array(start), pa.array(mixed(h).view(np.int64))], ["doc_id", "th", "start", "window"])
+        for b in row_slices(batches, 2, max_rows=256):
+            texts, rows = b.column(2).cast(pa.binary()), []
+            for i, (doc, th, blocks) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                text = texts[i].as_py()
+                for x in blocks:
+                    anchor, middle = x["start"] + x["place"], (x["lo"] + x["hi"]) // 2
+                    for lo, hi in ((x["lo"], middle), (middle + 1, x["hi"])):
+                        if lo <= min(hi, x["place"]) and hi > x["place"] - x["windows"]:
+                            rows.append((doc, th, *digest(text[anchor - lo : anchor + size - hi]), lo, hi, x["start"], x["windows"], x["place"], x["is_open"]))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 2, pa.bool_()), strict=True)], ["doc_id", "th", "key", "key2", "lo", "hi", "start", "windows", "place", "is_open"])
 
     return kernel
 
 
+HALVES = "doc_id long, th long, key long, key2 long, lo int, hi int, start long, windows int, place int, is_open boolean"
+
+
 def repeated_ranges(documents: DataFrame, size: int = SIZE, max_group: int = MAX_GROUP) -> DataFrame:
     """doc_id, th, start, end: ranges of bytes that repeat, overlapping ones too. th is xxhash64 of the text."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    docs = documents.select("doc_id", "th", "text")
-    anchors = find_anchors(docs, size)
+    with Tables(spark) as tables:
+        return tables.write(_repeated_ranges(documents.select("doc_id", "th", "text"), size, max_group, tables), "ranges", keep=True)
+
+
+def _repeated_ranges(docs: DataFrame, size: int, max_group: int, tables: Tables) -> DataFrame:
     # What is counted by a key is stored before it is joined by that key: Spark then can split a hot key's rows among tasks.
-    twice = write_table(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
-    anchors = write_table(anchors.join(twice, "gram", "left_semi"), "anchors")
+    twice = tables.write(find_grams(docs, size).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
+    anchors = tables.write(find_anchors(docs, size).join(twice, "gram", "left_semi"), "anchors")
     first = lambda k: F.first(k).alias(k)
-    classes = anchors.groupBy("gram", "block", "windows").agg(F.count("*").alias("n"), first("doc_id"), first("th"), first("start"), first("place"))
-    classes = write_table(classes, "classes")
-    full = classes.filter("n > 1").select("gram", "block", "windows")
-    whole = anchors.join(full, ["gram", "block", "windows"]).select("doc_id", "th", "start", (F.col("start") + F.col("windows") - 1 + size).alias("end"))
-
-    mixed_grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("n_open")).filter("classes > 1 and n_open > 0").select("gram", "classes")
-    mixed_grams = write_table(mixed_grams, "mixed-grams")
-    rivals = write_table(classes.join(mixed_grams, "gram").select("gram", "doc_id", "th", "start", "windows", "place", (F.col("n") == 1).alias("is_open"), "classes"), "rivals")
-    sizes = rivals.agg(F.count("*"), F.coalesce(F.max("classes"), F.lit(0))).first()
-    parts = max(partitions(spark), sizes[0] // SUFFIXES_PER_PART)
-    block = F.struct(F.pmod("gram", F.lit(parts)).cast("int").alias("part"), "start", "windows", "place", "is_open")
-
-    def with_text(rows: DataFrame) -> DataFrame:
-        own = rows.groupBy("doc_id", "th").agg(F.collect_list(block).alias("blocks"))
+    block = ["gram", "b1", "b2", "windows"]
+    classes = anchors.groupBy(*block).agg(F.count("*").alias("n"), first("doc_id"), first("th"), first("start"), first("place"))
+    classes = tables.write(classes, "classes")
+    whole = anchors.join(classes.filter("n > 1").select(*block), block).select("doc_id", "th", "start", (F.col("start") + F.col("windows") - 1 + size).alias("end"))
+
+    mixed_grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("n_open")).filter("classes > 1 and n_open > 0").select("gram")
+    mixed_grams = tables.write(mixed_grams, "mixed-grams")
+    rivals = classes.join(mixed_grams, "gram").select(F.col("gram").alias("key"), F.lit(0).cast("long").alias("key2"), F.lit(0).alias("lo"), F.lit(size - size // 4).alias("hi"), "doc_id", "th", "start", "windows", "place", (F.col("n") == 1).alias("is_open"))
+    group = ["key", "key2", "lo", "hi"]
+
+    def with_text(rows: DataFrame, *made: str) -> DataFrame:
+        own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*made, "start", "windows", "place", "is_open")).alias("blocks"))
         same = docs["doc_id"].eqNullSafe(own["doc_id"]) & (docs["th"] == own["th"])
         return docs.join(own, same).select(docs["doc_id"], docs["th"], "text", "blocks")
 
-    runs = with_text(rivals.filter(F.col("classes") <= max_group)).mapInArrow(_sorted_runs(size), RUN)
-    found = whole.unionByName(runs.groupBy("part").applyInArrow(_merge(size), "doc_id long, th long, start long, end long"))
-    if sizes[1] > max_group:
-        windows = with_text(rivals.filter(F.col("classes") > max_group)).mapInArrow(_window_hashes(size), "doc_id long, th long, start long, window long")
-        windows = write_table(windows, "windows")
-        again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-        found = found.unionByName(windows.join(again, "window", "left_semi").select("doc_id", "th", "start", (F.col("start") + size).alias("end")))
-    return found
+    found, small = whole, None
+    level = 0
+    while True:
+        rivals = tables.write(rivals, f"rivals-{level}")
+        sizes = rivals.groupBy(*group).agg(F.count("*").alias("members"), F.max("is_open").alias("some_open")).filter("members > 1 and some_open").drop("some_open")
+        sizes = tables.write(sizes, f"sizes-{level}")
+        counted = rivals.join(sizes, group)
+        fit = counted.filter(f"members <= {max_group} and lo < hi").drop("members")
+        small = fit if small is None else small.unionByName(fit)
+        one = F.col("start") + F.col("place") - F.col("lo")
+        found = found.unionByName(counted.filter("lo = hi and is_open").select("doc_id", "th", one.alias("start"), (one + size).alias("end")))
+        over = sizes.filter(f"members > {max_group} and lo < hi")
+        if over.isEmpty():
+            break
+        rivals = with_text(rivals.join(over.drop("members"), group), "lo", "hi").mapInArrow(_halved(size), HALVES)
+        level += 1
+    small = tables.write(small, "suffixes")
+    parts = max(partitions(docs.sparkSession), small.count() // SUFFIXES_PER_PART)
+    part = F.pmod(F.xxhash64("key", "key2"), F.lit(parts)).cast("int").alias("part")
+    runs = with_text(small.withColumn("part", part), "part", "key").mapInArrow(_sorted_runs(size), RUN)
+    return found.unionByName(runs.groupBy("part").applyInArrow(_merge(size), "doc_id long, th long, start long, end long"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -63,16 +63,49 @@ def test_loser_tree():
             assert n == op.common_prefix(a, b)
 
 
-def test_groups_alike_by_pairs_and_by_windows(monkeypatch):
+def test_groups_against_pairs():
+    """Ranges by suffix intervals cover what all pairs of suffixes give."""
     rng = random.Random(2)
-    rows = sorted((b"G" * 5 + bytes(rng.choice(b"xy") for _ in range(rng.randrange(0, 6))), bytes(rng.choice(b"xy") for _ in range(rng.randrange(0, 15))), rng.random() < 0.7) for _ in range(60))
-    shared = [0] + [op.common_prefix(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False)]
-    args = ([r[1] for r in rows], [len(r[0]) for r in rows], shared, [r[2] for r in rows], 10)
-    monkeypatch.setattr(op, "PAIRWISE", 1000)
-    pairs = [op.merged(x) for x in op.repeated_in_group(*args)]
-    monkeypatch.setattr(op, "PAIRWISE", 1)
-    assert [op.merged(x) for x in op.repeated_in_group(*args)] == pairs
-    assert any(pairs)
+    for size, letters in ((10, b"xy"), (14, b"xxy"), (9, b"x")):
+        rows = sorted((b"G" * 5 + bytes(rng.choice(letters) for _ in range(rng.randrange(0, 9))), bytes(rng.choice(letters) for _ in range(rng.randrange(0, 15))), rng.random() < 0.7) for _ in range(80))
+        shared = [0] + [op.common_prefix(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False)]
+        want = [[] for _ in rows]
+        for i, (right, left, is_open) in enumerate(rows):
+            for j, (r, x, _) in enumerate(rows):
+                n, m = op.common_prefix(right, r), op.common_prefix(left[::-1], x[::-1])
+                if i != j and is_open and n + m >= size:
+                    want[i].append((-m, n))
+        got = op.repeated_in_group([r[1] for r in rows], shared, [r[2] for r in rows], size)
+        assert got == [op.merged(x) for x in want] and any(got)
+
+
+def test_one_passage_in_many_surroundings(spark, documents):
+    """A gram with more classes than a group may have is parted by the bytes on both sides; nothing is lost, and no group is over the bound."""
+    rng = random.Random(4)
+    passage = noise(rng, 60)
+    rows = []
+    for k in range(300):
+        a, b = rng.randrange(0, 30), rng.randrange(30, 61)
+        rows.append((k, noise(rng, rng.randrange(30, 60), "uvw") + passage[a:b] + noise(rng, rng.randrange(30, 60), "xyz")))
+    for limit in (10, 1):
+        found = op.suffix_dedup(documents(rows), 24, limit)
+        assert sorted(summary(found)) == sorted((d, *x) for (d, _), x in zip(rows, repeats(rows, 24), strict=True))
+
+
+def test_a_very_long_text(spark, documents):
+    rng = random.Random(6)
+    long = noise(rng, 1_500_000, "abcdefgh")
+    rows = [(1, long), (2, "start " + long[700_000:900_000] + " end"), (3, noise(rng, 1000))]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in op.suffix_dedup(documents(rows)).collect()}
+    assert got == {1: [(700_000, 900_000)], 2: [(6, 200_006)], 3: []}
+
+
+def test_blocks_that_polynomial_hashes_confuse(spark, documents):
+    """Two documents of Thue-Morse letters and their complement, alike to a polynomial hash modulo 2**64, have no common strings of this size."""
+    t = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    rows = [(1, "start " + t + " end"), (2, "start " + t.translate({97: "b", 98: "a"}) + " end"), (3, t[:1500] + "x")]
+    found = op.suffix_dedup(documents(rows), 1024)
+    assert sorted(summary(found)) == sorted((d, *x) for (d, _), x in zip(rows, repeats(rows, 1024), strict=True))
 
 
 def test_sliding_least():
