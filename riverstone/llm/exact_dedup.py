@@ -1,16 +1,18 @@
 """Exact dedup by a log-structured merge index.
 
 Texts are normalised (white space deleted) and digested in the JVM. Each task gathers digests in a memtable; a full one is flushed as
-runs, sorted by digest, one for each bucket of digests, each with a Bloom filter. Compaction merges the runs of a bucket two by two,
-the smallest first: keys that the other run's filter lacks are new, the rest are searched for; of equal digests the entry with the most
+runs, sorted by digest, one for each bucket of digests, each with a Bloom filter. Compaction merges the runs of a bucket two by two, the
+smallest first: keys that the larger run's filter lacks are new and not looked up, the rest are; of equal digests the entry with the most
 code points, then the smallest identifier, stays, and counts add up. Hits, the rows of digests that occur twice, are then verified byte
 for byte against the row that stays; rows that differ in spite of an equal digest are grouped by their text.
 
 Defined cases. Null text counts as empty, and all texts of white space only are equal. Rows that repeat a doc_id are rows of their own
-that count in group_size, but one document: kept is the same for all of them; a null doc_id sorts after all others. An empty table gives an empty result. Other columns are ignored.
+that count in group_size, but one document: kept is the same for all of them; a null doc_id sorts after all others. An empty table gives
+an empty result. Other columns are ignored. A text is one value in one row however long it is.
 
-At scale. A hot digest is one entry for each memtable, so no task gets the rows of a group; the joins that bring back keep_id are
-sort-merge joins, whose skewed partitions Spark splits. Only documents that have a copy are compared, and their texts shuffled.
+At scale. The number of buckets grows with the rows, so that a bucket has some `bucket_rows` entries of 56 bytes whatever the table. A
+hot digest is one entry for each memtable, so no task gets the rows of a group; the joins that bring back keep_id are sort-merge joins,
+whose skewed partitions Spark splits. Only documents that have a copy are compared, and their texts shuffled.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bounded_batches, partitions, read_table, write_table
+from riverstone.llm.common import Tables, bounded_batches, partitions, read_table
 
 WHITE = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1
+BUCKET_ROWS = 250_000
 ENTRY = np.dtype([("digest", "S32"), ("keep", "<i8"), ("chars", "<i8"), ("count", "<i8")])
 
 
@@ -34,18 +37,23 @@ def normalised(text: Column) -> Column:
 
 
 class Bloom:
-    """A filter of a run: `hashes` bits of each digest, in a power of two of bits, at least 10 a key."""
+    """A filter of a run: `hashes` bits of each digest, in a power of two of bits, at least 10 a key; kept as bytes beside the run."""
 
-    def __init__(self, digests: np.ndarray, hashes: int = 4):
-        self.hashes = hashes
-        self.bits = 1 << max(10, int(np.ceil(np.log2(max(1, len(digests)) * 10))))
-        self.words = np.zeros(self.bits // 8, np.uint8)
-        at = self._at(digests).ravel()
-        np.bitwise_or.at(self.words, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    HASHES = 4
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, 8 * len(words)
+
+    @classmethod
+    def of(cls, digests: np.ndarray) -> Bloom:
+        made = cls(np.zeros(1 << max(7, int(np.ceil(np.log2(max(1, len(digests)) * 10 / 8)))), np.uint8))
+        at = made._at(digests).ravel()
+        np.bitwise_or.at(made.words, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return made
 
     def _at(self, digests: np.ndarray) -> np.ndarray:
         words = np.ascontiguousarray(digests).view("<u4").reshape(len(digests), 8)
-        return (words[:, : self.hashes] & np.uint32(self.bits - 1)).astype(np.int64)
+        return (words[:, : self.HASHES] & np.uint32(self.bits - 1)).astype(np.int64)
 
     def may_have(self, digests: np.ndarray) -> np.ndarray:
         at = self._at(digests)
@@ -64,29 +72,31 @@ def folded(entries: np.ndarray) -> np.ndarray:
     return out
 
 
-def merged(a: np.ndarray, b: np.ndarray, filter_a: Bloom) -> np.ndarray:
-    """Two sorted runs as one. Keys of b that a's filter lacks are put in; the others are searched for in a."""
-    maybe = filter_a.may_have(b["digest"])
-    place = np.searchsorted(a["digest"], b["digest"])
-    there = np.zeros(len(b), bool)
-    found = np.flatnonzero(maybe & (place < len(a)))
-    there[found] = a["digest"][place[found]] == b["digest"][found]
+def merged(a: np.ndarray, b: np.ndarray, filter_a: Bloom) -> tuple[np.ndarray, int]:
+    """Two sorted runs as one, and how many keys of b were looked up in a: those that a's filter may have."""
+    asked = np.flatnonzero(filter_a.may_have(b["digest"]))
+    place = np.minimum(np.searchsorted(a["digest"], b["digest"][asked]), len(a) - 1)
+    hit = a["digest"][place] == b["digest"][asked]
+    at, same = place[hit], b[asked[hit]]
     a = a.copy()
-    at, same = place[there], b[there]
     better = (same["chars"] > a["chars"][at]) | ((same["chars"] == a["chars"][at]) & (same["keep"] < a["keep"][at]))
     a["count"][at] += same["count"]
     for k in ("keep", "chars"):
         a[k][at[better]] = same[k][better]
-    return np.insert(a, place[~there], b[~there])
+    both = np.concatenate([a, np.delete(b, asked[hit])])
+    return both[np.argsort(both["digest"], kind="stable")], len(asked)  # two sorted stretches, which a stable sort merges
 
 
-def compacted(runs: list[np.ndarray]) -> np.ndarray:
-    """All runs of a bucket as one, the two smallest first."""
-    runs = sorted((r for r in runs if len(r)), key=len)
-    while len(runs) > 1:
-        b, a = runs[0], runs[1]
-        runs = sorted([merged(a, b, Bloom(a["digest"])), *runs[2:]], key=len)
-    return runs[0] if runs else np.zeros(0, ENTRY)
+def compacted(runs: list[tuple[np.ndarray, Bloom]]) -> tuple[np.ndarray, int, int]:
+    """All runs of a bucket as one, the two smallest first; keys that were looked up, and keys that filters spared a look."""
+    left = sorted((r for r in runs if len(r[0])), key=lambda r: len(r[0]))
+    looked = spared = 0
+    while len(left) > 1:
+        (b, _), (a, filter_a) = left[:2]
+        both, n = merged(a, b, filter_a)
+        looked, spared = looked + n, spared + len(b) - n
+        left = sorted([(both, Bloom.of(both["digest"])), *left[2:]], key=lambda r: len(r[0]))
+    return left[0][0] if left else np.zeros(0, ENTRY), looked, spared
 
 
 def _flush(n_buckets: int, memtable_rows: int):
@@ -100,8 +110,9 @@ def _flush(n_buckets: int, memtable_rows: int):
             order = np.argsort(heads, kind="stable")
             run, heads = run[order], heads[order]
             cut = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]])
-            blobs = [run[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(run)], strict=True)]
-            yield pa.record_batch([pa.array(heads[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "run"])
+            runs = [run[i:j] for i, j in zip(cut, [*cut[1:], len(run)], strict=True)]
+            filters = [Bloom.of(r["digest"]).words.tobytes() for r in runs]
+            yield pa.record_batch([pa.array(heads[cut].astype(np.int32)), pa.array([r.tobytes() for r in runs], pa.binary()), pa.array(filters, pa.binary())], ["bucket", "run", "filter"])
 
         for batch in batches:
             n = batch.num_rows
@@ -125,15 +136,20 @@ def _flush(n_buckets: int, memtable_rows: int):
 
 def _compact(key, table):  # noqa: ANN001, ANN201
     """A bucket's runs, merged; one row for each digest."""
-    run = compacted([np.frombuffer(x, ENTRY) for x in table.column("run").to_pylist()])
-    digests = np.ascontiguousarray(run["digest"]).view("V32").tolist() if len(run) else []
-    return pa.table({"digest": pa.array([bytes(d) for d in digests], pa.binary()), "keep_id": pa.array(run["keep"].copy()), "keep_chars": pa.array(run["chars"].copy()), "copies": pa.array(run["count"].copy())})
+    runs, filters = table.column("run").to_pylist(), table.column("filter").to_pylist()
+    run, _, _ = compacted([(np.frombuffer(r, ENTRY), Bloom(np.frombuffer(f, np.uint8))) for r, f in zip(runs, filters, strict=True)])
+    digests = pa.Array.from_buffers(pa.binary(32), len(run), [None, pa.py_buffer(np.ascontiguousarray(run["digest"]).tobytes())]).cast(pa.binary())
+    return pa.table({"digest": digests, "keep_id": pa.array(run["keep"].copy()), "keep_chars": pa.array(run["chars"].copy()), "copies": pa.array(run["count"].copy())})
+
+
+def flush_runs(digests: DataFrame, n_buckets: int, memtable_rows: int = 1_000_000) -> DataFrame:
+    """digests (digest binary of 32 bytes, doc_id, chars) to flushed runs: bucket, run, filter."""
+    return digests.select("digest", "doc_id", "chars").mapInArrow(_flush(n_buckets, memtable_rows), "bucket int, run binary, filter binary")
 
 
 def build_index(digests: DataFrame, n_buckets: int, memtable_rows: int = 1_000_000) -> DataFrame:
-    """digests (digest binary of 32 bytes, doc_id, chars) to the compacted index: digest, keep_id, keep_chars, copies."""
-    runs = digests.select("digest", "doc_id", "chars").mapInArrow(_flush(n_buckets, memtable_rows), "bucket int, run binary")
-    return runs.groupBy("bucket").applyInArrow(_compact, "digest binary, keep_id long, keep_chars long, copies long")
+    """The compacted index of all runs: digest, keep_id, keep_chars, copies."""
+    return flush_runs(digests, n_buckets, memtable_rows).groupBy("bucket").applyInArrow(_compact, "digest binary, keep_id long, keep_chars long, copies long")
 
 
 def merge_indexes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -143,7 +159,7 @@ def merge_indexes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("digest", (-F.col("b.low")).alias("keep_id"), F.col("b.keep_chars").alias("keep_chars"), "copies")
 
 
-def exact_dedup(documents: DataFrame, memtable_rows: int = 1_000_000, digest_bytes: int = 32) -> DataFrame:
+def exact_dedup(documents: DataFrame, memtable_rows: int = 1_000_000, digest_bytes: int = 32, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     digest_bytes: how much of the SHA-256 the index uses, the rest is 0; fewer make byte verification do the work (tests).
@@ -156,18 +172,19 @@ def exact_dedup(documents: DataFrame, memtable_rows: int = 1_000_000, digest_byt
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     docs = documents.select(own_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = F.char_length("text").cast("long")
-    digested = write_table(docs.select("doc_id", chars.alias("chars"), sha.alias("text_sha256"), digest.alias("digest")), "digests")
-    index = build_index(digested, max(8, partitions(spark)), memtable_rows)
-    twice = write_table(index.filter("copies > 1").select("digest", "keep_id", "copies"), "copies")
-    placed = digested.join(twice, "digest", "left")
-    # Byte verification: the text of each hit against the text of the row that stays.
-    hit = digested.join(twice, "digest").select("doc_id", "chars", "keep_id", "digest").distinct()
-    # Stored before they are digested again: else Spark would make the digest a key of this join, and digest all texts for it.
-    texts = write_table(docs.withColumn("chars", chars).join(hit, ["doc_id", "chars"]).withColumnRenamed("digest", "hit_digest"), "hits")
-    hits = texts.select("doc_id", "keep_id", "chars", norm.alias("norm"), sha.alias("text_sha256"), digest.alias("digest"), "hit_digest").filter("digest = hit_digest").drop("hit_digest")
-    kept = write_table(hits.filter("doc_id = keep_id").select("digest", F.col("norm").alias("keep_norm")).dropDuplicates(["digest"]), "kept")
-    differs = hits.join(kept, "digest").filter(F.col("norm") != F.col("keep_norm")).select("doc_id", "chars", "norm", "text_sha256", "digest")
-    differs = write_table(differs, "differs")
+    with Tables(spark) as tables:
+        digested = tables.write(docs.select("doc_id", chars.alias("chars"), sha.alias("text_sha256"), digest.alias("digest")), "digests", keep=True)
+        index = build_index(digested, max(8, partitions(spark), digested.count() // bucket_rows), memtable_rows)
+        twice = tables.write(index.filter("copies > 1").select("digest", "keep_id", "copies"), "copies", keep=True)
+        placed = digested.join(twice, "digest", "left")
+        # Byte verification: the text of each hit against the text of the row that stays.
+        hit = digested.join(twice, "digest").select("doc_id", "chars", "keep_id", "digest").distinct()
+        # Stored before they are digested again: else Spark would make the digest a key of this join, and digest all texts for it.
+        texts = tables.write(docs.withColumn("chars", chars).join(hit, ["doc_id", "chars"]).withColumnRenamed("digest", "hit_digest"), "hits")
+        hits = texts.select("doc_id", "keep_id", "chars", norm.alias("norm"), sha.alias("text_sha256"), digest.alias("digest"), "hit_digest").filter("digest = hit_digest").drop("hit_digest")
+        kept = tables.write(hits.filter("doc_id = keep_id").select("digest", F.col("norm").alias("keep_norm")).dropDuplicates(["digest"]), "kept")
+        differs = hits.join(kept, "digest").filter(F.col("norm") != F.col("keep_norm")).select("doc_id", "chars", "norm", "text_sha256", "digest")
+        differs = tables.write(differs, "differs", keep=True)
     out = _resolved(placed, differs)
     real = lambda k: F.when(F.col(k) != LAST_ID, F.col(k)).alias(k)
     return out.select(real("doc_id"), real("keep_id"), "group_size", "kept", "text_sha256")
