@@ -47,6 +47,11 @@ def drop_written(spark: SparkSession) -> int:
     return sum(drop_path(spark, path) for path in list(_WRITTEN))
 
 
+def written() -> set[str]:
+    """Paths of what was written and not deleted."""
+    return set(_WRITTEN)
+
+
 class Tables:
     """Tables written in the shared folder: cuts the lineage, and what is used twice is computed once.
 

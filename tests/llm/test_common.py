@@ -19,3 +19,13 @@ def test_slices_are_bounded_and_whole():
 def test_written_tables_go(spark):
     common.write_table(spark.range(3), "gone")
     assert common.drop_written(spark) > 0 and common.drop_written(spark) == 0
+
+
+def test_tables_that_arent_kept_are_deleted(spark):
+    before = common.written()
+    with common.Tables(spark) as tables:
+        tables.write(spark.range(3), "a")
+        again = tables.write(spark.range(4), "a")
+        kept = tables.write(again, "b", keep=True)
+        assert len(common.written() - before) == 2 and again.count() == 4
+    assert len(common.written() - before) == 1 and kept.count() == 4
