@@ -1,20 +1,25 @@
 """Language ID by nearest centroid: normalised TF-IDF vectors of byte n-grams against several clustered centroids for each language.
 
 Document frequencies come from all documents that may be learned from; centroids are clustered (spherical k-means) from at most
-`per_language` documents of each language, chosen by a hash, on one task for each language. A text is rejected if it has no letter or if
-its cosine with the nearest centroid is under that language's floor: `floor_share` of a low quantile (5 %) of the cosines of the sampled
-documents, so that a few odd ones among them don't pull it to 0. Short texts of a learned language have low cosines (0.2 is common with
-five words), so long texts of an unlearned language that is close to a learned one still pass.
+`per_language` documents of each language, chosen by a hash, on one task for each language; of more than `max_languages` languages, those
+with the most documents are learned. Of equally near centroids, the first of the first language in alphabetical order counts.
+
+Rejection. A text is rejected if it has no letter or if its cosine with the nearest centroid is under that language's floor. Cosines grow
+with the number of different n-grams of a text, so floors do too: sampled documents and pieces cut from them, of 8 to 4,096 bytes, are held
+against the centroids of the half of the sample that they aren't in, and the floor at some number of n-grams is `floor_share` of the lowest
+`floor_quantile` of the cosines there. Repetitive texts have few different n-grams and are judged as the short texts that they amount to.
 
 Defined cases. Null and letterless texts are `und` with score 0, and rejected. Texts in an unknown script are given the nearest language,
 with a score near 0, and rejected. Documents with a null lang are never learned from; nor are those with a null doc_id, which are held
-out. With nothing to learn from, every text is `und`. Rows that repeat a doc_id are judged row by row. Other columns are ignored.
+out. With nothing to learn from, every text is `und`. Where there are too few documents to measure a floor, it is that of fewer n-grams,
+at least `LEAST_FLOOR`. Rows that repeat a doc_id are judged row by row. Other columns are ignored. Long texts are counted piece by piece.
 
-At scale. Two passes over the text and no shuffle of it; centroids (languages x 3 x 4096 floats) are broadcast.
+At scale. Three passes over the text and no shuffle of it; centroids (at most max_languages x 3 x 4096 floats) are broadcast.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riverstone.llm.common import bounded_batches, bytes_of, read_table, row_slices
+from riverstone.llm.common import Tables, bounded_batches, bytes_of, read_table, row_slices
 from riverstone.llm.features import add_ngrams, document_frequencies, hash_share, inverse_frequencies, normalised_rows, tf_idf
 
 DIMS_LOG2 = 12
@@ -30,8 +35,14 @@ DIMS = 1 << DIMS_LOG2
 SIZES = (2, 3, 4)
 PER_LANGUAGE = 400
 CENTROIDS = 3
-FLOOR_SHARE = 0.25
-FLOOR_QUANTILE = 0.05
+FLOOR_SHARE = 0.65
+FLOOR_QUANTILE = 0.01
+LEAST_FLOOR = 0.05
+#: Cosines that a floor is measured from at least.
+MEASURED = 20
+MAX_LANGUAGES = 512
+#: Steps of the number of different n-grams, two for each power of two.
+STEPS = 2 * DIMS_LOG2 + 1
 UNKNOWN = "und"
 
 
@@ -63,8 +74,26 @@ def spherical_k_means(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     return c
 
 
+def step_of(counts: np.ndarray) -> np.ndarray:
+    """Which step of the floors each row of counts is judged by."""
+    return (2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(int)
+
+
+def cut_pieces(text: str) -> list[str]:
+    """The text of letters() and whole words cut out of it at places that depend on the text, for a range of lengths."""
+    raw = text.encode()
+    rng = np.random.default_rng(zlib.crc32(raw))
+    out = [text]
+    for k in range(3, DIMS_LOG2 + 1):
+        if len(raw) > 1 << k:
+            at = int(rng.integers(0, len(raw) - (1 << k)))
+            piece = b" ".join(raw[at : at + (1 << k)].split(b" ")[1:-1]).decode()
+            out += [f" {piece} "] if piece else []
+    return out
+
+
 class Model:
-    """idf, centroids (rows), and for each centroid its language and floor."""
+    """idf, centroids (rows), and for each centroid its language and floors (one for each step)."""
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, languages: list[str], floors: np.ndarray):
         self.idf, self.centroids, self.languages, self.floors = idf, centroids, languages, floors
@@ -75,48 +104,76 @@ class Model:
         empty = np.diff(offsets) == 0
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-        cosine = tf_idf(count_ngrams(data, offsets), self.idf) @ self.centroids.T
+        counts = count_ngrams(data, offsets)
+        cosine = tf_idf(counts, self.idf) @ self.centroids.T
         near = cosine.argmax(axis=1)
         score = np.where(empty, 0, np.clip(cosine[np.arange(n), near], 0, 1)).astype(np.float64)
-        return [UNKNOWN if e else self.languages[c] for e, c in zip(empty, near, strict=True)], score, empty | (score < self.floors[near])
+        return [UNKNOWN if e else self.languages[c] for e, c in zip(empty, near, strict=True)], score, empty | (score < self.floors[near, step_of(counts)])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(documents: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, floor_share: float = FLOOR_SHARE) -> Model:
+def train(documents: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, floor_share: float = FLOOR_SHARE, floor_quantile: float = FLOOR_QUANTILE, max_languages: int = MAX_LANGUAGES) -> Model:
     """documents: doc_id, text, lang. Rows that held_out() names and rows without lang or letters are left out."""
-    bounded_batches(documents.sparkSession)
-    known = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", letters(F.col("text")).alias("letters")).filter("letters != ''")
-    n, df = document_frequencies(known.select("letters"), count_ngrams, DIMS)
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    own = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    known = own.select(letters(F.col("text")).alias("letters")).filter("letters != ''")
+    n, df = document_frequencies(known, count_ngrams, DIMS)
     idf = inverse_frequencies(n, df)
 
     # Of each language, the rows with the least hashes; only those under a bound that about twice as many are under are ranked.
-    rows = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", hash_share("doc_id").alias("share"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = own.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", hash_share("doc_id").alias("share"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(2 * per_language / c + 20 / c)) for k, c in counts.items()], F.lit(0.0))
     by_hash = Window.partitionBy("lang").orderBy("share", "doc_id")
-    chosen = rows.filter(F.col("share") < bound).withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language).select("doc_id").distinct()
+    chosen = rows.filter(F.col("share") < bound).withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language).select("doc_id", "lang").distinct()
     # At most per_language ids of each language go to all tasks.
-    sample = documents.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi").filter("lang is not null").select("lang", letters(F.col("text")).alias("letters"))
+    sample = own.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", letters(F.col("text")).alias("letters"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 1, max_bytes=1 << 20, max_rows=256):
             x = tf_idf(count_ngrams(*bytes_of(b.column(1))), idf).astype(np.float32)
-            yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "vector"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "fold", "vector"])
 
     def cluster(key, table):  # noqa: ANN001, ANN202
-        """A language's centroids, from its sampled vectors."""
+        """A language's centroids: of all sampled vectors, and of each half of them if there are enough."""
         x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(-1, DIMS)
-        c = spherical_k_means(x, centroids)
-        floor = floor_share * float(np.quantile((x @ c.T).max(axis=1), FLOOR_QUANTILE))
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(c)), "floor": pa.array([floor] * len(c), pa.float64()), "centroid": pa.array([r.astype(np.float32).tobytes() for r in c], pa.binary())})
-
-    made = sample.mapInArrow(vectors, "lang string, vector binary").groupBy("lang").applyInArrow(cluster, "lang string, floor double, centroid binary")
-    rows = sorted(made.collect())  # `centroids` rows for each language
-    table = np.frombuffer(b"".join(bytes(r.centroid) for r in rows), np.float32).reshape(-1, DIMS)
-    return Model(idf, table, [r.lang for r in rows], np.array([r.floor for r in rows]))
+        fold = table.column("fold").to_numpy()
+        sets = {-1: np.ones(len(x), bool)} | ({k: fold == k for k in (0, 1)} if min((fold == 0).sum(), (fold == 1).sum()) >= MEASURED // 2 else {})
+        made = [(k, c.astype(np.float32).tobytes()) for k, rows in sets.items() for c in spherical_k_means(x[rows], centroids)]
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(made)), "part": pa.array([k for k, _ in made], pa.int32()), "centroid": pa.array([c for _, c in made], pa.binary())})
+
+    with Tables(spark) as tables:
+        sample = tables.write(sample.withColumn("fold", F.pmod(F.xxhash64("letters"), F.lit(2)).cast("int")), "sample")
+        made = sorted(sample.mapInArrow(vectors, "lang string, fold int, vector binary").groupBy("lang").applyInArrow(cluster, "lang string, part int, centroid binary").collect())  # 3 x `centroids` rows for each language
+        of = lambda lang, part: np.frombuffer(b"".join(bytes(r.centroid) for r in made if (r.lang, r.part) == (lang, part)), np.float32).reshape(-1, DIMS)
+        languages = sorted({r.lang for r in made})
+        halves = {(lang, part): of(lang, part) for lang in languages for part in (0, 1)}
+
+        def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lang, text, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    other = halves[lang, 1 - fold]
+                    if len(other):
+                        raw = [p.encode() for p in cut_pieces(text)]
+                        x = count_ngrams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+                        best = (tf_idf(x, idf) @ other.T).max(axis=1).astype(float)
+                        yield pa.record_batch([pa.array([lang] * len(raw)), pa.array(step_of(x), pa.int32()), pa.array(best)], ["lang", "step", "cosine"])
+
+        seen = sample.mapInArrow(cosines, "lang string, step int, cosine double").groupBy("lang", "step").agg(F.count("*").alias("n"), F.percentile("cosine", F.lit(floor_quantile)).alias("low"))
+        low = {(r.lang, r.step): r.low for r in seen.filter(F.col("n") >= MEASURED).collect()}  # at most STEPS rows for each language
+    floors: dict[str, list[float]] = {}
+    for lang in languages:
+        last, floors[lang] = LEAST_FLOOR, []
+        for step in range(STEPS):
+            last = max(LEAST_FLOOR, floor_share * low.get((lang, step), last / floor_share))
+            floors[lang].append(last)
+    whole = [(lang, c) for lang in languages for c in of(lang, -1)]
+    table = np.stack([c for _, c in whole]) if whole else np.zeros((0, DIMS), np.float32)
+    return Model(idf, table, [lang for lang, _ in whole], np.array([floors[lang] for lang, _ in whole]))
 
 
 def identify(documents: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:

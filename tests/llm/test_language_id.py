@@ -1,5 +1,9 @@
+import math
 import zlib
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riverstone.llm import language_id as op
@@ -14,7 +18,7 @@ def test_held_out_accuracy(spark, sf):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.98
-    assert sum(r.rejected for r in rows) == 0
+    assert sum(r.rejected for r in rows) / len(rows) < 0.01
 
 
 def test_cases(spark, documents):
@@ -34,8 +38,6 @@ def test_cases(spark, documents):
 
 
 def test_long_texts_count_alike():
-    import numpy as np
-
     from riverstone.llm import features
 
     raw = np.frombuffer(b"abcd efgh " * 300_000, np.uint8)
@@ -49,7 +51,46 @@ def test_unlearned_languages_are_rejected(spark, sf, documents):
     learned = read_table(spark, sf.replace("0.001", "0.01"), "documents")
     junk = documents([(k, w, lang) for k, (w, lang) in enumerate([("q", "de"), ("zzz", "en"), ("xx", "es"), ("kkk", "fr")] * 3, 10**9)])
     model = op.train(learned.unionByName(junk.select(*learned.columns)))
-    gone = ["ngày hôm nay trời đẹp nên chúng tôi đi dạo", "kwa sababu leo ni siku nzuri tutakwenda sokoni kununua matunda na mboga", "xkqz vbnt wrtp zzkq plmk jhgf qwrt bvcx mnbz kjhg trwq pxzv"]
+    gone = ["ngày hôm nay trời đẹp nên chúng tôi đi dạo", "kwa sababu leo ni siku nzuri tutakwenda sokoni kununua matunda na mboga", "xkqz vbnt wrtp zzkq plmk jhgf qwrt bvcx mnbz kjhg trwq pxzv", "tänään on kaunis päivä ja menemme yhdessä torille ostamaan tuoreita hedelmiä ja vihanneksia", "function add(a, b) { const total = a + b; return total; } let x = add(1, 2); console.log(x);"]
     stay = ["the dog and the cat", "der hund und die katze waren nicht auf dem haus", "le chat et le chien sont dans la maison avec les enfants", "el perro y el gato no estaban en la casa de los padres"]
     found = op.identify(documents(list(enumerate(gone + stay))), model).orderBy("doc_id").collect()
     assert [r.lang_rejected for r in found] == [True] * len(gone) + [False] * len(stay)
+
+
+@pytest.mark.parametrize("left_out", ["de", "es", "fr"])
+def test_a_language_left_out_of_training_is_rejected(spark, sf, left_out):
+    docs = read_table(spark, sf.replace("0.001", "0.01"), "documents")
+    model = op.train(docs.filter(F.col("lang") != left_out))
+    rows = op.identify(docs.select("doc_id", "lang", "text"), model, keep_text=False).collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    gone = [r.lang_rejected for r in rows if r.lang == left_out]
+    assert sum(gone) / len(gone) > 0.9
+    assert sum(r.lang_rejected for r in held if r.lang != left_out) / len(held) < 0.02
+
+
+def test_every_prediction_is_the_nearest_centroid(spark, sf):
+    """The query's rows against cosines that are taken one by one from the model's own numbers, with n-grams counted in a dictionary."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = op.train(docs)
+    slots = {}
+
+    def slot(gram):
+        if gram not in slots:
+            one = np.zeros((1, op.DIMS), np.float32)
+            op.add_ngrams(one, np.frombuffer(gram, np.uint8), np.array([0, len(gram)]), (len(gram),), op.DIMS_LOG2)
+            slots[gram] = int(one[0].argmax())
+        return slots[gram]
+
+    rows = {r.doc_id: r for r in op.query(spark, sf).collect()}
+    assert len(rows) == docs.count()
+    for r in docs.select("doc_id", op.letters(F.col("text")).alias("letters")).orderBy("doc_id").limit(60).collect():
+        raw, count = r.letters.encode(), Counter()
+        for n in op.SIZES:
+            count.update(slot(raw[i : i + n]) for i in range(len(raw) - n + 1))
+        own = {s: math.log1p(c) * float(model.idf[s]) for s, c in count.items()}
+        length = math.sqrt(sum(x * x for x in own.values()))
+        cosines = [sum(x * float(c[s]) for s, x in own.items()) / length if length else 0.0 for c in model.centroids]
+        best = max(cosines)
+        assert abs(rows[r.doc_id].score - (min(1, max(0, best)) if raw else 0)) < 1e-4
+        near = {model.languages[k] for k, x in enumerate(cosines) if x > best - 1e-5}
+        assert rows[r.doc_id].lang_pred in (near if raw else {"und"})

@@ -1,7 +1,9 @@
 import re
 
 import corpus_pipeline
+import pytest
 from brute import leaks, near, pieces
+from pyspark.sql import functions as F
 
 from riverstone.llm.common import read_table
 
@@ -28,17 +30,66 @@ def test_against_a_plain_version(spark, sf):
     assert 0 < len({w[0] for w in want}) < len(docs)
 
 
-def test_stages_on_odd_rows(spark, documents):
-    rows = [(1, "the cat sat here on the mat today again"), (1, "the cat sat here on the mat today again"), (2, "the  cat sat here on the mat today again"), (3, None), (4, ""), (None, "the mat that the cat sat on here is today a mat"), (5, "the cat sat here on the mat today once")]
-    docs = documents(rows)
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        docs = stage(spark, docs, "")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert sorted(r.doc_id or -1 for r in docs.collect()) == [-1, 2, 5]
-    empty = documents([])
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        empty = stage(spark, empty, "")
-    assert empty.count() == 0
+CLASHES = ("own_id", "text_sha256", "own_sha", "own_row", "spans", "n_words", "item_ids", "lang_letters", "lang_pred", "lang_rejected", "h1", "h2", "own_h1", "id", "bucket", "digest", "kept", "column_2", "piece", "length")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("bench"))
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def stage_of(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+#: Stage to the documents of ROWS that it keeps; the other stages' reasons to drop don't count.
+KEPT = {
+    "language_id": [1, 1, 2, None, 5, 6, 7],
+    "exact_dedup": [2, 3, None, 5, 6, 7],
+    "near_dedup": [1, 1, 3, 4, None, 6, 7],
+    "decontamination": [1, 1, 2, 3, 4, None, 5, 7],
+}
+ROWS = [
+    (1, "the cat sat here on the mat today again"),
+    (1, "the cat sat here on the mat today again"),
+    (2, "the  cat sat here on the mat today again"),
+    (3, None),
+    (4, ""),
+    (None, "the mat that the cat sat on here is today a mat"),
+    (5, "the cat sat here on the mat today again now"),
+    (6, "so one two three four five six seven eight nine ten and on"),
+    (7, "a very long text " * 20_000),
+]
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_each_stage_on_odd_rows_and_columns(spark, documents, benchmark, name):
+    """Nulls, empty and very long texts, repeated rows, and other columns of every name that the stages use: rows stay as they are or go."""
+    docs = documents(ROWS)
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES))
+    left = stage_of(name)(spark, docs, benchmark)
+    assert left.columns == docs.columns
+    rows = left.collect()
+    want = [2, 3, None, 5, 6, 7] if name == "exact_dedup" else KEPT[name]
+    assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, want))
+    assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+    texts = {(d, t) for d, t in ROWS}
+    assert all((r.doc_id, r.text) in texts and r.lang == "en" and r.source == "s" for r in rows)
+
+
+@pytest.mark.parametrize("name", [*KEPT, "packing"])
+def test_each_stage_on_an_empty_table(spark, documents, benchmark, name):
+    assert stage_of(name)(spark, documents([]), benchmark).count() == 0
+
+
+def test_packing_of_odd_rows(spark, documents, benchmark):
+    docs = documents(ROWS)
+    docs = docs.select("*", *(F.lit(1).alias(c) for c in CLASHES))
+    rows = stage_of("packing")(spark, docs, benchmark).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    assert sorted(str(r.doc_id) for r in rows if r.piece == 0) == sorted(str(d) for d, _ in ROWS)
 
 
 def test_near_copies_without_an_id(spark, documents):
