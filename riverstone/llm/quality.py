@@ -1,13 +1,15 @@
 """Quality by nearest-neighbour voting: every document against all labelled latent-semantic vectors.
 
-A text is counted as hashed n-grams of its shape (runs of small letters, capitals, digits, and each other sign) and as a few measures of
-repetition (how few of its words and lines are distinct, how common its commonest word is), in steps. TF-IDF, with document frequencies
-over all documents, and a truncated SVD fitted on the labelled sample give latent vectors. Each document's cosines with all labelled
-vectors are computed exactly, block by block; its `k` nearest vote with weight max(0, cosine) ** `power`.
+A text is counted in two blocks: its words (hashed, in lower case), and hashed n-grams of its shape (runs of small letters, capitals,
+digits, and each other sign) with a few measures of repetition (how few of its words and lines are distinct, how common its commonest word
+is), in steps. TF-IDF of each block, with document frequencies over all documents, and a truncated SVD of both fitted on the labelled
+sample give latent vectors. Each document's cosines with all labelled vectors are computed exactly, block by block; its `k` nearest vote
+with weight max(0, cosine) ** `power`. Of equally near ones at the edge of the k, which vote isn't defined, but is the same in each run.
 
 Labels are learned from at most `sample` rows, chosen by a hash. Defined cases. Null counts as empty; empty texts get the score of their
 (zero) vector: the share of label 1 in the sample. Labels that are null, or whose document is missing, are not learned from; rows with a
-null doc_id are held out. Without labels every score is 1. Rows that repeat a doc_id are judged row by row. Other columns are ignored.
+null doc_id are held out. Without labels every score is 0.5. Rows that repeat a doc_id are judged row by row. Other columns are ignored.
+Texts are counted whole: the memory of a task grows with its longest text, to about a hundred times its bytes.
 
 At scale. Two passes over the text and no shuffle of it; the labelled vectors (sample x 64 floats) and the projection are broadcast.
 """
@@ -28,13 +30,17 @@ from riverstone.llm.hashing import segment_hashes
 DIMS_LOG2 = 10
 STEPS = 8
 MEASURES = 4
-DIMS = (1 << DIMS_LOG2) + STEPS * MEASURES
+SHAPE_DIMS = (1 << DIMS_LOG2) + STEPS * MEASURES
+WORDS_LOG2 = 12
+DIMS = SHAPE_DIMS + (1 << WORDS_LOG2)
 RANK = 64
 SAMPLE = 4000
 NEIGHBOURS = 35
 POWER = 2
 ACCEPT = 0.7
 _SHAPE = np.array([97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_NO_LETTER = np.array([not (97 <= b <= 122 or b >= 128) for b in range(256)])
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _STOP = np.zeros(256, bool)
@@ -54,26 +60,27 @@ def _collapsed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return shape[new], np.r_[0, np.cumsum(new)][offsets]
 
 
+def _runs(separator: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that no separator and no end of a text interrupts, and the text of each."""
+    starts, ends = ~separator, ~separator
+    starts[1:] &= separator[:-1]
+    ends[:-1] &= separator[1:]
+    first, last = offsets[:-1][offsets[:-1] < len(separator)], offsets[1:][offsets[1:] > 0] - 1
+    starts[first], ends[last] = ~separator[first], ~separator[last]
+    a = np.flatnonzero(starts)
+    return a, np.flatnonzero(ends) + 1, np.searchsorted(offsets, a, side="right") - 1
+
+
 def _repetition(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each text's measures, 0 to 1: distinct words, distinct lines or sentences, share of the commonest word, length."""
     n = len(offsets) - 1
     out = np.zeros((n, MEASURES))
     out[:, 3] = np.minimum(1, np.log2(1 + np.diff(offsets)) / 20)
     for col, separator in ((0, _BLANK), (1, _STOP)):
-        inside = ~separator[data]
-        starts = inside.copy()
-        starts[1:] &= ~inside[:-1]
-        first = offsets[:-1][offsets[:-1] < len(data)]
-        starts[first] = inside[first]
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        last = offsets[1:][offsets[1:] > 0] - 1
-        ends[last] = inside[last]
-        a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        a, b, doc = _runs(separator[data], offsets)
         if not len(a):
             continue
         key = segment_hashes(data, a, b)
-        doc = np.searchsorted(offsets, a, side="right") - 1
         order = np.lexsort((key, doc))
         key, doc = key[order], doc[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
@@ -89,34 +96,57 @@ def _repetition(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def count_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of both blocks, in shares of a hundred, so that long and short texts of one kind are alike."""
     n = len(offsets) - 1
     out = np.zeros((n, DIMS), np.float32)
     grams = np.zeros((n, 1 << DIMS_LOG2), np.float32)
     shape, at = _collapsed(data, offsets)
     add_ngrams(grams, shape, at, (1, 2, 3, 4), DIMS_LOG2)
-    # In shares of a hundred, so that long and short texts of one kind are alike.
     out[:, : 1 << DIMS_LOG2] = 100 * grams / np.maximum(grams.sum(axis=1, keepdims=True), 1)
     step = np.minimum((_repetition(data, offsets) * STEPS).astype(int), STEPS - 1)
     full = np.flatnonzero(np.diff(offsets))
     for m in range(MEASURES):
         out[full, (1 << DIMS_LOG2) + STEPS * m + step[full, m]] = 20
+    low = _LOWER[data]
+    a, b, doc = _runs(_NO_LETTER[low], offsets)
+    if len(a):
+        slot = (segment_hashes(low, a, b) >> np.uint64(64 - WORDS_LOG2)).astype(np.int64)
+        words = np.bincount((doc << WORDS_LOG2) + slot, minlength=n << WORDS_LOG2).reshape(n, -1)
+        out[:, SHAPE_DIMS:] = 100 * words / np.maximum(words.sum(axis=1, keepdims=True), 1)
     return out
 
 
+def vectors_of(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit rows, in which both blocks have the same length."""
+    cut = SHAPE_DIMS
+    return normalised_rows(np.concatenate([tf_idf(counts[:, :cut], idf[:cut]), tf_idf(counts[:, cut:], idf[cut:])], axis=1))
+
+
+def leading_axes(x: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
+    """The right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
+    if not len(x):
+        return np.zeros((x.shape[1], 0), np.float32)
+    x = x.astype(np.float64)
+    q = np.random.default_rng(11).standard_normal((x.shape[1], min(rank + 16, *x.shape)))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, axes = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ axes.T)[:, :rank].astype(np.float32)
+
+
 class Model:
     def __init__(self, idf: np.ndarray, vectors: np.ndarray, labels: np.ndarray, rank: int = RANK, k: int = NEIGHBOURS, power: float = POWER):
-        """vectors: TF-IDF of the labelled sample."""
+        """vectors: vectors_of() the labelled sample."""
         self.idf, self.labels, self.k, self.power = idf, labels.astype(np.float32), k, power
-        self.base = float(labels.mean()) if len(labels) else 1.0
-        values, axes = np.linalg.eigh(vectors.T.astype(np.float64) @ vectors)
-        self.axes = axes[:, ::-1][:, :rank].astype(np.float32)
+        self.base = float(labels.mean()) if len(labels) else 0.5
+        self.axes = leading_axes(vectors, rank)
         self.latent = normalised_rows(vectors @ self.axes)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         if not len(self.labels):
-            return np.ones(n)
-        x = normalised_rows(tf_idf(count_features(data, offsets), self.idf) @ self.axes)
+            return np.full(n, self.base)
+        x = normalised_rows(vectors_of(count_features(data, offsets), self.idf) @ self.axes)
         cosine = x @ self.latent.T
         k = min(self.k, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
@@ -137,7 +167,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 1, max_bytes=1 << 20, max_rows=256):
-            x = tf_idf(count_features(*bytes_of(b.column(1))), idf).astype(np.float32)
+            x = vectors_of(count_features(*bytes_of(b.column(1))), idf).astype(np.float32)
             yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "vector"])
 
     found = sorted(rows.mapInArrow(kernel, "quality int, vector binary").collect())  # at most `sample` vectors
@@ -151,7 +181,7 @@ def score_quality(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, 1, max_bytes=1 << 20, max_rows=512):
+        for b in row_slices(batches, 1, max_bytes=1 << 20, max_rows=256):
             yield pa.record_batch([b.column(0), pa.array(shared.value.score(*bytes_of(b.column(1))))], ["doc_id", "quality_score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, "doc_id long, quality_score double")
