@@ -46,13 +46,29 @@ def test_batches(spark):
 def test_a_failed_commit_leaves_nothing(spark):
     rollup = op.TokenRollup(spark, new_path(spark, "rollup"))
     rows = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n_tokens long")
-    part = f"{rollup.path}/batches/late"
-    op.inserted(rows, "v").write.parquet(part)
-    rollup._fs.delete(rollup._of(f"{part}/_SUCCESS"), False)
+    op.inserted(rows, "v").write.parquet(f"{rollup.path}/data/late")
     assert totals(rollup) == {}
     assert rollup.commit("late", op.inserted(rows, "v")) and totals(rollup) == {("a", "en", "v"): (1, 5)}
 
 
+def test_of_two_writers_one_commits(spark, monkeypatch):
+    """Both have looked and found the id free: the move decides, and the loser leaves nothing."""
+    one, other = (op.TokenRollup(spark, path) for path in [new_path(spark, "rollup")] * 2)
+    rows = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n_tokens long")
+    changes = op.inserted(rows, "v")
+    done = []
+
+    class Late:
+        """Changes during whose sum the other writer commits."""
+
+        def groupBy(self, *keys):  # noqa: N802
+            done.append(other.commit("same", changes))
+            return changes.groupBy(*keys)
+
+    assert not one.commit("same", Late()) and done == [True]
+    assert totals(one) == {("a", "en", "v"): (1, 5)} and len(one._names("data")) == 1
+
+
 def test_counts(spark, documents):
     found = {r.doc_id: r.n_tokens for r in op.count_tokens(documents([(1, None), (2, ""), (3, "the cat"), (3, "the cat")]).withColumn("n_tokens", F.lit(0))).collect()}
     assert found == {1: 0, 2: 0, 3: 2}
