@@ -68,6 +68,9 @@ class Tables:
         for path in list(self.paths.values()):
             drop_path(self.spark, path)
 
+    def drop(self, label: str) -> None:
+        drop_path(self.spark, self.paths.pop(label))
+
     def write(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
         """df, written and read back; a table of the same label that this one replaces is deleted."""
         path = new_path(self.spark, label)

@@ -8,7 +8,8 @@
 3. Survivors are verified exactly on the full sets: equal hashes count only if the bytes of the shingles are equal. Verified links give
    components.
 4. Buckets that still hold several components get all their pairs across components compared in the same way, so that links that do not
-   run through a bucket's centre are found too. Survivors are verified, and the components of all links are the result.
+   run through a bucket's centre are found too. Of survivors, 32 bits of each shingle's hash are compared in the bucket; pairs with enough
+   in common are verified, and the components of all links are the result.
 
 Defined cases. Null, empty and wordless texts have empty sets: no links, each is kept. A text of fewer words than a shingle is one
 shingle. Each row is judged by its own text: rows that repeat a doc_id, null among them, with different texts may get different components.
@@ -20,8 +21,8 @@ With 48 bands of 5 a pair at similarity 0.75 is missed as a candidate with proba
 over `max_bucket` classes is dealt again by its own band together with each of the 58 bands of 4 that the other values (a byte of each)
 make, which parts most pairs that aren't similar; that adds 3e-9 at most: the pair has a band in common, but none of the 58 short ones.
 
-At scale. Pairs within a component are never made, nor rows for pairs that the signatures tell apart; only signatures go to buckets, and
-texts only to surviving pairs. No bucket lands in one task: a large one has a centre for each of its parts, and what it leaves open is cut
+At scale. Pairs within a component are never made, nor rows for pairs that aren't links but by a collision of 32 bits. Signatures go to
+buckets first, sets only to those of their members that survive them, and texts only to links. No bucket lands in one task: a large one has a centre for each of its parts, and what it leaves open is cut
 into blocks of `block` members, of which pairs of blocks are compared. Blocks of one and the same component are not, so a group of near
 copies costs rows in proportion to its size; members of a bucket that are all in different components cost pairs of signatures.
 """
@@ -198,6 +199,14 @@ class Verifier:
             left, seen = left[alive], seen[alive]
         return left
 
+    def enough(self, one: np.ndarray, others: list[np.ndarray], size: int, sizes: np.ndarray) -> np.ndarray:
+        """Which of the sets of hashes have enough in common with one."""
+        joined = np.concatenate(others)
+        at = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+        begins = np.cumsum([0] + [len(x) for x in others[:-1]])
+        both = np.add.reduceat((one[at] == joined).astype(np.int64), begins)
+        return 100 * both >= self.percent * (size + sizes - both)
+
 
 def _parted(table, *names: str) -> tuple[np.ndarray, ...]:  # noqa: ANN001
     """A shard's columns sorted by bucket, and where each bucket begins (and the last ends)."""
@@ -246,13 +255,19 @@ def _star(percent: int, miss: float):
     return kernel
 
 
-def _across(percent: int, miss: float):
+def _across(percent: int, miss: float, with_sets: bool):
+    names = ["bucket", "side", "id", "component", "n_shingles", "sig"]
+
     def kernel(key, table):  # noqa: ANN001, ANN202
         """In each unit of a shard, the pairs of members in different components whose sets may be similar enough.
 
-        A unit is one block of a bucket, or two (side 0 and 1), of which only pairs from one to the other count.
+        A unit is one block of a bucket, or two (side 0 and 1), of which only pairs from one to the other count. Gives the members of such
+        pairs; with sets (`hashes`: 32 bits of each shingle, with which the common part is never too small), the pairs that have enough in common.
         """
+        table = table.take(pa.array(np.argsort(table.column("bucket").to_numpy(), kind="stable")))
         edges, sig, ids, sizes, comp, side = _parted(table, "component", "side")
+        hashes = table.column("hashes").combine_chunks() if with_sets else None
+        set_of = lambda i: np.frombuffer(hashes[int(i)].as_buffer(), np.uint32)
         verifier = Verifier(percent, miss)
         a, b = [], []
         for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -270,13 +285,29 @@ def _across(percent: int, miss: float):
                 if two:
                     others = others[comp[others] != own[i]]
                 near = others[verifier.survivors(sig[at[i]], sizes[at[i]], sig[others], sizes[others])]
-                a.append(np.full(len(near), ids[at[i]]))
-                b.append(ids[near])
-        return _pairs(a, b)
+                if with_sets and len(near):
+                    near = near[verifier.enough(set_of(at[i]), [set_of(j) for j in near], sizes[at[i]], sizes[near])]
+                a.append(np.full(len(near), at[i]))
+                b.append(near)
+        if with_sets:
+            return _pairs([ids[x] for x in a], [ids[x] for x in b])
+        return table.take(pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *a, *b])))).select(names)
 
     return kernel
 
 
+def _hashes(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, text to id, hashes: the sorted low 32 bits of the set's hashes."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in row_slices(batches, 1, max_bytes=1 << 19):
+            sets = Shingles(*bytes_of(b.column(1)), shingle)
+            low = sets.h.astype(np.uint32)
+            yield pa.record_batch([b.column(0), pa.array([np.sort(low[i:j]).tobytes() for i, j in zip(sets.at[:-1], sets.at[1:], strict=True)], pa.binary())], ["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(kernel, "id long, hashes binary")
+
+
 def _common(x: Shingles, i: int, y: Shingles, j: int, shingle: int) -> int:
     """How many shingles two texts have in common: equal hashes whose bytes are compared too."""
     p, q = slice(x.at[i], x.at[i + 1]), slice(y.at[j], y.at[j + 1])
@@ -336,13 +367,15 @@ def _near_rows(documents: DataFrame, shingle: int, percent: int, miss: float, ma
     own, keys = ["doc_id", "h1", "h2"], ["k1", "k2", "n_shingles"]
     numbered = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id")
     docs = documents.select(numbered, F.coalesce("text", F.lit("")).alias("text"), *text_hashes(F.col("text")))
-    profiles = tables.write(profile(docs, shingle), "profiles", keep=True)
-    some = profiles.filter("n_shingles > 0")
+    profiles = tables.write(profile(docs, shingle), "profiles")
+    keyed = tables.write(profiles.drop("sig", "bands"), "keys", keep=True)
+    some = keyed.filter("n_shingles > 0")
     # A class's number is its own even where its smallest doc_id also has texts of other classes; the table is written, so numbers stay.
     classes = some.groupBy(*keys).agg(F.min(F.struct(*own)).alias("first")).select(*keys, "first.*").withColumn("id", F.monotonically_increasing_id())
     classes = tables.write(classes, "sets")
-    rows = some.select(*own, "sig", "bands").join(classes, own).dropDuplicates(["id"]).select("id", "n_shingles", "sig", "bands")
+    rows = profiles.filter("n_shingles > 0").select(*own, "sig", "bands").join(classes, own).dropDuplicates(["id"]).select("id", "n_shingles", "sig", "bands")
     rows = tables.write(rows, "classes")
+    tables.drop("profiles")
     buckets = tables.write(_buckets(rows, max_bucket), "buckets")
     signed = rows.select("id", "n_shingles", "sig")
     # The centre of each bucket; a large one has some, of parts dealt by a hash.
@@ -358,7 +391,13 @@ def _near_rows(documents: DataFrame, shingle: int, percent: int, miss: float, ma
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
     unsettled = tables.write(labelled.join(open_, "bucket", "left_semi"), "unsettled")
     units = tables.write(_units(unsettled, block), "units")
-    more = _in_shards(units.join(signed, "id"), units.count(), 4 * block).groupBy("shard").applyInArrow(_across(percent, miss), "a long, b long").distinct()
+    tables.drop("buckets")
+    # Signatures first; sets go only to units where pairs have survived, and only those of the members that have.
+    kept = "bucket long, side int, id long, component long, n_shingles long, sig binary"
+    alive = _in_shards(units.join(signed, "id").select("bucket", "side", "id", "component", "n_shingles", "sig"), units.count(), 4 * block)
+    alive = tables.write(alive.groupBy("shard").applyInArrow(_across(percent, miss, False), kept), "alive")
+    sets = _hashes(texts.join(alive.select("id").distinct(), "id", "left_semi"), shingle)
+    more = _in_shards(alive.join(sets, "id"), alive.count(), block).groupBy("shard").applyInArrow(_across(percent, miss, True), "a long, b long").distinct()
     more = tables.write(more.join(first, ["a", "b"], "left_anti"), "more")
     links = tables.write(links.unionByName(_verified(more, texts, shingle, percent)), "all-links")
     linked = tables.write(classes.select("id", F.struct(*own).alias("own")).join(connected_components(links), "id"), "linked")
@@ -366,7 +405,7 @@ def _near_rows(documents: DataFrame, shingle: int, percent: int, miss: float, ma
     headed = linked.join(heads, "component").select("id", "head")
     named = classes.join(headed, "id", "left").select(*keys, F.coalesce("head", F.struct(*own)).alias("head"))
     with_sets = some.select(*own, *keys).join(tables.write(named, "named", keep=True), keys)
-    out = with_sets.select(*own, "n_shingles", "head").unionByName(profiles.filter("n_shingles = 0").select(*own, "n_shingles", F.struct(*own).alias("head")))
+    out = with_sets.select(*own, "n_shingles", "head").unionByName(keyed.filter("n_shingles = 0").select(*own, "n_shingles", F.struct(*own).alias("head")))
     real = lambda c: F.when(c != LAST_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("head.doc_id")).alias("component_id"), (F.struct(*own) == F.col("head")).alias("kept"), "h1", "h2")
 
