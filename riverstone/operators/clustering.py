@@ -3,31 +3,50 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverstone.functions.rng import uniform
-from riverstone.functions.vectors import array_of, doubles, nearest
+from riverstone.functions.vectors import doubles
 from riverstone.operators import kernel
 from riverstone.operators.coreset import matrix_of
 
 
-def centroid_column(centroids: np.ndarray) -> Column:
-    """k x d centroids (bounded by the model, not by the data) as one literal."""
-    return F.array(*[array_of(c) for c in np.asarray(centroids, float)])
+def centroid_matrix(centroids: DataFrame | np.ndarray) -> np.ndarray:
+    """k x d centroids: an array, or the k rows of a DataFrame of cluster (0 to k - 1) and features, which come to the driver."""
+    if isinstance(centroids, DataFrame):
+        rows = centroids.select("cluster", doubles("features").alias("c")).orderBy("cluster").collect()
+        return np.array([r.c for r in rows], float)
+    return np.asarray(centroids, float)
 
 
-def assign(points: DataFrame, centroids: DataFrame | np.ndarray, features: str = "features") -> DataFrame:
-    """Adds cluster and distance (squared): the nearest centroid, the lowest index of equals. One pass, no shuffle of the points.
+def nearest_of(centroids: np.ndarray):  # noqa: ANN201
+    """A function of a column of points: struct(distance, cluster), the lowest index of equals; null for null. One Arrow batch at a time."""
 
-    centroids: an array, or a DataFrame of cluster (0 to k - 1) and features, which is made one row and broadcast.
-    """
-    if isinstance(centroids, DataFrame):
-        one = centroids.select(F.struct("cluster", doubles("features").alias("c")).alias("s")).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["c"]).alias("_centroids"))
-        near = points.crossJoin(F.broadcast(one)).withColumn("_near", nearest(doubles(features), F.col("_centroids"))).drop("_centroids")
-    else:
-        near = points.withColumn("_near", nearest(doubles(features), centroid_column(centroids)))
-    return near.withColumn("cluster", F.col("_near.cluster").cast("long")).withColumn("distance", F.col("_near.distance")).drop("_near")
+    @F.arrow_udf("struct<distance:double,cluster:long>")
+    def near(features: pa.Array) -> pa.Array:
+        real = features.is_valid().to_numpy(zero_copy_only=False)
+        x = matrix_of(features.filter(pa.array(real)))
+        least, which = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        for k, c in enumerate(centroids):
+            d = np.zeros(len(x))
+            for j in range(x.shape[1]):
+                step = x[:, j] - c[j]
+                d += step * step
+            closer = d < least
+            least[closer], which[closer] = d[closer], k
+        distance, cluster = np.full(len(real), np.nan), np.zeros(len(real), np.int64)
+        distance[real], cluster[real] = least, which
+        return pa.StructArray.from_arrays([pa.array(distance), pa.array(cluster)], ["distance", "cluster"], mask=pa.array(~real))
+
+    return near
+
+
+def assign(points: DataFrame, centroids: DataFrame | np.ndarray, features: str = "features") -> DataFrame:
+    """Adds cluster and distance (squared): the nearest centroid, the lowest index of equals. One pass, no shuffle of the points."""
+    near = points.withColumn("_near", nearest_of(centroid_matrix(centroids))(doubles(features)))
+    return near.withColumn("cluster", F.col("_near.cluster")).withColumn("distance", F.col("_near.distance")).drop("_near")
 
 
 def means(assigned: DataFrame, features: str = "features", weight: Column | None = None) -> DataFrame:
@@ -134,3 +153,13 @@ def minibatch_in_order(points: DataFrame, ordinal: str, centroids: np.ndarray, b
 
     rows = points.select(F.col(ordinal).alias("_at"), doubles(features).alias("features"))
     return rows.repartition(1).sortWithinPartitions("_at").select("features").mapInArrow(run, "cluster long, features array<double>")
+
+
+def library_kmeans(points: DataFrame, k: int, seed: int = 3, rounds: int = 20, features: str = "features", weight: str | None = None) -> np.ndarray:
+    """k x d centroids by the k-means of Spark's own library, to set beside those of coresets."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = points.select(array_to_vector(doubles(features)).alias("features"), *([] if weight is None else [F.col(weight).cast("double").alias("weight")]))
+    made = KMeans(k=k, seed=seed, maxIter=rounds, **({} if weight is None else {"weightCol": "weight"})).fit(rows)
+    return np.array(made.clusterCenters())

@@ -1,7 +1,8 @@
 """Coresets of DataFrames, as a partial, merge and final aggregate.
 
-`fast`: each task reduces its own rows batch by batch with a binary counter of coresets (at most 2m rows and log2 coresets in memory) and
-gives one coreset; these are reduced together, `fan_in` at a time, until one is left. Depends on how rows are dealt; one small shuffle.
+`fast`: each task reduces its own rows batch by batch (8m rows, 16,384 at least) with a binary counter of coresets (a batch and log2
+coresets in memory) and gives one coreset; these are reduced together, about `fan_in` at a time, in as many levels as the number of tasks
+asks for, until one is left. Depends on how rows are dealt; small shuffles of coresets only.
 
 `levels`: batches are ranges of an order, coresets of rank r stand for 2**r whole batches and are made two by two, what is left over is
 reduced once at the end. The result is the same however rows are dealt.
@@ -14,13 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverstone.operators import kernel
 from riverstone.operators.batching import batch_of, with_ordinal
+from riverstone.session import spread, stored
 
 DEFAULT_M = 10_000
+#: Rows of a batch in fast mode: so many coresets, and as many rows at least.
+BATCH_CORESETS, BATCH_ROWS = 8, 16_384
 SCHEMA = "node long, weight double, features array<double>"
 
 
@@ -73,15 +77,15 @@ class Buckets:
 def _partial(m: int, seed: int, options: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        buckets, held, rows = Buckets(m, seed, shard, **options), [], 0
+        buckets, held, rows, size = Buckets(m, seed, shard, **options), [], 0, max(BATCH_CORESETS * m, BATCH_ROWS)
         for b in batches:
             points, weights = matrix_of(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
             at = 0
             while at < len(points):
-                take = min(2 * m - rows, len(points) - at)
+                take = min(size - rows, len(points) - at)
                 held.append((points[at : at + take], weights[at : at + take]))
                 at, rows = at + take, rows + take
-                if rows == 2 * m:
+                if rows == size:
                     buckets.add(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
                     held, rows = [], 0
         if rows:
@@ -124,13 +128,12 @@ def coreset(points: DataFrame, m: int = DEFAULT_M, features: str = "features", w
         one = left.select(F.lit(0).cast("long").alias("node"), "weight", "features")
         return one.groupBy("node").applyInArrow(merge_kernel(m, final_seed, 0, options, sort=True), SCHEMA).select("weight", "features")
     rows = points.select(*_inputs(points, features, weight))
-    rows = rows.coalesce(n_tasks) if n_tasks else rows
+    rows = rows.coalesce(n_tasks) if n_tasks else spread(rows)
     part = rows.mapInArrow(_partial(m, seed, options), SCHEMA)
-    width = fan_in
-    while width * fan_in <= int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+    width, level = 1, 1
+    while width * fan_in < rows.rdd.getNumPartitions():
         width *= fan_in
-    level = 1
-    while width > 1:  # fewer and fewer nodes, so that no task gets the coresets of all tasks at once
+    while width > 1:  # fewer and fewer nodes, each of about fan_in coresets, so that no task gets those of all tasks at once
         part = part.withColumn("node", F.pmod("node", F.lit(width))).groupBy("node").applyInArrow(merge_kernel(m, seed, level, options), SCHEMA)
         width, level = width // fan_in, level + 1
     one = part.withColumn("node", F.lit(0).cast("long"))
@@ -147,6 +150,8 @@ def coreset_levels(points: DataFrame, m: int, features: str = "features", weight
     level = rows.select(batch, "weight", "features").groupBy("node").applyInArrow(merge_kernel(m, seed, 0, options, sort=True), SCHEMA)
     left, rank, nodes = None, 0, n_batches
     while nodes:
+        if nodes % 2 and nodes > 1:
+            level = stored(level, "level")  # read by what is left over and by the pairs
         if nodes % 2:
             own = level.filter(F.col("node") == nodes - 1).select(F.lit(rank).alias("rank"), "node", "weight", "features")
             left = own if left is None else left.unionByName(own)
@@ -160,3 +165,20 @@ def batch_coresets(points: DataFrame, m: int, features: str = "features", weight
     """node (the batch), weight, features: a coreset of each batch of 2m rows."""
     rows = _ordered(points, features, weight, order_by)
     return rows.select(batch_of(F.col("ordinal"), 2 * m).alias("node"), "weight", "features").groupBy("node").applyInArrow(merge_kernel(m, seed, 0, options, sort=True), SCHEMA)
+
+
+def coreset_aggregate(spark: SparkSession, name: str = "coreset", m: int = 100, seed: int = 3) -> None:
+    """Registers an aggregate for SQL: name(features) or name(features, weight) gives array<struct<weight, features>> of at most m points.
+
+    A group's points meet in one task; for groups that don't fit in one, reduce first with coreset().
+    """
+
+    @F.arrow_udf("array<struct<weight:double,features:array<double>>>")
+    def reduced(features: pa.Array, weight: pa.Array) -> list:
+        points, weights = matrix_of(features), weight.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        order = np.lexsort((weights, *points.T)) if len(points) else np.zeros(0, int)
+        points, weights = points[order], weights[order]
+        at, mass = kernel.coreset(points, weights, m, kernel.generator(seed)) if len(points) else (order, weights)
+        return [{"weight": float(w), "features": p} for w, p in zip(mass, points[at].tolist(), strict=True)]
+
+    spark.udf.register(name, reduced)

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
-SHARE = 0.5
+#: Of all leaves, how many a round may split.
+SHARE = 1.0
 
 
 def generator(*key: int) -> np.random.Generator:
@@ -197,3 +198,9 @@ def _rounds(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
 def _without_empty(centres: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     used, leaf = np.unique(leaf, return_inverse=True)
     return centres[used], leaf
+
+
+def leaves(points: np.ndarray, weights: np.ndarray, m: int, rng: np.random.Generator, tries: int = 3) -> list[tuple[int, float, np.ndarray]]:
+    """The leaves of a tree over points of positive weight: centre (a row), mass, and rows of the members; each row is in one leaf."""
+    centres, leaf = _rounds(np.ascontiguousarray(points, np.float64), weights.astype(np.float64), min(m, len(points)), rng, tries, "l2", "d2")
+    return [(int(c), float(weights[leaf == k].sum()), np.flatnonzero(leaf == k)) for k, c in enumerate(centres)]

@@ -4,12 +4,15 @@
     labels_bin    u64 count (not relied on: files are read to their end), then u64 labels
     coreset_bin   u32 rows, u32 features, then f32 rows of the weight and the features
 
-A path is a file, or a folder whose files are read in order of name; ids go on from file to file. A writer makes one whole file for each
-task, under a name that appears when it is complete; coalesce(1) gives one file.
+A path is a file, or a folder whose files are read in order of name; ids go on from file to file. A writer makes a whole file for each
+`CHUNK_ROWS` rows of a task, so that a task holds no more than that; coalesce(1) and fewer rows give one file. Rows are in order of id within
+a file. Names appear when a job is complete: a job's number, the task and the chunk, and an id of the job, so that no job writes over
+another's files. Overwriting deletes the old files after the new ones are there: a crash between leaves both, never neither.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 FILE_TYPES = {"points_bin": "id long, features array<float>", "labels_bin": "id long, label long", "coreset_bin": "weight float, features array<float>"}
 BATCH_ROWS = 65_536
@@ -111,57 +114,78 @@ class BinaryReader(DataSourceReader):
                 yield pa.record_batch([pa.array(values[:, 0].copy()), lists] if self.kind == "coreset_bin" else [ids, lists], ["weight", "features"] if self.kind == "coreset_bin" else ["id", "features"])
 
 
+CHUNK_ROWS = 1_000_000
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    part: str | None
-    name: str | None
+    parts: list[str]
+    task: int
 
 
-class BinaryWriter(DataSourceWriter):
-    """Rows of a task go to one file: id and features (in order of id within the task), id and label, or weight and features."""
+class BinaryWriter(DataSourceArrowWriter):
+    """Rows of a task: id and features, id and label, or weight and features."""
 
     def __init__(self, kind: str, options: dict, overwrite: bool):
         self.kind, self.uri, self.overwrite = kind, options["path"], overwrite
+        self.job, self.chunk = uuid.uuid4().hex, int(options.get("rowsPerFile", CHUNK_ROWS))
 
-    def write(self, iterator: Iterator) -> Written:
+    def _raw(self, rows: pa.Table) -> bytes:
+        if self.kind != "coreset_bin":
+            rows = rows.sort_by("id")
+        if self.kind == "labels_bin":
+            return np.array([rows.num_rows], "<u8").tobytes() + rows.column("label").to_numpy().astype("<u8").tobytes()
+        lists = rows.column("features").combine_chunks()
+        body = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(rows.num_rows, -1)
+        if self.kind == "coreset_bin":
+            body = np.column_stack([rows.column("weight").to_numpy().astype("<f4"), body])
+            return np.array([rows.num_rows, body.shape[1] - 1], "<u4").tobytes() + body.tobytes()
+        return np.array([2, *body.shape], "<u4").tobytes() + body.tobytes()
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        rows = list(iterator)
-        if not rows:
-            return Written(None, None)
         fs, path = store(self.uri)
-        if self.kind != "coreset_bin":
-            rows.sort(key=lambda r: r["id"])
-        if self.kind == "labels_bin":
-            raw = np.array([len(rows), *(r["label"] for r in rows)], "<u8").tobytes()
-        else:
-            body = np.array([r["features"] for r in rows], "<f4")
-            if self.kind == "coreset_bin":
-                body = np.column_stack([np.array([r["weight"] for r in rows], "<f4"), body])
-                raw = np.array([len(rows), body.shape[1] - 1], "<u4").tobytes() + body.astype("<f4").tobytes()
-            else:
-                raw = np.array([2, *body.shape], "<u4").tobytes() + body.tobytes()
-        fs.create_dir(path, recursive=True)
-        part = f"{path}/{uuid.uuid4().hex}.part"
-        with fs.open_output_stream(part, compression=None) as f:
-            f.write(raw)
-        return Written(part, f"{path}/part-{TaskContext.get().partitionId():06d}.bin")
+        held, rows, parts = [], 0, []
+
+        def flush() -> None:
+            fs.create_dir(path, recursive=True)
+            part = f"{path}/{self.job}-{uuid.uuid4().hex}.part"
+            with fs.open_output_stream(part, compression=None) as f:
+                f.write(self._raw(pa.Table.from_batches(held)))
+            parts.append(part)
+
+        for batch in iterator:
+            at = 0
+            while at < batch.num_rows:
+                own = batch.slice(at, min(self.chunk - rows, batch.num_rows - at))
+                held.append(own)
+                at, rows = at + own.num_rows, rows + own.num_rows
+                if rows == self.chunk:
+                    flush()
+                    held, rows = [], 0
+        if rows:
+            flush()
+        return Written(parts, TaskContext.get().partitionId())
 
     def commit(self, messages: list) -> None:
         fs, path = store(self.uri)
         fs.create_dir(path, recursive=True)
-        if self.overwrite:
-            for old in files_of(self.uri):
-                fs.delete_file(old)
-        start = 0 if self.overwrite else len(files_of(self.uri))
-        for k, m in enumerate(m for m in messages if m is not None and m.part):
-            fs.move(m.part, m.name if not start else f"{path}/part-{start + k:06d}.bin")
+        old = files_of(self.uri)
+        numbers = [int(m[1]) for f in old if (m := re.search(r"/part-(\d+)-[^/]*$", f))]
+        first = 1 + max([*numbers, 0] if old else [-1])
+        for m in messages:
+            for k, part in enumerate(m.parts if m is not None else []):
+                fs.move(part, f"{path}/part-{first:06d}-{m.task:06d}-{k:04d}-{self.job[:8]}.bin")
+        for gone in old if self.overwrite else []:
+            fs.delete_file(gone)
 
     def abort(self, messages: list) -> None:
         fs, _ = store(self.uri)
         for m in messages:
-            if m is not None and m.part and fs.get_file_info(m.part).is_file:
-                fs.delete_file(m.part)
+            for part in m.parts if m is not None else []:
+                if fs.get_file_info(part).is_file:
+                    fs.delete_file(part)
 
 
 class _Source(DataSource):
