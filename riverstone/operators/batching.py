@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverstone.functions.rng import uniform
 from riverstone.session import stored
 
 
@@ -56,6 +57,11 @@ def worker_of(batch: Column, workers: int) -> Column:
     return F.pmod(batch, F.lit(workers)).cast("long")
 
 
+def random_worker_of(batch: Column, workers: int, seed: int) -> Column:
+    """A worker at random for each batch, the same one each time."""
+    return F.floor(uniform(seed, batch) * workers).cast("long")
+
+
 def replay_start(step: Column, n_rows: Column, size: int) -> Column:
     """Where the chunk of a step begins when chunks are taken round and round; one that would run over the end is the last whole one."""
     at = F.pmod(step * F.lit(size), n_rows)

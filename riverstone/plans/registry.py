@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from riverstone.plans import sql
 from riverstone.schema import has_bad_value
 from riverstone.session import stored, work_path
 from riverstone.sources import binary, generate, text
+from riverstone.sources.streams import file_stream
 from riverstone.streaming import coreset_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,11 +87,13 @@ def range_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings), t AS (SELECT count(*) AS n FROM r),
-s AS (SELECT g.range AS step, CASE WHEN (g.range * 70) % n + 70 > n THEN n - 70 ELSE (g.range * 70) % n END AS start FROM range(20) g, t)
+g AS (SELECT n, unnest(range(2 * n // 70 + 3)) AS step FROM t), s AS (SELECT step, CASE WHEN (step * 70) % n + 70 > n THEN n - 70 ELSE (step * 70) % n END AS start FROM g)
 SELECT step, min(vec_id) AS first_id, CAST(sum(vec_id) AS BIGINT) AS ids, count(*) AS n FROM s JOIN r ON rn >= start AND rn < start + 70 GROUP BY 1""")
 def replay_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Over the whole table twice and on, so that chunks wrap and the last is clamped at every size."""
     rows = batching.with_ordinal(points(spark, sf).select("vec_id"), "vec_id")
-    return batching.replayed(rows, "ordinal", rows.count(), 70, 20).groupBy("step").agg(F.min("vec_id").alias("first_id"), F.sum("vec_id").alias("ids"), F.count("*").alias("n"))
+    n = rows.count()
+    return batching.replayed(rows, "ordinal", n, 70, 2 * n // 70 + 3).groupBy("step").agg(F.min("vec_id").alias("first_id"), F.sum("vec_id").alias("ids"), F.count("*").alias("n"))
 
 
 @query(f"SELECT (rn // {BATCH}) % {WORKERS} AS worker, count(*) AS n, count(DISTINCT rn // {BATCH}) AS batches FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings) GROUP BY 1")
@@ -306,26 +311,21 @@ def lloyd_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cluster", "dim", six("x"))
 
 
-@query(f"WITH {sql.E}, z0 AS (SELECT vec_id AS cluster, 0 AS seen, f FROM e WHERE vec_id < 3), {sql.minibatch_round(0, 200)}, {sql.minibatch_round(1, 200)} SELECT cluster, dim, round(x, 6) AS x FROM {sql.flat('z2')}")
+_THIRD = "((SELECT count(*) + 2 FROM e) // 3)"
+
+
+@query(f"WITH {sql.E}, z0 AS (SELECT vec_id AS cluster, 0 AS seen, f FROM e WHERE vec_id < 3), {', '.join(sql.minibatch_round(k, _THIRD) for k in range(3))} SELECT cluster, dim, round(x, 6) AS x FROM {sql.flat('z3')}")
 def minibatch_unit_weight(spark: SparkSession, sf: str) -> DataFrame:
-    """Two batches of 200 in closed form: within a batch, assigning comes before moving, so each cluster takes the mean of what it has seen."""
-    rows = batching.with_ordinal(points(spark, sf), "vec_id").withColumn("batch", batching.batch_of(F.col("ordinal"), 200))
+    """The whole table in three batches."""
+    rows = points(spark, sf).select("vec_id", "features")
     c = np.array([r.features for r in _first_centroids(spark, sf).orderBy("cluster").collect()])
-    seen = np.zeros(K)
-    for k in range(2):
-        near = clustering.assign(rows.filter(F.col("batch") == k), c)
-        counts = {r.cluster: r.n for r in near.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-        means = {r.cluster: np.array(r.features) for r in clustering.means(near).collect()}
-        for j, mean in means.items():
-            c[j] = (c[j] * seen[j] + mean * counts[j]) / (seen[j] + counts[j])
-            seen[j] += counts[j]
-    made = spark.createDataFrame([(j, d, float(x)) for j, row in enumerate(c) for d, x in enumerate(row)], "cluster long, dim long, x double")
-    return made.select("cluster", "dim", six("x"))
+    found = clustering.minibatch_in_order(rows, "vec_id", c, (rows.count() + 2) // 3)
+    return found.select("cluster", F.posexplode("features").alias("dim", "x")).select("cluster", F.col("dim").cast("long").alias("dim"), six("x"))
 
 
 @query()
 def minibatch_unit_weight_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All batches of 200 of the table; minibatch_unit_weight and its SQL end after two."""
+    """All batches of 200 of the table, however many."""
     rows = points(spark, sf).select("vec_id", "features")
     c = np.array([r.features for r in _first_centroids(spark, sf).orderBy("cluster").collect()])
     found = clustering.minibatch_in_order(rows, "vec_id", c, 200)
@@ -388,11 +388,11 @@ def counters_total(spark: SparkSession, sf: str) -> DataFrame:
     return counts.agg(F.sum("t").alias("total"), F.max("t").alias("longest"))
 
 
-@query(f"SELECT count(*) AS n, round(CAST(count(*) AS DOUBLE), 6) AS mass FROM (SELECT rn FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings) WHERE rn < {M} UNION ALL SELECT rn FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings) WHERE rn < {M})")
+@query(f"SELECT CAST(sum(least(n, {M})) AS BIGINT) AS n, round(CAST(sum(n) AS DOUBLE), 6) AS mass FROM (SELECT count(*) AS n FROM embeddings GROUP BY vec_id % 2)")
 def coreset_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Two weighted sets one after the other: rows and mass add up."""
-    one = points(spark, sf).orderBy("vec_id").limit(M).select(F.lit(1.0).alias("weight"), doubles("features").alias("features"))
-    return one.unionByName(one).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("mass"))
+    """The coresets of both halves of the table one after the other: rows and mass add up."""
+    halves = [coresets.coreset(points(spark, sf).filter(F.col("vec_id") % 2 == k), M) for k in (0, 1)]
+    return halves[0].unionByName(halves[1]).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("mass"))
 
 
 _TIMES = "q AS (SELECT o_custkey % 8 + 1 AS threads, sum(o_totalprice) AS t FROM orders GROUP BY 1)"
@@ -524,12 +524,112 @@ def pca3(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("vec_id", ((F.size("pca") == 3) & ~has_bad_value(F.col("pca"))).alias("finite"))
 
 
+@query("SELECT i - 1 AS dim, round(sum(CAST(embedding[i] AS DOUBLE) * (vec_id % 5 + 1)) / sum(vec_id % 5 + 1), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1")
+def minibatch_one_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    """With one cluster and steps by the share of the weight seen, mini-batch k-means comes to the weighted mean, in whatever order it goes."""
+    weighted = points(spark, sf).select((F.col("vec_id") % 5 + 1).cast("double").alias("weight"), doubles("features").alias("features"))
+    made = clustering.minibatch_kmeans(weighted, k=1, rounds=2, batch=64)
+    return made.select(F.posexplode("features").alias("dim", "x")).select(F.col("dim").cast("long").alias("dim"), six("x"))
+
+
+_COV = "SELECT var_samp(CAST(embedding[1] AS DOUBLE)) AS a, var_samp(CAST(embedding[2] AS DOUBLE)) AS b, covar_samp(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)) AS c FROM embeddings"
+
+
+@query(f"SELECT round((a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c), 6) AS first, round((a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c), 6) AS second, true AS apart FROM ({_COV})")
+def pca_variances(spark: SparkSession, sf: str) -> DataFrame:
+    """Variances of the components of two dimensions are the eigenvalues of their covariance; components don't vary together."""
+    two = points(spark, sf).select(F.slice("features", 1, 2).alias("features"))
+    made = quality.pca(two, 2).select(F.col("pca")[0].alias("x"), F.col("pca")[1].alias("y"))
+    return made.agg(F.round(F.var_samp("x"), 6).alias("first"), F.round(F.var_samp("y"), 6).alias("second"), (F.abs(F.covar_samp("x", "y")) < 1e-6).alias("apart"))
+
+
+@query("SELECT vec_id, true AS better FROM embeddings WHERE vec_id = 0")
+def library_comparator(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroids of the library's k-means on all points and of mini-batch k-means on a coreset: the cost of the second is at most 1.25 times the first's."""
+    p = points(spark, sf)
+    small = stored(coresets.coreset(p, 200, mode="levels", order_by=("vec_id",)), "coreset")
+    theirs = quality.cost(clustering.assign(p, clustering.library_kmeans(p, K)))
+    ours = quality.cost(clustering.assign(p, clustering.minibatch_kmeans(small, K))).withColumnRenamed("cost", "own")
+    return theirs.crossJoin(ours).select(F.lit(0).cast("long").alias("vec_id"), (F.col("own") <= 1.25 * F.col("cost")).alias("better"))
+
+
+@query("SELECT label, round(CAST(count(*) AS DOUBLE), 6) AS mass, least(count(*), 20) AS n FROM embeddings GROUP BY 1")
+def coreset_sql_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    """The aggregate for SQL: a coreset of each label."""
+    coresets.coreset_aggregate(spark, "coreset_20", 20)
+    rows = points(spark, sf).select("label", doubles("features").alias("features"), F.lit(1.0).alias("w"))
+    made = spark.sql("SELECT label, coreset_20(features, w) AS c FROM {p} GROUP BY label", p=rows)
+    return made.select("label", F.round(F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["weight"]), 6).alias("mass"), F.size("c").cast("long").alias("n"))
+
+
+@query(f"SELECT vec_id, CAST(floor({sql.u(11, f'vec_id // {BATCH}')} * {WORKERS}) AS BIGINT) AS worker FROM embeddings")
+def random_worker(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches dealt to workers at random."""
+    rows = batching.with_ordinal(points(spark, sf).select("vec_id"), "vec_id")
+    return rows.select("vec_id", batching.random_worker_of(batching.batch_of(F.col("ordinal"), BATCH), WORKERS, 11).alias("worker"))
+
+
+@query("SELECT count(*) AS n, round(CAST(count(*) AS DOUBLE), 6) AS mass, true AS leaves_at_most_m FROM embeddings")
+def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaves of a tree over each label's points: every point is in one leaf, and masses add up."""
+    from riverstone.operators import kernel
+
+    def listed(key, table):  # noqa: ANN001, ANN202
+        """One row for each leaf of a label."""
+        x = coresets.matrix_of(table.column("features"))
+        found = kernel.leaves(x, np.ones(len(x)), M, kernel.generator(1))
+        return pa.table({"leaf": pa.array(range(len(found)), pa.int64()), "mass": pa.array([f[1] for f in found]), "members": pa.array([len(f[2]) for f in found], pa.int64()), "few": pa.array([len(found) <= M] * len(found))})
+
+    made = points(spark, sf).select("label", doubles("features").alias("features")).groupBy("label").applyInArrow(listed, "leaf long, mass double, members long, few boolean")
+    return made.agg(F.sum("members").alias("n"), F.round(F.sum("mass"), 6).alias("mass"), F.min("few").alias("leaves_at_most_m"))
+
+
 # Sources and sinks
 
 
-@query(f"SELECT CAST(floor({sql.u(42, 'range')} * 3) AS BIGINT) AS label, count(*) AS n FROM range(5000) GROUP BY 1")
+_U = {k: f"(CAST('0x' || substr(md5('{k}:' || id || ':' || dim), 1, 8) AS BIGINT) / 4294967296.0)" for k in (43, 44)}
+_CENTRES = ", ".join(f"({k}, {j}, {float(v)!r})" for k, row in enumerate(generate.centres(3, 3, 10.0, 42)) for j, v in enumerate(row))
+
+
+@query(f"""WITH c(label, dim, x) AS (VALUES {_CENTRES}), p AS (SELECT range AS id, CAST(floor({sql.u(42, 'range')} * 3) AS BIGINT) AS label FROM range(5000)),
+v AS (SELECT p.label, c.dim, CAST(c.x + sqrt(-2 * ln(1 - {_U[43]})) * cos({_U[44]} * 2 * pi()) AS FLOAT) AS x FROM p JOIN c USING (label))
+SELECT label, CAST(dim AS BIGINT) AS dim, count(*) AS n, round(avg(CAST(x AS DOUBLE)), 4) AS mean, round(stddev_pop(CAST(x AS DOUBLE)), 4) AS spread FROM v GROUP BY 1, 2""")
 def blobs_generated(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.blobs(spark, 5000, 3).groupBy("label").agg(F.count("*").alias("n"))
+    """Rows, mean and spread of each cluster and dimension."""
+    flat = generate.blobs(spark, 5000, 3).select("label", F.posexplode(doubles("features")).alias("dim", "x"))
+    return flat.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("spread"))
+
+
+@query("SELECT CAST(300 AS BIGINT) AS n, CAST(10 AS BIGINT) AS dims, CAST(3 AS BIGINT) AS labels, true AS noise_in_range")
+def classification_generated(spark: SparkSession, sf: str) -> DataFrame:
+    """Informative, mixed and noise dimensions: their number, the labels, and noise within [-1, 1)."""
+    made = generate.classification(spark, 300, 10, 4, redundant=2, k=3)
+    noise = F.forall(F.slice("features", 7, 4), lambda x: (x >= -1) & (x <= 1))
+    return made.agg(F.count("*").alias("n"), F.max(F.size("features")).cast("long").alias("dims"), F.countDistinct("label").alias("labels"), F.min(noise).alias("noise_in_range"))
+
+
+@query("SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings")
+def labels_bin_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of even ids written, those of odd ones appended, with tasks that have no rows."""
+    binary.register(spark)
+    path = work_path(spark, "labels")
+    rows = points(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"))
+    for k in (0, 1):
+        rows.filter(F.col("id") % 2 == k).repartition(7, F.col("id") % 3).write.format("labels_bin").mode("append").save(path)
+    back = spark.read.format("labels_bin").load(path)
+    n = rows.count()
+    same = back.groupBy("label").agg(F.count("*").alias("n")).join(rows.groupBy("label").agg(F.count("*").alias("m")), "label", "full").filter("not (n <=> m)")
+    return rows.crossJoin(F.broadcast(same.agg(F.count("*").alias("unlike")).crossJoin(back.agg(F.count("*").alias("all"))))).filter((F.col("unlike") == 0) & (F.col("all") == n)).select("id", "label")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def csv_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Measurements appended in two goes and read back with their header."""
+    path = work_path(spark, "log")
+    events = table(spark, sf, "events").select("event_id", "event_type")
+    for k in (0, 1):
+        text.append_csv(events.filter(F.col("event_id") % 2 == k), path)
+    return spark.read.schema("event_id long, event_type string").csv(path, header=True).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total, CAST(len(embedding) AS BIGINT) AS d FROM embeddings")
@@ -550,29 +650,30 @@ def labels_bin_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.format("labels_bin").load(path)
 
 
-@query("SELECT round(CAST(count(*) AS DOUBLE), 3) AS csv_mass, round(CAST(count(*) AS DOUBLE), 3) AS bin_mass, CAST(0 AS BIGINT) AS unlike FROM embeddings")
+@query(f"SELECT round(CAST(count(*) AS DOUBLE), 3) AS csv_mass, round(CAST(count(*) AS DOUBLE), 3) AS bin_mass, CAST(0 AS BIGINT) AS unlike, CAST({M} AS BIGINT) AS named_size FROM embeddings")
 def coreset_files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A coreset by CSV and by binary files: mass, and rows of either that aren't those that were written, value by value."""
     binary.register(spark)
-    csv, raw, stored = work_path(spark, "coreset_50"), work_path(spark, "coreset"), work_path(spark, "coreset")
-    _levels(spark, sf).write.parquet(stored)
-    made = spark.read.parquet(stored)
+    csv, raw = work_path(spark, f"coreset_{M}"), work_path(spark, "coreset")
+    made = stored(_levels(spark, sf), "coreset")
     text.write_coreset_csv(made, csv, 64)
     made.withColumn("weight", F.col("weight").cast("float")).withColumn("features", F.col("features").cast("array<float>")).write.format("coreset_bin").mode("overwrite").save(raw)
-    key = F.transform(doubles("features"), lambda x: F.round(x, 4).cast("string"))
-    a = text.read_coreset_csv(spark, csv, 64).select("weight", key.alias("k"))
-    b = spark.read.format("coreset_bin").load(raw).select(F.col("weight").cast("double").alias("weight"), "features")
-    near = a.agg(F.round(F.sum("weight"), 3).alias("csv_mass"), F.count("*").alias("na"))
-    far = b.agg(F.round(F.sum("weight"), 3).alias("bin_mass"), F.count("*").alias("nb"))
-    return near.crossJoin(far).select("csv_mass", "bin_mass", F.abs(F.col("na") - F.col("nb")).alias("unlike"))
+    a, b = text.read_coreset_csv(spark, csv, 64), spark.read.format("coreset_bin").load(raw)
+    decimals = lambda df: df.select(F.round("weight", 6).alias("w"), F.transform(doubles("features"), lambda x: F.round(x, 6)).alias("f"))
+    floats = lambda df: df.select(F.col("weight").cast("float").alias("w"), F.col("features").cast("array<float>").alias("f"))
+    unlike = [x.exceptAll(y).agg(F.count("*").alias("n")) for back, key in ((a, decimals), (b, floats)) for x, y in ((key(made), key(back)), (key(back), key(made)))]
+    total = functools.reduce(DataFrame.unionByName, unlike).agg(F.sum("n").alias("unlike"))
+    sums = a.agg(F.round(F.sum("weight"), 3).alias("csv_mass"), F.max("coreset_size").alias("named_size")).crossJoin(b.agg(F.round(F.sum(F.col("weight").cast("double")), 3).alias("bin_mass")))
+    return sums.crossJoin(total).select("csv_mass", "bin_mass", "unlike", "named_size")
 
 
 # Streams
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _event_stream(spark: SparkSession, sf: str, *also: str) -> DataFrame:
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf)
-    return rows.select(F.col("event_id").alias("id"), F.array("value", F.col("user_id").cast("double")).alias("features"))
+    rows = file_stream(spark, sf, schema, pathGlobFilter="events.parquet", recursiveFileLookup="true")
+    return rows.select(*also, F.col("event_id").alias("id"), F.array("value", F.col("user_id").cast("double")).alias("features"))
 
 
 def _streamed(spark: SparkSession, sf: str, shards: int) -> DataFrame:
@@ -600,6 +701,17 @@ def window_coreset_mass(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy(F.col("window_start").cast("timestamp_ntz").alias("day")).agg(F.round(F.sum("weight"), 4).alias("mass"), F.count("*").alias("n"))
 
 
+@query("SELECT date_trunc('day', ts) AS day, round(CAST(count(*) AS DOUBLE), 4) AS mass, least(count(*), 50) AS n FROM events GROUP BY 1")
+def stream_window_mass(spark: SparkSession, sf: str) -> DataFrame:
+    """Coresets of the days of the stream of events, each as it was answered last."""
+    out = work_path(spark, "windows")
+    answers = coreset_stream.stream_windows(_event_stream(spark, sf, "ts"), "ts", "1 day", "2 days", 50)
+    job = answers.writeStream.outputMode("update").option("checkpointLocation", work_path(spark, "windows-state")).trigger(availableNow=True).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")).start()
+    job.awaitTermination()
+    found = coreset_stream.combined_windows(spark.read.schema(coreset_stream.OUTPUT).parquet(out), 50)
+    return found.groupBy(F.col("window_start").cast("timestamp_ntz").alias("day")).agg(F.round(F.sum("weight"), 4).alias("mass"), F.count("*").alias("n"))
+
+
 @query(f"WITH {sql.E} SELECT a.vec_id, round({sql.sq('a.f', 'b.f')}, 6) AS d2 FROM e a, (SELECT f FROM e WHERE vec_id = 0) b")
 def scaled_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Distances of cluster features: sums over two copies of a point, divided by their weight of two, are the point's own."""

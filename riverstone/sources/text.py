@@ -24,3 +24,19 @@ def read_coreset_csv(spark: SparkSession, path: str, dims: int) -> DataFrame:
 def append_csv(df: DataFrame, path: str) -> None:
     """Adds rows as new files, each with a header."""
     df.write.mode("append").csv(path, header=True)
+
+
+def read_coreset_folder(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """coreset_size, weight, features of all coresets below a folder (each named coreset_<size>), smallest first.
+
+    Raises an error where a file's header isn't that of a weight and `dims` features.
+    """
+    want = ",".join(["w", *(f"x{i}" for i in range(dims))])
+    heads = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.input_file_name().alias("file")).filter("value like 'w,%'")
+    bad = heads.filter(F.col("value") != want).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].file} doesn't have a weight and {dims} features")
+    schema = "w double, " + ", ".join(f"x{i} double" for i in range(dims))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(path, header=True)
+    size = F.nullif(F.regexp_extract(F.input_file_name(), r"coreset_(\d+)", 1), F.lit("")).cast("long")
+    return rows.select(size.alias("coreset_size"), F.col("w").alias("weight"), F.array(*[F.col(f"x{i}") for i in range(dims)]).alias("features")).orderBy("coreset_size")

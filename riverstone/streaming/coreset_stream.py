@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riverstone.operators.coreset import SCHEMA, Buckets, coreset, merge_kernel
+from riverstone.session import spread
 
+#: Consecutive rows of a task, of which a window's are reduced together.
+PART_ROWS = 200_000
 OUTPUT = "shard long, version long, rank int, weight double, features array<double>"
 STATE = "version long, n_reduced long, counter binary"
 WAITING = -1
@@ -38,9 +41,14 @@ def _unpacked(raw: bytes, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
         return parts[f"p{WAITING}"], parts[f"w{WAITING}"]
 
 
-def _update(m: int, seed: int, options: dict):
+def _update(m: int, seed: int, options: dict, width_ms: int | None = None):
+    """width_ms: keys are starts of windows, whose state goes when the watermark has passed their end."""
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         shard, version = int(key[0]), 0
+        if state.hasTimedOut:
+            state.remove()
+            return
         buckets = Buckets(m, seed, shard, **options)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         if state.exists:
@@ -60,6 +68,8 @@ def _update(m: int, seed: int, options: dict):
             at += 2 * m
         points, weights = points[at:], weights[at:]
         state.update((version + 1, buckets.n_reduced, _packed(buckets, points, weights)))
+        if width_ms:
+            state.setTimeoutTimestamp(shard // 1000 + width_ms)
         answer = [(WAITING, points, weights)] + [(rank, *slot) for rank, slot in sorted(buckets.slots.items())]
         for rank, p, w in answer:
             if len(p):
@@ -79,6 +89,26 @@ def stream_coresets(points: DataFrame, m: int, shards: int = 1, features: str =
     return rows.groupBy("shard").applyInPandasWithState(_update(m, seed, options), OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def stream_windows(points: DataFrame, time: str, width: str, delay: str, m: int, features: str = "features", position: str = "id", seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
+    """A streaming DataFrame (update mode) of answers as of stream_coresets(), with the window's start in microseconds for the shard.
+
+    Windows are of one width, by event time. Rows older than the watermark (`delay` behind the latest time seen) are left out, and a
+    window's state goes once the watermark has passed its end: state is bounded by the windows within the delay.
+    """
+    seconds = points.sparkSession.sql(f"SELECT CAST(INTERVAL '0' SECOND + INTERVAL {width} AS INTERVAL DAY TO SECOND) AS w").first().w.total_seconds()
+    timed = points.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    start = F.unix_micros(F.window("_time", width)["start"]).alias("window_micros")
+    rows = timed.select(start, "_time", F.col(position).alias("position"), F.transform(features, lambda x: x.cast("double")).alias("features"), F.lit(1.0).alias("weight"))
+    return rows.groupBy("window_micros").applyInPandasWithState(_update(m, seed, options, int(1000 * seconds)), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def combined_windows(answers: DataFrame, m: int, seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
+    """window_start, weight, features: a coreset of each window's last answer, which is of bounded size."""
+    own = latest(answers).select(F.col("shard").alias("node"), "weight", "features")
+    made = own.groupBy("node").applyInArrow(merge_kernel(m, seed, 0, options, sort=True), SCHEMA)
+    return made.select(F.timestamp_micros("node").alias("window_start"), "weight", "features")
+
+
 def latest(answers: DataFrame) -> DataFrame:
     """Of what a sink has gathered, each shard's last version."""
     last = answers.groupBy("shard").agg(F.max("version").alias("version"))
@@ -91,11 +121,13 @@ def combined(answers: DataFrame, m: int, **options) -> DataFrame:  # noqa: ANN00
 
 
 def windowed_coresets(points: DataFrame, time: str, width: str, m: int, features: str = "features", seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
-    """window_start, weight, features: a coreset of each event-time window of a table (of a stream: of each micro-batch in foreachBatch).
+    """window_start, weight, features: a coreset of each event-time window of a table (of a stream: stream_windows()).
 
-    Rows of a window meet in one task: for windows that fit in one.
+    A window's rows are reduced in parts, as they were dealt, and the parts' coresets together, so no task gets a whole window.
     """
     start = F.unix_micros(F.window(F.col(time).cast("timestamp"), width)["start"])
-    own = points.select(start.alias("node"), F.lit(1.0).alias("weight"), F.transform(features, lambda x: x.cast("double")).alias("features"))
-    made = own.groupBy("node").applyInArrow(merge_kernel(m, seed, 0, options), SCHEMA)
+    own = spread(points).select(start.alias("node"), F.spark_partition_id().alias("part"), F.lit(1.0).alias("weight"), F.transform(features, lambda x: x.cast("double")).alias("features"))
+    own = own.withColumn("part", F.struct("part", F.floor(F.monotonically_increasing_id() % F.lit(1 << 33) / F.lit(PART_ROWS)).alias("piece")))
+    first = own.groupBy("node", "part").applyInArrow(merge_kernel(m, seed, 0, options, sort=True), SCHEMA)
+    made = first.groupBy("node").applyInArrow(merge_kernel(m, seed, 1, options, sort=True), SCHEMA)
     return made.select(F.timestamp_micros("node").alias("window_start"), "weight", "features")

@@ -1,10 +1,13 @@
+import socket
 import struct
+import threading
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riverstone.sources import binary, generate, text
+from riverstone.sources import binary, generate, streams, text
 
 
 def test_files_of_other_programs(spark, tmp_path):
@@ -65,3 +68,52 @@ def test_generators(spark):
     assert abs(off.mean()) < 0.1 and abs(off.std() - 1) < 0.05
     made = generate.classification(spark, 300, 10, 4, redundant=2, k=3)
     assert made.filter(F.size("features") != 10).count() == 0 and made.select("label").distinct().count() == 3
+
+
+def test_append_after_tasks_without_rows(spark, tmp_path):
+    """Names that have gaps, as empty tasks leave them, aren't taken again; a task's rows are cut into files."""
+    binary.register(spark)
+    path = f"{tmp_path}/labels"
+    rows = lambda a, b: spark.range(a, b).select("id", (F.col("id") * 3).alias("label"))
+    rows(0, 20).repartition(3, F.col("id") % 2).write.format("labels_bin").mode("overwrite").save(path)
+    rows(20, 50).repartition(5, F.col("id") % 2).write.format("labels_bin").option("rowsPerFile", 4).mode("append").save(path)
+    assert sorted(r.label for r in spark.read.format("labels_bin").load(path).collect()) == [3 * k for k in range(50)]
+    rows(0, 7).coalesce(1).write.format("labels_bin").mode("overwrite").save(path)
+    assert [r.label for r in spark.read.format("labels_bin").load(path).orderBy("id").collect()] == [3 * k for k in range(7)]
+
+
+def test_coreset_folder(spark, tmp_path):
+    for m in (3, 2):
+        rows = spark.createDataFrame([(1.0, [float(m), 0.5])] * m, "weight double, features array<double>")
+        text.write_coreset_csv(rows, f"{tmp_path}/all/coreset_{m}", 2)
+    got = text.read_coreset_folder(spark, f"{tmp_path}/all", 2).collect()
+    assert [(r.coreset_size, r.features[0]) for r in got] == [(2, 2.0)] * 2 + [(3, 3.0)] * 3
+    with pytest.raises(ValueError, match="3 features"):
+        text.read_coreset_folder(spark, f"{tmp_path}/all", 3)
+
+
+def test_points_of_a_socket(spark, tmp_path):
+    """Lines that a server sends, bad ones left out."""
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve() -> None:
+        for _ in range(2):  # the source may connect once to look and once to read
+            try:
+                with server.accept()[0] as c:
+                    c.sendall(b"1.5,2\nnot a point\n-3e1, .5\n1,,2\n")
+                    time.sleep(6)
+            except OSError:
+                return
+
+    threading.Thread(target=serve, daemon=True).start()
+    job = streams.socket_points(spark, "127.0.0.1", server.getsockname()[1]).writeStream.format("memory").queryName("from_socket").start()
+    try:
+        for _ in range(40):
+            job.processAllAvailable()
+            if spark.table("from_socket").count() == 2:
+                break
+            time.sleep(0.25)
+        assert sorted(r.features for r in spark.table("from_socket").collect()) == [[-30.0, 0.5], [1.5, 2.0]]
+    finally:
+        job.stop()
+        server.close()

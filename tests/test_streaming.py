@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riverstone.operators.coreset import coreset_levels
 from riverstone.sources import generate
+from riverstone.sources.streams import file_stream
 from riverstone.streaming import coreset_stream as cs
 
 
@@ -53,3 +54,19 @@ def test_windows(spark):
     made = cs.windowed_coresets(rows, "ts", "1 hour", 10).groupBy("window_start").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).orderBy("window_start").collect()
     assert [(r.w, r.n) for r in made] == [(60.0, 10), (40.0, 10)]
     assert np.isfinite([r.w for r in made]).all()
+
+
+def test_windows_of_a_stream_and_late_rows(spark, tmp_path):
+    """Rows behind the watermark are left out, windows stay apart, and a window's answer grows with its rows."""
+    files = [[(k, 60 * k) for k in range(100)], [(200 + k, 60 * (300 + k)) for k in range(30)], [(400, 60), (401, 60 * 310), (402, 60 * 400)]]
+    for k, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "id long, s long").select("id", F.timestamp_seconds(F.col("s") + 86400).alias("ts"), F.array(F.col("id").cast("double")).alias("features"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/part-{k}")
+        os.system(f"mv {tmp_path}/in/part-{k}/part-*.parquet {tmp_path}/in/f{k}.parquet && rm -r {tmp_path}/in/part-{k} && touch -d '2020-01-01 00:00:0{k}' {tmp_path}/in/f{k}.parquet")
+    rows = file_stream(spark, f"{tmp_path}/in", "id long, ts timestamp, features array<double>", files_per_trigger=1)
+    made = cs.stream_windows(rows, "ts", "1 hour", "30 minutes", 10)
+    job = made.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+    job.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}")).start().awaitTermination()
+    answers = spark.read.schema(cs.OUTPUT).parquet(f"{tmp_path}/out")
+    got = {int(r.t) // 3600 - 24: (r.w, r.n) for r in cs.combined_windows(answers, 10).groupBy(F.unix_seconds("window_start").alias("t")).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
+    assert got == {0: (60.0, 10), 1: (40.0, 10), 5: (31.0, 10), 6: (1.0, 1)}
