@@ -37,7 +37,8 @@ def _distances(points: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarr
 def coreset(points: np.ndarray, weights: np.ndarray, m: int, rng: np.random.Generator, tries: int = 3, mode: str = "rounds", metric: str = "l2", pick: str = "d2", cost_mode: str = "weighted", weight_mode: str = "mass") -> tuple[np.ndarray, np.ndarray]:
     """Indices of the centres and the mass of their leaves. Points of no weight are left out; no more rows than points, nor duplicates.
 
-    pick: `d2` draws candidates by cost, `farthest` takes the leaf's farthest point. cost_mode `unweighted` leaves weights out of costs;
+    pick: `d2` draws candidates by cost, `farthest` takes the leaf's farthest point, `scan` draws places by cost and scans on from each until
+    a point beats the best so far (one leaf at a time, in the square of a leaf's points at worst). cost_mode `unweighted` leaves weights out of costs;
     weight_mode `leaf_count` gives the number of a leaf's points instead of their mass.
     """
     if m < 1:
@@ -48,7 +49,7 @@ def coreset(points: np.ndarray, weights: np.ndarray, m: int, rng: np.random.Gene
         return real, weights[real].astype(np.float64)
     points, own = np.ascontiguousarray(points[real], np.float64), weights[real].astype(np.float64)
     w = own if cost_mode == "weighted" else np.ones(len(own))
-    split = _sequential if mode == "sequential" else _rounds
+    split = _sequential if mode == "sequential" or pick == "scan" else _rounds
     centres, leaf = split(points, w, m, rng, tries, metric, pick)
     return real[centres], np.bincount(leaf, weights=mass, minlength=len(centres))
 
@@ -71,6 +72,17 @@ def _drawn(cost: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     return positive[np.minimum(at, len(positive) - n + np.arange(n))]
 
 
+def _tried(cost: np.ndarray, tries: int, rng: np.random.Generator, pick: str, far: np.ndarray) -> list[np.ndarray]:
+    """Runs of places in a leaf, of each of which the first that beats what was found before is taken."""
+    if pick == "farthest":
+        return [np.array([int(np.argmax(far))])]
+    if pick == "scan":
+        total, places = np.cumsum(cost), np.flatnonzero(cost > 0)
+        at = np.minimum(np.searchsorted(total, rng.random(tries) * total[-1], side="right"), places[-1])
+        return [places[np.searchsorted(places, a) :] for a in at]
+    return [np.array([c]) for c in _drawn(cost, min(tries, len(cost) - 1), rng)]
+
+
 def _sequential(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
     n = len(points)
     centres = [_first(w, rng)]
@@ -87,14 +99,15 @@ def _sequential(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
         at = int(chosen[0])
         own = members[at]
         mine, own_w = d[own], w[own]
-        some = np.array([int(np.argmax(mine))]) if pick == "farthest" else _drawn(own_w * mine, min(tries, len(own) - 1), rng)
         best = None
-        for c in some:
-            far = _distances(points[own], points[own[c]][None, :], metric) if metric == "l2" else _distances(points[own], points[own[c]][None, :].repeat(len(own), axis=0), metric)
-            far[c] = 0
-            cost = (own_w * np.minimum(mine, far)).sum()
-            if best is None or cost < best[0]:
-                best = (cost, c, far)
+        for run in _tried(own_w * mine, tries, rng, pick, mine):
+            for c in run:
+                far = _distances(points[own], points[own[c]][None, :], metric) if metric == "l2" else _distances(points[own], points[own[c]][None, :].repeat(len(own), axis=0), metric)
+                far[c] = 0
+                cost = (own_w * np.minimum(mine, far)).sum()
+                if best is None or cost < best[0]:
+                    best = (cost, c, far)
+                    break  # a scan goes no further; other runs are of one point
         _, c, far = best
         stay = mine < far
         stay[c] = False

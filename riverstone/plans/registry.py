@@ -492,6 +492,12 @@ def coreset_cosine_farthest(spark: SparkSession, sf: str) -> DataFrame:
     return made.agg(F.round(F.sum("weight"), 6).alias("mass"), (F.count("*") <= M).alias("small"))
 
 
+@query("SELECT round(CAST(count(*) AS DOUBLE), 6) AS mass, true AS small FROM embeddings")
+def coreset_scan(spark: SparkSession, sf: str) -> DataFrame:
+    made = coresets.coreset(points(spark, sf), M, mode="levels", order_by=("vec_id",), pick="scan")
+    return made.agg(F.round(F.sum("weight"), 6).alias("mass"), (F.count("*") <= M).alias("small"))
+
+
 @query("SELECT round(CAST(count(*) AS DOUBLE), 4) AS mass, true AS small FROM lineitem")
 def lineitem_coreset_mass(spark: SparkSession, sf: str) -> DataFrame:
     return coresets.coreset(lineitem_points(spark, sf), 500).agg(F.round(F.sum("weight"), 4).alias("mass"), (F.count("*") <= 500).alias("small"))

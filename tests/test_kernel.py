@@ -82,3 +82,22 @@ def test_draws_are_distinct_and_positive():
         c[rng.random(len(c)) < 0.4] = 0
         got = kernel._drawn(c, 3, rng)
         assert len(set(got.tolist())) == len(got) == min(3, int((c > 0).sum())) and (c[got] > 0).all()
+
+
+def test_scan_goes_on_to_a_better_point():
+    """Each try takes the first point from its draw on that beats the tries before, as a plain loop does."""
+    rng = np.random.default_rng(6)
+    for seed in range(40):
+        points, w = rng.normal(size=(30, 2)), rng.integers(1, 4, 30).astype(float)
+        at, mass = kernel.coreset(points, w, 2, kernel.generator(seed), pick="scan")
+        draw = kernel.generator(seed)
+        total = np.cumsum(w)
+        first = int(np.searchsorted(total, draw.random() * total[-1], side="right"))
+        own = w * ((points - points[first]) ** 2).sum(axis=1)
+        least, picked = np.inf, None
+        for u in draw.random(3):
+            for c in range(30):
+                if own[: c + 1].sum() > u * own.sum() and (left := cost(points, w, [first, c])) < least - 1e-12:
+                    least, picked = left, c
+                    break
+        assert set(at.tolist()) == {first, picked} and abs(mass.sum() - w.sum()) < 1e-9
