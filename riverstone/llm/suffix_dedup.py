@@ -18,7 +18,7 @@ may cut inside a character: what is kept is bytes. Other columns are ignored. Te
 is in one row where its blocks are cut out and where it is put together again, so it has to fit a task a few times.
 
 At scale. Anchors are one for about 150 bytes, and only repeated ones are shuffled a second time. Copies and common passages collapse
-into classes by partial aggregation. A gram with over `max_group` classes (a passage with as many different surroundings) is parted by the
+into classes by partial aggregation, and joins deal the rows of a hot gram, block or group to several tasks. A gram with over `max_group` classes (a passage with as many different surroundings) is parted by the
 bytes about it: a window reaches o bytes left of its anchor, so those with o in the lower half of the range share more bytes on the right
 and those in the upper half more on the left, and classes are dealt to both halves by the bytes that all windows of a half have. Halves
 that are still too large are halved again, down to single windows, which repeat if two are equal (128 bits of BLAKE2b). The number of sort
@@ -43,6 +43,8 @@ MAX_GROUP = 20_000
 #: Bytes of a group's key before each suffix, so that groups of one gram that were parted stay apart.
 KEY = 8
 SUFFIXES_PER_PART = 20_000
+#: Rows of a key that one task of a join takes without dealing them to more.
+HOT = 1_000
 CHUNK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -322,19 +324,35 @@ def repeated_ranges(documents: DataFrame, size: int = SIZE, max_group: int = MAX
         return tables.write(_repeated_ranges(documents.select("doc_id", "th", "text"), size, max_group, tables), "ranges", keep=True)
 
 
+def dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with keys, a stored table with one row for each value of `on`, n of whose rows there are at most.
+
+    A key of many rows is dealt by the columns `by` to several tasks and stands there once each. Keys are hot from a share of all rows on,
+    so there are fewer than 4 of them for each partition: that many are broadcast, and copies of keys are fewer than 4 a partition too.
+    """
+    share = 4 * partitions(rows.sparkSession)
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT, total // share)
+    tasks = F.ceil(F.col(n) / most).cast("int")
+    hot = keys.filter(F.col(n) > most).select(*on, tasks.alias("dealt_to"))
+    task = F.coalesce(F.pmod(F.xxhash64(*by), F.col("dealt_to")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("dealt", task).drop("dealt_to")
+    copies = keys.withColumn("dealt", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    return dealt.join(copies, [*on, "dealt"], how).drop("dealt")
+
+
 def _repeated_ranges(docs: DataFrame, size: int, max_group: int, tables: Tables) -> DataFrame:
-    # What is counted by a key is stored before it is joined by that key: Spark then can split a hot key's rows among tasks.
-    twice = tables.write(find_grams(docs, size).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
-    anchors = tables.write(find_anchors(docs, size).join(twice, "gram", "left_semi"), "anchors")
+    twice = tables.write(find_grams(docs, size).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
+    anchors = tables.write(dealt_join(find_anchors(docs, size), twice, ["gram"], "n", ["doc_id", "th", "start"], "left_semi"), "anchors")
     first = lambda k: F.first(k).alias(k)
     block = ["gram", "b1", "b2", "windows"]
     classes = anchors.groupBy(*block).agg(F.count("*").alias("n"), first("doc_id"), first("th"), first("start"), first("place"))
     classes = tables.write(classes, "classes")
-    whole = anchors.join(classes.filter("n > 1").select(*block), block).select("doc_id", "th", "start", (F.col("start") + F.col("windows") - 1 + size).alias("end"))
+    whole = dealt_join(anchors, classes.filter("n > 1").select(*block, "n"), block, "n", ["doc_id", "th", "start"]).select("doc_id", "th", "start", (F.col("start") + F.col("windows") - 1 + size).alias("end"))
 
-    mixed_grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("n_open")).filter("classes > 1 and n_open > 0").select("gram")
+    mixed_grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("n_open")).filter("classes > 1 and n_open > 0").select("gram", "classes")
     mixed_grams = tables.write(mixed_grams, "mixed-grams")
-    rivals = classes.join(mixed_grams, "gram").select(F.col("gram").alias("key"), F.lit(0).cast("long").alias("key2"), F.lit(0).alias("lo"), F.lit(size - size // 4).alias("hi"), "doc_id", "th", "start", "windows", "place", (F.col("n") == 1).alias("is_open"))
+    rivals = dealt_join(classes, mixed_grams, ["gram"], "classes", ["b1", "b2", "windows"]).select(F.col("gram").alias("key"), F.lit(0).cast("long").alias("key2"), F.lit(0).alias("lo"), F.lit(size - size // 4).alias("hi"), "doc_id", "th", "start", "windows", "place", (F.col("n") == 1).alias("is_open"))
     group = ["key", "key2", "lo", "hi"]
 
     def with_text(rows: DataFrame, *made: str) -> DataFrame:
@@ -348,7 +366,7 @@ def _repeated_ranges(docs: DataFrame, size: int, max_group: int, tables: Tables)
         rivals = tables.write(rivals, f"rivals-{level}")
         sizes = rivals.groupBy(*group).agg(F.count("*").alias("members"), F.max("is_open").alias("some_open")).filter("members > 1 and some_open").drop("some_open")
         sizes = tables.write(sizes, f"sizes-{level}")
-        counted = rivals.join(sizes, group)
+        counted = dealt_join(rivals, sizes, group, "members", ["doc_id", "th", "start"])
         fit = counted.filter(f"members <= {max_group} and lo < hi").drop("members")
         small = fit if small is None else small.unionByName(fit)
         one = F.col("start") + F.col("place") - F.col("lo")
@@ -356,7 +374,7 @@ def _repeated_ranges(docs: DataFrame, size: int, max_group: int, tables: Tables)
         over = sizes.filter(f"members > {max_group} and lo < hi")
         if over.isEmpty():
             break
-        rivals = with_text(rivals.join(over.drop("members"), group), "lo", "hi").mapInArrow(_halved(size), HALVES)
+        rivals = with_text(dealt_join(rivals, over, group, "members", ["doc_id", "th", "start"]).drop("members"), "lo", "hi").mapInArrow(_halved(size), HALVES)
         level += 1
     small = tables.write(small, "suffixes")
     parts = max(partitions(docs.sparkSession), small.count() // SUFFIXES_PER_PART)

@@ -26,9 +26,10 @@ def noise(rng, n, letters="abcdefgh é\n"):
     return "".join(rng.choice(letters) for _ in range(n))
 
 
-@pytest.mark.parametrize(("size", "limit"), [(40, op.MAX_GROUP), (40, 2), (400, op.MAX_GROUP), (12, 1000)])
-def test_planted(spark, documents, size, limit):
+@pytest.mark.parametrize(("size", "limit", "hot"), [(40, op.MAX_GROUP, op.HOT), (40, 2, 3), (400, op.MAX_GROUP, op.HOT), (12, 1000, 3)])
+def test_planted(spark, documents, monkeypatch, size, limit, hot):
     """Copies, passages with other surroundings, overlaps, passages shorter than a block, periodic texts, repeats inside a document."""
+    monkeypatch.setattr(op, "HOT", hot)
     rng = random.Random(size)
     parts = [noise(rng, rng.randrange(size, 3 * size)) for _ in range(8)]
     rows = []
@@ -47,6 +48,17 @@ def test_planted(spark, documents, size, limit):
     assert sorted(summary(found), key=key) == sorted(((d, *x) for (d, _), x in zip(rows, repeats(rows, size), strict=True)), key=key)
 
 
+def test_dealt_join(spark, monkeypatch):
+    """A hot key's rows go to several tasks, and each row meets its key once."""
+    monkeypatch.setattr(op, "HOT", 10)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 500).alias("key"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("n")).filter("key <> 7")
+    found = op.dealt_join(rows, keys, ["key"], "n", ["id"])
+    want = rows.filter("key <> 7")
+    assert sorted(found.select("id", "key").collect()) == sorted(want.collect())
+    assert sorted(op.dealt_join(rows, keys, ["key"], "n", ["id"], "left_semi").select("id", "key").collect()) == sorted(want.collect())
+
+
 def test_empty(spark, documents):
     assert op.suffix_dedup(documents([])).count() == 0
     assert summary(op.suffix_dedup(documents([(1, None), (2, "short")])))[0][2] == 0
