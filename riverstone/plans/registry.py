@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,10 @@ from riverstone.functions.vectors import cosine_distance, doubles
 from riverstone.operators import batching, clustering, collectives, quality, rollup, sampling, topology
 from riverstone.operators import coreset as coresets
 from riverstone.plans import sql
-from riverstone.schema import has_bad_value
+from riverstone.schema import checked_points, has_bad_value
 from riverstone.session import stored, work_path
 from riverstone.sources import binary, generate, text
-from riverstone.sources.streams import file_stream
+from riverstone.sources.streams import file_stream, parsed_points
 from riverstone.streaming import coreset_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -729,3 +729,93 @@ def scaled_distance(spark: SparkSession, sf: str) -> DataFrame:
     return p.crossJoin(F.broadcast(one)).select("vec_id", F.round(scaled_sq_l2(twice, F.lit(2.0), F.col("b"), F.lit(1.0)), 6).alias("d2"))
 
 
+# What programs, checks and generators do, on whole tables
+
+
+@query(f"SELECT rank, d FROM (SELECT row_number() OVER (ORDER BY {sql.u(9, 'vec_id')}, vec_id) - 1 AS rank, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS d FROM embeddings) WHERE rank < 5")
+def initial_centroids_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Five points without replacement, as the sums of their values."""
+    return _sums(spark, clustering.initial_centroids(points(spark, sf), "vec_id", 5, 9))
+
+
+@query(f"SELECT rank, d FROM (SELECT t.range AS rank, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS d, row_number() OVER (PARTITION BY t.range ORDER BY (CAST('0x' || substr(md5('9:' || t.range || ':' || vec_id), 1, 8) AS BIGINT)), vec_id) AS k FROM embeddings, range(5) t) WHERE k = 1")
+def initial_centroids_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Five points with replacement, each drawn from all."""
+    return _sums(spark, clustering.initial_centroids(points(spark, sf), "vec_id", 5, 9, replace=True))
+
+
+def _sums(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
+    """The few centroids of a query as rows."""
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(centroids.sum(axis=1))], "rank long, d double").select("rank", six("d"))
+
+
+@query("SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings WHERE vec_id % 7 NOT IN (0, 1, 2, 3) GROUP BY 1")
+def checked_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Of points some of which were made null, not a number, infinite or short, the checks keep the sound ones."""
+    k, x = F.col("vec_id") % 7, doubles("features")
+    bad = lambda v: F.transform(x, lambda e, i: F.when(i == 1, F.lit(v)).otherwise(e))
+    spoilt = F.when(k == 0, F.lit(None)).when(k == 1, bad(float("nan"))).when(k == 2, bad(float("inf"))).when(k == 3, F.slice(x, 1, 63)).otherwise(x)
+    return checked_points(points(spark, sf).withColumn("features", spoilt), 64, "drop").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+
+
+@query("SELECT vec_id, CAST(64 AS BIGINT) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings WHERE vec_id % 5 <> 0")
+def parsed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as a socket brings them: each fifth is no list of numbers and is left out."""
+    numbers = F.concat_ws(",", F.transform(doubles("features"), lambda x: x.cast("string")))
+    lines = points(spark, sf).select("vec_id", F.when(F.col("vec_id") % 5 == 0, F.concat(numbers, F.lit(",none"))).otherwise(numbers).alias("value"))
+    made = parsed_points(lines, F.col("value"))
+    return made.select("vec_id", F.size("features").cast("long").alias("dims"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("SELECT event_type AS event, count(*) AS n, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) // 1000 AS BIGINT) AS ms FROM events GROUP BY 1")
+def timing_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Timings in microseconds written as CSV without header, read back, and totals in whole milliseconds."""
+    path = work_path(spark, "timings")
+    table(spark, sf, "events").select("event_type", F.floor(F.col("value") * 1000).alias("us")).write.csv(path)
+    back = spark.read.schema("event string, us long").csv(path)
+    return back.groupBy("event").agg(F.count("*").alias("n"), F.expr("sum(us) div 1000").alias("ms"))
+
+
+@query("SELECT * FROM (VALUES ('count', CAST(2 AS BIGINT), true), ('scan', CAST(1 AS BIGINT), true)) t(event, n, took_time)")
+def timers(spark: SparkSession, sf: str) -> DataFrame:
+    """Timings of jobs on whole tables: one event named twice and one once, none below zero."""
+    clock = rollup.Timers()
+    for name, rows in (("count", "events"), ("scan", "lineitem"), ("count", "orders")):
+        with clock.timed(name):
+            table(spark, sf, rows).count()
+    return clock.frame(spark).groupBy("event").agg(F.count("*").alias("n"), (F.min("time_us") > 0).alias("took_time"))
+
+
+@query(f"""WITH s(size) AS (VALUES ({M}), ({2 * M}), ({4 * M})), t AS (SELECT count(*) AS n FROM embeddings)
+SELECT CAST(size AS BIGINT) AS coreset_size, least(n, size) AS n, round(CAST(n AS DOUBLE), 3) AS mass, CAST(64 AS BIGINT) AS dims FROM s, t""")
+def coreset_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Coresets of three sizes in one folder, read back together by the sizes in their names."""
+    path = work_path(spark, "coresets")
+    for m in (4 * M, M, 2 * M):
+        text.write_coreset_csv(coresets.coreset(points(spark, sf), m), f"{path}/coreset_{m}", 64)
+    found = text.read_coreset_folder(spark, path, 64)
+    return found.groupBy("coreset_size").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("mass"), F.max(F.size("features")).cast("long").alias("dims"))
+
+
+@query(f"SELECT CASE WHEN {sql.u(47, 'range')} < 0.2 THEN CAST(floor({sql.u(48, 'range')} * 3) AS BIGINT) ELSE CAST(floor({sql.u(42, 'range')} * 3) AS BIGINT) END AS label, count(*) AS n, min(range) AS first_id FROM range(3000) GROUP BY 1")
+def classification_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of generated classes, a fifth of which is drawn anew."""
+    made = generate.classification(spark, 3000, 6, 4, k=3, flip=0.2)
+    return made.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("SELECT round(CAST(sum(vec_id % 5 + 1) AS DOUBLE), 6) AS mass, true AS small, true AS cheaper FROM embeddings")
+def coreset_sequential(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves split one at a time: mass is kept, and a coreset of more leaves leaves less cost."""
+    rows = points(spark, sf).select((F.col("vec_id") % 5 + 1).cast("double").alias("weight"), "features")
+    few, many = (stored(coresets.coreset(rows, m, weight="weight", n_tasks=1, mode="sequential"), "coreset") for m in (K, M))
+    cost = lambda small, name: quality.cost(clustering.assign(rows, small.select((F.row_number().over(Window.orderBy("weight", "features")) - 1).cast("long").alias("cluster"), "features")), F.col("weight")).select(F.col("cost").alias(name))
+    sums = many.agg(F.round(F.sum("weight"), 6).alias("mass"), (F.count("*") <= M).alias("small"))
+    return sums.crossJoin(cost(few, "a")).crossJoin(cost(many, "b")).select("mass", "small", (F.col("b") < F.col("a")).alias("cheaper"))
+
+
+@query(f"WITH {sql.TREE} SELECT coalesce(side, -1) AS node, count(*) AS members, round(sum(d2), 6) AS cost FROM s GROUP BY ROLLUP (side)")
+def cost_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs of the leaves of a split and of the node above them (-1), the sum of its children's."""
+    leaves = _split(spark, sf).rollup("side").agg(F.count("*").alias("members"), F.round(F.sum("d2"), 6).alias("cost"))
+    return leaves.select(F.coalesce("side", F.lit(-1)).alias("node"), "members", "cost")

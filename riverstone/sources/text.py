@@ -27,7 +27,7 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 
 def read_coreset_folder(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """coreset_size, weight, features of all coresets below a folder (each named coreset_<size>), smallest first.
+    """coreset_size, weight, features of all coresets below a folder (each named coreset_<size>), largest first.
 
     Raises an error where a file's header isn't that of a weight and `dims` features.
     """
@@ -39,4 +39,4 @@ def read_coreset_folder(spark: SparkSession, path: str, dims: int) -> DataFrame:
     schema = "w double, " + ", ".join(f"x{i} double" for i in range(dims))
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(path, header=True)
     size = F.nullif(F.regexp_extract(F.input_file_name(), r"coreset_(\d+)", 1), F.lit("")).cast("long")
-    return rows.select(size.alias("coreset_size"), F.col("w").alias("weight"), F.array(*[F.col(f"x{i}") for i in range(dims)]).alias("features")).orderBy("coreset_size")
+    return rows.select(size.alias("coreset_size"), F.col("w").alias("weight"), F.array(*[F.col(f"x{i}") for i in range(dims)]).alias("features")).orderBy(F.col("coreset_size").desc())

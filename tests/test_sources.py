@@ -87,7 +87,7 @@ def test_coreset_folder(spark, tmp_path):
         rows = spark.createDataFrame([(1.0, [float(m), 0.5])] * m, "weight double, features array<double>")
         text.write_coreset_csv(rows, f"{tmp_path}/all/coreset_{m}", 2)
     got = text.read_coreset_folder(spark, f"{tmp_path}/all", 2).collect()
-    assert [(r.coreset_size, r.features[0]) for r in got] == [(2, 2.0)] * 2 + [(3, 3.0)] * 3
+    assert [(r.coreset_size, r.features[0]) for r in got] == [(3, 3.0)] * 3 + [(2, 2.0)] * 2
     with pytest.raises(ValueError, match="3 features"):
         text.read_coreset_folder(spark, f"{tmp_path}/all", 3)
 
