@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def doubles(features: Column | str) -> Column:
-    return F.transform(features, lambda x: x.cast("double"))
+    """As an array of doubles, by a cast: it has generated code, a function of elements has not."""
+    return (F.col(features) if isinstance(features, str) else features).cast("array<double>")
 
 
 def array_of(values: Sequence[float]) -> Column:

@@ -1,6 +1,6 @@
 """Coresets of DataFrames, as a partial, merge and final aggregate.
 
-`fast`: each task reduces its own rows batch by batch (8m rows, 16,384 at least) with a binary counter of coresets (a batch and log2
+`fast`: each task reduces its own rows batch by batch (16m rows, 16,384 at least) with a binary counter of coresets (a batch and log2
 coresets in memory) and gives one coreset; these are reduced together, about `fan_in` at a time, in as many levels as the number of tasks
 asks for, until one is left. Depends on how rows are dealt; small shuffles of coresets only.
 
@@ -18,13 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riverstone.functions.vectors import doubles
 from riverstone.operators import kernel
 from riverstone.operators.batching import batch_of, with_ordinal
 from riverstone.session import spread, stored
 
 DEFAULT_M = 10_000
 #: Rows of a batch in fast mode: so many coresets, and as many rows at least.
-BATCH_CORESETS, BATCH_ROWS = 8, 16_384
+BATCH_CORESETS, BATCH_ROWS = 16, 16_384
 SCHEMA = "node long, weight double, features array<double>"
 
 
@@ -111,8 +112,11 @@ def merge_kernel(m: int, seed: int, level: int, options: dict, sort: bool = Fals
 
 
 def _inputs(points: DataFrame, features: str, weight: str | None) -> tuple:
+    """Features and weight; floats stay floats until they are in numpy, which halves what goes there."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    return F.transform(features, lambda x: x.cast("double")).alias("features"), w.alias("weight")
+    kind = points.select(features).schema[0].dataType.elementType.typeName()
+    x = F.col(features) if kind in ("float", "double") else doubles(features)
+    return x.alias("features"), w.alias("weight")
 
 
 def _ordered(points: DataFrame, features: str, weight: str | None, order_by: tuple[str, ...]) -> DataFrame:

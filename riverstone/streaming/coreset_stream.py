@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from riverstone.functions.vectors import doubles
 from riverstone.operators.coreset import SCHEMA, Buckets, coreset, merge_kernel
 from riverstone.session import spread
 
@@ -85,7 +86,7 @@ def stream_coresets(points: DataFrame, m: int, shards: int = 1, features: str =
     whole stream; more of them spread the work.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = points.select(F.pmod(F.xxhash64(position), F.lit(shards)).alias("shard"), F.col(position).alias("position"), F.transform(features, lambda x: x.cast("double")).alias("features"), w.alias("weight"))
+    rows = points.select(F.pmod(F.xxhash64(position), F.lit(shards)).alias("shard"), F.col(position).alias("position"), doubles(features).alias("features"), w.alias("weight"))
     return rows.groupBy("shard").applyInPandasWithState(_update(m, seed, options), OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
@@ -98,7 +99,7 @@ def stream_windows(points: DataFrame, time: str, width: str, delay: str, m: int,
     seconds = points.sparkSession.sql(f"SELECT CAST(INTERVAL '0' SECOND + INTERVAL {width} AS INTERVAL DAY TO SECOND) AS w").first().w.total_seconds()
     timed = points.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
     start = F.unix_micros(F.window("_time", width)["start"]).alias("window_micros")
-    rows = timed.select(start, "_time", F.col(position).alias("position"), F.transform(features, lambda x: x.cast("double")).alias("features"), F.lit(1.0).alias("weight"))
+    rows = timed.select(start, "_time", F.col(position).alias("position"), doubles(features).alias("features"), F.lit(1.0).alias("weight"))
     return rows.groupBy("window_micros").applyInPandasWithState(_update(m, seed, options, int(1000 * seconds)), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -126,7 +127,7 @@ def windowed_coresets(points: DataFrame, time: str, width: str, m: int, features
     A window's rows are reduced in parts, as they were dealt, and the parts' coresets together, so no task gets a whole window.
     """
     start = F.unix_micros(F.window(F.col(time).cast("timestamp"), width)["start"])
-    own = spread(points).select(start.alias("node"), F.spark_partition_id().alias("part"), F.lit(1.0).alias("weight"), F.transform(features, lambda x: x.cast("double")).alias("features"))
+    own = spread(points).select(start.alias("node"), F.spark_partition_id().alias("part"), F.lit(1.0).alias("weight"), doubles(features).alias("features"))
     own = own.withColumn("part", F.struct("part", F.floor(F.monotonically_increasing_id() % F.lit(1 << 33) / F.lit(PART_ROWS)).alias("piece")))
     first = own.groupBy("node", "part").applyInArrow(merge_kernel(m, seed, 0, options, sort=True), SCHEMA)
     made = first.groupBy("node").applyInArrow(merge_kernel(m, seed, 1, options, sort=True), SCHEMA)
