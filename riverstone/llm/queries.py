@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riverstone.llm import chat_format, decontamination, exact_dedup, filter_audit, language_id, near_dedup, packing, quality, simhash, suffix_dedup, token_rollup, warc
+from riverstone.llm import chat_format, decontamination, exact_dedup, filter_audit, language_id, lexical_search, near_dedup, packing, quality, simhash, suffix_dedup, token_rollup, warc
 
-MODULES = (chat_format, suffix_dedup, language_id, decontamination, packing, quality, exact_dedup, warc, token_rollup, near_dedup, simhash, filter_audit)
+MODULES = (chat_format, suffix_dedup, language_id, decontamination, packing, quality, exact_dedup, warc, token_rollup, near_dedup, simhash, filter_audit, lexical_search)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
