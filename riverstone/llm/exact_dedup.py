@@ -10,13 +10,15 @@ Defined cases. Null text counts as empty, and all texts of white space only are
 that count in group_size, but one document: kept is the same for all of them; a null doc_id sorts after all others. An empty table gives
 an empty result. Other columns are ignored. A text is one value in one row however long it is.
 
-At scale. The number of buckets grows with the rows, so that a bucket has some `bucket_rows` entries of 56 bytes whatever the table. A
-hot digest is one entry for each memtable, so no task gets the rows of a group; the joins that bring back keep_id are sort-merge joins,
-whose skewed partitions Spark splits. Only documents that have a copy are compared, and their texts shuffled.
+At scale. The number of buckets grows with the rows, so that a bucket has some `bucket_rows` entries of 57 bytes whatever the table. A
+hot digest is one entry for each memtable, so compaction never gets the rows of a group; the joins that bring back keep_id and the text to
+compare with have one row for each digest on the right, and Spark splits their skewed partitions. Only documents that have a copy are
+compared, and their texts shuffled. Rows find their own texts by id, length and a hash of the text, so repeated and missing ids multiply nothing.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from riverstone.llm.common import Tables, bounded_batches, partitions, read_table
 
 WHITE = " \t\n\x0b\x0c\r"
-LAST_ID = (1 << 63) - 1
 BUCKET_ROWS = 250_000
-ENTRY = np.dtype([("digest", "S32"), ("keep", "<i8"), ("chars", "<i8"), ("count", "<i8")])
+#: keep is 0 where none (the row has no id) is 1.
+ENTRY = np.dtype([("digest", "S32"), ("none", "u1"), ("keep", "<i8"), ("chars", "<i8"), ("count", "<i8")])
 
 
 def normalised(text: Column) -> Column:
@@ -64,7 +66,7 @@ def folded(entries: np.ndarray) -> np.ndarray:
     """A sorted run: one entry for each digest, of the most code points and then the smallest identifier, with the sum of counts."""
     if not len(entries):
         return entries
-    order = np.lexsort((entries["keep"], -entries["chars"], entries["digest"]))
+    order = np.lexsort((entries["keep"], entries["none"], -entries["chars"], entries["digest"]))
     e = entries[order]
     first = np.flatnonzero(np.r_[True, e["digest"][1:] != e["digest"][:-1]])
     out = e[first].copy()
@@ -79,9 +81,10 @@ def merged(a: np.ndarray, b: np.ndarray, filter_a: Bloom) -> tuple[np.ndarray, i
     hit = a["digest"][place] == b["digest"][asked]
     at, same = place[hit], b[asked[hit]]
     a = a.copy()
-    better = (same["chars"] > a["chars"][at]) | ((same["chars"] == a["chars"][at]) & (same["keep"] < a["keep"][at]))
+    earlier = (same["none"] < a["none"][at]) | ((same["none"] == a["none"][at]) & (same["keep"] < a["keep"][at]))
+    better = (same["chars"] > a["chars"][at]) | ((same["chars"] == a["chars"][at]) & earlier)
     a["count"][at] += same["count"]
-    for k in ("keep", "chars"):
+    for k in ("none", "keep", "chars"):
         a[k][at[better]] = same[k][better]
     both = np.concatenate([a, np.delete(b, asked[hit])])
     return both[np.argsort(both["digest"], kind="stable")], len(asked)  # two sorted stretches, which a stable sort merges
@@ -120,7 +123,8 @@ def _flush(n_buckets: int, memtable_rows: int):
                 continue
             e = np.zeros(n, ENTRY)
             e["digest"] = np.array(batch.column(0).to_pylist(), dtype="S32")
-            e["keep"] = batch.column(1).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
+            e["none"] = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            e["keep"] = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
             e["chars"] = batch.column(2).to_numpy(zero_copy_only=False)
             e["count"] = 1
             table.append(folded(e))
@@ -139,7 +143,7 @@ def _compact(key, table):  # noqa: ANN001, ANN201
     runs, filters = table.column("run").to_pylist(), table.column("filter").to_pylist()
     run, _, _ = compacted([(np.frombuffer(r, ENTRY), Bloom(np.frombuffer(f, np.uint8))) for r, f in zip(runs, filters, strict=True)])
     digests = pa.Array.from_buffers(pa.binary(32), len(run), [None, pa.py_buffer(np.ascontiguousarray(run["digest"]).tobytes())]).cast(pa.binary())
-    return pa.table({"digest": digests, "keep_id": pa.array(run["keep"].copy()), "keep_chars": pa.array(run["chars"].copy()), "copies": pa.array(run["count"].copy())})
+    return pa.table({"digest": digests, "keep_id": pa.array(run["keep"], mask=run["none"].astype(bool)), "keep_chars": pa.array(run["chars"].copy()), "copies": pa.array(run["count"].copy())})
 
 
 def flush_runs(digests: DataFrame, n_buckets: int, memtable_rows: int = 1_000_000) -> DataFrame:
@@ -154,9 +158,13 @@ def build_index(digests: DataFrame, n_buckets: int, memtable_rows: int = 1_000_0
 
 def merge_indexes(old: DataFrame, new: DataFrame) -> DataFrame:
     """A later batch's index merged into an older one; committing it is left to the caller's table write."""
-    best = F.max(F.struct(F.col("keep_chars"), (-F.col("keep_id")).alias("low")))
-    both = old.unionByName(new).groupBy("digest").agg(best.alias("b"), F.sum("copies").alias("copies"))
-    return both.select("digest", (-F.col("b.low")).alias("keep_id"), F.col("b.keep_chars").alias("keep_chars"), "copies")
+    both = old.unionByName(new).groupBy("digest").agg(_best("keep_chars", "keep_id").alias("b"), F.sum("copies").alias("copies"))
+    return both.select("digest", F.col("b.id").alias("keep_id"), (-F.col("b.low")).alias("keep_chars"), "copies")
+
+
+def _best(chars: str, own_id: str) -> Column:
+    """Of a group's rows, that with the most code points and then the smallest id, null after all others: struct(low, none, id)."""
+    return F.min(F.struct((-F.col(chars)).alias("low"), F.col(own_id).isNull().alias("none"), F.col(own_id).alias("id")))
 
 
 def exact_dedup(documents: DataFrame, memtable_rows: int = 1_000_000, digest_bytes: int = 32, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -169,48 +177,47 @@ def exact_dedup(documents: DataFrame, memtable_rows: int = 1_000_000, digest_byt
     norm = normalised(F.col("text"))
     sha = F.sha2(norm, 256)
     digest = F.unhex(F.rpad(F.substring(sha, 1, 2 * digest_bytes), 64, "0"))
-    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    docs = documents.select(own_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = F.char_length("text").cast("long")
+    # Tells the texts of rows with one id, or none, apart, so that a row finds itself and not its namesakes.
+    docs = docs.withColumns({"chars": chars, "th": F.xxhash64("text")})
+    own = ["doc_id", "chars", "th"]
     with Tables(spark) as tables:
-        digested = tables.write(docs.select("doc_id", chars.alias("chars"), sha.alias("text_sha256"), digest.alias("digest")), "digests", keep=True)
+        digested = tables.write(docs.select(*own, sha.alias("text_sha256"), digest.alias("digest")), "digests", keep=True)
         index = build_index(digested, max(8, partitions(spark), digested.count() // bucket_rows), memtable_rows)
         twice = tables.write(index.filter("copies > 1").select("digest", "keep_id", "copies"), "copies", keep=True)
         placed = digested.join(twice, "digest", "left")
         # Byte verification: the text of each hit against the text of the row that stays.
-        hit = digested.join(twice, "digest").select("doc_id", "chars", "keep_id", "digest").distinct()
+        hit = digested.join(twice, "digest").select(*own, "keep_id", F.col("digest").alias("hit_digest")).distinct()
         # Stored before they are digested again: else Spark would make the digest a key of this join, and digest all texts for it.
-        texts = tables.write(docs.withColumn("chars", chars).join(hit, ["doc_id", "chars"]).withColumnRenamed("digest", "hit_digest"), "hits")
-        hits = texts.select("doc_id", "keep_id", "chars", norm.alias("norm"), sha.alias("text_sha256"), digest.alias("digest"), "hit_digest").filter("digest = hit_digest").drop("hit_digest")
-        kept = tables.write(hits.filter("doc_id = keep_id").select("digest", F.col("norm").alias("keep_norm")).dropDuplicates(["digest"]), "kept")
-        differs = hits.join(kept, "digest").filter(F.col("norm") != F.col("keep_norm")).select("doc_id", "chars", "norm", "text_sha256", "digest")
+        texts = tables.write(docs.join(hit.withColumnsRenamed({k: f"hit_{k}" for k in own}), _same(own)).select(*own, "text", "keep_id", "hit_digest"), "hits")
+        hits = texts.select(*own, "keep_id", norm.alias("norm"), sha.alias("text_sha256"), digest.alias("digest"), "hit_digest").filter("digest = hit_digest").drop("hit_digest")
+        kept = tables.write(hits.filter("doc_id <=> keep_id").select("digest", F.col("norm").alias("keep_norm")).dropDuplicates(["digest"]), "kept")
+        differs = hits.join(kept, "digest").filter(F.col("norm") != F.col("keep_norm")).select(*own, "norm", "text_sha256", "digest")
         differs = tables.write(differs, "differs", keep=True)
-    out = _resolved(placed, differs)
-    real = lambda k: F.when(F.col(k) != LAST_ID, F.col(k)).alias(k)
-    return out.select(real("doc_id"), real("keep_id"), "group_size", "kept", "text_sha256")
+    return _resolved(placed, differs)
+
+
+def _same(own: list[str]) -> Column:
+    """Columns equal those of the same name with hit_ before it; nulls equal each other."""
+    return functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"hit_{k}")) for k in own])
 
 
 def _resolved(placed: DataFrame, differs: DataFrame) -> DataFrame:
     """Groups by digest, but rows that differ from the row that stays leave its group for groups by their own text."""
-    out = placed.select(
-        "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("copies", F.lit(1)).alias("group_size"),
-        F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-        "text_sha256",
-        "digest",
-    )
-    if differs.isEmpty():
-        return out.drop("digest")
-    low = F.col("b.low")
-    best = differs.groupBy("digest", "norm").agg(F.max(F.struct("chars", (-F.col("doc_id")).alias("low"))).alias("b"), F.count("*").alias("n")).select("digest", "norm", (-low).alias("own_keep"), F.col("n").alias("own_size"))
-    own = differs.join(best, ["digest", "norm"]).select("doc_id", "digest", "text_sha256", "own_keep", "own_size").distinct()
-    less = differs.groupBy("digest").agg(F.count("*").alias("gone"))
-    out = out.join(own, ["doc_id", "digest", "text_sha256"], "left").join(less, "digest", "left")
-    moved = F.col("own_keep").isNotNull()
-    keep = F.when(moved, F.col("own_keep")).otherwise(F.col("keep_id"))
-    size = F.when(moved, F.col("own_size")).otherwise(F.col("group_size") - F.coalesce("gone", F.lit(0)))
-    return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), (keep == F.col("doc_id")).alias("kept"), "text_sha256")
+    own = ["doc_id", "digest", "text_sha256"]
+    alone = F.col("copies").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    out = placed.select(*own, keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).alias("group_size"))
+    if not differs.isEmpty():
+        best = differs.groupBy("digest", "norm").agg(_best("chars", "doc_id").alias("b"), F.count("*").alias("n")).select("digest", "norm", F.col("b.id").alias("own_keep"), F.col("n").alias("own_size"))
+        moved = differs.join(best, ["digest", "norm"]).select(*[F.col(k).alias(f"hit_{k}") for k in own], "own_keep", "own_size").distinct()
+        less = differs.groupBy("digest").agg(F.count("*").alias("gone"))
+        out = out.join(moved, _same(own), "left").join(less, "digest", "left")
+        gone = F.col("own_size").isNotNull()
+        size = F.when(gone, F.col("own_size")).otherwise(F.col("group_size") - F.coalesce("gone", F.lit(0)))
+        out = out.select("doc_id", F.when(gone, F.col("own_keep")).otherwise(F.col("keep_id")).alias("keep_id"), size.alias("group_size"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

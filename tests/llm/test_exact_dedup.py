@@ -13,11 +13,11 @@ def brute(rows):
     groups = defaultdict(list)
     norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows]
     for (d, t), n in zip(rows, norm, strict=True):
-        groups[n].append((-len(t or ""), op.LAST_ID if d is None else d))
+        groups[n].append((-len(t or ""), (d is None, d or 0)))
     out = []
     for (d, _), n in zip(rows, norm, strict=True):
-        keep = min(groups[n])[1]
-        keep = None if keep == op.LAST_ID else keep
+        none, keep = min(groups[n])[1]
+        keep = None if none else keep
         out.append((d, keep, len(groups[n]), keep == d, hashlib.sha256(n.encode()).hexdigest()))
     return out
 
@@ -29,7 +29,7 @@ KEY = lambda x: tuple(-1 if y is None else y for y in x)
 def test_cases(spark, documents, digest_bytes):
     """With digests of one byte or none, most texts collide, and byte verification has to part them."""
     rows = [(k, f"text {k % 40}" + " " * (k % 3)) for k in range(300)]
-    rows += [(1000, None), (1001, ""), (1002, " \t\n\x0b\x0c\r"), (1003, "a b"), (1004, "ab"), (1005, "a b"), (1006, "a  b"), (1007, "A b"), (None, "null id"), (None, "nullid"), (1008, "x" * 300000), (1009, "x " * 300000), (5, "text 5  "), (7, "seven")]
+    rows += [(1000, None), (1001, ""), (1002, " \t\n\x0b\x0c\r"), (1003, "a b"), (1004, "ab"), (1005, "a b"), (1006, "a  b"), (1007, "A b"), (None, "null id"), (None, "nullid"), (1008, "x" * 300000), (1009, "x " * 300000), (5, "text 5  "), (7, "seven"), ((1 << 63) - 1, "last"), ((1 << 63) - 1, "text 9"), (None, "last"), ((1 << 63) - 1, "alone")]
     more = documents(rows).withColumn("digest", F.lit(1)).withColumn("keep_id", F.lit(1))
     found = [tuple(r) for r in op.exact_dedup(more, memtable_rows=50, digest_bytes=digest_bytes, bucket_rows=20).collect()]
     assert sorted(found, key=KEY) == sorted(brute(rows), key=KEY)
@@ -39,9 +39,21 @@ def test_empty(spark, documents):
     assert op.exact_dedup(documents([])).count() == 0
 
 
+def test_namesakes_multiply_nothing(spark, documents, monkeypatch):
+    """Texts of one length under one id, or under none, are stored once each."""
+    stored = {}
+    write = op.Tables.write
+    monkeypatch.setattr(op.Tables, "write", lambda self, df, label, keep=False: stored.setdefault(label, write(self, df, label, True)))
+    rows = [(own, f"text {k % 600:05d}") for own in (None, 7) for k in range(1200)]
+    found = op.exact_dedup(documents(rows)).collect()
+    assert stored["hits"].count() == len(rows)
+    assert sorted(map(tuple, found), key=KEY) == sorted(brute(rows), key=KEY)
+
+
 def entries(rng, n):
     e = np.zeros(n, op.ENTRY)
     e["digest"] = [hashlib.sha256(str(k).encode()).digest() for k in rng.integers(0, 500, n)]
+    e["none"] = rng.random(n) < 0.1
     e["keep"], e["chars"], e["count"] = rng.integers(0, 1000, n), rng.integers(0, 5, n), 1
     return e
 
