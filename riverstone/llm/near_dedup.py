@@ -13,8 +13,8 @@
 
 Defined cases. Null, empty and wordless texts have empty sets: no links, each is kept. A text of fewer words than a shingle is one
 shingle. Each row is judged by its own text: rows that repeat a doc_id, null among them, with different texts may get different components.
-Rows that repeat both doc_id and text are one document. Of a component, the document with the smallest doc_id is kept, of one doc_id's
-several texts that with the least hash. Null comes after all other ids. An empty table gives an empty result. Other columns are ignored.
+Rows that repeat both doc_id and text are one document. Of a component, rows with its smallest doc_id are kept; near_rows() tells which of
+one doc_id's several texts stays, that with the least hash. Null comes after all other ids. An empty table gives an empty result. Other columns are ignored.
 Texts are read whole: the memory of a task grows with its longest text, to about a hundred times its bytes while it is cut into shingles.
 
 With 48 bands of 5 a pair at similarity 0.75 is missed as a candidate with probability 2.3e-6, more similar ones with less. A bucket of
@@ -42,7 +42,6 @@ from riverstone.llm.common import Tables, bounded_batches, bytes_of, partitions,
 from riverstone.llm.components import connected_components
 from riverstone.llm.hashing import BASE, equal_segments, mixed, segment_hashes
 
-LAST_ID = (1 << 63) - 1
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 48, 5
@@ -152,7 +151,7 @@ def text_hashes(text: Column) -> tuple[Column, Column]:
 
 
 def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text, h1, h2 to doc_id, h1, h2, n_shingles, k1, k2 (128 bits of BLAKE2b of the words), sig (a byte of each MinHash), bands; null for empty sets."""
+    """doc_id, text, h1, h2, none (1 for rows without an id, whose doc_id is 0 here) to doc_id, h1, h2, none, n_shingles, k1, k2 (128 bits of BLAKE2b of the words), sig (a byte of each MinHash), bands; null for empty sets."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 1, max_bytes=1 << 19):
@@ -166,9 +165,9 @@ def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 for row, x, y in zip(full.tolist(), s.astype(np.uint8), band_keys(s), strict=True):
                     sig[row], bands[row] = x.tobytes(), y
                     keys[row] = np.frombuffer(hashlib.blake2b(sets.text(row), digest_size=16).digest(), np.int64)
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(size.astype(np.int64)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_shingles", "k1", "k2", "sig", "bands"])
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(size.astype(np.int64)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "none", "n_shingles", "k1", "k2", "sig", "bands"])
 
-    return docs.mapInArrow(kernel, "doc_id long, h1 long, h2 long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
+    return docs.mapInArrow(kernel, "doc_id long, h1 long, h2 long, none int, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
 
 
 class Verifier:
@@ -352,11 +351,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 def near_groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET, block: int = BLOCK) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
-    return near_rows(documents, shingle, percent, miss, max_bucket, block).drop("h1", "h2")
+    return near_rows(documents, shingle, percent, miss, max_bucket, block).drop("h1", "h2", "stays")
 
 
 def near_rows(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, max_bucket: int = MAX_BUCKET, block: int = BLOCK) -> DataFrame:
-    """What near_groups() gives, and h1 and h2, the text_hashes() of each row."""
+    """What near_groups() gives, and h1 and h2, the text_hashes() of each row, and stays: whether the row's text is the one of its component that stays."""
     spark = documents.sparkSession
     bounded_batches(spark)
     with Tables(spark) as tables:
@@ -364,9 +363,9 @@ def near_rows(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
 
 def _near_rows(documents: DataFrame, shingle: int, percent: int, miss: float, max_bucket: int, block: int, tables: Tables) -> DataFrame:
-    own, keys = ["doc_id", "h1", "h2"], ["k1", "k2", "n_shingles"]
-    numbered = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id")
-    docs = documents.select(numbered, F.coalesce("text", F.lit("")).alias("text"), *text_hashes(F.col("text")))
+    own, keys = ["none", "doc_id", "h1", "h2"], ["k1", "k2", "n_shingles"]
+    given = F.col("doc_id").cast("long")
+    docs = documents.select(F.coalesce(given, F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *text_hashes(F.col("text")), given.isNull().cast("int").alias("none"))
     profiles = tables.write(profile(docs, shingle), "profiles")
     keyed = tables.write(profiles.drop("sig", "bands"), "keys", keep=True)
     some = keyed.filter("n_shingles > 0")
@@ -406,8 +405,8 @@ def _near_rows(documents: DataFrame, shingle: int, percent: int, miss: float, ma
     named = classes.join(headed, "id", "left").select(*keys, F.coalesce("head", F.struct(*own)).alias("head"))
     with_sets = some.select(*own, *keys).join(tables.write(named, "named", keep=True), keys)
     out = with_sets.select(*own, "n_shingles", "head").unionByName(keyed.filter("n_shingles = 0").select(*own, "n_shingles", F.struct(*own).alias("head")))
-    real = lambda c: F.when(c != LAST_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("head.doc_id")).alias("component_id"), (F.struct(*own) == F.col("head")).alias("kept"), "h1", "h2")
+    real = lambda at: F.when(F.col(f"{at}none") == 0, F.col(f"{at}doc_id"))
+    return out.select(real("").alias("doc_id"), "n_shingles", real("head.").alias("component_id"), real("").eqNullSafe(real("head.")).alias("kept"), "h1", "h2", (F.struct(*own) == F.col("head")).alias("stays"))
 
 
 def _in_shards(rows: DataFrame, n_rows: int, per_shard: int) -> DataFrame:

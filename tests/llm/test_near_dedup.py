@@ -51,6 +51,16 @@ def test_cases(spark, documents):
     assert [g for g in got if g[0] >= 0] == [(2, 2, 3 if False else 1, True), (5, 2, 1, False), (5, 2, 1, False), (9, 9, 1, True)]
 
 
+def test_kept_is_told_by_ids(spark, documents):
+    """Rows of the smallest id are kept whatever their texts; the largest number is an id, and null comes after it."""
+    words = " ".join(f"w{k}" for k in range(100))
+    last = (1 << 63) - 1
+    rows = [(1, words), (1, words + " x"), (2, words + " x y"), (last, "another text of some words"), (None, "another text of some words"), (None, "alone")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in op.near_groups(documents(rows)).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (last, last, True), (None, last, False), (None, None, True)], key=str)
+    assert sum(r.stays for r in op.near_rows(documents(rows)).collect()) == 3
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -93,7 +103,7 @@ def test_rows_under_one_key(spark, documents):
     for r in found:
         k = by_hash[last(r.doc_id), r.h1, r.h2][0]
         assert (r.n_shingles, last(r.component_id)) == (want[k][0], least[want[k][1]]), rows[k]
-        if r.kept:
+        if r.stays:
             kept.setdefault(want[k][1], set()).add((last(r.doc_id), r.h1, r.h2))
     assert {c: {(d) for d, _, _ in v} for c, v in kept.items()} == {c: {d} for c, d in least.items()}
     assert all(len(v) == 1 for v in kept.values())
