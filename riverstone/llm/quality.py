@@ -4,9 +4,10 @@ A text is counted in two blocks: its words (hashed, in lower case), and hashed n
 digits, and each other sign) with a few measures of repetition (how few of its words and lines are distinct, how common its commonest word
 is), in steps. TF-IDF of each block, with document frequencies over all documents, and a truncated SVD of both fitted on the labelled
 sample give latent vectors. Each document's cosines with all labelled vectors are computed exactly, block by block; its `k` nearest vote
-with weight max(0, cosine) ** `power`. Of equally near ones at the edge of the k, which vote isn't defined, but is the same in each run.
+with weight max(0, cosine) ** `power`. Cosines are taken to six digits; of equally near vectors those that come first in the order of the
+model's (labels, then the vectors' bytes) vote, and a text's cosines don't depend on the texts beside it.
 
-Labels are learned from at most `sample` rows, chosen by a hash. Defined cases. Null counts as empty; empty texts get the score of their
+Labels are learned from at most `sample` different texts of different ids, chosen by a hash, however many rows repeat them. Defined cases. Null counts as empty; empty texts get the score of their
 (zero) vector: the share of label 1 in the sample. Labels that are null, or whose document is missing, are not learned from; rows with a
 null doc_id are held out. Without labels every score is 0.5. Rows that repeat a doc_id are judged row by row. Other columns are ignored.
 Texts are counted whole: the memory of a task grows with its longest text, to about a hundred times its bytes.
@@ -38,6 +39,9 @@ SAMPLE = 4000
 NEIGHBOURS = 35
 POWER = 2
 ACCEPT = 0.7
+#: Rows of a block of cosines, and digits of a cosine that count.
+ROWS = 64
+DIGITS = 6
 _SHAPE = np.array([97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _NO_LETTER = np.array([not (97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -142,14 +146,25 @@ class Model:
         self.axes = leading_axes(vectors, rank)
         self.latent = normalised_rows(vectors @ self.axes)
 
+    def cosines(self, x: np.ndarray) -> np.ndarray:
+        """Of unit rows with the labelled vectors, in blocks of one size: products of other sizes may round otherwise."""
+        full = np.zeros((-(-len(x) // ROWS) * ROWS, x.shape[1]), np.float32)
+        full[: len(x)] = x
+        return np.concatenate([full[i : i + ROWS] @ self.latent.T for i in range(0, len(full), ROWS)])[: len(x)]
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         if not len(self.labels):
             return np.full(n, self.base)
         x = normalised_rows(vectors_of(count_features(data, offsets), self.idf) @ self.axes)
-        cosine = x @ self.latent.T
+        cosine = np.round(self.cosines(x), DIGITS)
         k = min(self.k, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        # All that are nearer than the k-th, and of its equals the first ones.
+        edge = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        nearer = cosine > edge
+        equal = cosine == edge
+        chosen = nearer | (equal & (np.cumsum(equal, axis=1) <= k - nearer.sum(axis=1, keepdims=True)))
+        near = np.nonzero(chosen)[1].reshape(n, k)
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** self.power
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
@@ -160,10 +175,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     bounded_batches(documents.sparkSession)
     n, df = document_frequencies(documents.select("text"), count_features, DIMS)
     idf = inverse_frequencies(n, df)
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).distinct()
     share = hash_share("doc_id")  # only rows under a bound that about twice as many are under are ranked
     chosen = known.filter(share < (2 * sample + 20) / max(1, known.count())).orderBy(share, "doc_id", "quality").limit(sample)  # the documented bound, broadcast
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    one = ["doc_id", "th", "quality"]
+    # An id may have any number of rows and of texts: of its different texts, as many as the bound leaves.
+    different = texts.select("doc_id", "th").join(F.broadcast(chosen), "doc_id").select(*one).distinct()
+    taken = different.orderBy(hash_share("doc_id"), F.xxhash64("doc_id", "th"), *one).limit(sample)
+    rows = texts.join(F.broadcast(taken), ["doc_id", "th"]).dropDuplicates(one).select("quality", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 1, max_bytes=1 << 20, max_rows=256):

@@ -76,3 +76,28 @@ def test_axes_are_the_leading_ones():
     x = rng.standard_normal((60, 200)) @ np.diag(0.9 ** np.arange(200))
     _, _, exact = np.linalg.svd(x)
     assert np.allclose(np.abs(np.sum(op.leading_axes(x, 5) * exact[:5].T, axis=0)), 1, atol=1e-3)
+
+
+def test_the_sample_is_bounded_by_rows(spark, documents, monkeypatch):
+    """An id of many rows and texts, and labels that repeat it, don't add to the sample."""
+    kept = []
+    monkeypatch.setattr(op, "Model", lambda idf, vectors, labels, **k: kept.append(len(vectors)))
+    rows = [(1, f"text number {k % 2900}") for k in range(3000)] + [(k, f"other {k}") for k in range(100, 160)]
+    labels = spark.createDataFrame([(1, 1)] * 30 + [(k, k % 2) for k in range(100, 160)], "doc_id long, quality int")
+    op.train(documents(rows), labels, sample=20)
+    assert kept == [20]
+
+
+def test_ties_have_one_order():
+    """Many labelled vectors are the same: the same ones vote, whatever the batch is."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["aa", "Bb!", "c1", "dd"], 6)) for _ in range(12)]
+    raw = lambda some: (np.frombuffer("".join(some).encode(), np.uint8), np.cumsum([0] + [len(t) for t in some]))
+    x = op.vectors_of(op.count_features(*raw(texts * 20)), np.ones(op.DIMS, np.float32))
+    model = op.Model(np.ones(op.DIMS, np.float32), x, np.arange(len(x)) % 3 == 0, k=7)
+    asked = texts * 9
+    whole = model.score(*raw(asked))
+    for size in (1, 7, 64):
+        parts = np.concatenate([model.score(*raw(asked[i : i + size])) for i in range(0, len(asked), size)])
+        assert (parts == whole).all()
+    assert len(set(whole[: len(texts)].tolist())) > 1 and (whole.reshape(9, -1) == whole[: len(texts)]).all()
