@@ -37,3 +37,9 @@ def write_whole(uri: str) -> Iterator:
 def open_stream(uri: str):  # noqa: ANN201
     fs, path = store(uri)
     return fs.open_input_stream(path, compression=None)
+
+
+def open_file(uri: str):  # noqa: ANN201
+    """For reading at any place."""
+    fs, path = store(uri)
+    return fs.open_input_file(path)
