@@ -50,7 +50,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @filtering
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows are told apart by id and text."""
-    kept = near_dedup.near_rows(docs).filter("kept").select(F.col("doc_id").alias("own_id"), "h1", "h2").distinct()
+    kept = near_dedup.near_rows(docs).filter("stays").select(F.col("doc_id").alias("own_id"), "h1", "h2").distinct()
     h1, h2 = near_dedup.text_hashes(F.col("text"))
     rows = docs.withColumns({"own_h1": h1, "own_h2": h2})
     same = rows["doc_id"].eqNullSafe(kept["own_id"]) & (F.col("own_h1") == F.col("h1")) & (F.col("own_h2") == F.col("h2"))
