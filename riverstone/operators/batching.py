@@ -9,7 +9,7 @@ from riverstone.functions.rng import uniform
 from riverstone.session import stored
 
 
-def _ranged(df: DataFrame, order_by: tuple[str, ...], n_partitions: int | None) -> DataFrame:
+def ranged(df: DataFrame, order_by: tuple[str, ...], n_partitions: int | None = None) -> DataFrame:
     """df range-partitioned by an order, with the number of each row's partition (_part) and its place there (_at).
 
     Stored, as the bounds of ranges are sampled and another evaluation may cut elsewhere.
@@ -28,14 +28,14 @@ def _before(placed: DataFrame, amount: Column) -> DataFrame:
 
 def with_ordinal(df: DataFrame, *order_by: str, name: str = "ordinal", n_partitions: int | None = None) -> DataFrame:
     """Adds the position of each row in a total order, from 0, without bringing all rows to one task."""
-    placed = _ranged(df, order_by, n_partitions)
+    placed = ranged(df, order_by, n_partitions)
     both = placed.join(F.broadcast(_before(placed, F.count("*"))), "_part")
     return both.withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def with_running_sum(df: DataFrame, value: Column, *order_by: str, name: str = "acc", n_partitions: int | None = None) -> DataFrame:
     """Adds the sum of a value over all rows up to this one in a total order, without bringing all rows to one task."""
-    placed = _ranged(df, order_by, n_partitions)
+    placed = ranged(df, order_by, n_partitions)
     both = placed.join(F.broadcast(_before(placed, F.sum(value))), "_part")
     within = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn(name, F.col("_before") + within).drop("_part", "_at", "_before")

@@ -87,9 +87,21 @@ def initial_centroids(points: DataFrame, key: str, k: int, seed: int, features:
     return np.array([r.f for r in drawn.collect()])
 
 
-def _minibatch(points: np.ndarray, weights: np.ndarray, k: int, rounds: int, batch: int, seed: int, eta: str, replace: bool) -> np.ndarray:
+def seeded(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Weighted k-means++: up to k of the points, each drawn by weight times the squared distance to the nearest before it."""
+    left, chosen = np.full(len(points), np.inf), []
+    while len(chosen) < min(k, len(points)):
+        mass = np.cumsum(weights * left if chosen else weights)
+        if mass[-1] <= 0:
+            break
+        chosen.append(min(int(np.searchsorted(mass, rng.random() * mass[-1], side="right")), len(points) - 1))
+        left = np.minimum(left, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen].copy()
+
+
+def _minibatch(points: np.ndarray, weights: np.ndarray, k: int, rounds: int, batch: int, seed: int, eta: str, replace: bool, init: str) -> np.ndarray:
     rng = kernel.generator(seed)
-    c = points[rng.choice(len(points), min(k, len(points)), replace=replace)].copy()
+    c = seeded(points, weights, k, rng) if init == "k-means++" else points[rng.choice(len(points), min(k, len(points)), replace=replace)].copy()
     seen = np.zeros(len(c))
     for _ in range(rounds):
         order = rng.permutation(len(points))
@@ -103,9 +115,9 @@ def _minibatch(points: np.ndarray, weights: np.ndarray, k: int, rounds: int, bat
     return c
 
 
-def minibatch_kmeans(coreset: DataFrame, k: int = 3, rounds: int = 3, batch: int = 1000, seed: int = 3, eta: str = "weighted", replace: bool = False) -> DataFrame:
+def minibatch_kmeans(coreset: DataFrame, k: int = 3, rounds: int = 3, batch: int = 1000, seed: int = 3, eta: str = "weighted", replace: bool = False, init: str = "random") -> DataFrame:
     """cluster, features, from a coreset (weight, features), whose size is bounded, in one task. A point's step is its share of the
-    weight that its cluster has seen (`unweighted`: one over that weight)."""
+    weight that its cluster has seen (`unweighted`: one over that weight). init: `random` points, or `k-means++`."""
 
     def run(key, table):  # noqa: ANN001, ANN202
         """The whole coreset."""
@@ -113,7 +125,7 @@ def minibatch_kmeans(coreset: DataFrame, k: int = 3, rounds: int = 3, batch: int
 
         order = np.lexsort((*matrix_of(table.column("features")).T, table.column("weight").to_numpy()))
         points, weights = matrix_of(table.column("features"))[order], table.column("weight").to_numpy()[order]
-        c = _minibatch(points, weights, k, rounds, batch, seed, eta, replace)
+        c = _minibatch(points, weights, k, rounds, batch, seed, eta, replace, init)
         return pa.table({"cluster": pa.array(np.arange(len(c))), "features": pa.array(c.tolist(), pa.list_(pa.float64()))})
 
     return coreset.select(F.lit(0).alias("one"), "weight", "features").groupBy("one").applyInArrow(run, "cluster long, features array<double>")

@@ -171,10 +171,160 @@ def batch_coresets(points: DataFrame, m: int, features: str = "features", weight
     return rows.select(batch_of(F.col("ordinal"), 2 * m).alias("node"), "weight", "features").groupBy("node").applyInArrow(merge_kernel(m, seed, 0, options, sort=True), SCHEMA)
 
 
+def tree_nodes(points: DataFrame, by: str, key: str, m: int, features: str = "features", weight: str | None = None, seed: int = 3) -> DataFrame:
+    """The coreset tree of each group as a table of nodes, for groups that fit in a task (batches): the columns `by`, node (0: the root),
+    parent, left, right (null: none), centre (a key), mass, cost, size and members (keys, of leaves only; other nodes have those of their
+    leaves). A node's mass, cost and size are the sums of its children's."""
+    kinds = dict(points.dtypes)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    schema = f"{by} {kinds[by]}, node long, parent long, left long, right long, centre {kinds[key]}, mass double, cost double, size long, members array<{kinds[key]}>"
+
+    def run(group, table):  # noqa: ANN001, ANN202
+        """One group's nodes. Rows of no weight are in no node."""
+        table = table.filter(pa.array(table.column("weight").to_numpy() > 0)).sort_by("key")
+        keys = table.column("key").combine_chunks()
+        x, mass = matrix_of(table.column("features")), table.column("weight").to_numpy()
+        t = kernel.tree(x, mass, m, kernel.generator(seed)) if len(x) else {k: np.zeros(0, np.int64) for k in ("parent", "left", "right", "centre", "begin", "size", "mass", "cost", "rows")}
+        leaf = t["left"] < 0
+        members = [keys.take(pa.array(t["rows"][b : b + s])).to_pylist() if end else None for b, s, end in zip(t["begin"].tolist(), t["size"].tolist(), leaf, strict=True)]
+        real = lambda k: pa.array(t[k], pa.int64(), mask=t[k] < 0)
+        columns = [pa.array([group[0].as_py()] * len(leaf), group[0].type), pa.array(np.arange(len(leaf))), real("parent"), real("left"), real("right"), keys.take(pa.array(t["centre"])), pa.array(t["mass"], pa.float64()), pa.array(t["cost"], pa.float64()), pa.array(t["size"]), pa.array(members, pa.list_(keys.type))]
+        return pa.table(columns, [by, "node", "parent", "left", "right", "centre", "mass", "cost", "size", "members"])
+
+    rows = points.select(F.col(by), F.col(key).alias("key"), doubles(features).alias("features"), w.alias("weight"))
+    return rows.groupBy(by).applyInArrow(run, schema)
+
+
+#: Points that a task of a grouped reduction holds, of all groups together, before it gives what it has.
+HELD_POINTS = 1_000_000
+
+
+class Groups:
+    """Coresets of the groups of some rows: a binary counter for each group, and fewer than 2m points that wait."""
+
+    def __init__(self, m: int, seed: int, shard: int, held_points: int = HELD_POINTS, **options):  # noqa: ANN003
+        self.m, self.seed, self.shard, self.options, self.most = m, seed, shard, options, held_points
+        self.counters: dict[object, Buckets] = {}
+        self.waiting: dict[object, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def add(self, keys: pa.Array, points: np.ndarray, weights: np.ndarray) -> bool:
+        """Takes rows in; whether so many points are held now that the groups should be given."""
+        code = pa.array(keys).dictionary_encode(null_encoding="encode")
+        index = code.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(index, kind="stable")
+        for k, own in zip(code.dictionary.to_pylist(), np.split(order, np.cumsum(np.bincount(index, minlength=len(code.dictionary)))[:-1]), strict=True):
+            mine = self.waiting.setdefault(k, [])
+            mine.append((points[own], weights[own]))
+            self.held += len(own)
+            if sum(len(p) for p, _ in mine) >= 2 * self.m:
+                self._count(k)
+        return self.held > self.most
+
+    def _count(self, k: object) -> None:
+        counter = self.counters.setdefault(k, Buckets(self.m, self.seed, self.shard, **self.options))
+        before = sum(len(p) for p, _ in counter.slots.values()) + sum(len(p) for p, _ in self.waiting[k])
+        counter.add(*(np.concatenate([w[i] for w in self.waiting[k]]) for i in (0, 1)))
+        self.waiting[k] = []
+        self.held += sum(len(p) for p, _ in counter.slots.values()) - before
+
+    def given(self) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+        """Each group's key, points and weights: at most m of them. Nothing is held after that."""
+        for k in list(self.waiting):
+            if self.waiting[k]:
+                self._count(k)
+            yield k, *self.counters[k].final()
+        self.counters, self.waiting, self.held = {}, {}, 0
+
+
+def _group_table(kind: pa.DataType, node: int, found: list[tuple]) -> pa.RecordBatch:
+    """key, node, weight, features of some groups."""
+    d = found[0][1].shape[1]
+    n = sum(len(w) for _, _, w in found)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.concatenate([p for _, p, _ in found]).reshape(-1)))
+    keys = pa.array([k for k, _, _ in found], kind).take(pa.array(np.repeat(np.arange(len(found)), [len(w) for _, _, w in found])))
+    return pa.record_batch([keys, pa.array(np.full(n, node)), pa.array(np.concatenate([w for _, _, w in found])), lists], ["key", "node", "weight", "features"])
+
+
+def _batched(groups: Groups, kind: pa.DataType, node: int) -> Iterator[pa.RecordBatch]:
+    found, rows = [], 0
+    for own in groups.given():
+        found.append(own)
+        rows += len(own[2])
+        if rows >= 10_000:
+            yield _group_table(kind, node, found)
+            found, rows = [], 0
+    if found:
+        yield _group_table(kind, node, found)
+
+
+def grouped_coresets(points: DataFrame, by: str, m: int = DEFAULT_M, features: str = "features", weight: str | None = None, seed: int = 3, fan_in: int = 8, held_points: int = HELD_POINTS, **options) -> DataFrame:  # noqa: ANN003
+    """key, weight, features: a coreset of each group, as a partial and a merge aggregate.
+
+    Tasks reduce the groups of the rows that they read, whatever the keys are, and give at most m points of each; those are merged about
+    `fan_in` tasks at a time. So the largest task of a merge has fan_in * m rows of a group, however large the group is.
+    """
+    kind = points.schema[by].dataType.simpleString()
+    schema = f"key {kind}, node long, weight double, features array<double>"
+    rows = spread(points.select(F.col(by).alias("key"), *_inputs(points, features, weight)))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        groups, own = Groups(m, seed, shard, held_points, **options), pa.string()
+        for b in batches:
+            if b.num_rows:
+                own = b.column(0).type
+                if groups.add(b.column(0), matrix_of(b.column(1)), b.column(2).to_numpy(zero_copy_only=False)):
+                    yield from _batched(groups, own, shard)
+        yield from _batched(groups, own, shard)
+
+    def merged(level: int):  # noqa: ANN202
+        def run(key, table):  # noqa: ANN001, ANN202
+            """The rows of a group's node as one coreset."""
+            made, weights = matrix_of(table.column("features")), table.column("weight").to_numpy()
+            order = np.lexsort((weights, *made.T))
+            at, mass = kernel.coreset(made[order], weights[order], m, kernel.generator(seed, level, key[1].as_py()), **options)
+            return pa.Table.from_batches([_group_table(key[0].type, key[1].as_py(), [(key[0].as_py(), made[order][at], mass)])])
+
+        return run
+
+    out, width, level = rows.mapInArrow(part, schema), 1, 1
+    while width * fan_in < rows.rdd.getNumPartitions():
+        width *= fan_in
+    while width:
+        out = out.withColumn("node", F.pmod("node", F.lit(width))).groupBy("key", "node").applyInArrow(merged(level), schema)
+        width, level = width // fan_in, level + 1
+    return out.drop("node")
+
+
+def register_partial(spark: SparkSession, name: str = "coreset_parts", m: int = 100, seed: int = 3) -> None:
+    """A table function for SQL: name(TABLE(SELECT key, features, weight ...)) gives key, weight, features, at most m points of each key from
+    each task. What coreset_aggregate() registers makes one of them: SELECT key, coreset(features, weight) FROM name(...) GROUP BY key."""
+
+    @F.arrow_udtf(returnType="key string, weight double, features array<double>")
+    class Parts:
+        def __init__(self) -> None:
+            self.groups = Groups(m, seed, TaskContext.get().partitionId())
+
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            if rows.num_rows and self.groups.add(rows.column(0).cast(pa.string()), matrix_of(rows.column(1)), rows.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False)):
+                yield from self._given()
+
+        def terminate(self) -> Iterator[pa.Table]:
+            yield from self._given()
+
+        def _given(self) -> Iterator[pa.Table]:
+            for b in _batched(self.groups, pa.string(), 0):
+                yield pa.Table.from_batches([b]).drop(["node"])
+
+    spark.udtf.register(name, Parts)
+
+
 def coreset_aggregate(spark: SparkSession, name: str = "coreset", m: int = 100, seed: int = 3) -> None:
     """Registers an aggregate for SQL: name(features) or name(features, weight) gives array<struct<weight, features>> of at most m points.
 
-    A group's points meet in one task; for groups that don't fit in one, reduce first with coreset().
+    A group's points meet in one task; large groups go through the table function of register_partial() first, which each task applies to
+    what it reads, so that at most m points for each task meet.
     """
 
     @F.arrow_udf("array<struct<weight:double,features:array<double>>>")

@@ -123,7 +123,8 @@ def _sequential(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
     return _without_empty(np.array(centres), leaf)
 
 
-def _rounds(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
+def _rounds(points, w, m, rng, tries, metric, pick, splits=None, order_out=None):  # noqa: ANN001, ANN202
+    """splits: gets (leaves that were split, new leaves) of each round; order_out: gets the rows, leaf by leaf, where leaves begin, their sizes, costs and centres."""
     n = len(points)
     columns = [np.ascontiguousarray(c) for c in points.T] if metric == "l2" and points.shape[1] <= 8 else None
     order = np.arange(n)  # rows, leaf by leaf: leaf i has order[begin[i] : begin[i] + size[i]]
@@ -161,6 +162,7 @@ def _rounds(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
             low = run[starts] - cost[starts]
             span = run[starts + own - 1] - low
             tried = [np.clip(np.searchsorted(run, low + rng.random(len(at)) * span, side="right"), starts, starts + own - 1) for _ in range(tries)]
+            tried = _distinct(tried, cost, starts, own)
         best, best_far, best_c = None, None, None
         for c in tried:
             if columns is not None:
@@ -201,13 +203,37 @@ def _rounds(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
         new = slice(k, k + n_new)
         begin[new], size[new] = begin[split] + stay[useful], moved[useful]
         centres[new], costs[new] = ids[best_c[useful]], new_cost[useful]
+        if splits is not None:
+            splits.append((split, np.arange(k, k + n_new)))
         k += n_new
+    if order_out is not None:
+        order_out += [order, begin[:k].copy(), size[:k].copy(), costs[:k].copy(), centres[:k].copy()]
     leaf = np.empty(n, np.int64)
     places = np.repeat(begin[:k] - (np.cumsum(size[:k]) - size[:k]), size[:k]) + np.arange(n)
     leaf[order[places]] = np.repeat(np.arange(k), size[:k])
     return _without_empty(centres[:k], leaf)
 
 
+def _distinct(tried: list[np.ndarray], cost: np.ndarray, starts: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Draws of each leaf made distinct: one that others have drawn before passes on to the leaf's next row of positive cost, round and round.
+
+    Leaves with fewer such rows than tries keep what has no other place to go.
+    """
+    positive = np.flatnonzero(cost > 0)
+    low, count = np.searchsorted(positive, starts), np.searchsorted(positive, starts + own) - np.searchsorted(positive, starts)
+    place = lambda c: np.minimum(np.searchsorted(positive, c), low + count - 1) - low
+    taken = []
+    for c in tried:
+        at = place(c)
+        for _ in range(len(taken)):
+            clash = np.zeros(len(at), bool)
+            for other in taken:
+                clash |= at == other
+            at = np.where(clash, (at + 1) % count, at)
+        taken.append(at)
+    return [positive[low + at] for at in taken]
+
+
 def _without_empty(centres: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     used, leaf = np.unique(leaf, return_inverse=True)
     return centres[used], leaf
@@ -217,3 +243,38 @@ def leaves(points: np.ndarray, weights: np.ndarray, m: int, rng: np.random.Gener
     """The leaves of a tree over points of positive weight: centre (a row), mass, and rows of the members; each row is in one leaf."""
     centres, leaf = _rounds(np.ascontiguousarray(points, np.float64), weights.astype(np.float64), min(m, len(points)), rng, tries, "l2", "d2")
     return [(int(c), float(weights[leaf == k].sum()), np.flatnonzero(leaf == k)) for k, c in enumerate(centres)]
+
+
+def tree(points: np.ndarray, weights: np.ndarray, m: int, rng: np.random.Generator, tries: int = 3) -> dict[str, np.ndarray]:
+    """The tree over points of positive weight as a table of nodes, parents before their children.
+
+    parent, left, right (-1: none), centre (a row), mass and cost (of a leaf about its centre; of other nodes the sums of their children's),
+    begin and size: a node's members are rows[begin : begin + size], so a leaf's and its sister's stand side by side in their parent's.
+    """
+    points, w = np.ascontiguousarray(points, np.float64), weights.astype(np.float64)
+    splits: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[np.ndarray] = []
+    _rounds(points, w, min(m, len(points)), rng, tries, "l2", "d2", splits, out)
+    rows, begin, size, cost, centres = out
+    n = 1 + 2 * sum(len(new) for _, new in splits)
+    nodes = {k: np.full(n, -1, np.int64) for k in ("parent", "left", "right", "centre", "begin", "size")} | {"mass": np.zeros(n), "cost": np.zeros(n)}
+    slot = np.zeros(len(begin), np.int64)  # the node that each leaf is just now
+    made = 1
+    for old, new in splits:
+        for i, j in zip(old.tolist(), new.tolist(), strict=True):
+            up = int(slot[i])
+            nodes["left"][up], nodes["right"][up] = made, made + 1
+            nodes["parent"][made : made + 2] = up
+            slot[i], slot[j] = made, made + 1
+            made += 2
+    for i, node in enumerate(slot.tolist()):
+        own = rows[begin[i] : begin[i] + size[i]]
+        nodes["begin"][node], nodes["size"][node], nodes["centre"][node] = begin[i], size[i], centres[i]
+        nodes["mass"][node], nodes["cost"][node] = w[own].sum(), cost[i]
+    for up in range(n - 1, -1, -1):  # children come after their parent
+        a, b = nodes["left"][up], nodes["right"][up]
+        if a >= 0:
+            nodes["begin"][up], nodes["size"][up], nodes["centre"][up] = nodes["begin"][a], nodes["size"][a] + nodes["size"][b], nodes["centre"][a]
+            for k in ("mass", "cost"):
+                nodes[k][up] = nodes[k][a] + nodes[k][b]
+    return nodes | {"rows": rows}

@@ -6,21 +6,20 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riverstone.functions.rng import uniform
-from riverstone.functions.vectors import cosine_distance, doubles
-from riverstone.operators import batching, clustering, collectives, quality, rollup, sampling, topology
+from riverstone.functions.vectors import cosine_distance, doubles, sq_l2
+from riverstone.operators import batching, clustering, collectives, quality, rollup, sampling, seeding, topology
 from riverstone.operators import coreset as coresets
 from riverstone.plans import sql
 from riverstone.schema import checked_points, has_bad_value
-from riverstone.session import stored, work_path
+from riverstone.session import spread, stored, work_path
 from riverstone.sources import binary, generate, text
 from riverstone.sources.streams import file_stream, parsed_points
-from riverstone.streaming import coreset_stream
+from riverstone.streaming import coreset_stream, panes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,6 +310,24 @@ def lloyd_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cluster", "dim", six("x"))
 
 
+_SEEDS = range(5)
+
+
+@query(f"WITH {sql.E}, {sql.plus_plus(21, len(_SEEDS))} SELECT * FROM ({' UNION ALL '.join(f'SELECT {k} AS rank, (SELECT cid FROM c{k}) AS vec_id, round(sum(d2), 5) AS cost FROM p{k}' for k in _SEEDS)})")
+def kmeanspp_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Five seeds by k-means++ over the whole table, and the cost that is left after each."""
+    keys, _, left = seeding.kmeans_pp(points(spark, sf), "vec_id", len(_SEEDS), 21)
+    return spark.createDataFrame(list(zip(_SEEDS, keys, left, strict=False)), "rank int, vec_id long, cost double").select("rank", "vec_id", F.round("cost", 5).alias("cost"))
+
+
+@query(f"WITH {sql.E}, {sql.oversampled(23, 6, 2)} SELECT c.round, c.cid AS vec_id, count(a.vec_id) AS n FROM c LEFT JOIN a ON a.cid = c.cid GROUP BY 1, 2")
+def kmeans_parallel_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of two rounds of k-means||, about six in each, and how many rows each is nearest to."""
+    found, centres = seeding.oversampled(points(spark, sf), "vec_id", 6, 2, 23)
+    n = seeding.candidate_weights(points(spark, sf), centres)
+    return spark.createDataFrame([(r, key, int(c)) for (r, key), c in zip(found, n, strict=True)], "round int, vec_id long, n long")
+
+
 _THIRD = "((SELECT count(*) + 2 FROM e) // 3)"
 
 
@@ -559,13 +576,28 @@ def library_comparator(spark: SparkSession, sf: str) -> DataFrame:
     return theirs.crossJoin(ours).select(F.lit(0).cast("long").alias("vec_id"), (F.col("own") <= 1.25 * F.col("cost")).alias("better"))
 
 
-@query("SELECT label, round(CAST(count(*) AS DOUBLE), 6) AS mass, least(count(*), 20) AS n FROM embeddings GROUP BY 1")
+_HOT = "CASE WHEN label < 7 THEN 0 ELSE label END"
+
+
+@query(f"SELECT {_HOT} AS label, round(CAST(count(*) AS DOUBLE), 6) AS mass, least(count(*), 20) AS n FROM embeddings GROUP BY 1")
 def coreset_sql_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    """The aggregate for SQL: a coreset of each label."""
+    """A coreset of each label in SQL, most rows being of one label: tasks reduce what they read, and an aggregate merges what they give."""
     coresets.coreset_aggregate(spark, "coreset_20", 20)
-    rows = points(spark, sf).select("label", doubles("features").alias("features"), F.lit(1.0).alias("w"))
-    made = spark.sql("SELECT label, coreset_20(features, w) AS c FROM {p} GROUP BY label", p=rows)
-    return made.select("label", F.round(F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["weight"]), 6).alias("mass"), F.size("c").cast("long").alias("n"))
+    coresets.register_partial(spark, "coreset_20_parts", 20)
+    rows = spread(points(spark, sf)).select(F.expr(_HOT).cast("string").alias("label"), doubles("features").alias("features"), F.lit(1.0).alias("w"))
+    rows.createOrReplaceTempView("riverstone_hot_points")
+    made = spark.sql("SELECT key, coreset_20(features, weight) AS c FROM coreset_20_parts(TABLE(riverstone_hot_points)) GROUP BY key")
+    return made.select(F.col("key").cast("int").alias("label"), F.round(F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["weight"]), 6).alias("mass"), F.size("c").cast("long").alias("n"))
+
+
+@query(f"SELECT {_HOT} AS label, round(CAST(count(*) AS DOUBLE), 6) AS mass, least(count(*), 20) AS n, CAST(0 AS BIGINT) AS strangers FROM embeddings GROUP BY 1")
+def coreset_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    """A coreset of each label as a partial and a merge aggregate: mass, rows, and rows that aren't points of the label."""
+    own = points(spark, sf).select(F.expr(_HOT).alias("label"), doubles("features").alias("features"))
+    made = stored(coresets.grouped_coresets(own, "label", 20), "grouped")
+    known = own.select(F.col("label").alias("key"), "features").distinct().withColumn("known", F.lit(1))
+    both = made.join(known, ["key", "features"], "left")
+    return both.groupBy(F.col("key").alias("label")).agg(F.round(F.sum("weight"), 6).alias("mass"), F.count("*").alias("n"), F.sum(F.coalesce(1 - F.col("known"), F.lit(1)).cast("long")).alias("strangers"))
 
 
 @query(f"SELECT vec_id, CAST(floor({sql.u(11, f'vec_id // {BATCH}')} * {WORKERS}) AS BIGINT) AS worker FROM embeddings")
@@ -575,19 +607,53 @@ def random_worker(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", batching.random_worker_of(batching.batch_of(F.col("ordinal"), BATCH), WORKERS, 11).alias("worker"))
 
 
-@query("SELECT count(*) AS n, round(CAST(count(*) AS DOUBLE), 6) AS mass, true AS leaves_at_most_m FROM embeddings")
-def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
-    """The leaves of a tree over each label's points: every point is in one leaf, and masses add up."""
-    from riverstone.operators import kernel
+_TREE_ROWS = 256
+
 
-    def listed(key, table):  # noqa: ANN001, ANN202
-        """One row for each leaf of a label."""
-        x = coresets.matrix_of(table.column("features"))
-        found = kernel.leaves(x, np.ones(len(x)), M, kernel.generator(1))
-        return pa.table({"leaf": pa.array(range(len(found)), pa.int64()), "mass": pa.array([f[1] for f in found]), "members": pa.array([len(f[2]) for f in found], pa.int64()), "few": pa.array([len(found) <= M] * len(found))})
+def _trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their tree (a batch of 256), nodes of all trees, and the leaf of each row; centres and members are vec_ids. Stored."""
+    rows = batching.with_ordinal(points(spark, sf), "vec_id").select(batching.batch_of(F.col("ordinal"), _TREE_ROWS).alias("tree"), "vec_id", (F.col("vec_id") % 5 + 1).cast("double").alias("w"), doubles("features").alias("features"))
+    rows = stored(rows, "tree-rows")
+    made = stored(coresets.tree_nodes(rows, "tree", "vec_id", M, weight="w"), "trees")
+    nodes = made.drop("members")
+    leaves = made.filter("left is null").select("tree", "node", "centre", F.explode("members").alias("vec_id"))
+    return rows, nodes, leaves
 
-    made = points(spark, sf).select("label", doubles("features").alias("features")).groupBy("label").applyInArrow(listed, "leaf long, mass double, members long, few boolean")
-    return made.agg(F.sum("members").alias("n"), F.round(F.sum("mass"), 6).alias("mass"), F.min("few").alias("leaves_at_most_m"))
+
+@query(f"""WITH r AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // {_TREE_ROWS} AS tree, vec_id % 5 + 1 AS w FROM embeddings)
+SELECT tree, round(CAST(sum(w) AS DOUBLE), 6) AS mass, count(*) AS members, least(count(*), {M}) AS leaves, 2 * least(count(*), {M}) - 1 AS nodes, CAST(0 AS BIGINT) AS unlike_mass, CAST(0 AS BIGINT) AS unlike_cost, CAST(0 AS BIGINT) AS unlike_size FROM r GROUP BY 1""")
+def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each tree: the root's mass and members, leaves and nodes, and nodes whose mass, cost or size isn't the sum of their children's."""
+    _, nodes, _ = _trees(spark, sf)
+    sums = nodes.filter("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(*[F.sum(k).alias(f"s_{k}") for k in ("mass", "cost", "size")])
+    both = nodes.join(sums, ["tree", "node"], "left")
+    off = lambda k: F.sum((F.abs(F.col(k) - F.col(f"s_{k}")) > 1e-9 * F.abs(F.col(k))).cast("long"))
+    root = F.col("parent").isNull()
+    return both.groupBy("tree").agg(F.round(F.max(F.when(root, F.col("mass"))), 6).alias("mass"), F.max(F.when(root, F.col("size"))).alias("members"), F.count(F.when(F.col("left").isNull(), 1)).alias("leaves"), F.count("*").alias("nodes"), *[F.coalesce(off(k), F.lit(0)).alias(f"unlike_{k}") for k in ("mass", "cost", "size")])
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY vec_id) - 1) // {_TREE_ROWS} AS tree, vec_id, CAST(1 AS BIGINT) AS leaves, true AS nearest_of_sisters FROM embeddings")
+def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """In how many leaves each row is, and whether its leaf's centre is no farther from it than the centre of the leaf beside, if that is one."""
+    rows, nodes, leaves = _trees(spark, sf)
+    ends = nodes.filter("left is null").select("tree", "node", "parent", "centre")
+    pairs = ends.join(ends.select("tree", F.col("node").alias("sister"), "parent", F.col("centre").alias("other")), ["tree", "parent"], "left").filter("sister is null or sister <> node or parent is null")
+    beside = ends.select("tree", "node", "centre").join(pairs.filter("sister <> node").select("tree", "node", "other"), ["tree", "node"], "left")
+    at = lambda name: rows.select("tree", F.col("vec_id").alias(name), F.col("features").alias(f"x_{name}"))
+    known = leaves.drop("centre").join(beside, ["tree", "node"]).join(rows.select("tree", "vec_id", "features"), ["tree", "vec_id"]).join(at("centre"), ["tree", "centre"]).join(at("other"), ["tree", "other"], "left")
+    own, far = sq_l2(F.col("features"), F.col("x_centre")), sq_l2(F.col("features"), F.col("x_other"))
+    return known.groupBy("tree", "vec_id").agg(F.count("*").alias("leaves"), F.min(F.coalesce(own <= far + 1e-9, F.lit(True))).alias("nearest_of_sisters"))
+
+
+@query(f"""WITH r AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // {_TREE_ROWS} AS tree FROM embeddings) SELECT tree, CAST(0 AS BIGINT) AS unlike, true AS costs FROM r GROUP BY 1""")
+def cost_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    """The cost of each leaf and root of the kernel's trees against distances of all rows to the centre of their leaf, taken anew."""
+    rows, nodes, leaves = _trees(spark, sf)
+    far = leaves.join(rows, ["tree", "vec_id"]).join(rows.select("tree", F.col("vec_id").alias("centre"), F.col("features").alias("x")), ["tree", "centre"])
+    cost = far.groupBy("tree", "node").agg(F.sum(F.col("w") * sq_l2(F.col("features"), F.col("x"))).alias("taken"))
+    off = lambda a, b: F.abs(F.col(a) - F.col(b)) > 1e-9 * F.col(b) + 1e-9
+    ends = nodes.join(cost, ["tree", "node"]).groupBy("tree").agg(F.sum(off("cost", "taken").cast("long")).alias("ends"), F.sum("taken").alias("total"))
+    return ends.join(nodes.filter("parent is null").select("tree", "cost"), "tree").select("tree", (F.col("ends") + off("cost", "total").cast("long")).alias("unlike"), (F.col("cost") > 0).alias("costs"))
 
 
 # Sources and sinks
@@ -684,9 +750,7 @@ def _event_stream(spark: SparkSession, sf: str, *also: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf: str, shards: int) -> DataFrame:
     out = work_path(spark, "stream")
-    answers = coreset_stream.stream_coresets(_event_stream(spark, sf), 200, shards)
-    job = answers.writeStream.outputMode("update").option("checkpointLocation", work_path(spark, "stream-state")).trigger(availableNow=True).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")).start()
-    job.awaitTermination()
+    _run(coreset_stream.stream_coresets(_event_stream(spark, sf), 200, shards), out, work_path(spark, "stream-state"))
     return coreset_stream.combined(spark.read.schema(coreset_stream.OUTPUT).parquet(out), 200)
 
 
@@ -707,17 +771,77 @@ def window_coreset_mass(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy(F.col("window_start").cast("timestamp_ntz").alias("day")).agg(F.round(F.sum("weight"), 4).alias("mass"), F.count("*").alias("n"))
 
 
+def _run(answers: DataFrame, out: str, state: str, batch: str = "batch") -> None:
+    """Runs a stream to the end of what is there; each micro-batch's answers are a folder, which a retried one writes again."""
+    job = answers.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
+    job.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/{batch}={k}")).start().awaitTermination()
+
+
+#: Of a table of events, each arrives with its half or, if its number divides by 5, one later, by 7, at the end.
+_ARRIVAL = "CASE WHEN event_id % 7 = 0 THEN 2 ELSE least(event_id * 2 // n + (CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END), 2) END"
+_ARRIVED = f"""q AS (SELECT *, {_ARRIVAL} AS arrival FROM events, (SELECT count(*) AS n FROM events)), b AS (SELECT range AS arrival FROM range(3)),
+wm AS (SELECT b.arrival, max(epoch_us(q.ts)) // 1000 - 10 * 86400000 AS ms FROM b LEFT JOIN q ON q.arrival < b.arrival GROUP BY 1),
+a AS (SELECT q.user_id, epoch_us(q.ts) AS us FROM q JOIN wm USING (arrival) WHERE ms IS NULL OR epoch_us(q.ts) > ms * 1000)"""
+
+
+def _paned(spark: SparkSession, sf: str, pane: str, m: int, by: F.Column | None = None) -> DataFrame:
+    """Answers of the panes of all events, which come in three parts, not in order, some of them behind a watermark of ten days; the stream
+    is stopped after each part and goes on from its checkpoint."""
+    events = table(spark, sf, "events")
+    half = F.floor(F.col("event_id") * 2 / events.count()).cast("int")
+    arrival = F.when(F.col("event_id") % 7 == 0, 2).otherwise(F.least(half + (F.col("event_id") % 5 == 0).cast("int"), F.lit(2)))
+    path, out, state = (work_path(spark, k) for k in ("arrived", "panes", "panes-state"))
+    for k in range(3):
+        events.filter(arrival == k).select("event_id", "ts", "user_id", "value").write.mode("append").parquet(path)
+        rows = file_stream(spark, path, "event_id long, ts timestamp_ntz, user_id long, value double").select("ts", "user_id", F.col("event_id").alias("id"), F.array("value", F.col("user_id").cast("double")).alias("features"))
+        _run(panes.stream_panes(rows, "ts", pane, "10 days", m, by), out, state)
+    return spark.read.schema(panes.OUTPUT).parquet(out)
+
+
 @query("SELECT date_trunc('day', ts) AS day, round(CAST(count(*) AS DOUBLE), 4) AS mass, least(count(*), 50) AS n FROM events GROUP BY 1")
 def stream_window_mass(spark: SparkSession, sf: str) -> DataFrame:
     """Coresets of the days of the stream of events, each as it was answered last."""
     out = work_path(spark, "windows")
-    answers = coreset_stream.stream_windows(_event_stream(spark, sf, "ts"), "ts", "1 day", "2 days", 50)
-    job = answers.writeStream.outputMode("update").option("checkpointLocation", work_path(spark, "windows-state")).trigger(availableNow=True).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")).start()
-    job.awaitTermination()
-    found = coreset_stream.combined_windows(spark.read.schema(coreset_stream.OUTPUT).parquet(out), 50)
+    _run(panes.stream_panes(_event_stream(spark, sf, "ts"), "ts", "1 day", "2 days", 50), out, work_path(spark, "windows-state"))
+    found = panes.sliding_windows(spark.read.schema(panes.OUTPUT).parquet(out), "1 day", "1 day", "1 day", 50)
     return found.groupBy(F.col("window_start").cast("timestamp_ntz").alias("day")).agg(F.round(F.sum("weight"), 4).alias("mass"), F.count("*").alias("n"))
 
 
+_DAYS = "SELECT a.us - a.us % 86400000000 - s.range * 86400000000 AS start FROM a, range(3) s"
+
+
+@query(f"WITH {_ARRIVED} SELECT start, count(*) AS n_rows, round(CAST(count(*) AS DOUBLE), 4) AS mass, least(count(*), 50) AS n, CAST(1 AS BIGINT) AS panes_of_a_row FROM ({_DAYS}) GROUP BY 1")
+def stream_sliding_mass(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of three days, one a day, of events that come late and not in order: rows, mass and points of each, and in how many panes a row was fed."""
+    answers = _paned(spark, sf, "1 day", 50)
+    found = panes.sliding_windows(answers, "3 days", "1 day", "1 day", 50)
+    fed = panes.latest(answers).select("key", "pane", "shard", "n_rows").distinct().agg(F.sum("n_rows").alias("fed"))
+    seen = answers.groupBy("key", "pane", "shard").agg(F.max("n_rows").alias("most")).agg(F.sum("most").alias("most"))
+    each = fed.crossJoin(seen).select((F.col("fed") / F.col("most")).cast("long").alias("panes_of_a_row"))
+    made = found.groupBy(F.unix_micros("window_start").alias("start")).agg(F.max("n_rows").alias("n_rows"), F.round(F.sum("weight"), 4).alias("mass"), F.count("*").alias("n"))
+    return made.crossJoin(F.broadcast(each))
+
+
+@query(f"""WITH {_ARRIVED}, l AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 43200000000 THEN 0 ELSE 1 END AS begins FROM a),
+s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY us) AS session FROM l)
+SELECT user_id, min(us) AS session_start, max(us) + 43200000000 AS session_end, count(*) AS n_rows, round(CAST(count(*) AS DOUBLE), 4) AS mass, least(count(*), 5) AS n FROM s GROUP BY user_id, session""")
+def stream_session_mass(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's sessions with gaps of twelve hours, of events that come late and fill gaps: bounds, rows, mass and points of each."""
+    found = panes.session_windows(_paned(spark, sf, "12 hours", 5, F.col("user_id")), "12 hours", "12 hours", 5)
+    made = found.groupBy(F.col("key").cast("long").alias("user_id"), F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"))
+    return made.agg(F.max("n_rows").alias("n_rows"), F.round(F.sum("weight"), 4).alias("mass"), F.count("*").alias("n"))
+
+
+@query("SELECT round(CAST(count(*) AS DOUBLE), 4) AS mass, true AS small FROM events")
+def stream_state_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer from the state that a stream has left in its checkpoint, without what it emitted."""
+    state = work_path(spark, "stream-state")
+    job = coreset_stream.stream_coresets(_event_stream(spark, sf), 200, 4).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
+    job.format("noop").start().awaitTermination()
+    found = coresets.coreset(coreset_stream.stored_answers(spark, state), 200, weight="weight")
+    return found.agg(F.round(F.sum("weight"), 4).alias("mass"), (F.count("*") <= 200).alias("small"))
+
+
 @query(f"WITH {sql.E} SELECT a.vec_id, round({sql.sq('a.f', 'b.f')}, 6) AS d2 FROM e a, (SELECT f FROM e WHERE vec_id = 0) b")
 def scaled_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Distances of cluster features: sums over two copies of a point, divided by their weight of two, are the point's own."""
@@ -812,10 +936,3 @@ def coreset_sequential(spark: SparkSession, sf: str) -> DataFrame:
     cost = lambda small, name: quality.cost(clustering.assign(rows, small.select((F.row_number().over(Window.orderBy("weight", "features")) - 1).cast("long").alias("cluster"), "features")), F.col("weight")).select(F.col("cost").alias(name))
     sums = many.agg(F.round(F.sum("weight"), 6).alias("mass"), (F.count("*") <= M).alias("small"))
     return sums.crossJoin(cost(few, "a")).crossJoin(cost(many, "b")).select("mass", "small", (F.col("b") < F.col("a")).alias("cheaper"))
-
-
-@query(f"WITH {sql.TREE} SELECT coalesce(side, -1) AS node, count(*) AS members, round(sum(d2), 6) AS cost FROM s GROUP BY ROLLUP (side)")
-def cost_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    """Costs of the leaves of a split and of the node above them (-1), the sum of its children's."""
-    leaves = _split(spark, sf).rollup("side").agg(F.count("*").alias("members"), F.round(F.sum("d2"), 6).alias("cost"))
-    return leaves.select(F.coalesce("side", F.lit(-1)).alias("node"), "members", "cost")

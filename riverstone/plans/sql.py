@@ -54,3 +54,27 @@ def minibatch_round(k: int, size: int) -> str:
     z = f"""z{k + 1} AS (SELECT z.cluster, z.seen + coalesce(m.n, 0) AS seen, CASE WHEN m.n IS NULL THEN z.f
   ELSE list_transform(range(1, 65), lambda i: (z.f[i] * z.seen + m.total[i]) / (z.seen + m.n)) END AS f FROM z{k} z LEFT JOIN m{k} m USING (cluster))"""
     return f"{batch}, {a}, {m}, {z}"
+
+
+def plus_plus(seed: int, k: int) -> str:
+    """c0, c1 ... (cid, cf): seeds by k-means++; p0, p1 ... (vec_id, f, d2): rows and their distance to the nearest seed so far."""
+    first = f"c0 AS (SELECT vec_id AS cid, f AS cf FROM e ORDER BY {u(seed, 'vec_id')}, vec_id LIMIT 1), p0 AS (SELECT vec_id, f, {sq('e.f', 'c0.cf')} AS d2 FROM e, c0)"
+    run = "SELECT *, sum(d2) OVER (ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS acc, sum(d2) OVER () AS total FROM"
+    more = [
+        f"c{i} AS (SELECT vec_id AS cid, f AS cf FROM ({run} p{i - 1}) WHERE d2 > 0 AND acc >= {u(seed, str(i))} * total ORDER BY vec_id LIMIT 1), p{i} AS (SELECT p.vec_id, p.f, least(p.d2, {sq('p.f', f'c{i}.cf')}) AS d2 FROM p{i - 1} p, c{i})"
+        for i in range(1, k)
+    ]
+    return ", ".join([first, *more])
+
+
+def oversampled(seed: int, many: float, rounds: int) -> str:
+    """c (round, cid, cf): candidates of k-means||; a (vec_id, cid): the candidate that each row is nearest to, the first of equals."""
+    chance = lambda r: f"(CAST('0x' || substr(md5('{seed}:{r}:' || vec_id), 1, 8) AS BIGINT) / 4294967296.0)"
+    out = [f"r0 AS (SELECT 0 AS round, vec_id AS cid, f AS cf FROM e ORDER BY {u(seed, 'vec_id')}, vec_id LIMIT 1)"]
+    for r in range(1, rounds + 1):
+        known = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(r))
+        out.append(f"d{r} AS (SELECT e.vec_id, any_value(e.f) AS f, min({sq('e.f', 'k.cf')}) AS d2 FROM e, ({known}) k GROUP BY 1)")
+        out.append(f"r{r} AS (SELECT {r} AS round, vec_id AS cid, f AS cf FROM d{r}, (SELECT sum(d2) AS total FROM d{r}) WHERE d2 > 0 AND {chance(r)} < {many} * d2 / total)")
+    out.append("c AS (" + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(rounds + 1)) + ")")
+    out.append(f"a AS (SELECT e.vec_id, c.cid FROM e, c QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY {sq('e.f', 'c.cf')}, c.round, c.cid) = 1)")
+    return ", ".join(out)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 64, **options: str) -> DataFrame:
-    """Parquet files of a folder; a micro-batch takes a bounded number of them, so that it doesn't grow with what has piled up."""
-    return spark.readStream.schema(schema).options(maxFilesPerTrigger=str(files_per_trigger), **options).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int | None = None, bytes_per_trigger: int = 1 << 30, **options: str) -> DataFrame:
+    """Parquet files of a folder; a micro-batch takes so many bytes of them (or so many files, if that is given), so that it doesn't grow with
+    what has piled up."""
+    limit = {"maxFilesPerTrigger": str(files_per_trigger)} if files_per_trigger else {"maxBytesPerTrigger": str(bytes_per_trigger)}
+    return spark.readStream.schema(schema).options(**limit, **options).parquet(path)
 
 
 def socket_points(spark: SparkSession, host: str, port: int) -> DataFrame:

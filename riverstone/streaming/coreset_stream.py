@@ -1,8 +1,9 @@
 """Coresets of streams.
 
-A shard's state holds fewer than 2m waiting points and a binary counter of coresets, O(m log n) numbers; whole batches of 2m points are
-counted in as they fill, whatever the micro-batches are. After each trigger a shard gives its counter's coresets and the points that wait,
-which together stand for all it has seen. Shards run in parallel; combined() makes one coreset of their latest answers.
+A shard's state holds fewer than 2m waiting points and a binary counter of coresets, O(m log n) numbers, each rank of it a value of its own;
+whole batches of 2m points are counted in as they fill, whatever the micro-batches are. After each trigger a shard gives its counter's
+coresets and the points that wait, which together stand for all it has seen. Shards run in parallel; combined() makes one coreset of their
+latest answers, and of what stored_answers() reads from a checkpoint. Windows of streams are in panes.py.
 """
 
 from __future__ import annotations
@@ -12,29 +13,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riverstone.functions.vectors import doubles
 from riverstone.operators.coreset import SCHEMA, Buckets, coreset, merge_kernel
-from riverstone.session import spread
+from riverstone.session import SETTINGS, spread
 
 #: Consecutive rows of a task, of which a window's are reduced together.
 PART_ROWS = 200_000
 OUTPUT = "shard long, version long, rank int, weight double, features array<double>"
-STATE = "version long, n_reduced long, counter binary"
+META = "version long, n_reduced long"
+SLOT = "dims int, points binary, weights binary"
 WAITING = -1
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _packed(buckets: Buckets, points: np.ndarray, weights: np.ndarray) -> bytes:
+def packed(buckets: Buckets, points: np.ndarray, weights: np.ndarray) -> bytes:
+    """A counter's coresets and the points that wait, as bytes."""
     out = io.BytesIO()
     parts = {f"p{WAITING}": points, f"w{WAITING}": weights} | {f"{k}{rank}": slot[i] for rank, slot in buckets.slots.items() for i, k in enumerate("pw")}
     np.savez(out, **parts)
     return out.getvalue()
 
 
-def _unpacked(raw: bytes, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(raw: bytes, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Fills the counter, and gives the points that wait and their weights."""
     with np.load(io.BytesIO(raw)) as parts:
         for name in parts:
             if name[0] == "p" and int(name[1:]) != WAITING:
@@ -42,72 +48,91 @@ def _unpacked(raw: bytes, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
         return parts[f"p{WAITING}"], parts[f"w{WAITING}"]
 
 
-def _update(m: int, seed: int, options: dict, width_ms: int | None = None):
-    """width_ms: keys are starts of windows, whose state goes when the watermark has passed their end."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shard, version = int(key[0]), 0
-        if state.hasTimedOut:
-            state.remove()
-            return
-        buckets = Buckets(m, seed, shard, **options)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        if state.exists:
-            version, buckets.n_reduced, raw = state.get
-            held.append(_unpacked(bytes(raw), buckets))
-        fresh = [f for f in frames if len(f)]
-        rows = pd.concat(fresh, ignore_index=True).sort_values("position", kind="stable") if fresh else None
-        if rows is not None:
-            held.append((np.stack(rows["features"].to_list()).astype(float), rows["weight"].to_numpy(float)))
+class CounterState(StatefulProcessor):
+    """A shard's counter, each rank's coreset a value of its own: a trigger writes the ranks that it changed, and no others."""
+
+    def __init__(self, m: int, seed: int, options: dict):
+        self.m, self.seed, self.options = m, seed, options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.meta = handle.getValueState("meta", META)
+        self.waiting = handle.getValueState("waiting", SLOT)
+        self.ranks = handle.getMapState("ranks", "rank int", SLOT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        shard = int(key[0])
+        buckets = Buckets(self.m, self.seed, shard, **self.options)
+        version, old, held = 0, {}, []
+        if self.meta.exists():
+            version, buckets.n_reduced = self.meta.get()
+            held = [_slot(self.waiting.get())]
+            old = {int(k[0]): _slot(v) for k, v in self.ranks.iterator()}
+            buckets.slots = dict(old)
+        fresh = [f for f in rows if len(f)]
+        frame = pd.concat(fresh, ignore_index=True).sort_values("position", kind="stable")
+        held.append((np.stack(frame["features"].to_list()).astype(float), frame["weight"].to_numpy(float)))
         held = [h for h in held if len(h[0])]
-        if not held:
-            return
         points, weights = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         at = 0
-        while len(points) - at >= 2 * m:
-            buckets.add(points[at : at + 2 * m], weights[at : at + 2 * m])
-            at += 2 * m
+        while len(points) - at >= 2 * self.m:
+            buckets.add(points[at : at + 2 * self.m], weights[at : at + 2 * self.m])
+            at += 2 * self.m
         points, weights = points[at:], weights[at:]
-        state.update((version + 1, buckets.n_reduced, _packed(buckets, points, weights)))
-        if width_ms:
-            state.setTimeoutTimestamp(shard // 1000 + width_ms)
-        answer = [(WAITING, points, weights)] + [(rank, *slot) for rank, slot in sorted(buckets.slots.items())]
-        for rank, p, w in answer:
+        for rank in old.keys() - buckets.slots.keys():
+            self.ranks.removeKey((rank,))
+        for rank, slot in buckets.slots.items():
+            if old.get(rank) is not slot:
+                self.ranks.updateValue((rank,), _raw(*slot))
+        self.waiting.update(_raw(points, weights))
+        self.meta.update((version + 1, buckets.n_reduced))
+        for rank, p, w in [(WAITING, points, weights), *((rank, *slot) for rank, slot in sorted(buckets.slots.items()))]:
             if len(p):
                 yield pd.DataFrame({"shard": shard, "version": version + 1, "rank": rank, "weight": w, "features": list(p)})
 
-    return run
+    def close(self) -> None:
+        pass
+
+
+def _raw(points: np.ndarray, weights: np.ndarray) -> tuple[int, bytes, bytes]:
+    return (points.shape[1] if points.ndim == 2 else 0, points.astype("<f8").tobytes(), weights.astype("<f8").tobytes())
+
+
+def _slot(raw: tuple) -> tuple[np.ndarray, np.ndarray]:
+    dims, points, weights = raw
+    weights = np.frombuffer(bytes(weights), "<f8")
+    return np.frombuffer(bytes(points), "<f8").reshape(len(weights), int(dims)), weights
 
 
 def stream_coresets(points: DataFrame, m: int, shards: int = 1, features: str = "features", weight: str | None = None, position: str = "id", seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
-    """A streaming DataFrame (update mode) of shard, version, rank (-1: waiting points), weight, features.
+    """A streaming DataFrame (update mode) of shard, version, rank (-1: waiting points), weight, features. Sets the session's state store to RocksDB.
 
-    Rows are dealt to shards by a hash of their position, and taken in order of it within a micro-batch. One shard keeps the order of the
-    whole stream; more of them spread the work.
+    Rows are dealt to shards by a hash of their position, and taken in order of it within a micro-batch: a micro-batch's rows of a shard are
+    in memory, so sources bound its bytes (sources.streams). One shard keeps the order of the whole stream; more of them spread the work.
     """
+    if not points.sparkSession.conf.get(PROVIDER, "").endswith("RocksDBStateStoreProvider"):  # the only one that keeps several states for a key
+        points.sparkSession.conf.set(PROVIDER, SETTINGS[PROVIDER])
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = points.select(F.pmod(F.xxhash64(position), F.lit(shards)).alias("shard"), F.col(position).alias("position"), doubles(features).alias("features"), w.alias("weight"))
-    return rows.groupBy("shard").applyInPandasWithState(_update(m, seed, options), OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("shard").transformWithStateInPandas(CounterState(m, seed, options), OUTPUT, "update", "none")
 
 
-def stream_windows(points: DataFrame, time: str, width: str, delay: str, m: int, features: str = "features", position: str = "id", seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
-    """A streaming DataFrame (update mode) of answers as of stream_coresets(), with the window's start in microseconds for the shard.
-
-    Windows are of one width, by event time. Rows older than the watermark (`delay` behind the latest time seen) are left out, and a
-    window's state goes once the watermark has passed its end: state is bounded by the windows within the delay.
-    """
-    seconds = points.sparkSession.sql(f"SELECT CAST(INTERVAL '0' SECOND + INTERVAL {width} AS INTERVAL DAY TO SECOND) AS w").first().w.total_seconds()
-    timed = points.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
-    start = F.unix_micros(F.window("_time", width)["start"]).alias("window_micros")
-    rows = timed.select(start, "_time", F.col(position).alias("position"), doubles(features).alias("features"), F.lit(1.0).alias("weight"))
-    return rows.groupBy("window_micros").applyInPandasWithState(_update(m, seed, options, int(1000 * seconds)), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+def stored_answers(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """shard, rank, weight, features: what a stream's state holds at its last commit, read from the checkpoint; nothing has to be emitted."""
+    state = spark.read.format("statestore").option("path", checkpoint)
+    ranks = state.option("stateVarName", "ranks").load().select(F.col("key.shard").alias("shard"), F.col("user_map_key.rank").alias("rank"), "user_map_value.*")
+    state = spark.read.format("statestore").option("path", checkpoint)
+    waiting = state.option("stateVarName", "waiting").load().select(F.col("key.shard").alias("shard"), F.lit(WAITING).alias("rank"), "value.*")
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, rank, *raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                points, weights = _slot(raw)
+                n, d = points.shape
+                if n:
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(points.reshape(-1)))
+                    yield pa.record_batch([pa.array(np.full(n, shard)), pa.array(np.full(n, rank, np.int32)), pa.array(weights), lists], ["shard", "rank", "weight", "features"])
 
-def combined_windows(answers: DataFrame, m: int, seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
-    """window_start, weight, features: a coreset of each window's last answer, which is of bounded size."""
-    own = latest(answers).select(F.col("shard").alias("node"), "weight", "features")
-    made = own.groupBy("node").applyInArrow(merge_kernel(m, seed, 0, options, sort=True), SCHEMA)
-    return made.select(F.timestamp_micros("node").alias("window_start"), "weight", "features")
+    return ranks.unionByName(waiting).select("shard", "rank", "dims", "points", "weights").mapInArrow(rows, "shard long, rank int, weight double, features array<double>")
 
 
 def latest(answers: DataFrame) -> DataFrame:
@@ -122,7 +147,7 @@ def combined(answers: DataFrame, m: int, **options) -> DataFrame:  # noqa: ANN00
 
 
 def windowed_coresets(points: DataFrame, time: str, width: str, m: int, features: str = "features", seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
-    """window_start, weight, features: a coreset of each event-time window of a table (of a stream: stream_windows()).
+    """window_start, weight, features: a coreset of each event-time window of a table (of a stream: panes.py).
 
     A window's rows are reduced in parts, as they were dealt, and the parts' coresets together, so no task gets a whole window.
     """

@@ -7,6 +7,7 @@ from riverstone.operators.coreset import coreset_levels
 from riverstone.sources import generate
 from riverstone.sources.streams import file_stream
 from riverstone.streaming import coreset_stream as cs
+from riverstone.streaming import panes
 
 
 def stream(spark, files, tmp_path, m, shards, name):
@@ -64,9 +65,10 @@ def test_windows_of_a_stream_and_late_rows(spark, tmp_path):
         df.coalesce(1).write.parquet(f"{tmp_path}/in/part-{k}")
         os.system(f"mv {tmp_path}/in/part-{k}/part-*.parquet {tmp_path}/in/f{k}.parquet && rm -r {tmp_path}/in/part-{k} && touch -d '2020-01-01 00:00:0{k}' {tmp_path}/in/f{k}.parquet")
     rows = file_stream(spark, f"{tmp_path}/in", "id long, ts timestamp, features array<double>", files_per_trigger=1)
-    made = cs.stream_windows(rows, "ts", "1 hour", "30 minutes", 10)
+    made = panes.stream_panes(rows, "ts", "1 hour", "30 minutes", 10)
     job = made.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
     job.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}")).start().awaitTermination()
-    answers = spark.read.schema(cs.OUTPUT).parquet(f"{tmp_path}/out")
-    got = {int(r.t) // 3600 - 24: (r.w, r.n) for r in cs.combined_windows(answers, 10).groupBy(F.unix_seconds("window_start").alias("t")).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
+    answers = spark.read.schema(panes.OUTPUT).parquet(f"{tmp_path}/out")
+    found = panes.sliding_windows(answers, "1 hour", "1 hour", "1 hour", 10)
+    got = {int(r.t) // 3600 - 24: (r.w, r.n) for r in found.groupBy(F.unix_seconds("window_start").alias("t")).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
     assert got == {0: (60.0, 10), 1: (40.0, 10), 5: (31.0, 10), 6: (1.0, 1)}
