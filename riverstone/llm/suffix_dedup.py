@@ -2,10 +2,10 @@
 
 1. Anchors. Of the grams (size // 4 bytes) inside each `size`-byte window, the leftmost with the least hash is the window's anchor, so
    equal windows have equal anchors at equal offsets, and each window belongs to one. An anchor's block is the bytes of its windows.
-   Only anchors whose gram occurs twice go on; blocks equal as a whole (128 bits of BLAKE2b) are one class, and if it has two members, all
-   its windows repeat.
-2. Runs. The classes of a gram that has others are suffixes to be sorted, from the anchor to the end of the block, with what stands left
-   of the anchor. Tasks sort those of their documents and front-code them: each suffix is its common prefix with the one before and the rest.
+   Only anchors whose gram occurs twice go on. Blocks that are likely to be equal as a whole (128 bits of BLAKE2b) are one class, for
+   which two of its members stand in what follows; what is found of the first is then told of all members.
+2. Runs. Members that stand for their class, and blocks that are alone in theirs, are suffixes to be sorted, from the anchor to the end of
+   the block, with what stands left of the anchor. Tasks sort those of their documents and front-code them: each suffix is its common prefix with the one before and the rest.
 3. Exchange and merge. Runs go to partitions by gram, where a loser tree merges them: it compares the lengths of known common prefixes
    with the last suffix put out, and bytes only beyond equal ones, so no known prefix is compared again. It gives the common prefix of
    neighbours for free.
@@ -18,7 +18,7 @@ may cut inside a character: what is kept is bytes. Other columns are ignored. Te
 is in one row where its blocks are cut out and where it is put together again, so it has to fit a task a few times.
 
 At scale. Anchors are one for about 150 bytes, and only repeated ones are shuffled a second time. Copies and common passages collapse
-into classes by partial aggregation, and joins deal the rows of a hot gram, block or group to several tasks. A gram with over `max_group` classes (a passage with as many different surroundings) is parted by the
+into classes by partial aggregation, so the merge gets two suffixes of each, and joins deal the rows of a hot gram, block or group to several tasks. A gram with over `max_group` classes (a passage with as many different surroundings) is parted by the
 bytes about it: a window reaches o bytes left of its anchor, so those with o in the lower half of the range share more bytes on the right
 and those in the upper half more on the left, and classes are dealt to both halves by the bytes that all windows of a half have. Halves
 that are still too large are halved again, down to single windows, which repeat if two are equal (128 bits of BLAKE2b). The number of sort
@@ -226,36 +226,41 @@ def repeated_in_group(lefts: list[bytes], shared: list[int], is_open: list[bool]
     return [merged(x) for x in out]
 
 
-RUN = "part int, shared array<int>, rest array<binary>, lefts array<binary>, doc_id array<long>, th array<long>, anchor array<long>, is_open array<boolean>"
-_RUN_TYPES = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-_RUN_NAMES = ["part", "shared", "rest", "lefts", "doc_id", "th", "anchor", "is_open"]
+RUN = "part int, shared array<int>, rest array<binary>, lefts array<binary>, doc_id array<long>, th array<long>, anchor array<long>, is_open array<boolean>, number array<long>"
+_RUN_TYPES = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+_RUN_NAMES = ["part", "shared", "rest", "lefts", "doc_id", "th", "anchor", "is_open", "number"]
+#: Ranges about an anchor that repeat, and the class that they hold for (null: the block alone).
+FOUND = "doc_id long, th long, anchor long, a long, b long, number long"
 
 
 def _sorted_runs(size: int, run_bytes: int = 16 << 20):
-    """doc_id, th, text, blocks array<struct<part, key, start, windows, place, is_open>> to sorted, front-coded runs."""
+    """doc_id, th, text, blocks array<struct<part, key, start, windows, place, is_open, number>> to sorted, front-coded runs."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
-        weight = 0
+        weight, seen = 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
             for part, own in held.items():
                 own.sort(key=lambda x: x[0])
-                suffixes, lefts, doc, th, anchor, is_open = map(list, zip(*own, strict=True))
-                rows.append((part, *front_coded(suffixes), lefts, doc, th, anchor, is_open))
+                suffixes, *beside = map(list, zip(*own, strict=True))
+                rows.append((part, *front_coded(suffixes), *beside))
             for i in range(0, len(rows), 64):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), _RUN_TYPES, strict=True)], _RUN_NAMES)
 
         for b in row_slices(batches, 2, max_rows=256):
             texts = b.column(2).cast(pa.binary())
             for i, (doc, th, blocks) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if (doc, th) in seen:  # a repeated row, whose blocks are here already
+                    continue
+                seen.add((doc, th))
                 text = texts[i].as_py()
                 for x in blocks:
                     start, anchor = x["start"], x["start"] + x["place"]
                     end = start + x["windows"] - 1 + size
                     suffix = x["key"].to_bytes(KEY, "little", signed=True) + text[anchor:end]
-                    held.setdefault(x["part"], []).append((suffix, text[start:anchor], doc, th, anchor, x["is_open"]))
+                    held.setdefault(x["part"], []).append((suffix, text[start:anchor], doc, th, anchor, x["is_open"], x["number"]))
                     weight += end - start + 200
                 if weight > run_bytes:
                     yield from flush()
@@ -272,15 +277,15 @@ def _merge(size: int):
     def kernel(key, table):  # noqa: ANN001, ANN202
         """Merges a partition's runs and gives the repeated ranges of its documents."""
         runs = [(a, b) for a, b in zip(table.column("shared").to_pylist(), table.column("rest").to_pylist(), strict=True)]
-        lefts, doc, th, anchor, is_open = (table.column(k).to_pylist() for k in ("lefts", "doc_id", "th", "anchor", "is_open"))
-        out: list[tuple[int, int, int, int]] = []
+        lefts, doc, th, anchor, is_open, number = (table.column(k).to_pylist() for k in ("lefts", "doc_id", "th", "anchor", "is_open", "number"))
+        out: list[tuple] = []
         group: list[tuple[int, int, int]] = []
 
         def close() -> None:
             if len(group) > 1 and any(is_open[r][i] for _, r, i in group):
                 found = repeated_in_group([lefts[r][i] for _, r, i in group], [k - KEY for k, _, _ in group], [is_open[r][i] for _, r, i in group], size)
                 for (_, r, i), ranges in zip(group, found, strict=True):
-                    out.extend((doc[r][i], th[r][i], anchor[r][i] + a, anchor[r][i] + b) for a, b in ranges)
+                    out.extend((doc[r][i], th[r][i], anchor[r][i], a, b, number[r][i]) for a, b in ranges)
 
         for shared, _, run, place in LoserTree(runs):
             if shared < gram:
@@ -288,8 +293,8 @@ def _merge(size: int):
                 group = []
             group.append((shared, run, place))
         close()
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "th", "start", "end"), cols, strict=True)})
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "th", "anchor", "a", "b", "number"), cols, strict=True)})
 
     return kernel
 
@@ -298,22 +303,26 @@ def _halved(size: int):
     """doc_id, th, text, blocks (with the range lo to hi of bytes left of the anchor) to the blocks of both halves, with keys of the bytes there."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in row_slices(batches, 2, max_rows=256):
             texts, rows = b.column(2).cast(pa.binary()), []
             for i, (doc, th, blocks) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if (doc, th) in seen:
+                    continue
+                seen.add((doc, th))
                 text = texts[i].as_py()
                 for x in blocks:
                     anchor, middle = x["start"] + x["place"], (x["lo"] + x["hi"]) // 2
                     for lo, hi in ((x["lo"], middle), (middle + 1, x["hi"])):
                         if lo <= min(hi, x["place"]) and hi > x["place"] - x["windows"]:
-                            rows.append((doc, th, *digest(text[anchor - lo : anchor + size - hi]), lo, hi, x["start"], x["windows"], x["place"], x["is_open"]))
+                            rows.append((doc, th, *digest(text[anchor - lo : anchor + size - hi]), lo, hi, x["start"], x["windows"], x["place"], x["is_open"], x["number"]))
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 2, pa.bool_()), strict=True)], ["doc_id", "th", "key", "key2", "lo", "hi", "start", "windows", "place", "is_open"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 2, pa.bool_(), pa.int64()), strict=True)], ["doc_id", "th", "key", "key2", "lo", "hi", "start", "windows", "place", "is_open", "number"])
 
     return kernel
 
 
-HALVES = "doc_id long, th long, key long, key2 long, lo int, hi int, start long, windows int, place int, is_open boolean"
+HALVES = "doc_id long, th long, key long, key2 long, lo int, hi int, start long, windows int, place int, is_open boolean, number long"
 
 
 def repeated_ranges(documents: DataFrame, size: int = SIZE, max_group: int = MAX_GROUP) -> DataFrame:
@@ -344,23 +353,22 @@ def dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, by: list
 def _repeated_ranges(docs: DataFrame, size: int, max_group: int, tables: Tables) -> DataFrame:
     twice = tables.write(find_grams(docs, size).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
     anchors = tables.write(dealt_join(find_anchors(docs, size), twice, ["gram"], "n", ["doc_id", "th", "start"], "left_semi"), "anchors")
-    first = lambda k: F.first(k).alias(k)
-    block = ["gram", "b1", "b2", "windows"]
-    classes = anchors.groupBy(*block).agg(F.count("*").alias("n"), first("doc_id"), first("th"), first("start"), first("place"))
-    classes = tables.write(classes, "classes")
-    whole = dealt_join(anchors, classes.filter("n > 1").select(*block, "n"), block, "n", ["doc_id", "th", "start"]).select("doc_id", "th", "start", (F.col("start") + F.col("windows") - 1 + size).alias("end"))
-
-    mixed_grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("n_open")).filter("classes > 1 and n_open > 0").select("gram", "classes")
-    mixed_grams = tables.write(mixed_grams, "mixed-grams")
-    rivals = dealt_join(classes, mixed_grams, ["gram"], "classes", ["b1", "b2", "windows"]).select(F.col("gram").alias("key"), F.lit(0).cast("long").alias("key2"), F.lit(0).alias("lo"), F.lit(size - size // 4).alias("hi"), "doc_id", "th", "start", "windows", "place", (F.col("n") == 1).alias("is_open"))
+    block, own = ["gram", "b1", "b2", "windows"], F.struct("doc_id", "th", "start")
+    # Numbers stay, as the table is written.
+    classes = anchors.groupBy(*block).agg(F.count("*").alias("n"), F.min(own).alias("one"), F.max(own).alias("other"), F.first("place").alias("place"))
+    classes = tables.write(classes.withColumn("number", F.when(F.col("n") > 1, F.monotonically_increasing_id())), "classes")
+    # Only the first of the two is asked for; the other is what it is compared with, beside the blocks of the gram's other classes.
+    asked = lambda k, is_open: F.struct(f"{k}.*", F.lit(is_open).alias("is_open"))
+    members = F.explode(F.when(F.col("n") > 1, F.array(asked("one", True), asked("other", False))).otherwise(F.array(asked("one", True))))
+    rivals = classes.select("gram", "windows", "place", "number", members.alias("member")).select(F.col("gram").alias("key"), F.lit(0).cast("long").alias("key2"), F.lit(0).alias("lo"), F.lit(size - size // 4).alias("hi"), "member.*", "windows", "place", "number")
     group = ["key", "key2", "lo", "hi"]
 
     def with_text(rows: DataFrame, *made: str) -> DataFrame:
-        own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*made, "start", "windows", "place", "is_open")).alias("blocks"))
+        own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*made, "start", "windows", "place", "is_open", "number")).alias("blocks"))
         same = docs["doc_id"].eqNullSafe(own["doc_id"]) & (docs["th"] == own["th"])
         return docs.join(own, same).select(docs["doc_id"], docs["th"], "text", "blocks")
 
-    found, small = whole, None
+    found, small = None, None
     level = 0
     while True:
         rivals = tables.write(rivals, f"rivals-{level}")
@@ -369,8 +377,9 @@ def _repeated_ranges(docs: DataFrame, size: int, max_group: int, tables: Tables)
         counted = dealt_join(rivals, sizes, group, "members", ["doc_id", "th", "start"])
         fit = counted.filter(f"members <= {max_group} and lo < hi").drop("members")
         small = fit if small is None else small.unionByName(fit)
-        one = F.col("start") + F.col("place") - F.col("lo")
-        found = found.unionByName(counted.filter("lo = hi and is_open").select("doc_id", "th", one.alias("start"), (one + size).alias("end")))
+        anchor = (F.col("start") + F.col("place")).alias("anchor")
+        single = counted.filter("lo = hi and is_open").select("doc_id", "th", anchor, (-F.col("lo")).cast("long").alias("a"), (F.lit(size) - F.col("lo")).cast("long").alias("b"), "number")
+        found = single if found is None else found.unionByName(single)
         over = sizes.filter(f"members > {max_group} and lo < hi")
         if over.isEmpty():
             break
@@ -380,7 +389,13 @@ def _repeated_ranges(docs: DataFrame, size: int, max_group: int, tables: Tables)
     parts = max(partitions(docs.sparkSession), small.count() // SUFFIXES_PER_PART)
     part = F.pmod(F.xxhash64("key", "key2"), F.lit(parts)).cast("int").alias("part")
     runs = with_text(small.withColumn("part", part), "part", "key").mapInArrow(_sorted_runs(size), RUN)
-    return found.unionByName(runs.groupBy("part").applyInArrow(_merge(size), "doc_id long, th long, start long, end long"))
+    found = tables.write(found.unionByName(runs.groupBy("part").applyInArrow(_merge(size), FOUND)), "found")
+    # What was found of one member of a class holds for all: they have the same bytes about their anchors.
+    told = found.filter("number is not null").groupBy("number").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    told = tables.write(classes.filter("n > 1").select(*block, "n", "number").join(told, "number"), "told")
+    all_members = dealt_join(anchors, told, block, "n", ["doc_id", "th", "start"]).select("doc_id", "th", (F.col("start") + F.col("place")).alias("anchor"), F.explode("ranges").alias("r")).select("doc_id", "th", "anchor", "r.*")
+    ranges = found.filter("number is null").select("doc_id", "th", "anchor", "a", "b").unionByName(all_members)
+    return ranges.select("doc_id", "th", (F.col("anchor") + F.col("a")).alias("start"), (F.col("anchor") + F.col("b")).alias("end"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -393,12 +408,17 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def ranges_of(ranges: DataFrame) -> DataFrame:
+    """doc_id, th, ranges: the different ranges of each text; those of repeated rows are the same, and are told once from each task on."""
+    return ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+
+
 def suffix_dedup(documents: DataFrame, size: int = SIZE, max_group: int = MAX_GROUP, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, spans array<struct<start, end>> (removed bytes), kept (binary, null unless asked for), kept_sha256."""
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     ranges = repeated_ranges(docs, size, max_group)
-    per_doc = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    per_doc = ranges_of(ranges)
     same = docs["doc_id"].eqNullSafe(per_doc["doc_id"]) & (docs["th"] == per_doc["th"])
     placed = docs.join(per_doc, same, "left").select(docs["doc_id"], "text", "ranges")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -124,3 +124,29 @@ def test_sliding_least():
     x = np.random.default_rng(0).integers(0, 1000, 500).astype(np.uint64)
     for w in (1, 2, 7, 100, 500):
         assert (op.sliding_least(x, w) == [x[i : i + w].min() for i in range(len(x) - w + 1)]).all()
+
+
+def test_repeated_rows_give_their_ranges_once(spark, documents):
+    rng = random.Random(8)
+    text = noise(rng, 3000, "abcdefgh")
+    rows = [(None, text)] * 400 + [(1, "start " + text[500:1700])]
+    docs = documents(rows).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    per_doc = op.ranges_of(op.repeated_ranges(docs))
+    found = {r.doc_id: r.ranges for r in per_doc.collect()}
+    assert all(len(x) == len({tuple(y) for y in x}) for x in found.values()) and len(found[None]) < 60
+    assert sorted(map(str, summary(op.suffix_dedup(documents(rows))))) == sorted(str((d, *x)) for (d, _), x in zip(rows, repeats(rows), strict=True))
+
+
+def test_all_that_is_removed_comes_through_the_merge(spark, sf, monkeypatch):
+    """Without what the merge of runs finds, nothing is removed, of whole copies neither; its own ranges are of one member of each class."""
+    docs = read_table(spark, sf.replace("0.001", "0.01"), "documents")
+    whole = op.suffix_dedup(docs, keep_bytes=False)
+    assert sum(r[2] for r in summary(whole)) > 400_000
+    merge = op._merge
+
+    def emptied(size):
+        run = merge(size)
+        return lambda key, table: run(key, table).slice(0, 0)
+
+    monkeypatch.setattr(op, "_merge", emptied)
+    assert sum(r[2] for r in summary(op.suffix_dedup(docs, keep_bytes=False))) == 0
