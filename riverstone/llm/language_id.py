@@ -1,8 +1,8 @@
 """Language ID by nearest centroid: normalised TF-IDF vectors of byte n-grams against several clustered centroids for each language.
 
 Document frequencies come from all documents that may be learned from; centroids are clustered (spherical k-means) from at most
-`per_language` documents of each language, chosen by a hash, on one task for each language; of more than `max_languages` languages, those
-with the most documents are learned. Of equally near centroids, the first of the first language in alphabetical order counts.
+`per_language` different texts of each language, chosen by a hash, on one task for each language. Of more than `block` languages, each
+block is learned and compared by itself, one pass after the other over what the one before found. Of equally near centroids, the first of the first language in alphabetical order counts.
 
 Rejection. A text is rejected if it has no letter or if its cosine with the nearest centroid is under that language's floor. Cosines grow
 with the number of different n-grams of a text, so floors do too: sampled documents and pieces cut from them, of 8 to 4,096 bytes, are held
@@ -14,7 +14,8 @@ with a score near 0, and rejected. Documents with a null lang are never learned
 out. With nothing to learn from, every text is `und`. Where there are too few documents to measure a floor, it is that of fewer n-grams,
 at least `LEAST_FLOOR`. Rows that repeat a doc_id are judged row by row. Other columns are ignored. Long texts are counted piece by piece.
 
-At scale. Three passes over the text and no shuffle of it; centroids (at most max_languages x 3 x 4096 floats) are broadcast.
+At scale. Three passes over the text and no shuffle of it; the centroids of a block of languages (block x 3 x 4096 floats, 25 MB) are
+broadcast. Each further block is learned from one more pass, and compared in the same stage as the first, by a worker of its own.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverstone.llm.common import Tables, bounded_batches, bytes_of, read_table, row_slices
-from riverstone.llm.features import add_ngrams, document_frequencies, hash_share, inverse_frequencies, normalised_rows, tf_idf
+from riverstone.llm.features import add_ngrams, document_frequencies, inverse_frequencies, normalised_rows, tf_idf
 
 DIMS_LOG2 = 12
 DIMS = 1 << DIMS_LOG2
@@ -40,7 +42,8 @@ FLOOR_QUANTILE = 0.01
 LEAST_FLOOR = 0.05
 #: Cosines that a floor is measured from at least.
 MEASURED = 20
-MAX_LANGUAGES = 512
+#: Languages that are learned at a time, and compared with by one worker.
+BLOCK = 512
 #: Steps of the number of different n-grams, two for each power of two.
 STEPS = 2 * DIMS_LOG2 + 1
 UNKNOWN = "und"
@@ -97,6 +100,8 @@ class Model:
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, languages: list[str], floors: np.ndarray):
         self.idf, self.centroids, self.languages, self.floors = idf, centroids, languages, floors
+        #: Models of further blocks of languages, broadcast.
+        self.rest: list[Broadcast] = []
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine (0 to 1) and whether rejected, of each text of letters()."""
@@ -115,23 +120,45 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(documents: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, floor_share: float = FLOOR_SHARE, floor_quantile: float = FLOOR_QUANTILE, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(documents: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, floor_share: float = FLOOR_SHARE, floor_quantile: float = FLOOR_QUANTILE, block: int = BLOCK) -> Model:
     """documents: doc_id, text, lang. Rows that held_out() names and rows without lang or letters are left out."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    own = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    own = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     known = own.select(letters(F.col("text")).alias("letters")).filter("letters != ''")
     n, df = document_frequencies(known, count_ngrams, DIMS)
     idf = inverse_frequencies(n, df)
 
     # Of each language, the rows with the least hashes; only those under a bound that about twice as many are under are ranked.
-    rows = own.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", hash_share("doc_id").alias("share"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    # Rows that repeat id, lang and text are one, so that neither a hot id nor its hash decides how many there are to learn from.
+    one = ["lang", "doc_id", "th"]
+    own = own.withColumn("th", F.xxhash64("text"))
+    rows = own.filter(F.col("text").rlike(r"\p{L}")).select(*one).distinct().withColumn("share", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    blocks: list[Model | Broadcast] = []
+    with Tables(spark) as tables:
+        rows = tables.write(rows, "rows")
+        counts: dict[str, int] = {}
+        for lang, n_rows in rows.groupBy("lang").count().orderBy("lang").toLocalIterator():
+            counts[lang] = n_rows
+            if len(counts) == block:
+                blocks.append(_learned(own, rows, counts, idf, one, per_language, centroids, floor_share, floor_quantile))
+                blocks[1:] = [spark.sparkContext.broadcast(b) if isinstance(b, Model) else b for b in blocks[1:]]
+                counts = {}
+        if counts or not blocks:
+            blocks.append(_learned(own, rows, counts, idf, one, per_language, centroids, floor_share, floor_quantile))
+    first = blocks[0]
+    first.rest = [spark.sparkContext.broadcast(b) if isinstance(b, Model) else b for b in blocks[1:]]
+    return first
+
+
+def _learned(own: DataFrame, rows: DataFrame, counts: dict[str, int], idf: np.ndarray, one: list[str], per_language: int, centroids: int, floor_share: float, floor_quantile: float) -> Model:
+    """The model of a block of languages: counts has the number of different texts of each."""
+    spark = own.sparkSession
     bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(2 * per_language / c + 20 / c)) for k, c in counts.items()], F.lit(0.0))
-    by_hash = Window.partitionBy("lang").orderBy("share", "doc_id")
-    chosen = rows.filter(F.col("share") < bound).withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language).select("doc_id", "lang").distinct()
-    # At most per_language ids of each language go to all tasks.
-    sample = own.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", letters(F.col("text")).alias("letters"))
+    by_hash = Window.partitionBy("lang").orderBy("share", "doc_id", "th")
+    chosen = rows.filter(F.col("share") < bound).withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language).select(*one)
+    # At most per_language texts of each language go to all tasks.
+    sample = own.join(F.broadcast(chosen), one, "left_semi").dropDuplicates(one).select("lang", letters(F.col("text")).alias("letters"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 1, max_bytes=1 << 20, max_rows=256):
@@ -183,15 +210,24 @@ def identify(documents: DataFrame, model: Model, keep_text: bool = True) -> Data
     fed = documents.drop(*made, "lang_letters").withColumn("lang_letters", letters(F.col("text")))
     fed = fed if keep_text else fed.drop("text")
     names = fed.columns[:-1]
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, len(names), max_bytes=1 << 20, max_rows=256):
-            lang, score, rejected = shared.value.predict(*bytes_of(b.column(len(names))))
-            yield pa.record_batch([*b.columns[: len(names)], pa.array(lang), pa.array(score), pa.array(rejected)], [*names, *made])
-
-    schema = ", ".join(f"`{k}` {kind}" for k, kind in fed.dtypes[:-1]) + ", lang_pred string, lang_score double, lang_rejected boolean"
-    return fed.mapInArrow(kernel, schema)
+    shared = [documents.sparkSession.sparkContext.broadcast(model), *model.rest]
+    schema = ", ".join(f"`{k}` {kind}" for k, kind in fed.dtypes) + ", lang_pred string, lang_score double, lang_rejected boolean"
+
+    def compared(block: Broadcast, again: bool):  # noqa: ANN202
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in row_slices(batches, len(names), max_bytes=1 << 20, max_rows=256):
+                lang, score, rejected = (np.array(x) for x in block.value.predict(*bytes_of(b.column(len(names)))))
+                if again:  # only a nearer centroid of a later language counts
+                    before = [b.column(len(names) + k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)]
+                    nearer = score > before[1]
+                    lang, score, rejected = (np.where(nearer, x, y) for x, y in zip((lang, score, rejected), before, strict=True))
+                yield pa.record_batch([*b.columns[: len(names) + 1], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected.astype(bool))], [*names, "lang_letters", *made])
+
+        return kernel
+
+    for k, block in enumerate(shared):
+        fed = fed.mapInArrow(compared(block, k > 0), schema)
+    return fed.drop("lang_letters")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

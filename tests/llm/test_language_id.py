@@ -94,3 +94,31 @@ def test_every_prediction_is_the_nearest_centroid(spark, sf):
         assert abs(rows[r.doc_id].score - (min(1, max(0, best)) if raw else 0)) < 1e-4
         near = {model.languages[k] for k, x in enumerate(cosines) if x > best - 1e-5}
         assert rows[r.doc_id].lang_pred in (near if raw else {"und"})
+
+
+def test_the_sample_is_bounded_by_rows(spark, documents, monkeypatch):
+    """An id of many rows and texts doesn't add to the sample, and its language is learned whatever its hash is."""
+    sizes = {}
+    write = op.Tables.write
+
+    def noted(self, df, label, keep=False):
+        out = write(self, df, label, keep)
+        sizes[label] = {r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()}
+        return out
+
+    monkeypatch.setattr(op.Tables, "write", noted)
+    hot = [(1, f"the cat number {'abcdefghij'[k % 10]} {'abcdefghij'[k // 10 % 10]} {'abcdefghij'[k // 100 % 10]}", "en") for k in range(3000)]
+    for own in (2, 3, 4):  # one id with one text each, some of whose hashes are high
+        hot += [(own, "der hund und die katze", f"l{own}")] * 500
+    model = op.train(documents(hot), per_language=20)
+    assert max(sizes["sample"].values()) == 20 and set(model.languages) == {"en", *(f"l{k}" for k in (2, 3, 4) if zlib.crc32(str(k).encode()) % 5)}
+
+
+def test_blocks_of_languages_are_as_good_as_one(spark, sf):
+    """Learned and compared two languages at a time, predictions are the same; none of the languages is left out."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    whole, parts = op.train(docs), op.train(docs, block=1)
+    assert [m.languages[0] for m in [parts, *(b.value for b in parts.rest)]] == sorted(set(whole.languages))
+    asked = docs.unionByName(docs.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang"))
+    key = lambda m: sorted((r.doc_id, r.lang_pred, round(r.lang_score, 5), r.lang_rejected) for r in op.identify(asked, m, keep_text=False).collect())
+    assert key(whole) == key(parts)
