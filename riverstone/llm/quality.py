@@ -5,7 +5,7 @@ digits, and each other sign) with a few measures of repetition (how few of its w
 is), in steps. TF-IDF of each block, with document frequencies over all documents, and a truncated SVD of both fitted on the labelled
 sample give latent vectors. Each document's cosines with all labelled vectors are computed exactly, block by block; its `k` nearest vote
 with weight max(0, cosine) ** `power`. Cosines are taken to six digits; of equally near vectors those that come first in the order of the
-model's (labels, then the vectors' bytes) vote, and a text's cosines don't depend on the texts beside it.
+model's (labels, then the places of what isn't zero, then the values) vote, and a text's cosines don't depend on the texts beside it.
 
 Labels are learned from at most `sample` different texts of different ids, chosen by a hash, however many rows repeat them. Defined cases. Null counts as empty; empty texts get the score of their
 (zero) vector: the share of label 1 in the sample. Labels that are null, or whose document is missing, are not learned from; rows with a
@@ -130,11 +130,11 @@ def leading_axes(x: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
     """The right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
     if not len(x):
         return np.zeros((x.shape[1], 0), np.float32)
-    x = x.astype(np.float64)
+    blocks = lambda: (x[i : i + 256].astype(np.float64) for i in range(0, len(x), 256))  # noqa: E731  # no second copy of x in doubles
     q = np.random.default_rng(11).standard_normal((x.shape[1], min(rank + 16, *x.shape)))
     for _ in range(rounds):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, axes = np.linalg.svd(x @ q, full_matrices=False)
+        q, _ = np.linalg.qr(sum(b.T @ (b @ q) for b in blocks()))
+    _, _, axes = np.linalg.svd(np.concatenate([b @ q for b in blocks()]), full_matrices=False)
     return (q @ axes.T)[:, :rank].astype(np.float32)
 
 
@@ -188,10 +188,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, 1, max_bytes=1 << 20, max_rows=256):
             x = vectors_of(count_features(*bytes_of(b.column(1))), idf).astype(np.float32)
-            yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "vector"])
+            places = [np.flatnonzero(r) for r in x]
+            yield pa.record_batch([b.column(0), pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()), pa.array([r[p].tobytes() for r, p in zip(x, places, strict=True)], pa.binary())], ["quality", "places", "values"])
 
-    found = sorted(rows.mapInArrow(kernel, "quality int, vector binary").collect())  # at most `sample` vectors
-    x = np.frombuffer(b"".join(bytes(r.vector) for r in found), np.float32).reshape(-1, DIMS)
+    found = sorted(rows.mapInArrow(kernel, "quality int, places binary, values binary").collect())  # at most `sample` vectors, without their zeros
+    x = np.zeros((len(found), DIMS), np.float32)
+    for k, r in enumerate(found):
+        x[k, np.frombuffer(r.places, np.uint16)] = np.frombuffer(r["values"], np.float32)
     return Model(idf, x, np.array([r.quality for r in found], float))
 
 
