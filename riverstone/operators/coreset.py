@@ -53,6 +53,7 @@ class Buckets:
         self.m, self.key, self.options = m, (seed, shard), options
         self.slots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.n_reduced = 0
+        self.by_rank: dict[int, int] = {}
 
     def _reduce(self, points: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self.n_reduced += 1
@@ -63,8 +64,10 @@ class Buckets:
         own, rank = self._reduce(points, weights), 0
         while rank in self.slots:
             other = self.slots.pop(rank)
+            self.by_rank[rank] = self.by_rank.get(rank, 0) + 1
             own = self._reduce(np.concatenate([other[0], own[0]]), np.concatenate([other[1], own[1]]))
             rank += 1
+        self.by_rank[rank] = self.by_rank.get(rank, 0) + 1
         self.slots[rank] = own
 
     def final(self) -> tuple[np.ndarray, np.ndarray] | None:

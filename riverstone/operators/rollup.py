@@ -75,4 +75,13 @@ class Timers:
         return spark.createDataFrame(self.rows, "event string, time_us long")
 
     def write(self, spark: SparkSession, path: str) -> None:
-        self.frame(spark).coalesce(1).write.mode("overwrite").csv(path)
+        write_timings(self.frame(spark).coalesce(1), path)
+
+
+def write_timings(timings: DataFrame, path: str) -> None:
+    """event, time_us as CSV without header."""
+    timings.select("event", "time_us").write.mode("overwrite").csv(path)
+
+
+def read_timings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("event string, time_us long").csv(path)

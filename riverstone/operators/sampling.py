@@ -38,15 +38,29 @@ def cumulative_cost(costs: DataFrame, key: str, by: Sequence[str] = (), weight:
     if not by:
         run = with_running_sum(costs, cost, key)
         return run.crossJoin(F.broadcast(costs.agg(F.sum(cost).alias("total"))))
-    order = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return costs.withColumn("acc", F.sum(cost).over(order)).withColumn("total", F.sum(cost).over(Window.partitionBy(*by)))
+    # One running sum over all leaves, less what the leaves before have; there is a row for each leaf.
+    run = with_running_sum(costs, cost, *by, key)
+    sums = costs.groupBy(*by).agg(F.sum(cost).alias("total"))
+    before = sums.withColumn("_before_leaf", F.sum("total").over(Window.orderBy(*by)) - F.col("total"))
+    return run.join(F.broadcast(before), list(by)).withColumn("acc", F.col("acc") - F.col("_before_leaf")).drop("_before_leaf")
 
 
 def d2_candidates(costs: DataFrame, key: str, center_id: Column, seed: int, tries: int = 3) -> DataFrame:
-    """try, candidate: for each of a few thresholds u * total, the first row (not the centre) where the running cost reaches it."""
+    """try, candidate: for each of a few thresholds u * total, the first row (not the centre) where the running cost reaches it. Candidates are
+    distinct: a row that an earlier try has taken passes its turn on to the next, so of each try as many rows are looked at as there are tries."""
     drawn = costs.sparkSession.range(tries).select(F.col("id").alias("try"), uniform(seed, "id").alias("u"))
     hit = costs.join(F.broadcast(drawn), F.col("acc") >= F.col("u") * F.col("total")).filter(F.col(key) != center_id)
-    return hit.groupBy("try").agg(F.min(key).alias("candidate"))
+    place = F.row_number().over(Window.partitionBy("try").orderBy(key))
+    few = hit.select("try", F.col(key).alias("k"), place.alias("place")).filter(F.col("place") <= tries)  # tries * tries rows
+    rows = few.groupBy("try").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    lists = rows.agg(F.map_from_entries(F.collect_list(F.struct("try", "ks"))).alias("of"))
+    taken = F.array().cast(rows.schema["ks"].dataType)
+    for t in range(tries):
+        left = F.array_except(F.coalesce(F.col("of")[F.lit(t).cast("long")], taken), taken)
+        lists = lists.withColumn(f"c{t}", F.get(left, 0))
+        taken = F.array_compact(F.array(*[F.col(f"c{i}") for i in range(t + 1)]))
+    made = F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("try"), F.col(f"c{t}").alias("candidate")) for t in range(tries)]))
+    return lists.select(made.alias("r")).select("r.*").filter("candidate is not null")
 
 
 def candidate_costs(costs: DataFrame, candidates: DataFrame, features: str = "features") -> DataFrame:

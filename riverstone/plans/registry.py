@@ -19,7 +19,7 @@ from riverstone.schema import checked_points, has_bad_value
 from riverstone.session import spread, stored, work_path
 from riverstone.sources import binary, generate, text
 from riverstone.sources.streams import file_stream, parsed_points
-from riverstone.streaming import coreset_stream, panes
+from riverstone.streaming import coreset_stream, metrics, panes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,9 +114,12 @@ def compact_anti(spark: SparkSession, sf: str) -> DataFrame:
     return batching.without_rows(p, p.groupBy("label").agg(F.min("vec_id").alias("vec_id")), "vec_id")
 
 
-@query("SELECT CAST(unnest([0, 1, 2, 3, 6, 8, 9, 10]) AS BIGINT) AS cpu")
+@query("SELECT o_orderkey, 2 * (o_custkey % 5) + 3 AS n, CAST((o_custkey % 5 + 1) * o_orderkey + (o_custkey % 5) * (o_custkey % 5 + 1) // 2 + (o_custkey % 5 + 1) * (o_orderkey + 100) + (o_custkey % 5) * (o_custkey % 5 + 1) // 2 + 7 AS BIGINT) AS total FROM orders")
 def cpulist_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1).select(F.explode(batching.expanded_ranges(F.lit("0-3,6,8-10"))).alias("cpu"))
+    """Lists of numbers and ranges, one made of each order, expanded: how many numbers, and their sum."""
+    a, wide = F.col("o_orderkey"), F.col("o_custkey") % 5
+    spelt = F.concat(a, F.lit("-"), a + wide, F.lit(",7,"), a + 100, F.lit("-"), a + 100 + wide)
+    return table(spark, sf, "orders").select("o_orderkey", batching.expanded_ranges(spelt).alias("x")).select("o_orderkey", F.size("x").cast("long").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda acc, v: acc + v).alias("total"))
 
 
 # Plans and layouts
@@ -150,21 +153,41 @@ def merge_plan_table_function(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STEPS = "st AS (SELECT range AS step, CAST(round(21 / pow(2, range + 1)) AS BIGINT) AS workers FROM range(CAST(floor(log2(21)) + 1 AS BIGINT)))"
+_LAYOUT = f"{_STEPS}, p AS (SELECT *, CAST(sum(workers) OVER (ORDER BY step) - workers AS BIGINT) AS first_worker FROM st), y AS (SELECT first_worker + s.range AS worker, step, s.range AS slot, workers FROM p, range(100) s WHERE s.range < workers)"
+_ORDERED = f"o AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // {BATCH} AS batch, vec_id FROM embeddings)"
 
 
-@query(f"WITH {_STEPS} SELECT step, workers, CAST(sum(workers) OVER (ORDER BY step) - workers AS BIGINT) AS first_worker FROM st")
+def _batched_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return batching.with_ordinal(points(spark, sf).select("vec_id"), "vec_id").select(batching.batch_of(F.col("ordinal"), BATCH).alias("batch"), "vec_id")
+
+
+@query(f"WITH {_STEPS}, {_ORDERED} SELECT step, workers, CAST(sum(workers) OVER (ORDER BY step) - workers AS BIGINT) AS first_worker, n FROM st JOIN (SELECT step, count(vec_id) AS n FROM st LEFT JOIN o ON batch % (SELECT max(workers) FROM st) < workers GROUP BY 1) USING (step)")
 def pipeline_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return topology.pipeline_steps(spark, 21)
+    """Steps of 21 workers, and the table's rows whose batch, dealt round robin to the first step's workers, has a worker of its number in the step."""
+    steps = topology.pipeline_steps(spark, 21)
+    wide = steps.agg(F.max("workers").alias("wide"))
+    rows = _batched_ids(spark, sf).groupBy("batch").count().crossJoin(F.broadcast(wide))
+    seen = steps.join(rows, F.col("batch") % F.col("wide") < F.col("workers"), "left").groupBy("step").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    return steps.join(seen, "step").select("step", "workers", "first_worker", "n")
 
 
-@query(f"WITH {_STEPS}, p AS (SELECT *, CAST(sum(workers) OVER (ORDER BY step) - workers AS BIGINT) AS first_worker FROM st) SELECT first_worker + s.range AS worker, step, s.range AS slot FROM p, range(100) s WHERE s.range < workers")
+@query(f"WITH {_LAYOUT}, {_ORDERED} SELECT worker, any_value(step) AS step, any_value(slot) AS slot, count(vec_id) AS n FROM y LEFT JOIN o ON batch % workers = slot GROUP BY 1")
 def worker_layout(spark: SparkSession, sf: str) -> DataFrame:
-    return topology.worker_layout(spark, 21)
+    """Each worker's step and slot there, and the table's rows that come to it when each step deals batches round robin."""
+    layout = topology.worker_layout(spark, 21)
+    each = layout.join(layout.groupBy("step").agg(F.count("*").alias("workers")), "step")
+    rows = _batched_ids(spark, sf).groupBy("batch").count()
+    seen = each.join(rows, F.col("batch") % F.col("workers") == F.col("slot"), "left")
+    return seen.groupBy("worker").agg(F.first("step").alias("step"), F.first("slot").alias("slot"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
 
 
-@query("SELECT r.range AS rank, w.range AS worker FROM range(7) r, range(1, 17) w WHERE w.range <= greatest(1, 16 >> r.range::INTEGER)")
+@query(f"WITH m AS (SELECT r.range AS rank, w.range AS worker FROM range(7) r, range(1, 17) w WHERE w.range <= greatest(1, 16 >> r.range::INTEGER)), {_ORDERED} SELECT rank, worker, count(vec_id) AS n FROM m LEFT JOIN o ON (batch >> rank::INTEGER) % greatest(1, 16 >> rank::INTEGER) = worker - 1 GROUP BY 1, 2")
 def rank_map(spark: SparkSession, sf: str) -> DataFrame:
-    return topology.rank_map(spark, 16, 7)
+    """Which workers make coresets of each rank, and the table's rows that each of them stands for when nodes are dealt round robin."""
+    made = topology.rank_map(spark, 16, 7)
+    rows = _batched_ids(spark, sf).groupBy("batch").count()
+    own = F.expr("shiftright(batch, CAST(rank AS INT)) % greatest(1, shiftright(16, CAST(rank AS INT))) = worker - 1")
+    return made.join(rows, own, "left").groupBy("rank", "worker").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
 
 
 # Distances and draws
@@ -663,35 +686,56 @@ _U = {k: f"(CAST('0x' || substr(md5('{k}:' || id || ':' || dim), 1, 8) AS BIGINT
 _CENTRES = ", ".join(f"({k}, {j}, {float(v)!r})" for k, row in enumerate(generate.centres(3, 3, 10.0, 42)) for j, v in enumerate(row))
 
 
-@query(f"""WITH c(label, dim, x) AS (VALUES {_CENTRES}), p AS (SELECT range AS id, CAST(floor({sql.u(42, 'range')} * 3) AS BIGINT) AS label FROM range(5000)),
+@query(f"""WITH c(label, dim, x) AS (VALUES {_CENTRES}), p AS (SELECT event_id AS id, CAST(floor({sql.u(42, 'event_id')} * 3) AS BIGINT) AS label FROM events),
 v AS (SELECT p.label, c.dim, CAST(c.x + sqrt(-2 * ln(1 - {_U[43]})) * cos({_U[44]} * 2 * pi()) AS FLOAT) AS x FROM p JOIN c USING (label))
 SELECT label, CAST(dim AS BIGINT) AS dim, count(*) AS n, round(avg(CAST(x AS DOUBLE)), 4) AS mean, round(stddev_pop(CAST(x AS DOUBLE)), 4) AS spread FROM v GROUP BY 1, 2""")
 def blobs_generated(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows, mean and spread of each cluster and dimension."""
-    flat = generate.blobs(spark, 5000, 3).select("label", F.posexplode(doubles("features")).alias("dim", "x"))
+    """A point for each event: rows, mean and spread of each cluster and dimension."""
+    flat = generate.blobs(spark, table(spark, sf, "events").select(F.col("event_id").alias("id")), 3).select("label", F.posexplode(doubles("features")).alias("dim", "x"))
     return flat.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("spread"))
 
 
-@query("SELECT CAST(300 AS BIGINT) AS n, CAST(10 AS BIGINT) AS dims, CAST(3 AS BIGINT) AS labels, true AS noise_in_range")
+_SHAPES = ", ".join(f"({k}, {i}, {j}, {float(v)!r})" for k, m in enumerate(generate.shapes(3, 3, 2.0, 42)) for i, row in enumerate(m) for j, v in enumerate(row))
+
+
+@query(f"""WITH c(label, dim, x) AS (VALUES {_CENTRES}), m(label, dim, j, s) AS (VALUES {_SHAPES}), p AS (SELECT event_id AS id, CAST(floor({sql.u(42, 'event_id')} * 3) AS BIGINT) AS label FROM events),
+z AS (SELECT id, label, dim, sqrt(-2 * ln(1 - {_U[43]})) * cos({_U[44]} * 2 * pi()) AS z FROM p, (SELECT range AS dim FROM range(3))),
+v AS (SELECT z.id, label, m.dim, CAST(any_value(c.x) + sum(m.s * z.z) AS FLOAT) AS x FROM z JOIN m USING (label) JOIN c USING (label) WHERE z.dim = m.j AND c.dim = m.dim GROUP BY 1, 2, 3)
+SELECT a.label, CAST(a.dim AS BIGINT) AS dim, CAST(b.dim AS BIGINT) AS other, round(covar_samp(CAST(a.x AS DOUBLE), CAST(b.x AS DOUBLE)), 3) AS cov FROM v a JOIN v b ON a.id = b.id AND a.dim <= b.dim GROUP BY 1, 2, 3""")
+def mixture_covariances(spark: SparkSession, sf: str) -> DataFrame:
+    """A point for each event, of clusters that have a covariance of their own: the covariances that come out."""
+    made = generate.mixture(spark, table(spark, sf, "events").select(F.col("event_id").alias("id")), 3)
+    flat = made.select("label", doubles("features").alias("f"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("dim"), F.lit(j).cast("long").alias("other")) for i in range(3) for j in range(i, 3)])).alias("p"))
+    x, y = F.get("f", F.col("p.dim").cast("int")), F.get("f", F.col("p.other").cast("int"))
+    return flat.groupBy("label", F.col("p.dim").alias("dim"), F.col("p.other").alias("other")).agg(F.round(F.covar_samp(x, y), 3).alias("cov"))
+
+
+@query("SELECT count(*) AS n, CAST(10 AS BIGINT) AS dims, CAST(3 AS BIGINT) AS labels, true AS noise_in_range FROM events")
 def classification_generated(spark: SparkSession, sf: str) -> DataFrame:
-    """Informative, mixed and noise dimensions: their number, the labels, and noise within [-1, 1)."""
-    made = generate.classification(spark, 300, 10, 4, redundant=2, k=3)
+    """A point for each event, with informative, mixed and noise dimensions: their number, the labels, and noise within [-1, 1)."""
+    made = generate.classification(spark, table(spark, sf, "events").select(F.col("event_id").alias("id")), 10, 4, redundant=2, k=3)
     noise = F.forall(F.slice("features", 7, 4), lambda x: (x >= -1) & (x <= 1))
     return made.agg(F.count("*").alias("n"), F.max(F.size("features")).cast("long").alias("dims"), F.countDistinct("label").alias("labels"), F.min(noise).alias("noise_in_range"))
 
 
 @query("SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings")
 def labels_bin_append(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of even ids written, those of odd ones appended, with tasks that have no rows."""
+    """Labels of even ids written, those of odd ones appended, with tasks that have no rows; labels hold both columns, which come from what is read."""
     binary.register(spark)
     path = work_path(spark, "labels")
-    rows = points(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"))
+    rows = points(spark, sf).select(F.col("vec_id").alias("id"), (F.col("vec_id") * _WIDE + F.col("label")).alias("label"))
     for k in (0, 1):
         rows.filter(F.col("id") % 2 == k).repartition(7, F.col("id") % 3).write.format("labels_bin").mode("append").save(path)
-    back = spark.read.format("labels_bin").load(path)
-    n = rows.count()
-    same = back.groupBy("label").agg(F.count("*").alias("n")).join(rows.groupBy("label").agg(F.count("*").alias("m")), "label", "full").filter("not (n <=> m)")
-    return rows.crossJoin(F.broadcast(same.agg(F.count("*").alias("unlike")).crossJoin(back.agg(F.count("*").alias("all"))))).filter((F.col("unlike") == 0) & (F.col("all") == n)).select("id", "label")
+    return _unpacked(spark.read.format("labels_bin").load(path))
+
+
+#: Ids times this and a smaller number are one number.
+_WIDE = 1 << 24
+
+
+def _unpacked(labels: DataFrame) -> DataFrame:
+    """id and label that a label holds; ids of files are places."""
+    return labels.select(F.expr(f"label div {_WIDE}").alias("id"), (F.col("label") % _WIDE).alias("label"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -842,6 +886,48 @@ def stream_state_answer(spark: SparkSession, sf: str) -> DataFrame:
     return found.agg(F.round(F.sum("weight"), 4).alias("mass"), (F.count("*") <= 200).alias("small"))
 
 
+@query("SELECT r.range AS rank, (n // 100) >> r.range::INTEGER AS reductions FROM (SELECT count(*) AS n FROM events), range(40) r WHERE (n // 100) >> r.range::INTEGER > 0")
+def observed_reductions(spark: SparkSession, sf: str) -> DataFrame:
+    """Coresets of each rank that a stream of batches of 100 made, counted as they passed."""
+    counters = metrics.Counters()
+    spark.streams.addListener(counters)
+    try:
+        answers = metrics.counted(coreset_stream.stream_coresets(_event_stream(spark, sf), 50))
+        job = answers.writeStream.outputMode("update").option("checkpointLocation", work_path(spark, "observed")).trigger(availableNow=True).format("noop").start()
+        job.awaitTermination()
+        counters.wait(job.runId)
+    finally:
+        spark.streams.removeListener(counters)
+    made = counters.frame(spark).filter(F.col("counter").startswith("rank"))
+    return made.groupBy(F.expr("substr(counter, 5)").cast("long").alias("rank")).agg(F.sum("n").alias("reductions")).filter("reductions > 0")
+
+
+@query("SELECT event_id AS id, user_id AS label FROM events")
+def stream_labels_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream written as labels that hold both columns. Its last micro-batch is tried again, as after a crash before Spark noted its end; each row is read back once."""
+    binary.register(spark)
+    out, state = work_path(spark, "labels"), work_path(spark, "labels-state")
+    rows = _event_stream(spark, sf).select("id", (F.col("id") * _WIDE + F.col("features")[1].cast("long")).alias("label"))
+    for again in (False, True):
+        rows.writeStream.format("labels_bin").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        if not again:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/commits/0")
+            if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, False):
+                raise RuntimeError("the stream has noted no end of its first micro-batch")
+    return _unpacked(spark.read.format("labels_bin").load(out))
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings WHERE vec_id >= (SELECT count(*) // 3 FROM embeddings) AND vec_id < (SELECT count(*) * 2 // 3 FROM embeddings) AND vec_id <> 7")
+def points_bin_range(spark: SparkSession, sf: str) -> DataFrame:
+    """The middle third of the rows, read by a condition on their ids that the reader gets."""
+    binary.register(spark)
+    path, rows = work_path(spark, "points"), points(spark, sf).select(F.col("vec_id").alias("id"), "features")
+    rows.repartitionByRange(4, "id").write.format("points_bin").mode("overwrite").save(path)
+    n = rows.count()
+    back = spark.read.format("points_bin").load(path).filter((F.col("id") >= n // 3) & (F.col("id") < 2 * n // 3) & (F.col("id") != 7))
+    return back.select("id", F.round(F.aggregate(doubles("features"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query(f"WITH {sql.E} SELECT a.vec_id, round({sql.sq('a.f', 'b.f')}, 6) AS d2 FROM e a, (SELECT f FROM e WHERE vec_id = 0) b")
 def scaled_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Distances of cluster features: sums over two copies of a point, divided by their weight of two, are the point's own."""
@@ -893,11 +979,10 @@ def parsed_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type AS event, count(*) AS n, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) // 1000 AS BIGINT) AS ms FROM events GROUP BY 1")
 def timing_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """Timings in microseconds written as CSV without header, read back, and totals in whole milliseconds."""
+    """Timings in microseconds written by the timers' writer, read back, and totals in whole milliseconds."""
     path = work_path(spark, "timings")
-    table(spark, sf, "events").select("event_type", F.floor(F.col("value") * 1000).alias("us")).write.csv(path)
-    back = spark.read.schema("event string, us long").csv(path)
-    return back.groupBy("event").agg(F.count("*").alias("n"), F.expr("sum(us) div 1000").alias("ms"))
+    rollup.write_timings(table(spark, sf, "events").select(F.col("event_type").alias("event"), F.floor(F.col("value") * 1000).alias("time_us")), path)
+    return rollup.read_timings(spark, path).groupBy("event").agg(F.count("*").alias("n"), F.expr("sum(time_us) div 1000").alias("ms"))
 
 
 @query("SELECT * FROM (VALUES ('count', CAST(2 AS BIGINT), true), ('scan', CAST(1 AS BIGINT), true)) t(event, n, took_time)")
@@ -921,10 +1006,10 @@ def coreset_folder(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("coreset_size").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("mass"), F.max(F.size("features")).cast("long").alias("dims"))
 
 
-@query(f"SELECT CASE WHEN {sql.u(47, 'range')} < 0.2 THEN CAST(floor({sql.u(48, 'range')} * 3) AS BIGINT) ELSE CAST(floor({sql.u(42, 'range')} * 3) AS BIGINT) END AS label, count(*) AS n, min(range) AS first_id FROM range(3000) GROUP BY 1")
+@query(f"SELECT CASE WHEN {sql.u(47, 'event_id')} < 0.2 THEN CAST(floor({sql.u(48, 'event_id')} * 3) AS BIGINT) ELSE CAST(floor({sql.u(42, 'event_id')} * 3) AS BIGINT) END AS label, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
 def classification_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of generated classes, a fifth of which is drawn anew."""
-    made = generate.classification(spark, 3000, 6, 4, k=3, flip=0.2)
+    """Labels of generated classes, one for each event, a fifth of which is drawn anew."""
+    made = generate.classification(spark, table(spark, sf, "events").select(F.col("event_id").alias("id")), 6, 4, k=3, flip=0.2)
     return made.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 

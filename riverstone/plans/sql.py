@@ -21,7 +21,10 @@ def cosine(a: str, b: str) -> str:
 CENTER = f"c AS (SELECT vec_id AS cid, f AS cf FROM e ORDER BY {u(3, 'vec_id')}, vec_id LIMIT 1)"
 COSTS = f"d AS (SELECT e.vec_id, e.f, c.cid, {sq('e.f', 'c.cf')} AS d2 FROM e, c)"
 RUN = "r AS (SELECT *, sum(d2) OVER (ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS acc, sum(d2) OVER () AS total FROM d)"
-CANDIDATES = f"k AS (SELECT t.range AS try, min(r.vec_id) AS candidate FROM range(3) t, r WHERE r.acc >= {u(5, 't.range')} * r.total AND r.vec_id <> r.cid GROUP BY 1)"
+CANDIDATES = f"""h AS (SELECT t.range AS try, r.vec_id FROM range(3) t, r WHERE r.acc >= {u(5, 't.range')} * r.total AND r.vec_id <> r.cid QUALIFY row_number() OVER (PARTITION BY t.range ORDER BY r.vec_id) <= 3),
+  h1 AS (SELECT list(vec_id ORDER BY vec_id) FILTER (WHERE try = 0) AS a, list(vec_id ORDER BY vec_id) FILTER (WHERE try = 1) AS b, list(vec_id ORDER BY vec_id) FILTER (WHERE try = 2) AS c FROM h),
+  h2 AS (SELECT a[1] AS x, list_filter(b, lambda v: v <> a[1])[1] AS y, c FROM h1), h3 AS (SELECT x, y, list_filter(c, lambda v: v <> x AND v <> y)[1] AS z FROM h2),
+  k AS (SELECT * FROM (SELECT unnest([0, 1, 2]) AS try, unnest([x, y, z]) AS candidate FROM h3) WHERE candidate IS NOT NULL)"""
 COSTED = f"""n AS (SELECT candidate, sum(least(d2, nd)) AS new_cost, sum(CASE WHEN nd <= d2 THEN 1 ELSE 0 END) AS new_side
   FROM (SELECT q.candidate, d.d2, {sq('d.f', 'q.nf')} AS nd FROM d, (SELECT DISTINCT k.candidate, e.f AS nf FROM k JOIN e ON e.vec_id = k.candidate) q) GROUP BY 1)"""
 BEST = "b AS (SELECT n.candidate, e.f AS bf FROM n JOIN e ON e.vec_id = n.candidate ORDER BY new_cost, candidate LIMIT 1)"

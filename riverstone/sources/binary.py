@@ -7,11 +7,19 @@
 A path is a file, or a folder whose files are read in order of name; ids go on from file to file. A writer makes a whole file for each
 `CHUNK_ROWS` rows of a task, so that a task holds no more than that; coalesce(1) and fewer rows give one file. Rows are in order of id within
 a file. Names appear when a job is complete: a job's number, the task and the chunk, and an id of the job, so that no job writes over
-another's files. Overwriting deletes the old files after the new ones are there: a crash between leaves both, never neither.
+another's files. The driver gives names one by one: a crash meanwhile leaves a part of the job under its names, and the rest as `.part`
+files, which are never read. Overwriting deletes the old files after the new ones are there: a crash between leaves both, never neither.
+
+Streams are written too. A micro-batch is committed once: a manifest under _batches names its files before they get their names, so a batch
+that is tried again finds the manifest, completes what it says and drops its own files.
+
+Conditions on id (ranges, equality, lists) are pushed to the reader where `register()` has switched that on: it opens no more than the rows
+from the least to the largest id, and Spark checks the rest. All columns of a row are read, as rows are what files hold.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -21,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 FILE_TYPES = {"points_bin": "id long, features array<float>", "labels_bin": "id long, label long", "coreset_bin": "weight float, features array<float>"}
 BATCH_ROWS = 65_536
@@ -88,13 +96,35 @@ class BinaryReader(DataSourceReader):
     def __init__(self, kind: str, options: dict):
         self.kind, self.uri = kind, options["path"]
         self.each = int(options.get("rowsPerPartition", 1_000_000))
+        self.low, self.high = 0, 1 << 63  # ids from low to before high
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if self.kind != "coreset_bin" and getattr(f, "attribute", None) == ("id",):
+                if isinstance(f, EqualTo) and f.value is not None:
+                    self._within(f.value, f.value + 1)
+                elif isinstance(f, GreaterThanOrEqual):
+                    self._within(f.value, self.high)
+                elif isinstance(f, GreaterThan):
+                    self._within(f.value + 1, self.high)
+                elif isinstance(f, LessThan):
+                    self._within(self.low, f.value)
+                elif isinstance(f, LessThanOrEqual):
+                    self._within(self.low, f.value + 1)
+                elif isinstance(f, In) and f.value:
+                    self._within(min(f.value), max(f.value) + 1)
+            yield f  # Spark applies all of them to what is read
+
+    def _within(self, low: int, high: int) -> None:
+        self.low, self.high = max(self.low, low), min(self.high, high)
 
     def partitions(self) -> list[Rows]:
         fs, _ = store(self.uri)
         out, ids = [], 0
         for path in files_of(self.uri):
             lay = layout_of(self.kind, fs, path)
-            out += [Rows(path, lay, at, min(self.each, lay.rows - at), ids + at) for at in range(0, lay.rows, self.each)]
+            first, end = max(0, self.low - ids), min(lay.rows, self.high - ids)
+            out += [Rows(path, lay, at, min(self.each, end - at), ids + at) for at in range(first, end, self.each)]
             ids += lay.rows
         return out
 
@@ -123,11 +153,11 @@ class Written(WriterCommitMessage):
     task: int
 
 
-class BinaryWriter(DataSourceArrowWriter):
-    """Rows of a task: id and features, id and label, or weight and features."""
+class _Parts:
+    """Rows of a task: id and features, id and label, or weight and features, in files that nothing reads yet."""
 
-    def __init__(self, kind: str, options: dict, overwrite: bool):
-        self.kind, self.uri, self.overwrite = kind, options["path"], overwrite
+    def __init__(self, kind: str, options: dict):
+        self.kind, self.uri = kind, options["path"]
         self.job, self.chunk = uuid.uuid4().hex, int(options.get("rowsPerFile", CHUNK_ROWS))
 
     def _raw(self, rows: pa.Table) -> bytes:
@@ -168,6 +198,19 @@ class BinaryWriter(DataSourceArrowWriter):
             flush()
         return Written(parts, TaskContext.get().partitionId())
 
+    def drop(self, messages: list) -> None:
+        fs, _ = store(self.uri)
+        for m in messages:
+            for part in m.parts if m is not None else []:
+                if fs.get_file_info(part).is_file:
+                    fs.delete_file(part)
+
+
+class BinaryWriter(_Parts, DataSourceArrowWriter):
+    def __init__(self, kind: str, options: dict, overwrite: bool):
+        super().__init__(kind, options)
+        self.overwrite = overwrite
+
     def commit(self, messages: list) -> None:
         fs, path = store(self.uri)
         fs.create_dir(path, recursive=True)
@@ -181,11 +224,30 @@ class BinaryWriter(DataSourceArrowWriter):
             fs.delete_file(gone)
 
     def abort(self, messages: list) -> None:
-        fs, _ = store(self.uri)
-        for m in messages:
-            for part in m.parts if m is not None else []:
+        self.drop(messages)
+
+
+class BinaryStreamWriter(_Parts, DataSourceStreamArrowWriter):
+    """Micro-batches, each committed once, however often it is tried."""
+
+    def commit(self, messages: list, batchId: int) -> None:  # noqa: N803
+        fs, path = store(self.uri)
+        manifest = f"{path}/_batches/{batchId:012d}"
+        fs.create_dir(f"{path}/_batches", recursive=True)
+        if fs.get_file_info(manifest).is_file:
+            self.drop(messages)
+        else:
+            names = [(part, f"{path}/part-{batchId:012d}-{m.task:06d}-{k:04d}.bin") for m in messages if m is not None for k, part in enumerate(m.parts)]
+            with fs.open_output_stream(f"{manifest}.part", compression=None) as f:
+                f.write(json.dumps(names).encode())
+            fs.move(f"{manifest}.part", manifest)
+        with fs.open_input_file(manifest) as f:
+            for part, name in json.loads(f.read()):
                 if fs.get_file_info(part).is_file:
-                    fs.delete_file(part)
+                    fs.move(part, name)
+
+    def abort(self, messages: list, batchId: int) -> None:  # noqa: N803
+        self.drop(messages)
 
 
 class _Source(DataSource):
@@ -204,6 +266,9 @@ class _Source(DataSource):
     def writer(self, schema, overwrite: bool) -> BinaryWriter:  # noqa: ANN001
         return BinaryWriter(self.kind, self.options, overwrite)
 
+    def streamWriter(self, schema, overwrite: bool) -> BinaryStreamWriter:  # noqa: ANN001, N802
+        return BinaryStreamWriter(self.kind, self.options)
+
 
 class PointsBin(_Source):
     kind = "points_bin"
@@ -218,6 +283,7 @@ class CoresetBin(_Source):
 
 
 def register(spark: SparkSession) -> None:
-    """Formats points_bin, labels_bin and coreset_bin for spark.read and df.write."""
+    """Formats points_bin, labels_bin and coreset_bin for spark.read, df.write and writeStream, with conditions pushed to readers."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (PointsBin, LabelsBin, CoresetBin):
         spark.dataSource.register(source)

@@ -24,7 +24,7 @@ from riverstone.session import SETTINGS, spread
 
 #: Consecutive rows of a task, of which a window's are reduced together.
 PART_ROWS = 200_000
-OUTPUT = "shard long, version long, rank int, weight double, features array<double>"
+OUTPUT = "shard long, version long, rank int, weight double, features array<double>, reduced array<long>"
 META = "version long, n_reduced long"
 SLOT = "dims int, points binary, weights binary"
 WAITING = -1
@@ -85,9 +85,12 @@ class CounterState(StatefulProcessor):
                 self.ranks.updateValue((rank,), _raw(*slot))
         self.waiting.update(_raw(points, weights))
         self.meta.update((version + 1, buckets.n_reduced))
+        # Once in an answer: how many coresets of each rank this trigger has made.
+        reduced = [[buckets.by_rank.get(r, 0) for r in range(max(buckets.by_rank, default=-1) + 1)]]
         for rank, p, w in [(WAITING, points, weights), *((rank, *slot) for rank, slot in sorted(buckets.slots.items()))]:
             if len(p):
-                yield pd.DataFrame({"shard": shard, "version": version + 1, "rank": rank, "weight": w, "features": list(p)})
+                yield pd.DataFrame({"shard": shard, "version": version + 1, "rank": rank, "weight": w, "features": list(p), "reduced": reduced + [None] * (len(p) - 1)})
+                reduced = [None]
 
     def close(self) -> None:
         pass
