@@ -80,6 +80,11 @@ def without_rows(df: DataFrame, positions: DataFrame, key: str) -> DataFrame:
     return df.join(positions.select(key).distinct(), key, "left_anti")
 
 
+def without_empty(groups: DataFrame, count: str) -> DataFrame:
+    """Groups that have rows; a null count is none."""
+    return groups.filter(F.col(count) > 0)
+
+
 def expanded_ranges(text: Column) -> Column:
     """'0-3,6' to array(0, 1, 2, 3, 6)."""
     part = lambda p: F.split(p, "-")

@@ -131,9 +131,9 @@ def minibatch_kmeans(coreset: DataFrame, k: int = 3, rounds: int = 3, batch: int
     return coreset.select(F.lit(0).alias("one"), "weight", "features").groupBy("one").applyInArrow(run, "cluster long, features array<double>")
 
 
-def minibatch_in_order(points: DataFrame, ordinal: str, centroids: np.ndarray, batch: int, features: str = "features") -> DataFrame:
-    """cluster, features: one round of unit-weight mini-batch k-means over all batches of `batch` rows in the order of `ordinal`, the last may
-    be short. Within a batch, assigning comes before moving, so each cluster takes the mean of what it has seen.
+def minibatch_in_order(points: DataFrame, ordinal: str, centroids: np.ndarray, batch: int, features: str = "features", weight: str | None = None) -> DataFrame:
+    """cluster, features: one round of mini-batch k-means over all batches of `batch` rows in the order of `ordinal`, the last may be short.
+    Within a batch, assigning comes before moving, so each cluster takes the (weighted) mean of what it has seen.
 
     Each batch needs the centroids that the one before left, so one task reads the sorted rows as a stream and holds a batch at a time.
     """
@@ -143,18 +143,20 @@ def minibatch_in_order(points: DataFrame, ordinal: str, centroids: np.ndarray, b
         """Rows in order, cut into batches whatever Arrow's are."""
         import pyarrow as pa
 
-        c, seen, held = first.copy(), np.zeros(len(first)), np.zeros((0, first.shape[1]))
+        c, seen, held = first.copy(), np.zeros(len(first)), np.zeros((0, first.shape[1] + 1))
 
-        def move(x: np.ndarray) -> None:
+        def move(rows: np.ndarray) -> None:
+            x, w = rows[:, 1:], rows[:, 0]
             near = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
             for j in np.unique(near):
-                own = x[near == j]
-                c[j] = (c[j] * seen[j] + own.sum(axis=0)) / (seen[j] + len(own))
-                seen[j] += len(own)
+                own, mass = near == j, w[near == j].sum()
+                if mass > 0:
+                    c[j] = (c[j] * seen[j] + (x[own] * w[own, None]).sum(axis=0)) / (seen[j] + mass)
+                    seen[j] += mass
 
         for b in parts:
             if b.num_rows:
-                held = np.concatenate([held, matrix_of(b.column(0))])
+                held = np.concatenate([held, np.column_stack([b.column(1).to_numpy(), matrix_of(b.column(0))])])
             whole = len(held) - len(held) % batch
             for at in range(0, whole, batch):
                 move(held[at : at + batch])
@@ -163,8 +165,9 @@ def minibatch_in_order(points: DataFrame, ordinal: str, centroids: np.ndarray, b
             move(held)
         yield pa.record_batch([pa.array(np.arange(len(c))), pa.array(c.tolist(), pa.list_(pa.float64()))], ["cluster", "features"])
 
-    rows = points.select(F.col(ordinal).alias("_at"), doubles(features).alias("features"))
-    return rows.repartition(1).sortWithinPartitions("_at").select("features").mapInArrow(run, "cluster long, features array<double>")
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = points.select(F.col(ordinal).alias("_at"), doubles(features).alias("features"), w.alias("w"))
+    return rows.repartition(1).sortWithinPartitions("_at").select("features", "w").mapInArrow(run, "cluster long, features array<double>")
 
 
 def library_kmeans(points: DataFrame, k: int, seed: int = 3, rounds: int = 20, features: str = "features", weight: str | None = None) -> np.ndarray:

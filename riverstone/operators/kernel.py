@@ -72,17 +72,42 @@ def _drawn(cost: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     return positive[np.minimum(at, len(positive) - n + np.arange(n))]
 
 
-def _tried(cost: np.ndarray, tries: int, rng: np.random.Generator, pick: str, far: np.ndarray) -> list[np.ndarray]:
-    """Runs of places in a leaf, of each of which the first that beats what was found before is taken."""
+def _tried(cost: np.ndarray, tries: int, rng: np.random.Generator | None, pick: str, far: np.ndarray, draws: np.ndarray | None = None) -> list[np.ndarray]:
+    """Runs of places in a leaf, of each of which the first that beats what was found before is taken. draws: uniforms for a scan."""
     if pick == "farthest":
         return [np.array([int(np.argmax(far))])]
     if pick == "scan":
         total, places = np.cumsum(cost), np.flatnonzero(cost > 0)
-        at = np.minimum(np.searchsorted(total, rng.random(tries) * total[-1], side="right"), places[-1])
+        at = np.minimum(np.searchsorted(total, (rng.random(tries) if draws is None else draws) * total[-1], side="right" if draws is None else "left"), places[-1])
         return [places[np.searchsorted(places, a) :] for a in at]
     return [np.array([c]) for c in _drawn(cost, min(tries, len(cost) - 1), rng)]
 
 
+def _best_split(points, w, mine, runs, metric):  # noqa: ANN001, ANN202
+    """Cost left, place and distances of the point that is taken as a leaf's new centre."""
+    best = None
+    for run in runs:
+        for c in run:
+            far = _distances(points, points[c][None, :] if metric == "l2" else points[c][None, :].repeat(len(points), axis=0), metric)
+            far[c] = 0
+            cost = (w * np.minimum(mine, far)).sum()
+            if best is None or cost < best[0]:
+                best = (cost, c, far)
+                break  # a scan goes no further; other runs are of one point
+    return best
+
+
+def split_of(points: np.ndarray, w: np.ndarray, centre: int, pick: str, metric: str = "l2", draws: np.ndarray | None = None) -> tuple[int, float]:
+    """The first split of a leaf about a centre, as trees with this pick make it: the new centre's place, and the cost that is left.
+
+    draws: for `scan`, the uniforms, each of which begins at the first point of positive cost where the running cost reaches its share.
+    """
+    mine = _distances(points, points[centre][None, :].repeat(len(points), axis=0), metric)
+    mine[centre] = 0
+    cost, c, _ = _best_split(points, w, mine, _tried(w * mine, 1, None, pick, mine, draws), metric)
+    return int(c), float(cost)
+
+
 def _sequential(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
     n = len(points)
     centres = [_first(w, rng)]
@@ -99,16 +124,7 @@ def _sequential(points, w, m, rng, tries, metric, pick):  # noqa: ANN001, ANN202
         at = int(chosen[0])
         own = members[at]
         mine, own_w = d[own], w[own]
-        best = None
-        for run in _tried(own_w * mine, tries, rng, pick, mine):
-            for c in run:
-                far = _distances(points[own], points[own[c]][None, :], metric) if metric == "l2" else _distances(points[own], points[own[c]][None, :].repeat(len(own), axis=0), metric)
-                far[c] = 0
-                cost = (own_w * np.minimum(mine, far)).sum()
-                if best is None or cost < best[0]:
-                    best = (cost, c, far)
-                    break  # a scan goes no further; other runs are of one point
-        _, c, far = best
+        _, c, far = _best_split(points[own], own_w, mine, _tried(own_w * mine, tries, rng, pick, mine), metric)
         stay = mine < far
         stay[c] = False
         new = len(centres)

@@ -363,6 +363,81 @@ def minibatch_unit_weight(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("cluster", F.posexplode("features").alias("dim", "x")).select("cluster", F.col("dim").cast("long").alias("dim"), six("x"))
 
 
+@query(f"WITH {sql.E}, z0 AS (SELECT vec_id AS cluster, 0 AS seen, f FROM e WHERE vec_id < 3), {', '.join(sql.minibatch_round(k, _THIRD, '(vec_id % 5 + 1)') for k in range(3))} SELECT cluster, dim, round(x, 6) AS x FROM {sql.flat('z3')}")
+def minibatch_weighted_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Three clusters and points of different weights, the whole table in three batches."""
+    rows = points(spark, sf).select("vec_id", "features", (F.col("vec_id") % 5 + 1).alias("w"))
+    c = np.array([r.features for r in _first_centroids(spark, sf).orderBy("cluster").collect()])
+    found = clustering.minibatch_in_order(rows, "vec_id", c, (rows.count() + 2) // 3, weight="w")
+    return found.select("cluster", F.posexplode("features").alias("dim", "x")).select("cluster", F.col("dim").cast("long").alias("dim"), six("x"))
+
+
+@query("SELECT label % 2 AS half, i - 1 AS dim, round(avg(CAST(embedding[i] AS DOUBLE) + 1000 * (label % 2)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2")
+def library_two_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The library's k-means of two halves that were moved far apart: the mean of each."""
+    moved = points(spark, sf).select(F.transform(doubles("features"), lambda x: x + 1000 * (F.col("label") % 2)).alias("features"))
+    c = sorted(clustering.library_kmeans(moved, 2).tolist())
+    return spark.createDataFrame([(half, j, x) for half, row in enumerate(c) for j, x in enumerate(row)], "half int, dim long, x double").select("half", "dim", six("x"))
+
+
+_GROUP = 64
+_IN_GROUPS = f"g AS (SELECT vec_id, f, (row_number() OVER (ORDER BY vec_id) - 1) // {_GROUP} AS grp FROM e), gc AS (SELECT grp, arg_min(f, vec_id) AS cf FROM g GROUP BY 1)"
+
+
+def _left(distance: str) -> str:
+    """nc (grp, candidate, cost): what is left of the cost about the first row of a group if a row becomes a centre."""
+    return f"nc AS (SELECT a.grp, a.vec_id AS candidate, sum(least(b.d, {distance})) AS cost FROM gd a JOIN gd b USING (grp) GROUP BY 1, 2)"
+
+
+def _splits(spark: SparkSession, sf: str, pick: str, metric: str, draws: bool) -> DataFrame:
+    """grp, vec_id, cost: the kernel's first split of each group of 64 rows about its first row."""
+    from riverstone.operators import kernel
+
+    def run(key, table):  # noqa: ANN001, ANN202
+        """One group."""
+        import pyarrow as pa
+
+        table = table.sort_by("vec_id")
+        x, grp = coresets.matrix_of(table.column("features")), key[0].as_py()
+        us = np.array([seeding.driver_uniform(31, grp, t) for t in range(3)]) if draws else None
+        c, cost = kernel.split_of(x, np.ones(len(x)), 0, pick, metric, us)
+        return pa.table({"grp": pa.array([grp]), "vec_id": table.column("vec_id").take(pa.array([c])), "cost": pa.array([cost])})
+
+    rows = batching.with_ordinal(points(spark, sf), "vec_id").select(batching.batch_of(F.col("ordinal"), _GROUP).alias("grp"), "vec_id", doubles("features").alias("features"))
+    return rows.groupBy("grp").applyInArrow(run, "grp long, vec_id long, cost double").select("grp", "vec_id", six("cost"))
+
+
+@query(f"""WITH {sql.E}, {_IN_GROUPS}, gd AS (SELECT g.*, CASE WHEN f = cf THEN 0 ELSE {sql.cosine('g.f', 'gc.cf')} END AS d FROM g JOIN gc USING (grp)), {_left(f"CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE {sql.cosine('b.f', 'a.f')} END")}
+SELECT grp, candidate AS vec_id, round(cost, 6) AS cost FROM nc JOIN gd ON gd.grp = nc.grp AND vec_id = candidate QUALIFY row_number() OVER (PARTITION BY grp ORDER BY d DESC, vec_id) = 1""".replace("SELECT grp, candidate", "SELECT nc.grp, candidate").replace("PARTITION BY grp ORDER BY d", "PARTITION BY nc.grp ORDER BY d"))
+def cosine_farthest_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The first split of trees by cosine and farthest point: the row that is chosen, and the cost that is left."""
+    return _splits(spark, sf, "farthest", "cosine", False)
+
+
+_DRAW = "(CAST('0x' || substr(md5('31:' || grp || ':{t}'), 1, 8) AS BIGINT) / 4294967296.0)"
+_SCAN = [
+    f"s{t} AS (SELECT q.grp, coalesce(n.candidate, q.candidate) AS candidate, coalesce(n.cost, q.cost) AS cost FROM "
+    + ("(SELECT grp, NULL::BIGINT AS candidate, NULL::DOUBLE AS cost FROM gc) q" if t == 0 else f"s{t - 1} q")
+    + f" LEFT JOIN LATERAL (SELECT nc.candidate, nc.cost FROM nc JOIN gr ON gr.grp = nc.grp AND gr.vec_id = nc.candidate WHERE nc.grp = q.grp AND gr.d > 0 AND gr.acc >= {_DRAW.format(t=t).replace('grp', 'q.grp')} * gr.total AND (q.cost IS NULL OR nc.cost < q.cost) ORDER BY nc.candidate LIMIT 1) n ON true)"
+    for t in range(3)
+]
+
+
+@query(f"""WITH {sql.E}, {_IN_GROUPS}, gd AS (SELECT g.*, {sql.sq('g.f', 'gc.cf')} AS d FROM g JOIN gc USING (grp)), {_left(sql.sq('a.f', 'b.f'))},
+gr AS (SELECT grp, vec_id, d, sum(d) OVER (PARTITION BY grp ORDER BY vec_id) AS acc, sum(d) OVER (PARTITION BY grp) AS total FROM gd), {', '.join(_SCAN)}
+SELECT grp, candidate AS vec_id, round(cost, 6) AS cost FROM s2""")
+def scan_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The first split of trees by sequential ratio sampling: of three draws, each scans on to a row that leaves less than the ones before."""
+    return _splits(spark, sf, "scan", "l2", True)
+
+
+@query("SELECT n_nationkey, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1")
+def nonempty_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations with a supplier of a high balance; those without are counted as 0 and dropped."""
+    own = table(spark, sf, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return batching.without_empty(table(spark, sf, "nation").select("n_nationkey").join(own, "n_nationkey", "left"), "n")
+
+
 @query()
 def minibatch_unit_weight_all(spark: SparkSession, sf: str) -> DataFrame:
     """All batches of 200 of the table, however many."""

@@ -49,11 +49,11 @@ def lloyd_round(k: int) -> str:
     return f"{a}, {m}, z{k + 1} AS (SELECT z{k}.cluster, coalesce(m{k}.f, z{k}.f) AS f FROM z{k} LEFT JOIN m{k} USING (cluster))"
 
 
-def minibatch_round(k: int, size: int) -> str:
-    """One batch of unit weights, closed form: the mean of what a cluster has seen, and starts counting at 0."""
+def minibatch_round(k: int, size: int | str, weight: str = "1") -> str:
+    """One batch, closed form: the weighted mean of what a cluster has seen, and starts counting at 0."""
     batch = f"p{k} AS (SELECT * FROM e WHERE vec_id // {size} = {k})"
     a = assigned(f"a{k}", f"z{k}", f"p{k}")
-    m = f"m{k} AS (SELECT cluster, list(x ORDER BY dim) AS total, any_value(n) AS n FROM (SELECT cluster, dim, sum(x) AS x, count(*) AS n FROM {flat(f'a{k}')} GROUP BY 1, 2) GROUP BY 1)"
+    m = f"m{k} AS (SELECT cluster, list(x ORDER BY dim) AS total, any_value(n) AS n FROM (SELECT cluster, i - 1 AS dim, sum(f[i] * {weight}) AS x, sum({weight}) AS n FROM a{k}, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1)"
     z = f"""z{k + 1} AS (SELECT z.cluster, z.seen + coalesce(m.n, 0) AS seen, CASE WHEN m.n IS NULL THEN z.f
   ELSE list_transform(range(1, 65), lambda i: (z.f[i] * z.seen + m.total[i]) / (z.seen + m.n)) END AS f FROM z{k} z LEFT JOIN m{k} m USING (cluster))"""
     return f"{batch}, {a}, {m}, {z}"

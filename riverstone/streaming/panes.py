@@ -35,6 +35,11 @@ def micros(df: DataFrame, interval: str) -> int:
     return found.days * 86_400_000_000 + found.seconds * 1_000_000 + found.microseconds
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    some = [p for p in parts if len(p[0])]
+    return (np.concatenate([p for p, _ in some]), np.concatenate([w for _, w in some])) if some else (np.zeros((0, 0)), np.zeros(0))
+
+
 def _update(m: int, seed: int, width: int, options: dict):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -55,13 +60,12 @@ def _update(m: int, seed: int, width: int, options: dict):
             waiting.append((np.stack(frame["features"].to_list()).astype(float), frame["weight"].to_numpy(float)))
             rows += len(frame)
             if rows >= 2 * m:
-                points, weights = (np.concatenate([w[i] for w in waiting if len(w[0])]) for i in (0, 1))
+                points, weights = _joined(waiting)
                 whole = rows - rows % (2 * m)
                 for i in range(0, whole, 2 * m):
                     buckets.add(points[i : i + 2 * m], weights[i : i + 2 * m])
                 waiting, rows = [(points[whole:], weights[whole:])], rows - whole
-        left = [w for w in waiting if len(w[0])]
-        points, weights = (np.concatenate([w[i] for w in left]) if left else np.zeros((0, 0))[:, 0] if i else np.zeros((0, 0)) for i in (0, 1))
+        points, weights = _joined(waiting)
         state.update((version + 1, int(n), int(first), int(last), buckets.n_reduced, packed(buckets, points, weights)))
         state.setTimeoutTimestamp((pane + width) // 1000)
         for p, w in [(points, weights), *(slot for _, slot in sorted(buckets.slots.items()))]:
