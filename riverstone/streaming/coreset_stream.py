@@ -28,7 +28,7 @@ OUTPUT = "shard long, version long, rank int, weight double, features array<doub
 META = "version long, n_reduced long"
 SLOT = "dims int, points binary, weights binary"
 WAITING = -1
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STORE = [k for k in SETTINGS if ".stateStore." in k]
 
 
 def packed(buckets: Buckets, points: np.ndarray, weights: np.ndarray) -> bytes:
@@ -112,8 +112,8 @@ def stream_coresets(points: DataFrame, m: int, shards: int = 1, features: str =
     Rows are dealt to shards by a hash of their position, and taken in order of it within a micro-batch: a micro-batch's rows of a shard are
     in memory, so sources bound its bytes (sources.streams). One shard keeps the order of the whole stream; more of them spread the work.
     """
-    if not points.sparkSession.conf.get(PROVIDER, "").endswith("RocksDBStateStoreProvider"):  # the only one that keeps several states for a key
-        points.sparkSession.conf.set(PROVIDER, SETTINGS[PROVIDER])
+    for setting in STORE:  # the one store that keeps several states for a key, and writes what a trigger has changed
+        points.sparkSession.conf.set(setting, SETTINGS[setting])
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = points.select(F.pmod(F.xxhash64(position), F.lit(shards)).alias("shard"), F.col(position).alias("position"), doubles(features).alias("features"), w.alias("weight"))
     return rows.groupBy("shard").transformWithStateInPandas(CounterState(m, seed, options), OUTPUT, "update", "none")

@@ -1,9 +1,12 @@
+import json
+import os
 import socket
 import struct
 import threading
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +120,62 @@ def test_points_of_a_socket(spark, tmp_path):
     finally:
         job.stop()
         server.close()
+
+
+def test_conditions_on_ids_are_read_by_range(spark, tmp_path):
+    """The reader opens the rows between the least and the largest id only; Spark checks the rest of the condition."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
+
+    binary.register(spark)
+    path = f"{tmp_path}/p"
+    spark.range(1000).select("id", F.array(F.col("id").cast("float")).alias("features")).repartitionByRange(3, "id").write.format("points_bin").mode("overwrite").save(path)
+
+    def opened(*filters):
+        reader = binary.BinaryReader("points_bin", {"path": path, "rowsPerPartition": "100"})
+        assert len(list(reader.pushFilters(list(filters)))) == len(filters)
+        return sum(p.count for p in reader.partitions())
+
+    at = ("id",)
+    assert opened() == 1000 and opened(EqualTo(at, 7)) == 1 and opened(In(at, (3, 12, 5))) == 10 and opened(EqualTo(("x",), 7)) == 1000
+    assert opened(GreaterThanOrEqual(at, 990)) == 10 and opened(GreaterThan(at, 990), LessThanOrEqual(at, 995)) == 5 and opened(LessThan(at, 0)) == 0
+    assert opened(GreaterThan(at, 10), LessThan(at, 5)) == 0 and opened(EqualTo(at, 5000)) == 0
+    back = spark.read.format("points_bin").load(path)
+    assert sorted(r.id for r in back.filter("id >= 340 and id < 345 and id <> 342").collect()) == [340, 341, 343, 344]
+    assert [r.features for r in back.filter("id in (7, 993)").orderBy("id").collect()] == [[7.0], [993.0]]
+
+
+def test_a_batch_is_committed_once(spark, tmp_path):
+    """A batch that is tried again completes what its manifest says, and what it has written anew goes."""
+    fs, path = binary.store(f"{tmp_path}/out")
+    table = lambda n: [pa.record_batch([pa.array(range(n)), pa.array(range(n))], ["id", "label"])]
+
+    def tried(n, task=0):
+        writer = binary.BinaryStreamWriter("labels_bin", {"path": f"{tmp_path}/out"})
+        parts = []
+        fs.create_dir(path, recursive=True)
+        part = f"{path}/{writer.job}-{task}.part"
+        with fs.open_output_stream(part, compression=None) as f:
+            f.write(writer._raw(pa.Table.from_batches(table(n))))
+        parts.append(part)
+        return writer, [binary.Written(parts, task)]
+
+    count = lambda: spark.read.format("labels_bin").load(f"{tmp_path}/out").count()
+    binary.register(spark)
+    writer, messages = tried(5)
+    writer.commit(messages, 0)
+    assert count() == 5
+    writer, messages = tried(5)
+    writer.commit(messages, 0)  # again
+    assert count() == 5
+    # A crash after the manifest: the files have no names yet.
+    writer, messages = tried(3)
+    lost = f"{path}/_batches/000000000001"
+    with fs.open_output_stream(lost, compression=None) as f:
+        f.write(json.dumps([(messages[0].parts[0], f"{path}/part-000000000001-000000-0000.bin")]).encode())
+    assert count() == 5
+    writer, messages = tried(3)
+    writer.commit(messages, 1)
+    assert count() == 8 and not [f for f in os.listdir(path) if f.endswith(".part")]
+    writer, messages = tried(9)
+    writer.abort(messages, 2)
+    assert count() == 8

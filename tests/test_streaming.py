@@ -7,7 +7,7 @@ from riverstone.operators.coreset import coreset_levels
 from riverstone.sources import generate
 from riverstone.sources.streams import file_stream
 from riverstone.streaming import coreset_stream as cs
-from riverstone.streaming import panes
+from riverstone.streaming import metrics, panes
 
 
 def stream(spark, files, tmp_path, m, shards, name):
@@ -72,3 +72,39 @@ def test_windows_of_a_stream_and_late_rows(spark, tmp_path):
     found = panes.sliding_windows(answers, "1 hour", "1 hour", "1 hour", 10)
     got = {int(r.t) // 3600 - 24: (r.w, r.n) for r in found.groupBy(F.unix_seconds("window_start").alias("t")).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
     assert got == {0: (60.0, 10), 1: (40.0, 10), 5: (31.0, 10), 6: (1.0, 1)}
+
+
+def test_state_is_read_as_a_table_and_written_by_rank(spark, tmp_path):
+    """What the checkpoint holds is what was answered last; a trigger leaves ranks that it hasn't changed as they were."""
+    files, points = write_files(spark, tmp_path, [1030, 12])
+    os.rename(f"{files}/f001.parquet", f"{tmp_path}/later.parquet")
+    key = lambda df: sorted((r.shard, r.rank, r.weight, tuple(r.features)) for r in df.collect())
+    first = cs.latest(stream(spark, files, tmp_path, 20, 2, "c"))
+    held = key(cs.stored_answers(spark, f"{tmp_path}/c-state"))
+    assert held == key(first.select("shard", "rank", "weight", "features"))
+    assert max(r[1] for r in held) >= 3
+    os.rename(f"{tmp_path}/later.parquet", f"{files}/f001.parquet")
+    both = cs.latest(stream(spark, files, tmp_path, 20, 2, "c"))
+    after = key(cs.stored_answers(spark, f"{tmp_path}/c-state"))
+    assert after == key(both.select("shard", "rank", "weight", "features"))
+    assert {r for r in held if r[1] >= 3} == {r for r in after if r[1] >= 3}
+    changed = spark.read.format("statestore").option("path", f"{tmp_path}/c-state").option("stateVarName", "ranks").option("readChangeFeed", "true").option("changeStartBatchId", 1).load()
+    assert changed.filter("user_map_key.rank >= 3").count() == 0
+    assert abs(sum(r[2] for r in after) - 1042) < 1e-6
+
+
+def test_counters_of_a_stream(spark, tmp_path):
+    """Counters of each micro-batch add up to the rows and reductions of the whole stream."""
+    files, _ = write_files(spark, tmp_path, [90, 210, 100])
+    counters = metrics.Counters("mine")
+    spark.streams.addListener(counters)
+    try:
+        src = spark.readStream.schema("id long, features array<float>, label long").option("maxFilesPerTrigger", 1).parquet(files)
+        job = metrics.counted(cs.stream_coresets(src, 25), "mine").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("noop").start()
+        job.awaitTermination()
+        counters.wait(job.runId)
+    finally:
+        spark.streams.removeListener(counters)
+    found = counters.frame(spark)
+    assert found.select("batch", "rows").distinct().agg(F.sum("rows"), F.count("*")).first() == (400, 3)
+    assert {r.counter: r.n for r in found.groupBy("counter").agg(F.sum("n").alias("n")).filter("n > 0 and counter like 'rank%'").collect()} == {"rank0": 8, "rank1": 4, "rank2": 2, "rank3": 1}
