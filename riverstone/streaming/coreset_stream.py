@@ -8,7 +8,6 @@ latest answers, and of what stored_answers() reads from a checkpoint. Windows of
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +31,25 @@ STORE = [k for k in SETTINGS if ".stateStore." in k]
 
 
 def packed(buckets: Buckets, points: np.ndarray, weights: np.ndarray) -> bytes:
-    """A counter's coresets and the points that wait, as bytes."""
-    out = io.BytesIO()
-    parts = {f"p{WAITING}": points, f"w{WAITING}": weights} | {f"{k}{rank}": slot[i] for rank, slot in buckets.slots.items() for i, k in enumerate("pw")}
-    np.savez(out, **parts)
-    return out.getvalue()
+    """A counter's coresets and the points that wait, as bytes: how many parts, rank, rows and dimensions of each, and their values."""
+    parts = [(WAITING, points, weights), *((rank, *slot) for rank, slot in buckets.slots.items())]
+    head = np.array([len(parts), *(x for rank, p, _ in parts for x in (rank, *(p.shape if len(p) else (0, 0))))], "<i8")
+    return b"".join([head.tobytes(), *(x.astype("<f8", copy=False).tobytes() for _, p, w in parts for x in (p, w))])
 
 
 def unpacked(raw: bytes, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Fills the counter, and gives the points that wait and their weights."""
-    with np.load(io.BytesIO(raw)) as parts:
-        for name in parts:
-            if name[0] == "p" and int(name[1:]) != WAITING:
-                buckets.slots[int(name[1:])] = (parts[name], parts["w" + name[1:]])
-        return parts[f"p{WAITING}"], parts[f"w{WAITING}"]
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head, at, waiting = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(n, 3).tolist(), 8 * (1 + 3 * n), (np.zeros((0, 0)), np.zeros(0))
+    for rank, rows, dims in head:
+        points = np.frombuffer(raw, "<f8", rows * dims, at).reshape(rows, dims)
+        weights = np.frombuffer(raw, "<f8", rows, at + points.nbytes)
+        at += points.nbytes + weights.nbytes
+        if rank == WAITING:
+            waiting = (points, weights)
+        else:
+            buckets.slots[rank] = (points, weights)
+    return waiting
 
 
 class CounterState(StatefulProcessor):

@@ -68,9 +68,8 @@ def _update(m: int, seed: int, width: int, options: dict):
         points, weights = _joined(waiting)
         state.update((version + 1, int(n), int(first), int(last), buckets.n_reduced, packed(buckets, points, weights)))
         state.setTimeoutTimestamp((pane + width) // 1000)
-        for p, w in [(points, weights), *(slot for _, slot in sorted(buckets.slots.items()))]:
-            if len(p):
-                yield pd.DataFrame({"key": name, "pane": pane, "shard": shard, "version": version + 1, "n_rows": int(n), "first": int(first), "last": int(last), "weight": w, "features": list(p)})
+        points, weights = _joined([(points, weights), *(slot for _, slot in sorted(buckets.slots.items()))])
+        yield pd.DataFrame({"key": name, "pane": pane, "shard": shard, "version": version + 1, "n_rows": int(n), "first": int(first), "last": int(last), "weight": weights, "features": list(points)})
 
     return run
 
@@ -100,7 +99,7 @@ def merged_panes(answers: DataFrame, m: int, seed: int = 3, **options) -> tuple[
 
 
 def merged(rows: DataFrame, by: list[str], m: int, seed: int, level: int, **options) -> DataFrame:  # noqa: ANN003
-    """The columns `by`, weight, features: the points of each group as one coreset."""
+    """The columns `by`, weight, features: the points of each group as one coreset. Groups of at most m points are one as they are."""
     kinds = dict(rows.dtypes)
     plain = merge_kernel(m, seed, level, options, sort=True)
 
@@ -113,7 +112,10 @@ def merged(rows: DataFrame, by: list[str], m: int, seed: int, level: int, **opti
             made = made.add_column(0, k, pa.array([value.as_py()] * made.num_rows, value.type))
         return made
 
-    return rows.select(*by, "weight", "features").groupBy(*by).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in by) + ", weight double, features array<double>")
+    counted = rows.join(rows.groupBy(*by).agg(F.count("*").alias("_points")), by).select(*by, "weight", "features", "_points")
+    few = counted.filter((F.col("_points") <= m) & (F.col("weight") > 0)).drop("_points")
+    large = counted.filter(F.col("_points") > m).drop("_points")
+    return few.unionByName(large.groupBy(*by).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in by) + ", weight double, features array<double>"))
 
 
 def sliding_windows(answers: DataFrame, width: str, slide: str, pane: str, m: int, seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
