@@ -7,7 +7,8 @@ they leave least room (best fit). The plan says, for each run of ranks among the
 Pieces learn their rank among those of their length with one shuffle and look their place up in the plan.
 
 Defined cases. Null and empty texts are one piece of the end id alone. Rows that repeat a doc_id are packed as documents of their own.
-Null doc_ids are kept. An empty table gives an empty result. Other columns are ignored.
+Null doc_ids are kept. An empty table gives an empty result. Other columns are ignored. A very long text is tokenized part by part and cut
+into as many pieces as it needs; it is in memory whole in the task that reads it.
 
 At scale. The driver gets at most `capacity` counts; the plan has a bounded number of runs (splits only happen when a length or a group
 is used up), whatever the corpus, and is broadcast. Ranks are dealt by length and a hash of the piece, so a length that a third of all

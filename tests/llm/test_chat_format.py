@@ -41,3 +41,12 @@ def test_own_template(spark):
 def test_query(spark, sf):
     row = op.query(spark, sf).filter("conv_id = -1").first()
     assert row.n_turns == 2 and row.loss_chars == len(op.PROBE) and row.loss_sha256 == hashlib.sha256(op.PROBE.encode()).hexdigest() and row.valid
+
+
+def test_a_very_long_conversation(spark):
+    """Thousands of turns, one of them very long, are one row and read back as they were."""
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k} <|im_end|>" if k != 1501 else "long | text < " * 60_000) for k in range(3000)]
+    rows = spark.createDataFrame([(1, k, role, text) for k, (role, text) in enumerate(turns)] + [(2, 0, "user", "q")], SCHEMA).repartition(6)
+    found = read(op.format_conversations(rows))
+    assert [(t.role, t.text) for t in found[1].turns] == turns and found[1].valid
+    assert found[1].loss == "".join(text for role, text in turns if role == "assistant")

@@ -100,3 +100,21 @@ def test_near_copies_without_an_id(spark, documents):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     want = [rows[k] for k in (0, 2, 3, 4, 5, 7)]
     assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted((str(d), t or "") for d, t in want)
+
+
+def test_copies_of_a_text_without_id_meet_in_no_task(spark):
+    """Each task gives one row of those with one id and one normalised text before any shuffle of them."""
+    rows = [(None, "the same words here", "en")] * 500 + [(1, "other words", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    found = corpus_pipeline.drop_copies(spark, docs, "")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert found.count() == 2
+
+
+def test_a_language_too_far_from_what_was_learned_goes(spark, sf):
+    """The first stage rejects by distance too: planted texts of a language that is in no document with a lang."""
+    docs = read_table(spark, sf.replace("0.001", "0.01"), "documents").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(10**9 + k, t, None) for k, t in enumerate(["ngày hôm nay trời đẹp nên chúng tôi đi dạo", "kwa sababu leo ni siku nzuri tutakwenda sokoni kununua matunda na mboga"])], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(planted), "").select("doc_id").collect()}
+    assert not kept & {10**9, 10**9 + 1} and len(kept) > 0.98 * docs.count()
