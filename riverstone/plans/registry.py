@@ -903,7 +903,7 @@ wm AS (SELECT b.arrival, max(epoch_us(q.ts)) // 1000 - 10 * 86400000 AS ms FROM
 a AS (SELECT q.user_id, epoch_us(q.ts) AS us FROM q JOIN wm USING (arrival) WHERE ms IS NULL OR epoch_us(q.ts) > ms * 1000)"""
 
 
-def _paned(spark: SparkSession, sf: str, pane: str, m: int, by: F.Column | None = None) -> DataFrame:
+def _paned(spark: SparkSession, sf: str, pane: str, m: int, by: F.Column | None = None, key_buckets: int | None = None) -> DataFrame:
     """Answers of the panes of all events, which come in three parts, not in order, some of them behind a watermark of ten days; the stream
     is stopped after each part and goes on from its checkpoint."""
     events = table(spark, sf, "events")
@@ -913,7 +913,7 @@ def _paned(spark: SparkSession, sf: str, pane: str, m: int, by: F.Column | None
     for k in range(3):
         events.filter(arrival == k).select("event_id", "ts", "user_id", "value").write.mode("append").parquet(path)
         rows = file_stream(spark, path, "event_id long, ts timestamp_ntz, user_id long, value double").select("ts", "user_id", F.col("event_id").alias("id"), F.array("value", F.col("user_id").cast("double")).alias("features"))
-        _run(panes.stream_panes(rows, "ts", pane, "10 days", m, by), out, state)
+        _run(panes.stream_panes(rows, "ts", pane, "10 days", m, by, key_buckets=key_buckets), out, state)
     return spark.read.schema(panes.OUTPUT).parquet(out)
 
 
@@ -945,8 +945,10 @@ def stream_sliding_mass(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY us) AS session FROM l)
 SELECT user_id, min(us) AS session_start, max(us) + 43200000000 AS session_end, count(*) AS n_rows, round(CAST(count(*) AS DOUBLE), 4) AS mass, least(count(*), 5) AS n FROM s GROUP BY user_id, session""")
 def stream_session_mass(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user's sessions with gaps of twelve hours, of events that come late and fill gaps: bounds, rows, mass and points of each."""
-    found = panes.session_windows(_paned(spark, sf, "12 hours", 5, F.col("user_id")), "12 hours", "12 hours", 5)
+    """Each user's sessions with gaps of twelve hours, of events that come late and fill gaps: bounds, rows, mass and points of each.
+    About a hundred users share a state."""
+    buckets = table(spark, sf, "events").agg(F.approx_count_distinct("user_id")).first()[0] // 100 + 1
+    found = panes.session_windows(_paned(spark, sf, "12 hours", 5, F.col("user_id"), buckets), "12 hours", "12 hours", 5)
     made = found.groupBy(F.col("key").cast("long").alias("user_id"), F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"))
     return made.agg(F.max("n_rows").alias("n_rows"), F.round(F.sum("weight"), 4).alias("mass"), F.count("*").alias("n"))
 

@@ -4,7 +4,8 @@ A pane is a stretch of event time of one key. A stream keeps a binary counter fo
 what the panes that changed have come to. From the latest answers, tumbling and sliding windows take the panes that they cover, and sessions
 the panes between two gaps: a late row that fills a gap changes its pane's first or last time, and the sessions on both sides are one.
 
-Rows of a key go to `shards` states by a hash of their position, so no task gets all rows of a hot key or window. Rows older than the
+Rows of a key go to `shards` states by a hash of their position, so no task gets all rows of a hot key or window; keys with few rows may
+share states. Rows older than the
 watermark are left out, and a pane's state goes once the watermark has passed its end: state is bounded by the panes within the delay.
 """
 
@@ -24,7 +25,7 @@ from riverstone.session import stored
 from riverstone.streaming.coreset_stream import packed, unpacked
 
 OUTPUT = "key string, pane long, shard long, version long, n_rows long, first long, last long, weight double, features array<double>"
-STATE = "version long, n_rows long, first long, last long, n_reduced long, counter binary"
+STATE = "version long, panes binary"
 #: Panes whose coresets are merged in one task.
 FAN_IN = 8
 
@@ -40,49 +41,102 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return (np.concatenate([p for p, _ in some]), np.concatenate([w for _, w in some])) if some else (np.zeros((0, 0)), np.zeros(0))
 
 
+class _Pane:
+    """What a pane of one key has come to: rows, first and last time, a counter, and the points that wait for a whole batch."""
+
+    def __init__(self, m: int, seed: int, shard: int, options: dict, n_rows: int = 0, first: int | None = None, last: int | None = None, n_reduced: int = 0, raw: bytes = b""):
+        self.m, self.n_rows, self.first, self.last = m, n_rows, first, last
+        self.buckets = Buckets(m, seed, shard, **options)
+        self.buckets.n_reduced = n_reduced
+        self.waiting = [unpacked(raw, self.buckets)] if raw else []
+        self.n_waiting = sum(len(p) for p, _ in self.waiting)
+
+    def add(self, at: np.ndarray, features: list, weights: np.ndarray) -> None:
+        low, high = int(at.min()), int(at.max())
+        self.n_rows += len(at)
+        self.first, self.last = (low, high) if self.first is None else (min(self.first, low), max(self.last, high))
+        self.waiting.append((np.stack(features).astype(float), weights))
+        self.n_waiting += len(at)
+        batch = 2 * self.m
+        if self.n_waiting >= batch:
+            points, weights = _joined(self.waiting)
+            whole = self.n_waiting - self.n_waiting % batch
+            for i in range(0, whole, batch):
+                self.buckets.add(points[i : i + batch], weights[i : i + batch])
+            self.waiting, self.n_waiting = [(points[whole:], weights[whole:])], self.n_waiting - whole
+
+    def stored(self) -> tuple[int, int, int, int, bytes]:
+        return self.n_rows, self.first, self.last, self.buckets.n_reduced, packed(self.buckets, *_joined(self.waiting))
+
+    def answer(self) -> tuple[np.ndarray, np.ndarray]:
+        return _joined([*self.waiting, *(slot for _, slot in sorted(self.buckets.slots.items()))])
+
+
+def _pack(panes: dict[str, tuple[int, int, int, int, bytes]]) -> bytes:
+    """Keys and what is stored of each: how many, lengths and numbers, then names, then counters."""
+    names = [name.encode() for name in panes]
+    head = np.array([len(panes), *(x for name, (*facts, raw) in zip(names, panes.values(), strict=True) for x in (len(name), len(raw), *facts))], "<i8")
+    return b"".join([head.tobytes(), *names, *(v[-1] for v in panes.values())])
+
+
+def _unpack(raw: bytes) -> dict[str, tuple[int, int, int, int, bytes]]:
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head = np.frombuffer(raw, "<i8", 6 * n, 8).reshape(n, 6).tolist()
+    at = 8 * (1 + 6 * n)
+    body = at + sum(h[0] for h in head)
+    panes = {}
+    for size, length, *facts in head:
+        panes[raw[at : at + size].decode()] = (*facts, raw[body : body + length])
+        at, body = at + size, body + length
+    return panes
+
+
 def _update(m: int, seed: int, width: int, options: dict):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        name, pane, shard = key[0], int(key[1]), int(key[2])
-        buckets = Buckets(m, seed, shard, **options)
-        version, n, first, last, waiting, rows = 0, 0, None, None, [], 0
+        pane, shard = int(key[1]), int(key[2])
+        version, held, changed = 0, {}, {}
         if state.exists:
-            version, n, first, last, buckets.n_reduced, raw = state.get
-            waiting = [unpacked(bytes(raw), buckets)]
-            rows = len(waiting[0][0])
-        for frame in frames:  # one by one: a task holds a batch and the counter
-            if not len(frame):
-                continue
-            at = frame["at"].to_numpy()
-            n, first, last = n + len(frame), min(at.min(), at.min() if first is None else first), max(at.max(), at.max() if last is None else last)
-            waiting.append((np.stack(frame["features"].to_list()).astype(float), frame["weight"].to_numpy(float)))
-            rows += len(frame)
-            if rows >= 2 * m:
-                points, weights = _joined(waiting)
-                whole = rows - rows % (2 * m)
-                for i in range(0, whole, 2 * m):
-                    buckets.add(points[i : i + 2 * m], weights[i : i + 2 * m])
-                waiting, rows = [(points[whole:], weights[whole:])], rows - whole
-        points, weights = _joined(waiting)
-        state.update((version + 1, int(n), int(first), int(last), buckets.n_reduced, packed(buckets, points, weights)))
+            version, raw = state.get
+            held = _unpack(bytes(raw))
+        for frame in frames:  # one by one: a task holds a batch and the counters of the keys of one state
+            codes, names = pd.factorize(frame["key"])
+            order = np.argsort(codes, kind="stable")
+            at, weights, features = frame["at"].to_numpy()[order], frame["weight"].to_numpy(float)[order], frame["features"].to_numpy()[order]
+            edges = np.searchsorted(codes[order], np.arange(len(names) + 1))
+            for name, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if name not in changed:
+                    changed[name] = _Pane(m, seed, shard, options, *held.get(name, ()))
+                changed[name].add(at[a:b], features[a:b].tolist(), weights[a:b])
+        if not changed:
+            return
+        state.update((version + 1, _pack(held | {name: own.stored() for name, own in changed.items()})))
         state.setTimeoutTimestamp((pane + width) // 1000)
-        points, weights = _joined([(points, weights), *(slot for _, slot in sorted(buckets.slots.items()))])
-        yield pd.DataFrame({"key": name, "pane": pane, "shard": shard, "version": version + 1, "n_rows": int(n), "first": int(first), "last": int(last), "weight": weights, "features": list(points)})
+        made = [own.answer() for own in changed.values()]
+        n = [len(w) for _, w in made]
+        facts = {k: np.repeat(np.array([getattr(own, k) for own in changed.values()], np.int64), n) for k in ("n_rows", "first", "last")}
+        yield pd.DataFrame({"key": np.repeat(np.array(list(changed), object), n), "pane": pane, "shard": shard, "version": version + 1, **facts, "weight": np.concatenate([w for _, w in made]), "features": [x for p, _ in made for x in p]})
 
     return run
 
 
-def stream_panes(points: DataFrame, time: str, pane: str, delay: str, m: int, by: Column | None = None, shards: int = 4, features: str = "features", weight: str | None = None, position: str = "id", seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
+def stream_panes(points: DataFrame, time: str, pane: str, delay: str, m: int, by: Column | None = None, shards: int = 4, features: str = "features", weight: str | None = None, position: str = "id", seed: int = 3, key_buckets: int | None = None, **options) -> DataFrame:  # noqa: ANN003
     """A streaming DataFrame (update mode): OUTPUT, of each pane that changed its key, start, shard and points, the number of rows that it has
-    taken in, and their first and last times (microseconds)."""
+    taken in, and their first and last times (microseconds).
+
+    A key has states of its own, unless `key_buckets` deals keys by their hash to so many: then keys of a bucket share the state of a pane
+    and shard, which is written as a whole. That is cheaper where a pane has few rows of a key; the number of keys in a bucket times the
+    points of a counter has to fit a task. Rows, times and mass are the same; draws follow the order in which rows come.
+    """
     timed = points.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     name = F.lit("") if by is None else F.coalesce(by.cast("string"), F.lit(""))
+    bucket = F.xxhash64(name) if key_buckets is None else F.pmod(F.xxhash64(name), F.lit(key_buckets))
     shard = F.pmod(F.xxhash64(position), F.lit(shards)).cast("long")
-    rows = timed.select(name.alias("key"), F.unix_micros(F.window("_time", pane)["start"]).alias("pane"), shard.alias("shard"), "_time", F.unix_micros("_time").alias("at"), doubles(features).alias("features"), w.alias("weight"))
-    return rows.groupBy("key", "pane", "shard").applyInPandasWithState(_update(m, seed, micros(points, pane), options), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = timed.select(bucket.cast("long").alias("bucket"), name.alias("key"), F.unix_micros(F.window("_time", pane)["start"]).alias("pane"), shard.alias("shard"), "_time", F.unix_micros("_time").alias("at"), doubles(features).alias("features"), w.alias("weight"))
+    return rows.groupBy("bucket", "pane", "shard").applyInPandasWithState(_update(m, seed, micros(points, pane), options), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(answers: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ from riverstone.sources.streams import file_stream
 from riverstone.streaming import panes
 
 
-def streamed(spark, tmp_path, batches, pane, delay, m=4, by=None, shards=2):
+def streamed(spark, tmp_path, batches, pane, delay, m=4, by=None, shards=2, key_buckets=None):
     """Answers of a stream of (id, key, minute) rows, stopped after each batch."""
     for k, rows in enumerate(batches):
         df = spark.createDataFrame(rows, "id long, name string, minute long").select("id", "name", F.timestamp_seconds(F.col("minute") * 60 + 86400).alias("ts"), F.array(F.col("id").cast("double")).alias("features"))
         df.write.mode("append").parquet(f"{tmp_path}/in")
         source = file_stream(spark, f"{tmp_path}/in", "id long, name string, ts timestamp, features array<double>")
-        made = panes.stream_panes(source, "ts", pane, delay, m, by, shards)
+        made = panes.stream_panes(source, "ts", pane, delay, m, by, shards, key_buckets=key_buckets)
         job = made.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
         job.foreachBatch(lambda df, b, k=k: df.write.mode("overwrite").parquet(f"{tmp_path}/out/run={k}/batch={b}")).start().awaitTermination()
     return spark.read.schema(panes.OUTPUT).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out")
@@ -58,3 +58,25 @@ def test_sliding_windows_and_long_sessions(spark, tmp_path):
 def test_intervals(spark):
     assert panes.micros(spark.range(1), "1 day 2 hours") == 26 * 3_600_000_000 and panes.micros(spark.range(1), "3 seconds") == 3_000_000
     assert os.path.exists(panes.__file__)
+
+
+def test_keys_that_share_states_have_the_answers_of_their_own(spark, tmp_path):
+    """A hot key and many of few rows: panes of buckets of keys have the rows, times and mass of a state for each key, and
+    the same points where nothing was drawn (draws follow the order in which rows come); names of any length and null are keys."""
+    names = [None, "", "hot", "é" * 300, *(f"k{j}" for j in range(20))]
+    rows = [(k, "hot" if k % 3 == 0 else names[k % len(names)], k % 25) for k in range(300)]
+    made = []
+    for buckets in (None, 3):
+        path = tmp_path / str(buckets)
+        answers = streamed(spark, path, [rows[::2], rows[1::2]], "10 minutes", "1 day", by=F.col("name"), key_buckets=buckets)
+        made.append(sorted((r.key, r.pane, r.shard, r.n_rows, r.first, r.last, r.weight, *r.features) for r in panes.latest(answers).collect()))
+    few = [[r for r in rows if r[3] < 8] for rows in made]
+    assert few[0] == few[1] and few[0]
+    facts = [{r[:6]: round(sum(x[6] for x in rows if x[:6] == r[:6]), 6) for r in rows} for rows in made]
+    assert facts[0] == facts[1] and all(mass == r[3] for r, mass in facts[0].items()) and sum(facts[0].values()) == 300
+    assert {r[0] for r in made[0]} == {n or "" for _, n, _ in rows}
+
+
+def test_stored_panes_are_read_back():
+    own = {"": (1, -5, 7, 0, b""), "é": (3, 0, 2**62, 4, b"\x00\xff" * 9)}
+    assert panes._unpack(panes._pack(own)) == own and panes._unpack(panes._pack({})) == {}
