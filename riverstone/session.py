@@ -39,6 +39,8 @@ def ship(spark: SparkSession) -> None:
         for f in sorted([*root.glob("riverstone/**/*.py"), *root.glob("corpus_pipeline.py")]):
             out.write(f, f.relative_to(root))
     context.addPyFile(str(path))
+    # What a stateful processor runs on the driver doesn't get added files, only the path that functions are sent with.
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [context.environment.get("PYTHONPATH"), str(path)]))
     context._riverstone_shipped = True
 
 
