@@ -70,6 +70,31 @@ class Buckets:
         self.by_rank[rank] = self.by_rank.get(rank, 0) + 1
         self.slots[rank] = own
 
+    def add_all(self, points: np.ndarray, weights: np.ndarray, size: int) -> None:
+        """add() of each `size` rows one after the other, with the same coresets; those of a rank are made together."""
+        todo: dict[int, list[tuple[int, list]]] = {}
+        slots: dict[int, tuple] = dict(self.slots)  # coresets, or (rank, place in todo) of those that are to be made
+        made: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def put(rank: int, sources: list) -> tuple[int, int]:
+            self.n_reduced += 1
+            todo.setdefault(rank, []).append((self.n_reduced, sources))
+            return rank, len(todo[rank]) - 1
+
+        for at in range(0, len(points), size):
+            own, rank = put(0, [(points[at : at + size], weights[at : at + size])]), 0
+            while rank in slots:
+                self.by_rank[rank] = self.by_rank.get(rank, 0) + 1
+                own, rank = put(rank + 1, [slots.pop(rank), own]), rank + 1
+            self.by_rank[rank] = self.by_rank.get(rank, 0) + 1
+            slots[rank] = own
+        whole = lambda ref: ref if isinstance(ref[0], np.ndarray) else made[ref]
+        for rank in sorted(todo):
+            parts = [(*(np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*map(whole, sources), strict=True)), kernel.generator(*self.key, n)) for n, sources in todo[rank]]
+            found = kernel.coresets(parts, self.m, **self.options)
+            made |= {(rank, i): (p[own], mass) for i, ((p, _, _), (own, mass)) in enumerate(zip(parts, found, strict=True))}
+        self.slots = {rank: whole(ref) for rank, ref in slots.items()}
+
     def final(self) -> tuple[np.ndarray, np.ndarray] | None:
         """One coreset of all; the counter stays as it is."""
         if not self.slots:

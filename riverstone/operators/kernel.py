@@ -230,6 +230,132 @@ def _rounds(points, w, m, rng, tries, metric, pick, splits=None, order_out=None)
     return _without_empty(centres[:k], leaf)
 
 
+#: Points that coresets() takes together.
+TOGETHER = 1 << 15
+
+
+def coresets(parts: list[tuple[np.ndarray, np.ndarray, np.random.Generator]], m: int, tries: int = 3, mode: str = "rounds", metric: str = "l2", pick: str = "d2", cost_mode: str = "weighted", weight_mode: str = "mass") -> list[tuple[np.ndarray, np.ndarray]]:
+    """coreset() of each of some (points, weights, generator), the same indices and masses; rounds of many small trees are array steps together."""
+    options = {"tries": tries, "mode": mode, "metric": metric, "pick": pick, "cost_mode": cost_mode, "weight_mode": weight_mode}
+    if mode != "rounds" or pick != "d2":
+        return [coreset(points, weights, m, rng, **options) for points, weights, rng in parts]
+    made, held, rows = [], [], 0
+    for i, (points, weights, rng) in enumerate(parts):
+        real = np.flatnonzero(weights > 0)
+        if len(real) <= m:
+            made.append(coreset(points, weights, m, rng, **options))
+        else:
+            made.append(None)
+            held.append((i, real, points[real].astype(np.float64, copy=False), weights[real].astype(np.float64, copy=False), rng))
+            rows += len(real)
+        if held and (rows >= TOGETHER or i == len(parts) - 1):
+            mass = np.concatenate([h[3] for h in held])
+            w = mass if cost_mode == "weighted" else np.ones(rows)
+            begin = np.cumsum([0, *(len(h[1]) for h in held)])
+            centres, size, leaf = _rounds_together(np.concatenate([h[2] for h in held]), w, begin, m, [h[4] for h in held], tries, metric)
+            mass = mass if weight_mode == "mass" else np.ones(rows)
+            for t, (k, own, *_) in enumerate(held):
+                span, used = slice(begin[t], begin[t + 1]), np.flatnonzero(size[t])
+                made[k] = (own[centres[t, used] - begin[t]], np.bincount(leaf[span], weights=mass[span], minlength=m)[used])
+            held, rows = [], 0
+    return made
+
+
+def _rounds_together(points, w, edges, m, rngs, tries, metric):  # noqa: ANN001, ANN202
+    """_rounds() of the rows between edges, each a tree with a generator: rows of centres and sizes of leaves (trees x m), and each row's leaf."""
+    trees, n = len(rngs), len(points)
+    columns = [np.ascontiguousarray(c) for c in points.T] if metric == "l2" and points.shape[1] <= 8 else None
+    order = np.arange(n)
+    begin, size, centres, costs = np.zeros((trees, m), np.int64), np.zeros((trees, m), np.int64), np.zeros((trees, m), np.int64), np.zeros((trees, m))
+    rows = np.diff(edges)
+    begin[:, 0], size[:, 0] = edges[:-1], rows
+    centres[:, 0] = [a + _first(w[a:b], rng) for a, b, rng in zip(edges[:-1].tolist(), edges[1:].tolist(), rngs, strict=True)]
+    d = _distances(points, points[np.repeat(centres[:, 0], rows)], metric)
+    d[centres[:, 0]] = 0
+    cost = w * d
+    costs[:, 0] = [cost[a:b].sum() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    n_leaves, live = np.ones(trees, np.int64), list(range(trees))
+    begin, size, centres, costs = (x.reshape(-1) for x in (begin, size, centres, costs))  # views: leaf j of tree t is at t * m + j
+    while live:
+        chosen, going = [], []
+        for t in live:
+            k = int(n_leaves[t])
+            if k >= m:
+                continue
+            n_split = min(m - k, max(1, int(SHARE * k)))
+            total = costs[t * m : t * m + k].cumsum()
+            if total[-1] <= 0:
+                continue
+            at = total.searchsorted((np.arange(n_split) + rngs[t].random()) / n_split * total[-1], side="right")
+            np.minimum(at, k - 1, out=at)
+            at = at[np.diff(at, prepend=-1) > 0] + t * m  # they are in order
+            at = at[costs[at] > 0]
+            if len(at):
+                chosen.append(at)
+                going.append(t)
+        if not going:
+            break
+        many = np.array([len(c) for c in chosen])
+        at, tree = np.concatenate(chosen), np.repeat(going, many)
+        own = size[at]
+        starts = np.cumsum(own) - own
+        ids = order[np.repeat(begin[at] - starts, own) + np.arange(int(own.sum()))]
+        mine, rw = d[ids], w[ids]
+        cost = rw * mine
+        x = [c[ids] for c in columns] if columns is not None else points[ids]
+        drawn, last = np.empty((tries, len(at)), np.int64), starts + own - 1
+        leaf_edges = [0, *np.cumsum(many).tolist()]
+        row_edges = [*starts[leaf_edges[:-1]].tolist(), len(ids)]
+        for i, t in enumerate(going):  # running costs are a tree's own
+            a, b, r0 = leaf_edges[i], leaf_edges[i + 1], row_edges[i]
+            run = cost[r0 : row_edges[i + 1]].cumsum()
+            low = run[starts[a:b] - r0] - cost[starts[a:b]]
+            span = run[last[a:b] - r0] - low
+            drawn[:, a:b] = run.searchsorted(low + rngs[t].random((tries, b - a)) * span, side="right") + r0
+        best, best_far, best_c = None, None, None
+        for c in _distinct(list(np.clip(drawn, starts, last)), cost, starts, own):
+            if columns is not None:
+                far = np.zeros(len(ids))
+                for v in x:
+                    step = v - np.repeat(v[c], own)
+                    step *= step
+                    far += step
+            else:
+                far = _distances(x, np.repeat(x[c], own, axis=0), metric)
+            far[c] = 0
+            got = np.add.reduceat(rw * np.minimum(mine, far), starts)
+            if best is None:
+                best, best_far, best_c = got, far, c
+            else:
+                better = got < best
+                best, best_c = np.where(better, got, best), np.where(better, c, best_c)
+                best_far = np.where(np.repeat(better, own), far, best_far)
+        useful = best < costs[at]
+        move = (best_far <= mine) & np.repeat(useful, own)
+        move[best_c[useful]] = True
+        d[ids] = np.where(move, best_far, mine)
+        passed = np.cumsum(move)
+        before = passed - move - np.repeat(passed[starts] - move[starts], own)
+        moved = np.add.reduceat(move.astype(np.int64), starts)
+        stay = own - moved
+        within = np.arange(len(ids)) - np.repeat(starts, own)
+        order[np.repeat(begin[at], own) + np.where(move, np.repeat(stay, own) + before, within - before)] = ids
+        new_cost = np.add.reduceat(rw * np.where(move, best_far, 0), starts)
+        costs[at] = np.where(useful, np.add.reduceat(rw * np.where(move, 0, mine), starts), costs[at])
+        split, home = at[useful], tree[useful]
+        size[split] = stay[useful]
+        n_new = np.bincount(home, minlength=trees)
+        new = home * m + n_leaves[home] + np.arange(len(home)) - (np.cumsum(n_new) - n_new)[home]
+        begin[new], size[new] = begin[split] + stay[useful], moved[useful]
+        centres[new], costs[new] = ids[best_c[useful]], new_cost[useful]
+        n_leaves += n_new
+        live = [t for t in going if n_new[t]]
+    leaf = np.empty(n, np.int64)
+    places = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(n)
+    leaf[order[places]] = np.repeat(np.tile(np.arange(m), trees), size)
+    return centres.reshape(trees, m), size.reshape(trees, m), leaf
+
+
 def _distinct(tried: list[np.ndarray], cost: np.ndarray, starts: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
     """Draws of each leaf made distinct: one that others have drawn before passes on to the leaf's next row of positive cost, round and round.
 
