@@ -42,36 +42,114 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 class _Pane:
-    """What a pane of one key has come to: rows, first and last time, a counter, and the points that wait for a whole batch."""
+    """What a pane of a key with many rows has come to: a counter, and the points that wait for a whole batch."""
 
-    def __init__(self, m: int, seed: int, shard: int, options: dict, n_rows: int = 0, first: int | None = None, last: int | None = None, n_reduced: int = 0, raw: bytes = b""):
-        self.m, self.n_rows, self.first, self.last = m, n_rows, first, last
+    def __init__(self, m: int, seed: int, shard: int, options: dict, n_reduced: int = 0, raw: bytes = b""):
+        self.m = m
         self.buckets = Buckets(m, seed, shard, **options)
         self.buckets.n_reduced = n_reduced
         self.waiting = [unpacked(raw, self.buckets)] if raw else []
-        self.n_waiting = sum(len(p) for p, _ in self.waiting)
-
-    def add(self, at: np.ndarray, features: list, weights: np.ndarray) -> None:
-        low, high = int(at.min()), int(at.max())
-        self.n_rows += len(at)
-        self.first, self.last = (low, high) if self.first is None else (min(self.first, low), max(self.last, high))
-        self.waiting.append((np.stack(features).astype(float), weights))
-        self.n_waiting += len(at)
-        batch = 2 * self.m
-        if self.n_waiting >= batch:
-            points, weights = _joined(self.waiting)
-            whole = self.n_waiting - self.n_waiting % batch
-            for i in range(0, whole, batch):
-                self.buckets.add(points[i : i + batch], weights[i : i + batch])
-            self.waiting, self.n_waiting = [(points[whole:], weights[whole:])], self.n_waiting - whole
-
-    def stored(self) -> tuple[int, int, int, int, bytes]:
-        return self.n_rows, self.first, self.last, self.buckets.n_reduced, packed(self.buckets, *_joined(self.waiting))
+
+    def add(self, points: np.ndarray, weights: np.ndarray) -> None:
+        points, weights = _joined([*self.waiting, (points, weights)])
+        whole = len(points) - len(points) % (2 * self.m)
+        self.buckets.add_all(points[:whole], weights[:whole], 2 * self.m)
+        self.waiting = [(points[whole:], weights[whole:])]
 
     def answer(self) -> tuple[np.ndarray, np.ndarray]:
         return _joined([*self.waiting, *(slot for _, slot in sorted(self.buckets.slots.items()))])
 
 
+class _Keys:
+    """The keys of a state: rows, first and last time of each. Those that have had a whole batch of rows have a _Pane each; the points of
+    all others are columns together, so that keys of few rows cost no Python of their own."""
+
+    def __init__(self, m: int, seed: int, shard: int, options: dict, raw: bytes = b""):
+        self.own, self.batch = (m, seed, shard, options), 2 * m
+        self.index: dict[str, int] = {}
+        self.large: dict[int, _Pane] = {}
+        self.facts = np.zeros((3, 0), np.int64)
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if raw:
+            self._read(raw)
+        self.changed = np.zeros(len(self.index), bool)
+
+    def add(self, keys: pd.Series, at: np.ndarray, points: np.ndarray, weights: np.ndarray) -> None:
+        codes, names = pd.factorize(keys)
+        code = np.fromiter((self.index.setdefault(name, len(self.index)) for name in names), np.int64, len(names))
+        more = len(self.index) - len(self.changed)
+        if more:
+            limits = np.iinfo(np.int64)
+            self.facts = np.hstack([self.facts, np.repeat([[0], [limits.max], [limits.min]], more, axis=1)])
+            self.changed = np.append(self.changed, np.zeros(more, bool))
+        ids = code[codes]
+        order = np.argsort(ids, kind="stable")
+        ids, at = ids[order], at[order]
+        begin = np.flatnonzero(np.diff(ids, prepend=-1))
+        own = ids[begin]
+        n, first, last = self.facts
+        n[own] += np.diff(begin, append=len(ids))
+        first[own] = np.minimum(first[own], np.minimum.reduceat(at, begin))
+        last[own] = np.maximum(last[own], np.maximum.reduceat(at, begin))
+        self.changed[own] = True
+        self.rows.append((ids, points[order], weights[order]))
+        if (n[own] >= self.batch).any():
+            self._count()
+
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The columns, key by key, in the order in which they came."""
+        some = [r for r in self.rows if len(r[0])]
+        if not some:
+            return np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0)
+        ids, points, weights = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.argsort(ids, kind="stable")
+        return ids[order], points[order], weights[order]
+
+    def _count(self) -> None:
+        ids, points, weights = self._sorted()
+        many = self.facts[0][ids] >= self.batch
+        begin = np.flatnonzero(np.diff(ids[many], prepend=-1))
+        for i, p, w in zip(ids[many][begin].tolist(), np.split(points[many], begin[1:]), np.split(weights[many], begin[1:]), strict=True):
+            if i not in self.large:
+                self.large[i] = _Pane(*self.own)
+            self.large[i].add(p, w)
+        self.rows = [(ids[~many], points[~many], weights[~many])]
+
+    def stored(self) -> bytes:
+        """Lengths, keys with a counter, then of the others the names, their lengths, rows and times, and the points."""
+        ids, points, weights = self._sorted()
+        names, few = list(self.index), np.ones(len(self.index), bool)
+        few[list(self.large)] = False
+        large = _pack({names[i]: (*self.facts[:, i].tolist(), pane.buckets.n_reduced, packed(pane.buckets, *_joined(pane.waiting))) for i, pane in self.large.items()})
+        rest = [names[i] for i in np.flatnonzero(few).tolist()]
+        text = "".join(rest).encode()
+        head = np.array([len(large), len(text), len(rest), *points.shape], "<i8")
+        facts = np.vstack([np.array([len(name) for name in rest], np.int64), self.facts[:, few]]).astype("<i8")
+        return b"".join([head.tobytes(), large, text, facts.tobytes(), points.astype("<f8", copy=False).tobytes(), weights.astype("<f8", copy=False).tobytes()])
+
+    def _read(self, raw: bytes) -> None:
+        n_large, n_text, n_few, rows, dims = np.frombuffer(raw, "<i8", 5).tolist()
+        at = 40 + n_large + n_text
+        text, (lengths, *facts) = raw[40 + n_large : at].decode(), np.frombuffer(raw, "<i8", 4 * n_few, at).reshape(4, n_few)
+        at += 32 * n_few
+        ends = np.cumsum(lengths).tolist()
+        names = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        points = np.frombuffer(raw, "<f8", rows * dims, at).reshape(rows, dims)
+        self.rows = [(np.repeat(np.arange(n_few), facts[0]), points, np.frombuffer(raw, "<f8", rows, at + points.nbytes))]
+        large = _unpack(raw[40 : 40 + n_large])
+        self.large = {n_few + i: _Pane(*self.own, *own[3:]) for i, own in enumerate(large.values())}
+        self.index = {name: i for i, name in enumerate([*names, *large])}
+        self.facts = np.hstack([np.array(facts, np.int64), np.array([own[:3] for own in large.values()], np.int64).reshape(-1, 3).T])
+
+    def answer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, point and weight of what each key that changed has come to."""
+        ids, points, weights = self._sorted()
+        new = self.changed[ids]
+        made = [(ids[new], points[new], weights[new])]
+        made += [(np.full(len(w), i), p, w) for i, pane in self.large.items() if self.changed[i] for p, w in [pane.answer()]]
+        return tuple(np.concatenate(x) for x in zip(*(m for m in made if len(m[0])), strict=True))
+
+
 def _pack(panes: dict[str, tuple[int, int, int, int, bytes]]) -> bytes:
     """Keys and what is stored of each: how many, lengths and numbers, then names, then counters."""
     names = [name.encode() for name in panes]
@@ -97,27 +175,18 @@ def _update(m: int, seed: int, width: int, options: dict):
             state.remove()
             return
         pane, shard = int(key[1]), int(key[2])
-        version, held, changed = 0, {}, {}
-        if state.exists:
-            version, raw = state.get
-            held = _unpack(bytes(raw))
-        for frame in frames:  # one by one: a task holds a batch and the counters of the keys of one state
-            codes, names = pd.factorize(frame["key"])
-            order = np.argsort(codes, kind="stable")
-            at, weights, features = frame["at"].to_numpy()[order], frame["weight"].to_numpy(float)[order], frame["features"].to_numpy()[order]
-            edges = np.searchsorted(codes[order], np.arange(len(names) + 1))
-            for name, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if name not in changed:
-                    changed[name] = _Pane(m, seed, shard, options, *held.get(name, ()))
-                changed[name].add(at[a:b], features[a:b].tolist(), weights[a:b])
-        if not changed:
+        version, raw = state.get if state.exists else (0, b"")
+        keys = _Keys(m, seed, shard, options, bytes(raw))
+        for frame in frames:  # one by one: a task holds a batch and what the keys of one state have come to
+            if len(frame):
+                keys.add(frame["key"], frame["at"].to_numpy(), np.stack(frame["features"].to_list()).astype(float), frame["weight"].to_numpy(float))
+        if not keys.changed.any():
             return
-        state.update((version + 1, _pack(held | {name: own.stored() for name, own in changed.items()})))
+        state.update((version + 1, keys.stored()))
         state.setTimeoutTimestamp((pane + width) // 1000)
-        made = [own.answer() for own in changed.values()]
-        n = [len(w) for _, w in made]
-        facts = {k: np.repeat(np.array([getattr(own, k) for own in changed.values()], np.int64), n) for k in ("n_rows", "first", "last")}
-        yield pd.DataFrame({"key": np.repeat(np.array(list(changed), object), n), "pane": pane, "shard": shard, "version": version + 1, **facts, "weight": np.concatenate([w for _, w in made]), "features": [x for p, _ in made for x in p]})
+        ids, points, weights = keys.answer()
+        n_rows, first, last = keys.facts[:, ids]
+        yield pd.DataFrame({"key": np.array(list(keys.index), object)[ids], "pane": pane, "shard": shard, "version": version + 1, "n_rows": n_rows, "first": first, "last": last, "weight": weights, "features": list(points)})
 
     return run
 
@@ -128,7 +197,7 @@ def stream_panes(points: DataFrame, time: str, pane: str, delay: str, m: int, by
 
     A key has states of its own, unless `key_buckets` deals keys by their hash to so many: then keys of a bucket share the state of a pane
     and shard, which is written as a whole. That is cheaper where a pane has few rows of a key; the number of keys in a bucket times the
-    points of a counter has to fit a task. Rows, times and mass are the same; draws follow the order in which rows come.
+    points of a counter has to fit a task. Points of keys with fewer than 2m rows in a pane are handled together. Rows, times and mass are the same; draws follow the order in which rows come.
     """
     timed = points.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
@@ -201,7 +270,9 @@ def session_windows(answers: DataFrame, gap: str, pane: str, m: int, seed: int =
     rows = coresets.join(numbered.select("key", "pane", "session", F.col("place").cast("long").alias("node")), ["key", "pane"])
     most, level = numbered.agg(F.max("place")).first()[0] or 0, 1
     while most:  # a long session's panes are merged a few at a time
-        rows = merged(rows.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")), ["key", "session", "node"], m, seed, level, **options)
+        # A merge reads its rows twice (for the points of each group), so what comes from a level is stored, not made again by those above.
+        placed = stored(rows.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")), "session-level")
+        rows = merged(placed, ["key", "session", "node"], m, seed, level, **options)
         most, level = most // FAN_IN, level + 1
     named = rows.join(spans, ["key", "session"])
     return named.select("key", F.timestamp_micros("start").alias("session_start"), F.timestamp_micros("end").alias("session_end"), "n_rows", "weight", "features")

@@ -1,5 +1,7 @@
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,25 @@ def test_keys_that_share_states_have_the_answers_of_their_own(spark, tmp_path):
 def test_stored_panes_are_read_back():
     own = {"": (1, -5, 7, 0, b""), "é": (3, 0, 2**62, 4, b"\x00\xff" * 9)}
     assert panes._unpack(panes._pack(own)) == own and panes._unpack(panes._pack({})) == {}
+
+
+def test_keys_of_few_rows_are_columns_and_are_read_back():
+    """Only keys with a whole batch have a pane of their own; what is stored gives the same rows, times and points, and goes on from there."""
+    rng = np.random.default_rng(0)
+    names = pd.Series(["é", "", "hot", *(f"k{j}" for j in range(50))])
+    keys, at, points, weights = names[rng.integers(0, 53, 120)].where(rng.random(120) < 0.8, "hot").reset_index(drop=True), rng.integers(-5, 2**50, 120), rng.normal(size=(120, 2)), np.ones(120)
+    whole, parts = (panes._Keys(6, 3, 1, {}) for _ in range(2))
+    for a, b in ((0, 40), (40, 41), (41, 120)):
+        whole.add(keys[a:b], at[a:b], points[a:b], weights[a:b])
+        parts = panes._Keys(6, 3, 1, {}, parts.stored() if a else b"")
+        parts.add(keys[a:b], at[a:b], points[a:b], weights[a:b])
+    n = keys.value_counts()
+    assert {list(whole.index)[i] for i in whole.large} == set(n[n >= 12].index) == {"hot"}
+    for own in (whole, panes._Keys(6, 3, 1, {}, parts.stored())):
+        own.changed[:] = True
+        ids, p, w = own.answer()
+        seen = {name: (*own.facts[:, i].tolist(), sorted(map(tuple, np.column_stack([p, w])[ids == i].tolist()))) for name, i in own.index.items()}
+        assert {name: s[:3] for name, s in seen.items()} == {k: (int((keys == k).sum()), int(at[keys == k].min()), int(at[keys == k].max())) for k in set(keys)}
+        assert all(s[3] == sorted(map(tuple, np.column_stack([points, weights])[keys == k].tolist())) for k, s in seen.items() if k != "hot")
+        before = seen if own is whole else before
+        assert seen == before and abs(sum(x[2] for x in seen["hot"][3]) - n["hot"]) < 1e-9
