@@ -15,19 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riverstone.functions.vectors import doubles
+from riverstone.operators import kernel
 from riverstone.operators.coreset import Buckets, merge_kernel
 from riverstone.session import stored
 from riverstone.streaming.coreset_stream import packed, unpacked
 
 OUTPUT = "key string, pane long, shard long, version long, n_rows long, first long, last long, weight double, features array<double>"
 STATE = "version long, panes binary"
-#: Panes whose coresets are merged in one task.
-FAN_IN = 8
+#: Panes whose coresets are merged in one task, and points of groups that are merged many at a time.
+FAN_IN, SMALL = 8, 64
 
 
 def micros(df: DataFrame, interval: str) -> int:
@@ -228,8 +230,6 @@ def merged(rows: DataFrame, by: list[str], m: int, seed: int, level: int, **opti
 
     def run(key, table):  # noqa: ANN001, ANN202
         """Draws depend on the group's last key, so groups of one key differ."""
-        import pyarrow as pa
-
         made = plain((pa.scalar(key[-1].as_py() or 0),), table).drop(["node"])
         for k, value in reversed(list(zip(by, key, strict=True))):
             made = made.add_column(0, k, pa.array([value.as_py()] * made.num_rows, value.type))
@@ -237,8 +237,34 @@ def merged(rows: DataFrame, by: list[str], m: int, seed: int, level: int, **opti
 
     counted = rows.join(rows.groupBy(*by).agg(F.count("*").alias("_points")), by).select(*by, "weight", "features", "_points")
     few = counted.filter((F.col("_points") <= m) & (F.col("weight") > 0)).drop("_points")
-    large = counted.filter(F.col("_points") > m).drop("_points")
-    return few.unionByName(large.groupBy(*by).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in by) + ", weight double, features array<double>"))
+    large = counted.filter(F.col("_points") > m)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + ", weight double, features array<double>"
+    # Small groups are a row each, and those of an Arrow batch are reduced together; others are groups of their own.
+    small = large.filter(F.col("_points") <= SMALL).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("features", "weight"))).alias("own"))
+    named = small.select(*by, F.col("own.weight").alias("weights"), F.flatten("own.features").alias("values")).mapInArrow(_reduced(m, seed, level, len(by), options), schema)
+    return few.unionByName(named).unionByName(large.filter(F.col("_points") > SMALL).drop("_points").groupBy(*by).applyInArrow(run, schema))
+
+
+def _reduced(m: int, seed: int, level: int, n_by: int, options: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a group's columns, weights and values in order, as its coreset: that of merge_kernel()."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last, parts = b.column(n_by - 1).to_pylist(), []
+            for node, w, x in zip(last, b.column(n_by), b.column(n_by + 1), strict=True):
+                weights, values = w.values.to_numpy(zero_copy_only=False), x.values.to_numpy(zero_copy_only=False)
+                points = values.reshape(len(weights), -1)
+                order = np.lexsort((weights, *points.T))
+                parts.append((points[order], weights[order], kernel.generator(seed, level, node or 0)))
+            made = kernel.coresets(parts, m, **options)
+            n = np.array([len(at) for at, _ in made])
+            points = np.concatenate([p[at] for (p, _, _), (at, _) in zip(parts, made, strict=True)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(points) + 1, dtype=np.int32) * points.shape[1]), pa.array(points.reshape(-1)))
+            groups = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.record_batch([*(b.column(k).take(groups) for k in range(n_by)), pa.array(np.concatenate([mass for _, mass in made])), lists], [*b.schema.names[:n_by], "weight", "features"])
+
+    return run
 
 
 def sliding_windows(answers: DataFrame, width: str, slide: str, pane: str, m: int, seed: int = 3, **options) -> DataFrame:  # noqa: ANN003
