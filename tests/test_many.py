@@ -1,9 +1,12 @@
 """Many trees at once against one by one, and what shards of streams hold."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from riverstone.operators import kernel
 from riverstone.operators.coreset import Buckets
@@ -51,3 +54,78 @@ def test_a_shard_holds_a_bounded_part_of_a_micro_batch(monkeypatch):
         assert len(got) == 1 if runs == 1 else len(got) >= runs
         assert all(p.nbytes <= limit + cs.BLOCK_BYTES and (np.diff(p[:, 0]) > 0).all() and np.array_equal(p[:, 0] + 1, w) for p, w in got)
         assert sorted(np.concatenate([p[:, 0] for p, _ in got])) == [k for k in range(n) if k % 3 == 2]
+
+
+class Kept:
+    """A shard's states, in memory."""
+
+    def __init__(self):
+        self.value, self.values = None, {}
+
+    def getValueState(self, *_):  # noqa: N802
+        return Kept()
+
+    getMapState = getValueState  # noqa: N815
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def iterator(self):
+        return iter(self.values.items())
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.values[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.values[key]
+
+
+def frames(begin: int, end: int, points: int = 128):
+    """Frames of ten blocks each, made as they are asked for."""
+    for at in range(begin, end, 10 * points):
+        places = [np.arange(k, min(k + points, end)) for k in range(at, min(at + 10 * points, end), points)]
+        yield pd.DataFrame({"places": places, "dims": 2, "points": [np.column_stack([np.sin(x), np.cos(7 * x)]).tobytes() for x in places], "weights": [np.ones(len(x)).tobytes() for x in places]})
+
+
+def test_pieces_of_a_micro_batch_make_the_counter_of_the_whole(monkeypatch):
+    answers = []
+    for counted in (1 << 12, 1 << 25):
+        monkeypatch.setattr(cs, "COUNTED_BYTES", counted)
+        shard, found = cs.CounterState(10, 3, {}), []
+        assert max(len(p) for p, _ in shard._ordered(frames(0, 5000))) == (170 if counted == 1 << 12 else 5000)
+        shard.init(Kept())
+        for begin, end in ((0, 1111), (1111, 1115), (1115, 5000)):
+            found += list(shard.handleInputRows((1,), frames(begin, end), None))
+        answers.append(pd.concat(found))
+    a, b = answers
+    assert len(a) == len(b) > 100 and a["weight"].equals(b["weight"]) and a["rank"].equals(b["rank"])
+    assert np.array_equal(np.stack(a["features"]), np.stack(b["features"]))
+    assert a["reduced"].dropna().to_list() == b["reduced"].dropna().to_list()
+
+
+def test_a_shard_holds_points_once_while_it_counts_them(monkeypatch):
+    """Neither frames nor blocks are kept beside the points, however many rows there are."""
+    monkeypatch.setattr(cs, "HELD_BYTES", 1 << 23)
+    monkeypatch.setattr(cs, "COUNTED_BYTES", 1 << 16)
+    tracemalloc.start()
+    try:
+        held = [tracemalloc.get_traced_memory()[0] for _ in cs.CounterState(10, 3, {})._ordered(frames(0, 600_000))]
+    finally:
+        tracemalloc.stop()
+    assert len(held) >= 3 and max(held) < 1.25 * (1 << 23)
+
+
+def test_blocks_come_in_small_batches_unless_the_session_says_otherwise(spark):
+    for own in (None, "1000000"):
+        session = spark.newSession()
+        if own:
+            session.conf.set(cs.BATCH_SETTING, own)
+        rows = session.readStream.format("rate").load().select(F.col("value").alias("id"), F.array(F.col("value").cast("double")).alias("features"))
+        cs.stream_coresets(rows, 5)
+        assert session.conf.get(cs.BATCH_SETTING) == (own or str(cs.BATCH_BYTES))
