@@ -150,3 +150,14 @@ def test_all_that_is_removed_comes_through_the_merge(spark, sf, monkeypatch):
 
     monkeypatch.setattr(op, "_merge", emptied)
     assert sum(r[2] for r in summary(op.suffix_dedup(docs, keep_bytes=False))) == 0
+
+
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, documents):
+    """Two documents share 56 words: in 399 bytes they stay, in 400 they go, and n_bytes is the length of the text either way."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for k, end in ((1, ""), (3, ".")):
+        passage = "".join(" " + noise(rng, 6, "abcdefgh") for _ in range(57)) + end
+        rows += [(k, noise(rng, 500, "uvw") + passage + noise(rng, 500, "uvw")), (k + 1, noise(rng, 500, "xyz") + passage + noise(rng, 500, "xyz"))]
+        want |= {d: (1000 + len(passage), 400 if end else 0) for d in (k, k + 1)}
+    assert {d: (n, gone) for d, n, gone, _, _ in summary(op.suffix_dedup(documents(rows)))} == want == {1: (1399, 0), 2: (1399, 0), 3: (1400, 400), 4: (1400, 400)}
